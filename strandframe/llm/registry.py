@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontamination, langid, licences, lines, mixing, simhash, toxicity, urls
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op3_licence_scan": licences.op3_licence_scan,
+    "op4_url_filters": urls.op4_url_filters,
+    "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash.op6_simhash,
+    "op8_line_dedup": lines.op8_line_dedup,
+    "op9_language_id": langid.op9_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
+}
+SQL = {
+    "op3_licence_scan": licences.OP3_SQL,
+    "op4_url_filters": urls.OP4_SQL,
 }
-SQL: dict[str, str] = {}
