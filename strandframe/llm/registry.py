@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, langid, licences, lines, mixing, simhash, toxicity, urls
+from . import ctw, decontamination, fingerprints, langid, licences, lines, mixing, simhash, toxicity, urls
 
 QUERIES = {
+    "op1_ctw": ctw.op1_ctw,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_licence_scan": licences.op3_licence_scan,
     "op4_url_filters": urls.op4_url_filters,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash.op6_simhash,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
