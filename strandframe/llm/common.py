@@ -73,3 +73,36 @@ def utf8(values: pa.Array) -> Iterator[bytes | None]:
     valid = values.is_valid().to_pylist() if values.null_count else None
     for i in range(n):
         yield bytes(data[ends[i] : ends[i + 1]]) if valid is None or valid[i] else None
+
+
+class KeyFilter:
+    """Which keys may be in a set: one bit for each value of 26 bits of a key, so 8 MB however many keys there are.
+
+    Keys are 64-bit hashes. A full filter lets all keys pass; what passes is still to be joined.
+    """
+
+    SHIFT, BITS = 20, 26
+
+    def __init__(self, keys: DataFrame, column: str) -> None:
+        at = F.shiftrightunsigned(column, self.SHIFT).bitwiseAND(F.lit((1 << self.BITS) - 1)).alias("at")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+        words = keys.select(at).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+        bits = np.zeros(1 << (self.BITS - 6), dtype=np.uint64)
+        bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+        self.handed = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def __getstate__(self) -> dict:
+        return {"handed": self.handed}
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys.view(np.uint64) >> np.uint64(self.SHIFT)) & np.uint64((1 << self.BITS) - 1)
+        return (self.handed.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+    def where(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of df whose key may be in the set."""
+
+        @F.arrow_udf("boolean")
+        def there(keys: pa.Array) -> pa.Array:
+            return pa.array(self(keys.to_numpy(zero_copy_only=False)))
+
+        return df.where(there(column))
