@@ -1,6 +1,496 @@
-"""The sequence queries and their SQL."""
+"""The sequence queries and their SQL: files are written from tables, read back and worked on; the SQL works on the tables."""
 
 from __future__ import annotations
 
+import gzip
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import packing, records
+from ..functions.register import register
+from ..operators import fasta, fastq, sam, stats, synthetic
+from ..sources import bgzf
+from ..sources.files import RAW, detect_kinds, open_at, scratch
+from ..sources.scan import bgzf_blocks, scan_lines
+from ..sources.sinks import write_bytes
+from . import fixtures as fx
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+P = stats.PRIME
+M = 1 << 64
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _text(rows: DataFrame, *names: str) -> DataFrame:
+    """Binary columns as text."""
+    for n in names:
+        rows = rows.withColumn(n, records.text(n))
+    return rows
+
+
+READS = fx.reads_sql()
+_SCAN_SQL = f"select idx as record_index, name, substr(name, 2) as id_token, seq, qual from {READS} r"
+
+
+def _scanned(spark: SparkSession, path: str) -> DataFrame:
+    rows = fastq.read_fastq(spark, path, range_bytes=fx.RANGE)
+    return rows.select("record_index", records.text("name").alias("name"), records.id_token("name").alias("id_token"), records.text("seq").alias("seq"), records.text("qual").alias("qual"))
+
+
+@query(_SCAN_SQL)
+def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, fx.fastq_file(spark, sf_dir))
+
+
+@query(_SCAN_SQL)
+def fastq_scan_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, fx.fastq_file(spark, sf_dir, "gzip"))
+
+
+@query(_SCAN_SQL)
+def fastq_scan_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, fx.fastq_file(spark, sf_dir, "bgzf"))
+
+
+@query(_SCAN_SQL)
+def fastq_scan_bgzf_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two block-gzip streams in one file: the first end block ends it."""
+    path = fx.one_file(spark, fx.fastq_file(spark, sf_dir, "bgzf"))
+    with open_at(path) as f:
+        data = f.read()
+    return _scanned(spark, write_bytes(spark, f"{scratch(spark, 'concat')}/two.bgz", data + data))
+
+
+@query(_SCAN_SQL)
+def fastq_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, fx.fastq_file(spark, sf_dir, eol="\r\n"))
+
+
+@query(_SCAN_SQL)
+def fastq_no_final_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fx.one_file(spark, fx.fastq_file(spark, sf_dir))
+    with open_at(path) as f:
+        data = f.read()
+    return _scanned(spark, write_bytes(spark, f"{scratch(spark, 'bare')}/bare.fastq", data.removesuffix(b"\n")))
+
+
+@query(_SCAN_SQL)
+def fastq_bytes_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a binary cell, by the table function."""
+    register(spark)
+    content = spark.read.format("binaryFile").load(fx.fastq_file(spark, sf_dir, "bgzf")).select("content")
+    content.createOrReplaceTempView("fastq_content")
+    rows = spark.sql("select p.* from fastq_content, lateral fastq_parse(content) p")
+    return rows.select("record_index", records.text("name").alias("name"), records.id_token("name").alias("id_token"), records.text("seq").alias("seq"), records.text("qual").alias("qual"))
+
+
+@query(f"select idx as record_index, (sum(length(name) + length(seq) + length(qual) + 5) over (order by idx) - (length(name) + length(seq) + length(qual) + 5))::bigint as byte_offset from {READS} r")
+def fastq_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte offsets of records in the decoded stream of a compressed file."""
+    return fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE).select("record_index", "byte_offset")
+
+
+@query(f"select 4 * idx as line_no, name as line from {READS} r")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header lines with their numbers among all lines."""
+    lines = scan_lines(spark, fx.fastq_file(spark, sf_dir), fx.RANGE).select("line_no", records.text("line").alias("line"))
+    return lines.where("line_no % 4 = 0")
+
+
+def _fold(step: str) -> str:
+    return f"cast(list_reduce(list_prepend(0::hugeint, list({step} order by idx)), lambda c, b: (c * {P} + b) % {M}) as varchar)"
+
+
+_STEP = f"(ascii(seq)::hugeint * {P} + length(seq))"
+_CANONICAL = "length(regexp_replace(seq, '[^ACGTacgt]', '', 'g'))"
+_PHREDS = "list_transform(string_split(qual, ''), lambda x: ascii(x) - 33)"
+_TOTALS = "count(*) as records, sum(length(seq))::bigint as bases, sum(length(qual))::bigint as qualities, sum(length(name))::bigint as name_bytes"
+
+
+@query(f"select {_TOTALS}, {_fold(_STEP)} as checksum from {READS} r")
+def fastq_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.stream_stats(fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir), range_bytes=fx.RANGE))
+
+
+@query(f"select {_TOTALS}, {_fold(f'({_STEP} + {_CANONICAL} + list_sum({_PHREDS}))')} as checksum from {READS} r")
+def fastq_pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.stream_stats(fastq.pack_trusted(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE), packed=True)
+
+
+#: Defects by key: other prefix, no id, other third line, short qualities.
+_DEFECTS = f"""(select idx, case k % 11 when 0 then concat('>', substr(name, 2)) when 1 then '@ none' else name end as name, seq,
+    case k % 11 when 2 then '-' else '+' end as plus, case k % 11 when 3 then concat(qual, 'I') else qual end as qual, k from {READS} r)"""
+
+
+@query(f"""select idx as record_index, case k % 11 when 0 then 'header must start with `@`' when 1 then 'empty FASTQ id' when 2 then 'plus line must start with `+`'
+    when 3 then concat('quality length ', length(qual), ' != sequence length ', length(seq)) end as message,
+    case when k % 11 in (0, 1) then 0 when k % 11 = 2 then 2 else 3 end as line_index,
+    o + case when k % 11 in (0, 1) then 0 when k % 11 = 2 then length(name) + length(seq) + 2 else length(name) + length(seq) + 4 end as byte_offset
+    from (select *, (sum(length(name) + length(seq) + length(qual) + 5) over (order by idx) - (length(name) + length(seq) + length(qual) + 5))::bigint as o from {_DEFECTS} d) where k % 11 < 4""")
+def fastq_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the records of a damaged file, and where."""
+    fx.load(spark, sf_dir, "orders")
+    bad = spark.sql(f"select * from {_DEFECTS} d").withColumn("value", F.concat_ws("\n", "name", "seq", "plus", "qual"))
+    rows = fastq.read_fastq(spark, fx.written(bad, "damaged"), mode="PERMISSIVE", range_bytes=fx.RANGE)
+    return rows.where("_error is not null").select("record_index", "_error.message", "_error.line_index", "_error.byte_offset")
+
+
+_PACKED_SQL = """list_aggregate(list_transform(range(0, (length(seq) + 3) // 4), lambda g: printf('%02X', list_sum(list_transform(range(0, 4), lambda k:
+    (case upper(substr(seq, (g * 4 + k + 1)::int, 1)) when 'C' then 1 when 'G' then 2 when 'T' then 3 else 0 end) * (1 << (2 * k)::int)))::int)), 'string_agg', '')"""
+_MASK_SQL = """list_aggregate(list_transform(range(0, (length(seq) + 7) // 8), lambda g: printf('%02X', list_sum(list_transform(range(0, 8), lambda k:
+    (case when substr(seq, (g * 8 + k + 1)::int, 1) = '' or upper(substr(seq, (g * 8 + k + 1)::int, 1)) in ('A', 'C', 'G', 'T') then 0 else 1 end) * (1 << k::int)))::int)), 'string_agg', '')"""
+_OF = lambda letter: f"length(seq) - length(replace(upper(seq), '{letter}', ''))"
+
+
+@query(f"""select name, {_PACKED_SQL} as bases, {_MASK_SQL} as n_mask, {_OF('A')} as a, {_OF('C')} as c, {_OF('G')} as g, {_OF('T')} as t,
+    length(seq) - length(regexp_replace(upper(seq), '[^ACGT]', '', 'g')) as n_ambiguous, length(qual) as q_len, list_sum({_PHREDS})::bigint as sum_phred from {READS} r""")
+def pack_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads as block-gzip FASTQ, parsed, packed and summarised."""
+    rows = fastq.pack(fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE))
+    p = F.col("packed")
+    return rows.select(records.text("name").alias("name"), F.hex(p["bases"]).alias("bases"), F.hex(p["n_mask"]).alias("n_mask"), p["a"].alias("a"), p["c"].alias("c"), p["g"].alias("g"), p["t"].alias("t"), p["n"].alias("n_ambiguous"), F.col("quality.len").alias("q_len"), "quality.sum_phred")
+
+
+@query(f"select name, i, case when upper(substr(seq, (i + 1)::int, 1)) in ('A', 'C', 'G', 'T') then upper(substr(seq, (i + 1)::int, 1)) else 'N' end as base from (select *, unnest(range(0, length(seq))) as i from {READS} r)")
+def packed_base_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every base, decoded from the packed form."""
+    rows = fastq.pack(fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir), range_bytes=fx.RANGE)).where("packed.len > 0")
+    rows = rows.select(records.text("name").alias("name"), "packed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("packed.len") - 1)).alias("i"))
+    return rows.select("name", "i", packing.packed_base_at("packed.bases", "packed.n_mask", F.col("i")).alias("base"))
+
+
+@query(f"""select name, length(qual) as len, list_min({_PHREDS})::int as min_phred, list_max({_PHREDS})::int as max_phred, list_sum({_PHREDS})::bigint as sum_phred,
+    length(list_filter({_PHREDS}, lambda x: x >= 20)) as q20_bases, length(list_filter({_PHREDS}, lambda x: x >= 30)) as q30_bases, list_sum({_PHREDS}) / length(qual) as mean_phred from {READS} r""")
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir), range_bytes=fx.RANGE).select(records.text("name").alias("name"), packing.summarize_qualities("qual").alias("q"))
+    return rows.select("name", "q.*", packing.mean_phred(F.col("q")).alias("mean_phred"))
+
+
+@query(f"select name, list_aggregate(list_transform({_PHREDS}, lambda x: printf('%02X', (x >= 10)::int + (x >= 20)::int + (x >= 30)::int)), 'string_agg', '') as bins from {READS} r")
+def quality_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir), range_bytes=fx.RANGE)
+    return rows.select(records.text("name").alias("name"), F.hex(packing.bin_qualities("qual", [10, 20, 30])).alias("bins"))
+
+
+@query(f"""select count(*) as len, min(p)::int as min_phred, max(p)::int as max_phred, sum(p)::bigint as sum_phred, count(*) filter (where p >= 20) as q20_bases,
+    count(*) filter (where p >= 30) as q30_bases, sum(p) / count(*) as mean_phred from (select unnest({_PHREDS}) as p from {READS} r)""")
+def quality_file_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.quality_totals(fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir), range_bytes=fx.RANGE))
+
+
+@query("select sum(length(seq))::bigint as len, " + ", ".join(f"sum({_OF(x)})::bigint as {x.lower()}" for x in "ACGT") + f""", sum(length(regexp_replace(seq, '[ACGTacgt]', '', 'g')))::bigint as n,
+    sum({_OF('G')} + {_OF('C')})::bigint as gc_bases, sum({_CANONICAL})::bigint as canonical_bases from {READS} r""")
+def base_file_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.base_totals(fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir), range_bytes=fx.RANGE))
+
+
+_FIRST = fx.reads_sql("1", "@frag", "/1")
+_SECOND = fx.reads_sql("2", "@frag", "/2")
+
+
+def _mates(spark: SparkSession, sf_dir: str, names: str = "name", keep: str = "true") -> tuple[DataFrame, DataFrame]:
+    """R1, and R2 with names by an expression and less the rows that `keep` doesn't hold for."""
+    one = fx.reads(spark, sf_dir, salt="1", prefix="@frag", suffix="/1")
+    two = fx.reads(spark, sf_dir, salt="2", prefix="@frag", suffix="/2").where(keep).withColumn("name", F.expr(names))
+    paths = [fx.written(x.withColumn("value", fx.fastq_value()), f"r{i}") for i, x in ((1, one), (2, two))]
+    return tuple(fastq.read_fastq(spark, p, range_bytes=fx.RANGE) for p in paths)
+
+
+_PAIR_SQL = f"select a.idx as pair_index, substr(a.name, 2, length(a.name) - 3) as pair_id, a.seq as seq_1, b.seq as seq_2 from {_FIRST} a join {_SECOND} b on a.idx = b.idx"
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select("pair_index", "pair_id", records.text("first.seq").alias("seq_1"), records.text("second.seq").alias("seq_2"))
+
+
+@query(_PAIR_SQL)
+def paired_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(fastq.pair_files(*_mates(spark, sf_dir)))
+
+
+_OTHER = "case when k % 7 = 0 then '@other/2' when k % 7 = 1 then replace(name, '/2', '/1') else name end"
+
+
+def _pair_errors(spark: SparkSession, sf_dir: str, validation: str) -> DataFrame:
+    rows = fastq.pair_files(*_mates(spark, sf_dir, _OTHER), validation, "PERMISSIVE")
+    return rows.select("pair_index", F.col("_error.message").alias("message"))
+
+
+def _pair_error_sql(bad: str) -> str:
+    return f"select idx as pair_index, case when {bad} then '{fastq.MISMATCH}' end as message from {_FIRST} a"
+
+
+@query(_pair_error_sql("k % 7 = 0"))
+def paired_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pair_errors(spark, sf_dir, "full")
+
+
+@query(_pair_error_sql("k % 7 in (0, 1)"))
+def paired_fast_slash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pair_errors(spark, sf_dir, "fast_slash")
+
+
+@query(_pair_error_sql("false"))
+def paired_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pair_errors(spark, sf_dir, "none")
+
+
+@query(f"select idx as pair_index, '{fastq.COUNTS}' as message from {_FIRST} a where idx >= (select count(*) // 2 from orders)")
+def paired_count_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of R1 that a shorter R2 leaves alone."""
+    fx.load(spark, sf_dir, "orders")
+    half = spark.table("orders").count() // 2
+    rows = fastq.pair_files(*_mates(spark, sf_dir, keep=f"idx < {half}"), mode="PERMISSIVE")
+    return rows.where("_error is not null").select("pair_index", "_error.message")
+
+
+def _interleaved(spark: SparkSession, sf_dir: str) -> str:
+    one = fx.reads(spark, sf_dir, salt="1", prefix="@frag", suffix="/1").withColumn("idx", 2 * F.col("idx"))
+    two = fx.reads(spark, sf_dir, salt="2", prefix="@frag", suffix="/2").withColumn("idx", 2 * F.col("idx") + 1)
+    return fx.written(one.union(two).withColumn("value", fx.fastq_value()), "interleaved", "gzip")
+
+
+@query(_PAIR_SQL)
+def interleaved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(fastq.pair_interleaved(fastq.read_fastq(spark, _interleaved(spark, sf_dir), range_bytes=fx.RANGE)))
+
+
+@query(f"""select pair_index, max(case when m = 1 then packed end) as bases_1, max(case when m = 2 then packed end) as bases_2, max(case when m = 1 then s end) as sum_1, max(case when m = 2 then s end) as sum_2
+    from (select idx as pair_index, m, {_PACKED_SQL} as packed, list_sum({_PHREDS})::bigint as s from (select *, 1 as m from {_FIRST} a union all select *, 2 as m from {_SECOND} b)) group by pair_index""")
+def paired_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fastq.pack_pairs(fastq.pair_files(*_mates(spark, sf_dir)))
+    return rows.select("pair_index", F.hex("packed_1.bases").alias("bases_1"), F.hex("packed_2.bases").alias("bases_2"), F.col("quality_1.sum_phred").alias("sum_1"), F.col("quality_2.sum_phred").alias("sum_2"))
+
+
+LINES = fx.contig_lines_sql()
+CONTIGS = f"(select row_number() over (order by c) - 1 as idx, c, concat('>c', c::varchar) as name, string_agg(line, '' order by k) as seq, string_agg(line, chr(10) order by k) as body from {LINES} l group by c)"
+_CONTIG_SQL = f"select idx as record_index, name, seq from {CONTIGS} c"
+
+
+def _fasta_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("record_index", records.text("name").alias("name"), records.text("seq").alias("seq"))
+
+
+@query(_CONTIG_SQL)
+def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fasta_rows(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir), range_bytes=fx.RANGE))
+
+
+@query(_CONTIG_SQL)
+def fasta_scan_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fasta_rows(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE))
+
+
+def _two_line(spark: SparkSession, sf_dir: str) -> str:
+    rows = fx.contigs(spark, sf_dir)
+    return fx.written(rows.withColumn("value", F.concat_ws("\n", "name", "seq")), "two-line")
+
+
+@query(_CONTIG_SQL)
+def fasta_two_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fasta_rows(fasta.read_two_line_fasta(spark, _two_line(spark, sf_dir), range_bytes=fx.RANGE))
+
+
+@query(_CONTIG_SQL)
+def fasta_bytes_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a binary cell, by the table function."""
+    register(spark)
+    spark.read.format("binaryFile").load(fx.fasta_file(spark, sf_dir)).select("content").createOrReplaceTempView("fasta_content")
+    return _fasta_rows(spark.sql("select p.* from fasta_content, lateral fasta_parse(content) p"))
+
+
+@query("select * from (values ('a.fa', 'TwoLine'), ('b.fa', 'Multiline'), ('c.fa', 'Multiline'), ('d.fa', 'TwoLine')) t(file, shape)")
+def fasta_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = scratch(spark, "shapes")
+    for name, data in (("a", b">s\nAC\n>t\nTT\n"), ("b", b">s\nAC\nGT\n"), ("c", b">s\nAC\n\n>t\nTT\n"), ("d", b"\n>s\nAC\n")):
+        write_bytes(spark, f"{top}/{name}.fa", data)
+    return fasta.fasta_shape(spark, top).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "shape")
+
+
+_A5_SQL = f"""with l as (select count(*) as records, sum(length(seq))::bigint as bases,
+    list_prepend(struct_pack(n := {stats.FASTA_START}::uhugeint, f := 0::uhugeint), list(struct_pack(n := length(seq)::uhugeint, f := xor(ascii(seq)::uhugeint, ascii(right(seq, 1))::uhugeint * 256)) order by idx)) as xs from {CONTIGS} t)
+select records, bases, cast(list_reduce(xs, lambda x, y: struct_pack(
+    n := xor((((xor(x.n, y.n) * 32) % {M}::uhugeint + xor(x.n, y.n) // 576460752303423488::uhugeint) * {P}::uhugeint) % {M}::uhugeint, y.f), f := 0::uhugeint)).n as varchar) as checksum from l"""
+
+
+@query(_A5_SQL)
+def fasta_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.fasta_stats(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir), range_bytes=fx.RANGE))
+
+
+@query(_A5_SQL)
+def fasta_two_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.fasta_stats(fasta.read_two_line_fasta(spark, _two_line(spark, sf_dir), range_bytes=fx.RANGE))
+
+
+@query(f"select count(*) as records, sum(length(seq))::bigint as bases, 0::bigint as qualities, sum(length(name))::bigint as name_bytes, {_fold(_STEP)} as checksum from {CONTIGS} c")
+def fasta_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.stream_stats(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir, "gzip"), range_bytes=fx.RANGE))
+
+
+FAI = f"""(select idx as ref_index, substr(name, 2) as name, length(seq) as len,
+    (sum(length(name) + length(body) + 2) over (order by idx) - length(body) - 1)::bigint as "offset", least(32, length(seq)) as line_bases, least(32, length(seq)) + 1 as line_width, seq from {CONTIGS} c)"""
+_FAI_SQL = f'select ref_index, name, len, "offset", line_bases, line_width from {FAI} f'
+
+
+def _index(spark: SparkSession, sf_dir: str, transport: str = "raw") -> tuple[str, DataFrame]:
+    path = fx.one_file(spark, fx.fasta_file(spark, sf_dir, transport))
+    return path, fasta.build_fai(spark, path, fx.RANGE)
+
+
+@query(_FAI_SQL)
+def fai_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir)[1].drop("virtual_offset")
+
+
+@query(f'select ref_index, name, len, "offset", line_bases, line_width, "offset" % {bgzf.PAYLOAD} as in_block from {FAI} f')
+def fai_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a block-gzip file; blocks hold 60 KiB, so the place in the block is known."""
+    return _index(spark, sf_dir, "bgzf")[1].withColumn("in_block", F.col("virtual_offset").bitwiseAND(F.lit(0xFFFF))).drop("virtual_offset")
+
+
+@query(_FAI_SQL)
+def fai_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index, written as .fai and read again."""
+    lines = fasta.fai_lines(_index(spark, sf_dir)[1])
+    return fasta.read_fai(spark, fx.one_file(spark, fx.written(lines, "fai", order="ref_index")))
+
+
+@query(f'select name, len // 2 as pos, "offset" + (len // 2) // line_bases * line_width + (len // 2) % line_bases as at from {FAI} f')
+def fai_sequence_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fai = _index(spark, sf_dir)[1].withColumn("pos", F.floor(F.col("len") / 2))
+    return fai.select("name", "pos", fasta.sequence_offset(F.col("pos")).alias("at"))
+
+
+@query(f"""select name, line, "offset" + line * line_width + greatest(s - line * line_bases, 0) as span_start, "offset" + line * line_width + least(e - line * line_bases, line_bases) as span_end
+    from (select *, unnest(range(s // line_bases, (e - 1) // line_bases + 1)) as line from (select *, len // 3 as s, len as e from {FAI} f) where e > s)""")
+def fai_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fai = _index(spark, sf_dir)[1].withColumn("start", F.floor(F.col("len") / 3)).withColumn("end", F.col("len"))
+    return fasta.sequence_spans(fai).select("name", "line", "span_start", "span_end")
+
+
+_RANGES = f"(select concat('c', o_custkey::varchar) as name, o_orderkey % len as s, least(o_orderkey % len + 40, len) as e, seq from orders join {FAI} f on f.name = concat('c', o_custkey::varchar))"
+_FETCH_SQL = f'select name, s as start, e as "end", substr(seq, s + 1, e - s) as seq from {_RANGES} r'
+
+
+def _fetched(spark: SparkSession, sf_dir: str, transport: str) -> DataFrame:
+    path, fai = _index(spark, sf_dir, transport)
+    fx.load(spark, sf_dir, "orders")
+    keys = spark.table("orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"), "o_orderkey")
+    asked = keys.join(fai.select("name", "len"), "name").withColumn("start", F.col("o_orderkey") % F.col("len"))
+    asked = asked.withColumn("end", F.least(F.col("start") + 40, "len")).select("name", "start", "end")
+    return _text(fasta.fetch(spark, path, asked, fai), "seq")
+
+
+@query(_FETCH_SQL)
+def fasta_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fetched(spark, sf_dir, "raw")
+
+
+@query(_FETCH_SQL)
+def fasta_fetch_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fetched(spark, sf_dir, "bgzf")
+
+
+@query(f"select name, p as global_offset, substr(seq, p + 1, least(50, len - p)) as seq from (select *, unnest(range(least(7, len), len, 50)) as p from {FAI} f)")
+def fasta_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, fai = _index(spark, sf_dir)
+    asked = fai.select("name", F.least(F.lit(7).cast("long"), "len").alias("start"), F.col("len").alias("end"))
+    return _text(fasta.reference_chunks(spark, path, asked, fai, 50), "seq")
+
+
+_TILES = f"""(select row_number() over (order by ref_index, s) - 1 as partition_index, name, s as core_start, least(s + step, len) as core_end, greatest(s - 10, 0) as fetch_start, least(least(s + step, len) + 10, len) as fetch_end, seq
+    from (select *, unnest(range(0, len, step)) as s from (select *, greatest(1, (sum(len) over () + 99) // 100)::bigint as step from {FAI} f)))"""
+_TILE_COLS = "partition_index, name, core_start, core_end, fetch_start, fetch_end, core_end - core_start as core_len, core_start - fetch_start as core_offset_in_fetch"
+
+
+@query(f"select {_TILE_COLS} from {_TILES} t")
+def fasta_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fasta.plan_partitions(_index(spark, sf_dir)[1], 100, 10)
+
+
+@query(f"select {_TILE_COLS}, substr(seq, fetch_start + 1, fetch_end - fetch_start) as seq from {_TILES} t")
+def fetch_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, fai = _index(spark, sf_dir)
+    return _text(fasta.fetch_partitions(spark, path, fai, 100, 10), "seq")
+
+
+_BYTES = f"(select sum(length(name) + length(seq) + length(qual) + 5)::bigint as n from {READS} r)"
+
+
+@query(f"select i as block_index, i * {bgzf.PAYLOAD} as uncompressed_offset, least({bgzf.PAYLOAD}, n - i * {bgzf.PAYLOAD}) as uncompressed_size from (select n, unnest(range(0, (n + {bgzf.PAYLOAD - 1}) // {bgzf.PAYLOAD})) as i from {_BYTES} b)")
+def bgzf_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE).select("block_index", "uncompressed_offset", "uncompressed_size")
+
+
+@query(f"select (n + {bgzf.PAYLOAD - 1}) // {bgzf.PAYLOAD} as blocks, n as uncompressed_len from {_BYTES} b")
+def bgzf_index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE)
+    return blocks.agg(F.count("*").alias("blocks"), F.sum("uncompressed_size").alias("uncompressed_len"))
+
+
+@query(f"select pos, case when pos < n then pos // {bgzf.PAYLOAD} end as block_index, case when pos < n then pos % {bgzf.PAYLOAD} end as in_block from (select o_orderkey * 37 as pos from orders) o, {_BYTES} b")
+def bgzf_virtual_offset_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of the decoded stream as block and place."""
+    blocks = bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE)
+    fx.load(spark, sf_dir, "orders")
+    asked = spark.table("orders").select((F.col("o_orderkey") * 37).alias("pos"))
+    got = fasta.with_virtual_offset(asked, blocks, "pos")
+    named = got.join(blocks.select(F.col("compressed_offset").alias("c"), "block_index"), F.shiftrightunsigned("virtual_offset", 16) == F.col("c"), "left")
+    return named.select("pos", "block_index", F.col("virtual_offset").bitwiseAND(F.lit(0xFFFF)).alias("in_block"))
+
+
+@query("select o_orderkey as k, (o_orderkey * 65536 + o_orderkey % 65536)::bigint as raw, o_orderkey as compressed_offset, o_orderkey % 65536 as in_block from orders")
+def virtual_offset_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    fx.load(spark, sf_dir, "orders")
+    return spark.sql("select k, raw, virtual_offset_block(raw) as compressed_offset, virtual_offset_within(raw) as in_block from (select o_orderkey as k, virtual_offset(o_orderkey, o_orderkey % 65536) as raw from orders)")
+
+
+@query(f"select md5(string_agg(name || chr(10) || seq || chr(10) || '+' || chr(10) || qual || chr(10), '' order by idx)) as digest, sum(length(name) + length(seq) + length(qual) + 5)::bigint as bytes from {READS} r")
+def bgzf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All decoded blocks in order are what was written."""
+    blocks = bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf"), decode=True, range_bytes=fx.RANGE)
+    whole = blocks.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_index", records.text("data").alias("t")))), lambda x: x["t"]), "").alias("t"))
+    return whole.select(F.md5(F.encode("t", "ISO-8859-1")).alias("digest"), F.length("t").cast("long").alias("bytes"))
+
+
+@query(f"select count(*) as records, sum(length(seq))::bigint as bases, 0::bigint as qualities, sum(length(name) - 1)::bigint as name_bytes, {_fold(_STEP)} as checksum from {READS} r where k % 5 <> 0")
+def sam_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.reads(spark, sf_dir)
+    seq = F.when(F.col("k") % 5 == 0, "*").otherwise(F.col("seq"))
+    value = F.concat_ws("\t", F.substr("name", F.lit(2)), F.lit("4\t*\t0\t0\t*\t*\t0\t0"), seq, F.lit("*"))
+    lines = rows.select("idx", value.alias("value")).union(spark.createDataFrame([(-1, "@HD\tVN:1.6")], "idx bigint, value string"))
+    return stats.stream_stats(sam.read_sam(spark, fx.written(lines, "sam")))
+
+
+@query("select i as record_index, concat('@r', i::varchar) as name, list_aggregate(list_transform(range(0, 150), lambda j: substr('ACGT', ((i + j) % 4 + 1)::int, 1)), 'string_agg', '') as seq, repeat('I', 150) as qual from range(0, 1000) t(i)")
+def synthetic_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.synthetic_fastq(spark, 1000, 150).drop("plus")
+
+
+@query("select i as record_index, concat('>r', i::varchar) as name, list_aggregate(list_transform(range(0, 150), lambda j: substr('ACGT', ((i + j) % 4 + 1)::int, 1)), 'string_agg', '') as seq from range(0, 1000) t(i)")
+def synthetic_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.synthetic_fasta(spark, 1000, 150)
+
+
+@query("select * from (values ('a.bin', 'raw'), ('b.txt', 'gzip'), ('c.gz', 'bgzf'), ('d', 'raw')) t(file, kind)")
+def detect_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = scratch(spark, "kinds")
+    for name, data in (("a.bin", b"@r\nA\n+\nI\n"), ("b.txt", gzip.compress(b"x")), ("c.gz", bgzf.compress(b"x")), ("d", RAW.encode())):
+        write_bytes(spark, f"{top}/{name}", data)
+    return detect_kinds(spark, top).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "kind")
+
+
+__all__ = ["QUERIES", "SQL"]
