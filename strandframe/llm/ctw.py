@@ -17,7 +17,9 @@ from .common import cut, fold, table, utf8
 DEPTH = 5
 #: Depths below this are weighed by one table, of 1 + 256 contexts at most.
 TOP = 2
-BLOCK_BYTES, BLOCK_TEXTS = 8_000_000, 1 << 16
+BLOCK_BYTES, BLOCK_TEXTS = 2_500_000, 1 << 16
+#: Keys whose counts a task holds before it hands them on.
+HELD = 1_500_000
 #: Grams, and words, whose values all tasks get; the others are joined.
 COMMON = 1 << 20
 LN10 = float(np.log(10.0))
@@ -106,39 +108,50 @@ def blocks(texts: Iterator[bytes | None]) -> Iterator[tuple[int, Block]]:
         yield ended, block
 
 
-def _merge(kept: tuple[np.ndarray, ...] | None, keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct keys and the sums of what came with them."""
-    if kept is not None:
-        keys = np.concatenate([kept[0], keys])
-        sums = tuple(np.concatenate([a, b]) for a, b in zip(kept[1:], sums, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return (keys[at], *(np.add.reduceat(s[order], at) if len(at) else s for s in sums))
+class _Counts:
+    """Keys with their counts in texts to learn from and in all, summed now and then."""
 
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n, n_all) of (text, learn): counts in texts to learn from, and in all; some millions of keys are summed before they leave."""
-    kept: dict[int, tuple[np.ndarray, ...] | None] = {WORD: None, GRAM: None}
-
-    def leave(kind: int) -> pa.RecordBatch:
-        keys, n, n_all = kept[kind]
-        kept[kind] = None
+    def add(self, keys: np.ndarray, n: np.ndarray, own: bool) -> None:
+        self.parts.append((keys, n if own else np.zeros_like(n), n))
+        self.size += len(keys)
+
+    def merge(self) -> int:
+        keys = np.concatenate([p[0] for p in self.parts])
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sums = [np.add.reduceat(np.concatenate([p[i] for p in self.parts])[order], at) for i in (1, 2)]
+        self.parts = [(keys[at], *sums)]
+        self.size = len(at)
+        return self.size
+
+    def leave(self, kind: int) -> pa.RecordBatch:
+        self.merge()
+        keys, n, n_all = self.parts[0]
+        self.parts, self.size = [], 0
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n), pa.array(n_all)], ["kind", "key", "n", "n_all"])
 
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, key, n, n_all) of (text, learn): counts in texts to learn from, and in all; some are summed before they leave."""
+    counts = {WORD: _Counts(), GRAM: _Counts()}
     for batch in batches:
         learn = batch.column("learn").to_numpy(zero_copy_only=False)
         for own, texts in ((True, batch.column("text").filter(pa.array(learn))), (False, batch.column("text").filter(pa.array(~learn)))):
             for _, block in blocks(utf8(texts)):
                 for kind, keys, _, n in block.pairs():
                     keys = block.word_keys()[keys.astype(np.int64)] if kind == WORD else keys.astype(np.int64)
-                    n = n.astype(np.int64)
-                    kept[kind] = _merge(kept[kind], keys, n if own else np.zeros_like(n), n)
-                    if len(kept[kind][0]) > 4_000_000:
-                        yield leave(kind)
-    for kind in (WORD, GRAM):
-        if kept[kind] is not None:
-            yield leave(kind)
+                    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+                    counts[kind].add(keys[at], np.add.reduceat(n.astype(np.int64), at) if len(at) else n.astype(np.int64), own)
+                    if counts[kind].size > HELD and counts[kind].merge() > HELD * 2 // 3:
+                        yield counts[kind].leave(kind)
+    for kind, held in counts.items():
+        if held.size:
+            yield held.leave(kind)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
