@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, utf8
+from .common import KeyFilter, cut, table, utf8
 from .components import connected_components
 
 HALF = 0xFFFFFFFF
@@ -167,29 +167,30 @@ def _alike(a: str, b: str, width: int, least: float) -> Column:
     return alike(a, b)
 
 
-def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = SEGMENTS, rounds: int = 3) -> DataFrame:
+def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = SEGMENTS) -> DataFrame:
     """Edges (a, b) between near duplicates among distinct texts (h long, text): Jaccard of word shingles of `similarity` or more.
 
     Each segment of a wide fingerprint is one table. A text meets those whose segment differs in one
-    bit at most (flips go from even to odd values); of a table's entry it meets the least text under
-    `rounds` orders, so a group of g copies gives links in proportion to g, not pairs. Complete
-    distances drop most chance meetings, the texts themselves decide.
+    bit at most (flips go from even to odd values); of a table's entry it meets the least and the
+    greatest, so a group of g copies gives links in proportion to g, not pairs. Complete distances
+    drop most chance meetings, the texts themselves decide.
     """
     marks = cut(texts.select("h", _segments(F.col("text"), segments).alias("s")))
-    entry = marks.select("h", "s", F.posexplode("s").alias("t", "v"))
-    order = [F.struct(F.xxhash64("h", F.lit(r)).alias("o"), "h", "s") for r in range(rounds)]
-    hubs = entry.groupBy("t", "v").agg(*[F.min(o).alias(f"o{r}") for r, o in enumerate(order)])
-    hubs = hubs.select("t", "v", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"o{r}.h").alias("h"), F.col(f"o{r}.s").alias("s")) for r in range(rounds)]))).alias("hub"))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
-    flips = F.transform(bits, lambda b: F.col("v").bitwiseXOR(b))
-    probe = entry.select("h", "s", "t", F.explode(F.when(F.bit_count("v") % 2 == 0, F.concat(F.array("v"), flips)).otherwise(F.array("v"))).alias("v"))
-    met = probe.join(hubs, ["t", "v"]).where("h <> hub.h")
-    distance = F.aggregate(F.zip_with("s", "hub.s", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    entry = marks.select("h", F.posexplode("s").alias("t", "v"))
+    key = lambda v: F.call_function("shiftleft", F.col("t").cast("long"), F.lit(32)).bitwiseOR(v)
+    hubs = entry.select("h", key(F.col("v")).alias("k")).groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    asked = F.when(F.bit_count("v") % 2 == 0, F.concat(F.array("v"), flips)).otherwise(F.array("v"))
+    probe = entry.select("h", "t", F.explode(asked).alias("v")).select("h", key(F.col("v")).alias("k"))
+    met = probe.join(hubs, "k").select("h", F.explode(F.array("low", "high")).alias("hub")).where("h <> hub")
+    pairs = met.select(F.greatest("h", "hub").alias("a"), F.least("h", "hub").alias("b")).distinct()
+    pairs = pairs.join(marks.select(F.col("h").alias("a"), F.col("s").alias("s_a")), "a").join(marks.select(F.col("h").alias("b"), F.col("s").alias("s_b")), "b")
+    distance = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     # at a Jaccard of 0.8 over five words some 10 % of the bits differ; 20 % is over five deviations from it
-    met = met.where(distance <= 32 * segments // 5)
-    pairs = cut(met.select(F.greatest("h", "hub.h").alias("a"), F.least("h", "hub.h").alias("b")).distinct())
-    left = texts.select(F.col("h").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
+    pairs = cut(pairs.where(distance <= 32 * segments // 5).select("a", "b"))
+    held = KeyFilter(pairs.select(F.explode(F.array("a", "b")).alias("h")), "h").where(texts, "h")
+    left = held.select(F.col("h").alias("a"), F.col("text").alias("text_a"))
+    right = held.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b")
 
 
