@@ -9,24 +9,32 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, table
 
 SAMPLES = 64
-_UNIT = float(1 << 32)
+#: Steps of the table of gamma quantiles: two such tables stay in a core's cache.
+LEVELS = 1 << 12
 
 
-def _unit(bits: Column) -> Column:
-    """(0, 1) from the lower 32 bits."""
-    return (bits.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) / F.lit(_UNIT)
+def gamma_quantiles(spark: SparkSession, log: bool = False) -> Column:
+    """The array of LEVELS quantiles of Gamma(2, 1), or of their logarithms, at the middles of equal steps, as a scalar subquery.
+
+    Newton's method from 1, where the distribution function turns, comes to the quantile from one side.
+    """
+    p = (F.col("id") + F.lit(0.5)) / F.lit(float(LEVELS))
+    step = lambda x, _: x - (1 - (1 + x) * F.exp(-x) - p) / (x * F.exp(-x))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(1.0), step)
+    rows = spark.range(LEVELS).select(F.struct("id", at.alias("x")).alias("q"))
+    return rows.agg(F.sort_array(F.collect_list("q")).alias("q")).select(F.transform("q", lambda q: F.log(q["x"]) if log else q["x"])).scalar()
 
 
-def _sample(term: str, log_weight: str, j: int) -> Column:
+def _sample(term: str, log_weight: str, j: int, gamma: Column, log_gamma: Column) -> Column:
     """ln a of Ioffe's scheme: r, c from Gamma(2, 1) and beta from [0, 1) by term and j; the least over a text's terms is its sample.
 
     It is a function of the term, j and the quantised weight t alone, so equal values mean equal (term, t).
     """
-    x, y, z = (F.xxhash64(term, F.lit(3 * j + k)) for k in range(3))
-    r = -F.log(_unit(x) * _unit(F.shiftrightunsigned(x, 32)))
-    c = -F.log(_unit(y) * _unit(F.shiftrightunsigned(y, 32)))
-    beta = _unit(z)
-    return F.log(c) - r * (F.floor(F.col(log_weight) / r + beta) - beta + 1)
+    h = F.xxhash64(term, F.lit(j))
+    r = F.get(gamma, h.bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
+    log_c = F.get(log_gamma, F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
+    beta = F.shiftrightunsigned(h, 24) * F.lit(0.5**40)
+    return log_c - r * (F.floor(F.col(log_weight) / r + beta) - beta + 1)
 
 
 def cws_signatures(texts: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -39,7 +47,8 @@ def cws_signatures(texts: DataFrame, keys: list[str], text_col: str = "text", sa
     words = F.split(ascii_lower(text_col), r"[\x20\x09-\x0D]+")
     terms = texts.select(*keys, F.explode(words).alias("w")).where("w <> ''").select(*keys, F.xxhash64("w").alias("term"))
     weighed = terms.groupBy(*keys, "term").agg(F.count("*").alias("n")).select(*keys, "term", F.log("n").alias("lw"))
-    least = weighed.groupBy(*keys).agg(*[F.min(_sample("term", "lw", j)).alias(f"s{j}") for j in range(samples)])
+    gamma, log_gamma = (gamma_quantiles(texts.sparkSession, log) for log in (False, True))
+    least = weighed.groupBy(*keys).agg(*[F.min(_sample("term", "lw", j, gamma, log_gamma)).alias(f"s{j}") for j in range(samples)])
     return least.select(*keys, F.array(*[F.xxhash64(f"s{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(samples)]).alias("sig"))
 
 
