@@ -17,7 +17,8 @@ def stream_files(spark: SparkSession, folder: str, handle: Callable[[DataFrame,
     The file source finds the files and remembers them; contents are read by the batch scan, which
     splits large files. Record numbers are per file. Start it with a checkpoint location and a trigger.
     """
-    found = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).load(folder).select("path")
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).load(folder).select("path")
     read = {"fastq": fastq.read_fastq, "fasta": fasta.read_fasta}[kind]
 
     def each(batch: DataFrame, batch_id: int) -> None:

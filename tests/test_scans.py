@@ -101,7 +101,7 @@ def test_pair_counts(spark, put):
         fastq.pair_interleaved(single)
 
 
-def packed(spark, seq, qual="I"):
+def packed(spark, seq, qual=b"I"):
     df = spark.createDataFrame([(seq, qual)], "seq binary, qual binary")
     return fastq.pack(df).first()
 
@@ -144,7 +144,7 @@ def test_fasta_by_any_cut(spark, put, transport, cut):
     data = "\n\n>s1 d\nACG\n\nTN\n>s2\r\nG\r\rG\r\n>s3\n>s4\nT"
     cut = max(cut, 9) if transport != "raw" else cut
     got = fasta.read_fasta(spark, put(data, transport=transport), range_bytes=cut).sort("record_index").collect()
-    assert [(r.record_index, bytes(r.name), bytes(r.seq)) for r in got] == [(0, b">s1 d", b"ACGTN"), (1, b">s2", b"G\rG"), (2, b">s3", b""), (3, b">s4", b"T")]
+    assert [(r.record_index, bytes(r.name), bytes(r.seq)) for r in got] == [(0, b">s1 d", b"ACGTN"), (1, b">s2", b"G\r\rG"), (2, b">s3", b""), (3, b">s4", b"T")]
 
 
 @pytest.mark.parametrize(("data", "message", "record"), [("ACGT\n", "FASTA record header must start with `>`", 0), (">\nACGT\n", "empty FASTA id", 0), (">s\nAC\n>t\nGT\n> x\nTT\n", "empty FASTA id", 2)])
