@@ -116,7 +116,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SEGMENTS = 12
+#: Segments of the wide fingerprint. At a Jaccard of 0.8 over five words some 10 % of its bits differ: a
+#: segment then meets its like with a probability of 0.16, one of 16 with 0.93; nearer texts nearly always.
+SEGMENTS = 16
 
 
 def wide_simhash(text: bytes | None, segments: int = SEGMENTS, width: int = 2) -> list[int]:
