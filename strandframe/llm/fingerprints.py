@@ -106,11 +106,12 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sigs = cws_signatures(both.select(*key, "x.is_edited", "x.text"), [*key, "is_edited"], samples=samples)
     # of each pair of rows at most one has either signature
     sigs = sigs.groupBy(*key).agg(F.max(F.when(~F.col("is_edited"), F.col("sig"))).alias("sig"), F.max(F.when(F.col("is_edited"), F.col("sig"))).alias("edited_sig"))
-    sigs = cut(sigs)
     meta = edited.select(*key, F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    # one job: texts and heads are shuffled once for signatures and hashes
+    signed = cut(meta.join(sigs, key, "left"))
     links = chain.select(*key, "next_id", "next_h", "next_known")
-    after = sigs.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("known").alias("next_known"), F.col("sig").alias("next_sig"))
-    got = meta.join(sigs, key, "left").join(links, key).join(after, ["next_id", "next_h", "next_known"], "left")
+    after = signed.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("known").alias("next_known"), F.col("sig").alias("next_sig"))
+    got = signed.join(links, key).join(after, ["next_id", "next_h", "next_known"], "left")
     return got.select(
         F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "sig", "edited_sig",
         likeness("sig", "edited_sig").alias("near_edited"), likeness("sig", "next_sig").alias("near_next"),
