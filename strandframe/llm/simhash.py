@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buckets import stars
 from .common import KeyFilter, cut, table, utf8
 from .components import connected_components
 
@@ -116,18 +117,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Segments of the wide fingerprint. At a Jaccard of 0.8 over five words some 10 % of its bits differ: a
-#: segment then meets its like with a probability of 0.16, one of 16 with 0.93; nearer texts nearly always.
+#: Segments of 32 bits of the wide fingerprint.
 SEGMENTS = 16
+#: Bands of MinHashes: at a Jaccard of 0.8 a band of four is shared with a probability of 0.41, one of 12 with 0.998, whatever the edit.
+BANDS, ROWS = 12, 4
+#: Share of the wide fingerprint's bits that may differ. At a Jaccard of 0.8 over the same shingles 15 % do; 22 % is over four deviations of 512 bits from it.
+APART = 0.22
 
+_RANDOM = np.random.default_rng(37)
+_XOR = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+_ODD = _RANDOM.integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-def wide_simhash(text: bytes | None, segments: int = SEGMENTS, width: int = 2) -> list[int]:
-    """A SimHash of 32 bits a segment over the distinct word pairs of a text, as unsigned integers."""
+
+def _shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of the distinct word shingles of a text, at least one; a short text is one shingle."""
     words = text.lower().split() if text else []
-    if not words:
-        return [0] * segments
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8", count=max(1, len(words) - width + 1)))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8", count=max(1, len(words) - width + 1)))
+
+
+def _wide(h: np.ndarray, segments: int) -> list[int]:
     longs = (segments + 1) // 2
     ones = np.zeros(64 * longs, dtype=np.int64)
     step = np.arange(1, longs + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
@@ -141,22 +150,46 @@ def wide_simhash(text: bytes | None, segments: int = SEGMENTS, width: int = 2) -
     return np.packbits(ones * 2 > len(h), bitorder="little").view("<u4")[:segments].tolist()
 
 
-def _segments(text: Column, segments: int) -> Column:
-    @F.arrow_udf("array<bigint>")
-    def wide(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_simhash(t, segments) for t in utf8(texts)], pa.list_(pa.int64()))
+def wide_simhash(text: bytes | None, segments: int = SEGMENTS, width: int = 2) -> list[int]:
+    """A SimHash of 32 bits a segment over the distinct word shingles of a text, as unsigned integers; 0 if it has no word."""
+    if not text or not text.split():
+        return [0] * segments
+    return _wide(_shingle_hashes(text, width), segments)
 
-    return wide(text)
 
+def _bands(h: np.ndarray) -> list[int]:
+    """A signed long for each band: a hash of its number and ROWS MinHashes of shingle hashes."""
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(h), 4096):
+        least = np.minimum(least, ((low[at : at + 4096] ^ _XOR) * _ODD).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for x in least.reshape(BANDS, ROWS).T:
+        key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64).tolist()
 
-def shingle_jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
-    """Jaccard similarity of the sets of word shingles; two texts without words are alike."""
 
-    def shingles(text: bytes | None) -> set[bytes]:
-        words = text.lower().split() if text else []
-        return set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))) if len(words) >= width else {b" ".join(words)}
+def _marks(text: Column, width: int, segments: int) -> Column:
+    """struct<s, bands>: the wide fingerprint and the band keys over shingles of `width` words."""
+
+    @F.arrow_udf("struct<s: array<bigint>, bands: array<bigint>>")
+    def marks(texts: pa.Array) -> pa.Array:
+        hashes = [_shingle_hashes(t, width) for t in utf8(texts)]
+        wide = pa.array([_wide(h, segments) for h in hashes], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([wide, pa.array([_bands(h) for h in hashes], pa.list_(pa.int64()))], ["s", "bands"])
+
+    return marks(text)
 
-    x, y = shingles(a), shingles(b)
+
+def _shingles(text: bytes | None, width: int) -> set[bytes]:
+    words = text.lower().split() if text else []
+    return set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))) if len(words) >= width else {b" ".join(words)}
+
+
+def shingle_jaccard(a: bytes | None, b: bytes | None, width: int) -> float:
+    """Jaccard similarity of the sets of word shingles; two texts without words are alike."""
+    x, y = _shingles(a, width), _shingles(b, width)
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
@@ -172,24 +205,18 @@ def _alike(a: str, b: str, width: int, least: float) -> Column:
 def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = SEGMENTS) -> DataFrame:
     """Edges (a, b) between near duplicates among distinct texts (h long, text): Jaccard of word shingles of `similarity` or more.
 
-    Each segment of a wide fingerprint is one table. A text meets those whose segment differs in one
-    bit at most (flips go from even to odd values); of a table's entry it meets the least and the
-    greatest, so a group of g copies gives links in proportion to g, not pairs. Complete distances
-    drop most chance meetings, the texts themselves decide.
+    Bands of MinHashes of the shingles are the tables. In a table's bucket a text meets the first and
+    the one before, so a group of g copies gives links in proportion to g, not pairs. SimHash
+    distances over the same shingles drop chance meetings, the texts themselves decide.
     """
-    marks = cut(texts.select("h", _segments(F.col("text"), segments).alias("s")))
-    entry = marks.select("h", F.posexplode("s").alias("t", "v"))
-    key = lambda v: F.call_function("shiftleft", F.col("t").cast("long"), F.lit(32)).bitwiseOR(v)
-    hubs = entry.select("h", key(F.col("v")).alias("k")).groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    asked = F.when(F.bit_count("v") % 2 == 0, F.concat(F.array("v"), flips)).otherwise(F.array("v"))
-    probe = entry.select("h", "t", F.explode(asked).alias("v")).select("h", key(F.col("v")).alias("k"))
-    met = probe.join(hubs, "k").select("h", F.explode(F.array("low", "high")).alias("hub")).where("h <> hub")
-    pairs = met.select(F.greatest("h", "hub").alias("a"), F.least("h", "hub").alias("b")).distinct()
+    marks = cut(texts.select("h", _marks(F.col("text"), width, segments).alias("m")).select("h", "m.s", "m.bands"))
+    met = cut(stars(marks.select(F.explode("bands").alias("v"), F.col("h").alias("id"))))
+    pairs = met.select("id", F.explode(F.array_distinct(F.array("head.id", "before.id"))).alias("other")).where("other <> id")
+    pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
     pairs = pairs.join(marks.select(F.col("h").alias("a"), F.col("s").alias("s_a")), "a").join(marks.select(F.col("h").alias("b"), F.col("s").alias("s_b")), "b")
     distance = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    # at a Jaccard of 0.8 over five words some 10 % of the bits differ; 20 % is over five deviations from it
-    pairs = cut(pairs.where(distance <= 32 * segments // 5).select("a", "b"))
+    most = int(32 * segments * APART)
+    pairs = cut(pairs.where(distance <= most).select("a", "b"))
     held = KeyFilter(pairs.select(F.explode(F.array("a", "b")).alias("h")), "h").where(texts, "h")
     left = held.select(F.col("h").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
