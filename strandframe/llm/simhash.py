@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import stars
+from .buckets import full_links, stars, unmet
 from .common import KeyFilter, cut, table, utf8
 from .components import connected_components
 
@@ -182,6 +182,13 @@ def _marks(text: Column, width: int, segments: int) -> Column:
     return marks(text)
 
 
+def _bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    for x, y in zip(a.T, b.T, strict=True):
+        out += np.bitwise_count(x[:, None] ^ y)
+    return out
+
+
 def _shingles(text: bytes | None, width: int) -> set[bytes]:
     words = text.lower().split() if text else []
     return set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))) if len(words) >= width else {b" ".join(words)}
@@ -207,7 +214,9 @@ def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segmen
 
     Bands of MinHashes of the shingles are the tables. In a table's bucket a text meets the first and
     the one before, so a group of g copies gives links in proportion to g, not pairs. SimHash
-    distances over the same shingles drop chance meetings, the texts themselves decide.
+    distances over the same shingles drop chance meetings, the texts themselves decide. Buckets of
+    four texts or more that these links leave in more than one component are then compared in full,
+    so what is like in a bucket is connected.
     """
     marks = cut(texts.select("h", _marks(F.col("text"), width, segments).alias("m")).select("h", "m.s", "m.bands"))
     met = cut(stars(marks.select(F.explode("bands").alias("v"), F.col("h").alias("id"))))
@@ -220,7 +229,13 @@ def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segmen
     held = KeyFilter(pairs.select(F.explode(F.array("a", "b")).alias("h")), "h").where(texts, "h")
     left = held.select(F.col("h").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b")
+    links = cut(pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b"))
+    dealt = cut(unmet(met.where("crowded").select("v", "id"), links))
+    if dealt.isEmpty():
+        return links
+    held = KeyFilter(dealt.select("id"), "id").where(texts, "h").join(marks.select("h", F.col("s").alias("sketch")), "h")
+    held = held.select(F.col("h").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "sketch")
+    return links.union(full_links(dealt, held, _bits_apart, most, lambda t: _shingles(t, width), similarity))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -32,3 +32,24 @@ def test_block_edits_are_found(spark):
     assert got > 0.97
     held = dict(rows)
     assert all(simhash.shingle_jaccard(held[r.a].encode(), held[r.b].encode(), 5) >= 0.8 for r in links.collect())
+
+
+def test_pairs_in_a_family_of_templated_texts_are_found(spark):
+    """Texts share a template, at some 0.73 of each other; every two have one more part in common."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(100000)}"
+    template = [word() for _ in range(260)]
+    rows, pairs = [], []
+    for i in range(200):
+        own = [word() for _ in range(45)]
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + own[:17] + [word() for _ in range(28)]))]
+        pairs.append((2 * i, 2 * i + 1))
+    texts = [t.encode() for _, t in rows]
+    assert simhash.shingle_jaccard(texts[0], texts[2], 5) < 0.78 < 0.8 < simhash.shingle_jaccard(texts[0], texts[1], 5)
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    links = simhash.near_links(spark.createDataFrame([(order[k], t) for k, t in rows], "h long, text string")).cache()
+    got = connected(links, [(order[a], order[b]) for a, b in pairs])
+    print(f"near_links: {got:.3f} of pairs in a family connected")
+    assert got > 0.97
+    assert links.count() < len(rows) * simhash.BANDS
