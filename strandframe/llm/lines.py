@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .buckets import full_links, stars, unmet
 from .common import KeyFilter, cut, table, utf8
 from .components import connected_components
 
@@ -132,9 +132,12 @@ def _line_texts(wanted: KeyFilter):
     return texts
 
 
+def line_shingles(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
 def line_jaccard(a: str, b: str) -> float:
-    x = {a[i : i + SHINGLE] for i in range(max(1, len(a) - SHINGLE + 1))}
-    y = {b[i : i + SHINGLE] for i in range(max(1, len(b) - SHINGLE + 1))}
+    x, y = line_shingles(a), line_shingles(b)
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
@@ -147,27 +150,43 @@ def _alike(a: str, b: str, least: float) -> Column:
     return alike(a, b)
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """How many MinHashes of two sketches differ."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
+def _sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a[:, None, 0] ^ b[None, :, 0]
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+
+
+def _held(texts: DataFrame, wanted: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): the lines whose ids stand in that column of wanted, and maybe others."""
+    found = texts.mapInArrow(_line_texts(KeyFilter(wanted.select(column), column)), "line bigint, s string")
+    return found.select(F.col("line").alias(column), F.col("s").alias(name)).dropDuplicates([column])
+
+
 def line_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(a, b): ids of lines of (text) whose character shingles have a Jaccard similarity of `similarity` or more.
 
     The lines of a band stand in order; each meets the first and the one before it, so a group of g
     like lines gives some 2 g candidates a band, not pairs. Sketches drop chance meetings, the lines
-    themselves decide on the others.
+    themselves decide on the others. Bands of four lines or more that these links leave in more
+    than one component are then compared in full, so what is like in a band is connected.
     """
-    bands = texts.mapInArrow(_bands, "v bigint, line bigint, sketch bigint")
-    row = W.partitionBy("v").orderBy("line")
-    own = F.struct("line", "sketch")
-    met = bands.select("line", "sketch", F.first(own).over(row.rowsBetween(W.unboundedPreceding, 0)).alias("head"), F.lag(own).over(row).alias("before"))
-    met = met.where("before is not null").select("line", "sketch", F.explode(F.array("head", "before")).alias("other"))
-    x = F.col("sketch").bitwiseXOR(F.col("other.sketch"))
-    differ = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    met = met.where((F.col("line") != F.col("other.line")) & (differ <= MAY_DIFFER)).select("line", F.col("other.line").alias("other"))
-    pairs = cut(met.select(F.greatest("line", "other").alias("a"), F.least("line", "other").alias("b")).distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("line"))
-    held = texts.mapInArrow(_line_texts(KeyFilter(asked, "line")), "line bigint, s string")
-    left = held.select(F.col("line").alias("a"), F.col("s").alias("s_a")).dropDuplicates(["a"])
-    right = held.select(F.col("line").alias("b"), F.col("s").alias("s_b")).dropDuplicates(["b"])
-    return pairs.join(left, "a").join(right, "b").where(_alike("s_a", "s_b", similarity)).select("a", "b")
+    bands = texts.mapInArrow(_bands, "v bigint, line bigint, sketch bigint").withColumnRenamed("line", "id")
+    met = stars(bands, "sketch").withColumn("others", F.filter(F.array_distinct(F.array("head", "before")), lambda o: o.isNotNull() & (o["id"] != F.col("id")) & (_differ(F.col("sketch"), o["sketch"]) <= MAY_DIFFER)))
+    met = cut(met.where("crowded or size(others) > 0").select("v", "id", "sketch", "crowded", F.transform("others", lambda o: o["id"]).alias("others")))
+    met_pairs = met.select("id", F.explode("others").alias("other"))
+    pairs = cut(met_pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
+    links = cut(pairs.join(_held(texts, pairs, "a", "s_a"), "a").join(_held(texts, pairs, "b", "s_b"), "b").where(_alike("s_a", "s_b", similarity)).select("a", "b"))
+    crowd = met.where("crowded")
+    dealt = cut(unmet(crowd.select("v", "id"), links))
+    if dealt.isEmpty():
+        return links
+    held = _held(texts, dealt, "id", "text").join(crowd.groupBy("id").agg(F.array(F.first("sketch")).alias("sketch")), "id")
+    return links.union(full_links(dealt, held, _sketch_distance, MAY_DIFFER, line_shingles, similarity))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from strandframe.llm import components, simhash
+from strandframe.llm import components, lines, simhash
 
 
 def connected(links, pairs):
@@ -53,3 +53,23 @@ def test_pairs_in_a_family_of_templated_texts_are_found(spark):
     print(f"near_links: {got:.3f} of pairs in a family connected")
     assert got > 0.97
     assert links.count() < len(rows) * simhash.BANDS
+
+
+def test_pairs_in_a_family_of_templated_lines_are_found(spark):
+    """Lines share a template, at some 0.7 of each other; every two are at 0.8 or more."""
+    rng = random.Random(10)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template = letters(100)
+    rows, pairs = [], []
+    for _ in range(200):
+        own = letters(20)
+        one, two = template + own, template + own[:11] + letters(9)
+        assert lines.line_jaccard(one, two) >= 0.8
+        pairs.append((lines.line_id(one.encode()), lines.line_id(two.encode())))
+        rows += [one, two]
+    assert lines.line_jaccard(rows[0], rows[2]) < 0.78
+    links = lines.line_links(spark.createDataFrame([(x,) for x in rows], "text string").repartition(4)).cache()
+    got = connected(links, pairs)
+    print(f"line_links: {got:.3f} of pairs in a family connected")
+    assert got > 0.97
+    assert links.count() < len(rows) * lines.BANDS
