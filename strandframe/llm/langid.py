@@ -159,6 +159,15 @@ def profiles(texts: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str],
 
 
 def _predict(texts: pa.Array, langs: list[str], prototypes: np.ndarray) -> Iterator[tuple[str, float]]:
+    for lang, score, _, _ in _judge(texts, langs, prototypes):
+        yield lang, score
+
+
+def _judge(texts: pa.Array, langs: list[str], prototypes: np.ndarray) -> Iterator[tuple[str, float, int, np.ndarray]]:
+    """(language, score, trigrams, fits) of each text: fits are the mean projections of its trigrams on the prototypes.
+
+    Unlike a cosine, the mean projection of a language's texts doesn't depend on their length, only its spread does.
+    """
     shared = prototypes.mean(axis=0) if len(langs) > 1 else np.zeros(prototypes.shape[1])
     p = prototypes - shared
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
@@ -166,15 +175,49 @@ def _predict(texts: pa.Array, langs: list[str], prototypes: np.ndarray) -> Itera
         doc, gram, keys = letter_grams(part)
         n = np.bincount(doc * len(keys) + gram, minlength=len(part) * len(keys)).reshape(len(part), -1) if len(keys) else np.zeros((len(part), 0))
         v = n.astype(np.float32) @ gram_vectors(keys, prototypes.shape[1]) if len(keys) else np.zeros((len(part), prototypes.shape[1]))
+        total = n.sum(axis=1).astype(np.int64)
+        fits = (v @ prototypes.T) / (np.maximum(total, 1)[:, None] * np.sqrt(prototypes.shape[1]))
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) - shared
         cos = (v @ p.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        lettered = n.sum(axis=1) > 0
         for k in range(len(part)):
-            if not lettered[k] or not langs:
-                yield UNKNOWN, 0.0
+            if not total[k] or not langs:
+                yield UNKNOWN, 0.0, 0, fits[k]
             else:
                 best = int(np.argmax(np.round(cos[k], 12)))
-                yield langs[best], round(float(min(1.0, max(0.0, cos[k, best]))), 9)
+                yield langs[best], round(float(min(1.0, max(0.0, cos[k, best]))), 9), int(total[k]), fits[k]
+
+
+#: Learned texts of a language and a length class that set a floor; spreads below their median that a text may lie under it.
+ENOUGH, SPREADS = 20, 6
+#: Length classes: powers of two of trigrams. Texts of under 64 trigrams are judged only by the like of them.
+CLASSES, JUDGED = 32, 7
+
+
+def fit_floors(texts: DataFrame, langs: list[str], prototypes: np.ndarray) -> np.ndarray:
+    """Least fit of a text of each language and length class, (languages, CLASSES), from all learned texts of (text, lang).
+
+    SPREADS times the spread from lower quartile to median (as a deviation) under the median, and half
+    of the median at most, so odd labels and junk don't set it. A class of under ENOUGH texts has the
+    floor of the next shorter one, whose spread is wider; where there is none, from 64 trigrams on, a
+    quarter of the median of all the language's texts. A language of under ENOUGH texts refuses nothing.
+    """
+
+    @F.arrow_udf("struct<size: int, fit: double>")
+    def own_fit(text: pa.Array, lang: pa.Array) -> pa.Array:
+        got = [(n.bit_length(), round(float(fits[langs.index(own)]), 5)) for (_, _, n, fits), own in zip(_judge(text, langs, prototypes), lang.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.float64())], ["size", "fit"])
+
+    seen = texts.where("text is not null and lang is not null").select("lang", own_fit("text", "lang").alias("f")).where("f.size > 0")
+    of = [F.count("*").alias("n"), F.percentile("fit", F.array(F.lit(0.25), F.lit(0.5))).alias("q")]
+    rows = seen.select("lang", "f.size", "f.fit").rollup("lang", "size").agg(*of).where((F.col("n") >= ENOUGH) & F.col("lang").isNotNull()).collect()
+    floors = np.full((len(langs), CLASSES), -np.inf)
+    for r in sorted(rows, key=lambda r: r["size"] or 0):
+        low, mid = r.q
+        if r["size"] is None:
+            floors[langs.index(r.lang), JUDGED:] = mid / 4
+        else:
+            floors[langs.index(r.lang), min(r["size"], CLASSES - 1) :] = min(mid - SPREADS * (mid - low) / 0.6745, mid / 2)
+    return floors
 
 
 def predict_language(text: Column | str, langs: list[str], prototypes: np.ndarray) -> Column:
@@ -202,19 +245,26 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0, dimensions: int = DIMENSIONS) -> DataFrame:
-    """docs without those whose language can't be told: no letter, null text, or a cosine of `least` or less. Columns as they came.
+    """docs without those whose language can't be told: no letter, null text, a cosine of `least` or less, or a fit
+    under the floors of all languages (see fit_floors), as of gibberish and languages never learned. Columns as they came.
 
     Where nothing can be learned (no row has a text and a language) only rows with letters stay.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (fold(F.col(id_col), 5) == 0).alias("held_out"))
-    langs, prototypes = profiles(rows.where("not held_out"), dimensions)
+    learned = rows.where("not held_out")
+    langs, prototypes = profiles(learned, dimensions)
     names = docs.columns
     kept = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     at = F.col(f"_c{names.index(text_col)}")
     lettered = F.coalesce(at.rlike(r"\p{L}"), F.lit(False))
     if langs:
-        p = predict_language(at, langs, prototypes)
-        kept = kept.withColumn("_p", p).where((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") > least)).drop("_p")
+        floors = fit_floors(learned, langs, prototypes)
+
+        @F.arrow_udf("boolean")
+        def identified(texts: pa.Array) -> pa.Array:
+            return pa.array([lang != UNKNOWN and score > least and bool((fits >= floors[:, min(n.bit_length(), CLASSES - 1)]).any()) for lang, score, n, fits in _judge(texts, langs, prototypes)], pa.bool_())
+
+        kept = kept.where(identified(at))
     else:
         kept = kept.where(lettered)
     return kept.toDF(*names)
