@@ -53,6 +53,11 @@ def unmet(crowd: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("v", "id", "c", F.explode(F.when(F.col("own"), most).otherwise(both)).alias("g")).select("v", "g.*", "id", "c")
 
 
+def kept_links(links: DataFrame) -> DataFrame:
+    """Edges (a, b), computed once. The pass through Arrow leaves Spark's constraints behind: a kept plan with those of a filter can't be united and kept again."""
+    return cut(links.mapInArrow(lambda batches: batches, "a bigint, b bigint"))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     rest = None
     for batch in batches:

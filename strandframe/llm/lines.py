@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import full_links, stars, unmet
+from .buckets import full_links, kept_links, stars, unmet
 from .common import KeyFilter, cut, table, utf8
 from .components import connected_components
 
@@ -180,7 +180,7 @@ def line_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     met = cut(met.where("crowded or size(others) > 0").select("v", "id", "sketch", "crowded", F.transform("others", lambda o: o["id"]).alias("others")))
     met_pairs = met.select("id", F.explode("others").alias("other"))
     pairs = cut(met_pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
-    links = cut(pairs.join(_held(texts, pairs, "a", "s_a"), "a").join(_held(texts, pairs, "b", "s_b"), "b").where(_alike("s_a", "s_b", similarity)).select("a", "b"))
+    links = kept_links(pairs.join(_held(texts, pairs, "a", "s_a"), "a").join(_held(texts, pairs, "b", "s_b"), "b").where(_alike("s_a", "s_b", similarity)).select("a", "b"))
     crowd = met.where("crowded")
     dealt = cut(unmet(crowd.select("v", "id"), links))
     if dealt.isEmpty():

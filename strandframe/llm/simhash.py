@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import full_links, stars, unmet
+from .buckets import full_links, kept_links, stars, unmet
 from .common import KeyFilter, cut, table, utf8
 from .components import connected_components
 
@@ -229,7 +229,7 @@ def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segmen
     held = KeyFilter(pairs.select(F.explode(F.array("a", "b")).alias("h")), "h").where(texts, "h")
     left = held.select(F.col("h").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
-    links = cut(pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b"))
+    links = kept_links(pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b"))
     dealt = cut(unmet(met.where("crowded").select("v", "id"), links))
     if dealt.isEmpty():
         return links
