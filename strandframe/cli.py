@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import shutil
 import sys
 from collections.abc import Iterator
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import BgzfError, SequenceFormatError
+from .errors import BgzfError, SequenceFormatError, from_spark
 from .operators import fasta, fastq, sam, stats
-from .sources.scan import check_bgzf
+from .sources.files import file_system, scratch
+from .sources.scan import Transport, check_bgzf
 
 USAGE = """usage: strandframe COMMAND
   stats [--format fastq|fasta] PATH
-  checksum --format fastq|fasta|sam PATH
+  checksum --format fastq|fasta|sam [PATH|-]
   fasta-index PATH
   fasta-fetch PATH --fai FAI --name NAME --start N --end N
   fasta-partitions PATH --fai FAI --parts N [--overlap N]
@@ -71,12 +74,23 @@ def _totals(rows: DataFrame) -> Iterator[str]:
         yield f"{c}\t{r[c]}"
 
 
-def _rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def _rows(spark: SparkSession, path: str, kind: str, decode: bool = True) -> DataFrame:
+    transport = Transport(decode=decode)
     if kind == "sam":
-        return sam.read_sam(spark, path)
+        return sam.read_sam(spark, path, transport)
     if kind not in ("fastq", "fasta"):
         raise UsageError(f"unknown format: {kind}")
-    return fastq.read_fastq(spark, path) if kind == "fastq" else fasta.read_fasta(spark, path)
+    return fastq.read_fastq(spark, path, transport=transport) if kind == "fastq" else fasta.read_fasta(spark, path, transport=transport)
+
+
+def _from_stdin(spark: SparkSession) -> str:
+    """Standard input, copied to a file that tasks can read, a part at a time."""
+    top = scratch(spark, "stdin")
+    system, folder = file_system(top)
+    system.create_dir(folder)
+    with system.open_output_stream(f"{folder}/input") as f:
+        shutil.copyfileobj(sys.stdin.buffer, f, 4 << 20)
+    return f"{top}/input"
 
 
 def run(spark: SparkSession, args: list[str]) -> Iterator[str]:
@@ -87,8 +101,12 @@ def run(spark: SparkSession, args: list[str]) -> Iterator[str]:
         yield USAGE
     elif command in ("stats", "checksum"):
         rest, got = _options(args, {"--format"})
-        kind = _needed(got, "--format") if command == "checksum" else got.get("--format", "fastq")
-        yield from _totals(_rows(spark, _path(rest), kind))
+        if command == "stats":
+            yield from _totals(_rows(spark, _path(rest), got.get("--format", "fastq")))
+            return
+        # bytes as they come, from standard input without a path
+        kind, path = _needed(got, "--format"), rest[0] if rest else "-"
+        yield from _totals(_rows(spark, _from_stdin(spark) if path == "-" else path, kind, decode=False))
     elif command == "fasta-index":
         for r in fasta.fai_lines(fasta.build_fai(spark, _path(_options(args, set())[0]))).sort("ref_index").toLocalIterator():
             yield r.value
@@ -123,6 +141,9 @@ def main() -> int:
     except (UsageError, SequenceFormatError, BgzfError, OSError) as e:
         print(e, file=sys.stderr)
         return 1
+    except PySparkException as e:
+        print(from_spark(e) or e, file=sys.stderr)
+        return 1
     return 0
 
 

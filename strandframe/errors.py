@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class SequenceFormatError(ValueError):
     """A parse error; offset, record and line are those of the decompressed stream, counted from 0."""
@@ -18,3 +20,15 @@ class BgzfError(ValueError):
     def __init__(self, message: str) -> None:
         self.detail = message
         super().__init__(f"BGZF error: {message}")
+
+
+_PLACED = re.compile(r"parse error(?: at byte (\d+), record (\d+), line (\d+))?: ([^\n]*)")
+
+
+def from_spark(e: Exception) -> SequenceFormatError | None:
+    """The parse error that a Spark job has raised, as it was meant; None if e is something else."""
+    m = _PLACED.search(str(e))
+    if not m:
+        return None
+    place = [int(x) if x is not None else None for x in m.groups()[:3]]
+    return SequenceFormatError(re.split(r" SQLSTATE: | *$", m[4])[0], *place)

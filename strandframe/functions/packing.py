@@ -36,6 +36,7 @@ def base_counts(seq: Column | str) -> Column:
 _CODE = np.full(256, 4, dtype=np.uint8)
 for _letter, _value in CODES.items():
     _CODE[ord(_letter)] = _CODE[ord(_letter.lower())] = _value
+_TABLE = _CODE.tobytes()
 
 
 def _flat(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +71,27 @@ def _bits_of_cells(bits: np.ndarray, offsets: np.ndarray, per_byte: int, width:
     return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed)])
 
 
-@F.arrow_udf(PACKED_TYPE)
-def pack_bases(seq: pa.Array) -> pa.Array:
+def _even(code: np.ndarray, n: int, size: int) -> tuple[pa.Array, pa.Array, list[np.ndarray]]:
+    """Packed bases, mask and counts of n cells of one size: columns of a table, no places to work out."""
+    code = code.reshape(n, size)
+    masked = code == 4
+    counts = [np.add.reduce((code == k).view(np.uint8), axis=1, dtype=np.uint32).astype(np.int64) for k in range(5)]
+    wide = np.zeros((n, -(-size // 4) * 4), dtype=np.uint8)
+    wide[:, :size] = code & 3
+    bases = wide[:, 0::4] | wide[:, 1::4] << np.uint8(2) | wide[:, 2::4] << np.uint8(4) | wide[:, 3::4] << np.uint8(6)
+    mask = np.packbits(masked, axis=1, bitorder="little")
+    cells = lambda x: pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(x.shape[1])), pa.py_buffer(np.ascontiguousarray(x))])
+    return cells(bases), cells(mask), counts
+
+
+def packed_array(seq: pa.Array) -> pa.Array:
     """Base i in bits 2 (i mod 4) of byte i div 4, others than ACGT as 0 with a bit in the mask; and the counts of bases."""
     data, offsets = _flat(seq)
-    code = _CODE[data]
+    code = np.frombuffer(data.tobytes().translate(_TABLE), dtype=np.uint8)
+    sizes = np.diff(offsets)
+    if len(sizes) and sizes[0] and (sizes == sizes[0]).all():
+        bases, mask, counts = _even(code, len(sizes), int(sizes[0]))
+        return pa.StructArray.from_arrays([bases, mask, pa.array(sizes), *[pa.array(c) for c in counts]], ["bases", "n_mask", "len", "a", "c", "g", "t", "n"])
     masked = code == 4
     counts = [_per_cell(code == k, offsets) for k in range(5)]
     bases = _bits_of_cells(np.where(masked, 0, code).astype(np.uint8), offsets, 4, 2)
@@ -82,13 +99,34 @@ def pack_bases(seq: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([bases, mask, pa.array(np.diff(offsets)), *[pa.array(c) for c in counts]], ["bases", "n_mask", "len", "a", "c", "g", "t", "n"])
 
 
-@F.arrow_udf(QUALITY_TYPE)
-def summarize_qualities(qual: pa.Array) -> pa.Array:
-    """Phred+33 summary of each cell; bytes are taken as they are, so check them first (records.phred_error)."""
+@F.arrow_udf(PACKED_TYPE)
+def pack_bases(seq: pa.Array) -> pa.Array:
+    """The packed form of each cell (see packed_array)."""
+    return packed_array(seq)
+
+
+def first_bad_phred(qual: pa.Array) -> pa.Array:
+    """Place of the first byte outside of ! to ~ in each cell, from 0; null if there is none."""
+    data, offsets = _flat(qual)
+    at = np.flatnonzero((data < 33) | (data > 126))
+    first, none = np.zeros(len(qual), np.int32), np.ones(len(qual), bool)
+    if len(at):
+        cell = np.searchsorted(offsets, at, side="right") - 1
+        which, place = np.unique(cell, return_index=True)
+        first[which], none[which] = at[place] - offsets[which], False
+    return pa.array(first, mask=none)
+
+
+def quality_array(qual: pa.Array) -> pa.Array:
+    """Phred+33 summary of each cell; bytes are taken as they are, so check them first (first_bad_phred)."""
     data, offsets = _flat(qual)
-    phred = data.astype(np.int64) - 33
     sizes = np.diff(offsets)
     some = sizes > 0
+    if len(sizes) and sizes[0] and (sizes == sizes[0]).all():
+        p = data.reshape(len(sizes), -1)
+        cols = [sizes, p.min(axis=1).astype(np.int32) - 33, p.max(axis=1).astype(np.int32) - 33, p.sum(axis=1, dtype=np.int64) - 33 * sizes, *[(p >= 33 + q).sum(axis=1, dtype=np.int64) for q in (20, 30)]]
+        return pa.StructArray.from_arrays([pa.array(c) for c in cols], ["len", "min_phred", "max_phred", "sum_phred", "q20_bases", "q30_bases"])
+    phred = data.astype(np.int64) - 33
     low, high = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int32)
     if some.any():
         low[some] = np.minimum.reduceat(phred, offsets[:-1][some])
@@ -97,6 +135,12 @@ def summarize_qualities(qual: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(cols, ["len", "min_phred", "max_phred", "sum_phred", "q20_bases", "q30_bases"])
 
 
+@F.arrow_udf(QUALITY_TYPE)
+def summarize_qualities(qual: pa.Array) -> pa.Array:
+    """The Phred+33 summary of each cell (see quality_array)."""
+    return quality_array(qual)
+
+
 def mean_phred(summary: Column) -> Column:
     return F.when(summary["len"] > 0, summary["sum_phred"] / summary["len"])
 
@@ -110,6 +154,14 @@ def check_thresholds(thresholds: list[int]) -> list[int]:
     return thresholds
 
 
+def binned(qual: bytes | None, thresholds: list[int]) -> bytes | None:
+    """The bins of one cell."""
+    if qual is None:
+        return None
+    table = np.searchsorted(np.array(check_thresholds(thresholds)), np.arange(256) - 33, side="right").astype(np.uint8)
+    return bytes(qual).translate(table.tobytes())
+
+
 def bin_qualities(qual: Column | str, thresholds: list[int]) -> Column:
     """A byte for each base: how many of the sorted thresholds its Phred score reaches."""
     table = np.searchsorted(np.array(check_thresholds(thresholds)), np.arange(256) - 33, side="right").astype(np.uint8)

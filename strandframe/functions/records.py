@@ -46,22 +46,23 @@ def _error(*cases: tuple[Column, Column, Column, Column]) -> Column:
 
 def fastq_error(trusted: bool = False) -> Column:
     """What is wrong with a row of a FASTQ scan, in the order in which a reader finds it. trusted: ids may be empty."""
-    first = lambda c: F.substring(text(c), 1, 1)
+    fault = lambda bit: F.col("faults").bitwiseAND(F.lit(bit)) != 0
     cases = [
-        (F.col("n_lines") < 4, F.lit("truncated FASTQ record"), F.col("byte_offset"), F.col("n_lines")),
-        (first("name") != "@", F.lit("header must start with `@`"), F.col("byte_offset"), F.lit(0)),
-        (id_token("name") == "", F.lit("empty FASTQ id"), F.col("byte_offset"), F.lit(0)),
-        (first("plus") != "+", F.lit("plus line must start with `+`"), F.col("plus_offset"), F.lit(2)),
-        (F.octet_length("seq") != F.octet_length("qual"), F.concat(F.lit("quality length "), F.octet_length("qual").cast("string"), F.lit(" != sequence length "), F.octet_length("seq").cast("string")), F.col("qual_offset"), F.lit(3)),
+        (fault(1), F.lit("truncated FASTQ record"), F.col("byte_offset"), F.col("n_lines")),
+        (fault(2), F.lit("header must start with `@`"), F.col("byte_offset"), F.lit(0)),
+        (fault(4), F.lit("empty FASTQ id"), F.col("byte_offset"), F.lit(0)),
+        (fault(8), F.lit("plus line must start with `+`"), F.col("plus_offset"), F.lit(2)),
+        (fault(16), F.concat(F.lit("quality length "), F.octet_length("qual").cast("string"), F.lit(" != sequence length "), F.octet_length("seq").cast("string")), F.col("qual_offset"), F.lit(3)),
     ]
-    return _error(*(c for i, c in enumerate(cases) if not (trusted and i == 2)))
+    return F.when(F.col("faults") != 0, _error(*(c for i, c in enumerate(cases) if not (trusted and i == 2))))
 
 
 def phred_error() -> Column:
-    """A quality byte outside of ! to ~; its place is where the quality line starts."""
-    at = F.regexp_instr(text("qual"), F.lit(r"[^!-~]"))
-    message = F.concat(F.lit("invalid Phred+33 quality byte "), F.ascii(F.substr(text("qual"), at, F.lit(1))).cast("string"), F.lit(" at offset "), (at - 1).cast("string"))
-    return _error((at > 0, message, F.col("qual_offset"), F.lit(3)))
+    """A quality byte outside of ! to ~, of a packing scan; its place is where the quality line starts."""
+    at = F.col("bad_phred")
+    byte = F.conv(F.hex(F.substr("qual", at + 1, F.lit(1))), 16, 10)
+    message = F.concat(F.lit("invalid Phred+33 quality byte "), byte, F.lit(" at offset "), at.cast("string"))
+    return _error((at.isNotNull(), message, F.col("qual_offset"), F.lit(3)))
 
 
 def fasta_error() -> Column:
@@ -73,13 +74,23 @@ def fasta_error() -> Column:
 
 
 def first_error(rows: DataFrame) -> SequenceFormatError | None:
-    """The error nearest to the start of the first file, as an exception."""
+    """The error nearest to the start of the first file of a PERMISSIVE table, as an exception; it runs a job."""
     e = rows.where("_error is not null").agg(F.min(F.struct("path", "_error.record_index", "_error.byte_offset", "_error.line_index", "_error.message")).alias("e")).first().e
     return SequenceFormatError(e.message, e.byte_offset, e.record_index, e.line_index) if e else None
 
 
+def failing(rows: DataFrame) -> DataFrame:
+    """rows less _error; a job that meets a row with an error fails with its message. A filter does it, so no projection can prune it."""
+    e = F.col("_error")
+    said = F.concat(F.lit("parse error at byte "), e["byte_offset"], F.lit(", record "), e["record_index"], F.lit(", line "), e["line_index"], F.lit(": "), e["message"])
+    return rows.where(F.when(e.isNull(), F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).drop("_error")
+
+
 def with_mode(rows: DataFrame, mode: str) -> DataFrame:
-    """PERMISSIVE keeps _error, DROPMALFORMED drops the rows that have one, FAILFAST raises the first (it runs a job to find it)."""
+    """PERMISSIVE keeps _error, DROPMALFORMED drops the rows that have one; with FAILFAST the job that meets one fails.
+
+    Of several errors the job reports the one that a task meets first; first_error finds the first of the stream.
+    """
     mode = mode.upper()
     if mode == "PERMISSIVE":
         return rows
@@ -87,6 +98,4 @@ def with_mode(rows: DataFrame, mode: str) -> DataFrame:
         return rows.where("_error is null").drop("_error")
     if mode != "FAILFAST":
         raise ValueError(f"mode {mode}")
-    if error := first_error(rows):
-        raise error
-    return rows.drop("_error")
+    return failing(rows)

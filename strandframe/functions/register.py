@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import FASTA_SCAN_SCHEMA, FASTQ_SCAN_SCHEMA
+from ..schema import BGZF_INDEX_SCHEMA, FASTA_SCAN_SCHEMA, FASTQ_SCAN_SCHEMA
 from ..sources import scan, sinks
-from ..sources.bgzf import EOF_BLOCK, read_blocks
-from ..sources.files import BGZF, GZIP, kind_of
+from ..sources.bgzf import EOF_BLOCK, hop, read_blocks
+from ..sources.files import BGZF, GZIP, file_system, kind_of, open_at
 from . import packing
 
 
@@ -65,30 +66,37 @@ class FastaParse:
 
 
 class _Reader(DataSourceReader):
+    """Files, by a path, folder or pattern of a shared mount or a store that pyarrow reaches; a file a task."""
+
     def __init__(self, options: dict, step, schema: str) -> None:
         self.options, self.step, self.schema = options, step, schema
 
     def partitions(self) -> list[InputPartition]:
-        import os
-
-        path = self.options["path"].removeprefix("file:")
-        found = [os.path.join(path, n) for n in sorted(os.listdir(path)) if n[0] not in "._"] if os.path.isdir(path) else [path]
-        return [InputPartition(p) for p in found]
+        return [InputPartition(p) for p in _files(self.options["path"])]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        import os
-
-        path = partition.value
-        size = os.path.getsize(path)
-        if not size:
-            return
-        measured = pa.RecordBatch.from_pylist([{"path": path, "size": size, "start": 0, "end": size}])
-        n = next(scan._measure(iter([measured]))).to_pylist()[0]["bytes"]
-        if n:
-            row = {"path": path, "size": size, "start": 0, "end": size, "byte0": 0, "bytes": n, "line0": 0, "record0": 0}
+        path, size = partition.value
+        if size:
+            row = {"path": path, "size": size, "start": 0, "end": size, "byte0": 0, "bytes": scan.WHOLE, "line0": 0, "record0": 0}
             yield from scan._run(self.step, iter([pa.RecordBatch.from_pylist([row])]))
 
 
+def _files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files of a path, folder or pattern, hidden ones left out."""
+    from fnmatch import fnmatch
+
+    from pyarrow import fs
+
+    system, name = file_system(path)
+    scheme = path.partition("://")[0] + "://" if "://" in path and not path.startswith("file:") else ""
+    pattern = any(c in name for c in "*?[")
+    if not pattern and system.get_file_info(name).type == fs.FileType.File:
+        return [(scheme + name, system.get_file_info(name).size)]
+    top = name[: min(name.find(c) for c in "*?[" if c in name)].rpartition("/")[0] or "/" if pattern else name
+    found = system.get_file_info(fs.FileSelector(top, recursive=pattern))
+    return sorted((scheme + i.path, i.size) for i in found if i.type == fs.FileType.File and i.base_name[0] not in "._" and (not pattern or fnmatch(i.path, name)))
+
+
 class FastqDataSource(DataSource):
     """spark.read.format("fastq").load(path): a file a task; scan.scan_fastq splits large files."""
 
@@ -117,6 +125,71 @@ class FastaDataSource(DataSource):
         return _Reader(dict(self.options), scan._fasta, FASTA_SCAN_SCHEMA)
 
 
+class FaiDataSource(DataSource):
+    """spark.read.format("fai").load(path): rows of .fai files, unchecked; fasta.read_fai checks them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fai"
+
+    def schema(self) -> str:
+        return "path string, name string, len bigint, offset bigint, line_bases bigint, line_width bigint"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FaiReader(dict(self.options), None, self.schema())
+
+
+class _FaiReader(_Reader):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        with open_at(partition.value[0]) as f:
+            for line in f.read().decode("latin-1").splitlines():
+                if line:
+                    name, *rest = line.split("\t")
+                    yield (partition.value[0], name, *map(int, rest))
+
+
+class BlocksDataSource(DataSource):
+    """spark.read.format("bgzf_blocks").load(path): places and sizes of the blocks of block-gzip files, by their headers."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bgzf_blocks"
+
+    def schema(self) -> str:
+        return BGZF_INDEX_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _BlocksReader(dict(self.options), None, self.schema())
+
+
+class _BlocksReader(_Reader):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        decoded = 0
+        with open_at(partition.value[0]) as f:
+            for i, (offset, size, out) in enumerate(hop(f, 0)):
+                if out == 0 and size == len(EOF_BLOCK):
+                    return
+                yield partition.value[0], i, offset, decoded, size, out
+                decoded += out
+
+
+@F.udtf(returnType="line bigint, span_start bigint, span_end bigint")
+class FastaSpans:
+    """fasta_spans(start, end, offset, line_bases, line_width): the bytes of each sequence line that a range of bases touches."""
+
+    def eval(self, start: int, end: int, offset: int, line_bases: int, line_width: int):
+        if end > start and line_bases:
+            for line in range(start // line_bases, (end - 1) // line_bases + 1):
+                at = offset + line * line_width
+                yield line, at + max(0, start - line * line_bases), at + min(line_bases, end - line * line_bases)
+
+
+@F.arrow_udf(T.BinaryType())
+def bin_qualities(qual: pa.Array, thresholds: pa.Array) -> pa.Array:
+    """bin_qualities(qual, thresholds): a byte for each base, how many of the sorted thresholds its Phred score reaches."""
+    return pa.array([packing.binned(q, t) for q, t in zip(qual.to_pylist(), thresholds.to_pylist(), strict=True)], pa.binary())
+
+
 #: Small SQL functions in SQL itself, so that they stay in the JVM.
 _SQL = {
     "id_token(name binary) returns string": r"regexp_extract(regexp_replace(decode(name, 'ISO-8859-1'), '^[@>]', ''), '^([^ \\t\\n\\f\\r]*)', 1)",
@@ -137,7 +210,9 @@ def register(spark: SparkSession) -> SparkSession:
     spark.udf.register("summarize_qualities", packing.summarize_qualities)
     spark.udtf.register("fastq_parse", FastqParse)
     spark.udtf.register("fasta_parse", FastaParse)
-    for source in (FastqDataSource, FastaDataSource, sinks.BgzfDataSource):
+    spark.udf.register("bin_qualities", bin_qualities)
+    spark.udtf.register("fasta_spans", FastaSpans)
+    for source in (FastqDataSource, FastaDataSource, FaiDataSource, BlocksDataSource, sinks.BgzfDataSource):
         spark.dataSource.register(source)
     return spark
 

@@ -9,44 +9,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..errors import SequenceFormatError
 from ..functions import records
 from ..sources import bgzf
-from ..sources.files import BGZF, PREFIX, kind_of, open_at
-from ..sources.scan import RANGE, bgzf_blocks, scan_fasta, scan_lines
+from ..sources.files import BGZF, PREFIX, RAW, kind_of, list_files, open_at
+from ..sources.scan import PLAIN, RANGE, Transport, bgzf_blocks, scan_fasta, scan_lines, scan_shapes, scan_two_line
 
 _COLUMNS = ["path", "record_index", "byte_offset", "name", "seq"]
 U64 = 1 << 64
 
 
-def read_fasta(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", range_bytes: int = RANGE) -> DataFrame:
-    """Records of FASTA files, sequence lines joined, blank lines ignored (FASTA_SCHEMA; _error if PERMISSIVE)."""
-    rows = scan_fasta(spark, path, range_bytes)
+def read_fasta(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", range_bytes: int = RANGE, stream: bool = False, transport: Transport = PLAIN) -> DataFrame:
+    """Records of FASTA files, sequence lines joined, blank lines ignored (FASTA_SCHEMA; _error if PERMISSIVE).
+
+    With stream the files, by name, are one stream. Nothing is read before a job asks for it.
+    """
+    rows = scan_fasta(spark, path, range_bytes, stream, transport)
     return records.with_mode(rows.select(*_COLUMNS, records.fasta_error().alias("_error")), mode)
 
 
-def read_two_line_fasta(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", range_bytes: int = RANGE) -> DataFrame:
-    """Records of strict two-line FASTA: header and sequence lines in turn, nothing else."""
-    lines = scan_lines(spark, path, range_bytes).withColumn("record_index", F.floor(F.col("line_no") / 2))
-    odd = F.col("line_no") % 2 == 1
+def read_two_line_fasta(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", range_bytes: int = RANGE, stream: bool = False, transport: Transport = PLAIN) -> DataFrame:
+    """Records of strict two-line FASTA: header and sequence lines in turn, nothing else. Pairs are made in the scan."""
+    rows = scan_two_line(spark, path, range_bytes, stream, transport)
     first = lambda c: F.substring(records.text(c), 1, 1)
-    rows = lines.groupBy("path", "record_index").agg(
-        F.min("byte_offset").alias("byte_offset"), F.max("byte_offset").alias("seq_offset"), F.count("*").alias("n"),
-        F.max_by(F.when(~odd, F.col("line")), ~odd).alias("name"), F.max_by(F.when(odd, F.col("line")), odd).alias("seq"),
-    )
     error = lambda message, at, line: F.struct(F.lit("format").alias("kind"), F.lit(message).alias("message"), at.alias("byte_offset"), F.col("record_index").alias("record_index"), F.lit(line).alias("line_index"))
     found = (
         F.when((first("name") != ">") & (F.col("record_index") > 0), error("two-line FASTA sequence must be followed by a header", F.col("byte_offset"), 0))
         .when(first("name") != ">", error("two-line FASTA record header must start with `>`", F.col("byte_offset"), 0))
         .when(records.id_token("name") == "", error("empty FASTA id", F.col("byte_offset"), 0))
-        .when((F.col("n") < 2) | (F.octet_length("seq") == 0) | (first("seq") == ">"), error("two-line FASTA record is missing a sequence line", F.when(F.col("n") < 2, F.col("byte_offset")).otherwise(F.col("seq_offset")), 1))
+        .when((F.col("n_lines") < 2) | (F.octet_length("seq") == 0) | (first("seq") == ">"), error("two-line FASTA record is missing a sequence line", F.coalesce("seq_offset", "byte_offset"), 1))
     )
     return records.with_mode(rows.select(*_COLUMNS, found.alias("_error")), mode)
 
 
-def fasta_shape(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE) -> DataFrame:
+def read_fasta_auto(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", range_bytes: int = RANGE, transport: Transport = PLAIN) -> DataFrame:
+    """Records of FASTA files, each read as its shape asks: strict pairs of lines where all its lines are such, else joined lines.
+
+    Shapes take a pass over the lines and a row a file; numbers are per file.
+    """
+    shapes = {r.path: r["shape"] for r in fasta_shape(spark, path, range_bytes, transport).collect()}
+    two, other = ([p for p, kind in shapes.items() if (kind == "TwoLine") == want] for want in (True, False))
+    # a two-line file may begin with blank lines, which only the joining reader takes
+    parts = [read(spark, paths, mode, range_bytes, transport=transport) for read, paths in ((read_two_line_fasta, [p for p in two if not _begins_blank(p, transport)]), (read_fasta, other + [p for p in two if _begins_blank(p, transport)])) if paths]
+    if not parts:
+        return read_fasta(spark, path, mode, range_bytes, transport=transport)
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+
+
+def _begins_blank(path: str, transport: Transport) -> bool:
+    with open_at(path) as f:
+        head = f.read(PREFIX)
+        if transport.decode and kind_of(head) != RAW:
+            return True  # not known without decoding: the joining reader takes either
+    return head[:1] in (b"\n", b"\r")
+
+
+def fasta_shape(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE, transport: Transport = PLAIN) -> DataFrame:
     """(path, shape): Empty, TwoLine or Multiline of each file that has a line; blank lines before the first header don't count."""
-    lines = scan_lines(spark, path, range_bytes)
+    lines = scan_lines(spark, path, range_bytes, transport=transport)
     blank = F.octet_length("line") == 0
     head = F.substring(records.text("line"), 1, 1) == ">"
     seen = lines.groupBy("path").agg(
@@ -60,31 +79,31 @@ def fasta_shape(spark: SparkSession, path: str | list[str], range_bytes: int = R
 def build_fai(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """(ref_index, name, len, offset, line_bases, line_width, virtual_offset) of a wrapped FASTA file; sequences aren't joined.
 
-    Lines are summed by record and size first, so tasks hand on a few rows a record. Blank sequence
-    lines and uneven wrapping are errors, as are repeated names. virtual_offset is given for block gzip.
+    Tasks sum lines by record and size, so they hand on a few rows a record. Blank sequence lines and
+    uneven wrapping are errors of the job that meets them, as are repeated names. virtual_offset is given
+    for block gzip.
     """
-    lines = scan_lines(spark, path, range_bytes)
-    head = F.substring(records.text("line"), 1, 1) == ">"
-    # headers begin records: a line belongs to the last header before it
-    heads = lines.where(head).select("line_no", "byte_offset", records.id_token("line").alias("name"), (F.col("byte_offset") + F.col("width")).alias("after"))
-    numbered = _record_numbers(lines, head)
-    sized = numbered.where(~head).select("record", "line_no", "byte_offset", F.octet_length("line").cast("long").alias("bases"), "width")
-    some = sized.where("bases > 0")
-    shapes = some.groupBy("record", "bases", "width").agg(F.count("*").alias("n"), F.min(F.struct("line_no", "byte_offset")).alias("first"), F.max("line_no").alias("last"))
+    parts = scan_shapes(spark, path, range_bytes)
+    first = F.struct("line_no", "byte_offset")
+    shapes = parts.groupBy("record", "bases", "width").agg(F.sum("n").alias("n"), F.min(first).alias("first"), F.max("last").alias("last"), F.max("after").alias("after"), F.max("name").alias("name"))
+    body, head = F.col("bases") > 0, F.col("bases") < 0
+    where = lambda condition, x: F.when(condition, x)
     per = shapes.groupBy("record").agg(
-        F.sum(F.col("bases") * F.col("n")).alias("len"), F.min(F.struct(F.col("first.line_no").alias("l"), F.col("first.byte_offset").alias("offset"), "bases", "width")).alias("f"),
-        F.max("last").alias("last"), F.max(F.struct("last", "bases", "width")).alias("e"), F.sum("n").alias("n"), F.max("bases").alias("most"), F.collect_list(F.struct("bases", "width", "n")).alias("shapes"),
+        F.sum(where(body, F.col("bases") * F.col("n"))).alias("len"), F.min(where(body, F.struct(F.col("first.line_no").alias("l"), F.col("first.byte_offset").alias("offset"), "bases", "width"))).alias("f"),
+        F.max(where(body, F.struct("last", "bases", "width"))).alias("e"), F.sum(where(body, F.col("n"))).alias("n"), F.collect_list(where(body, F.struct("bases", "width", "n"))).alias("shapes"),
+        F.max(where(F.col("bases") == 0, F.col("last"))).alias("blank"), F.max("name").alias("name"), F.max(where(head, F.col("first.byte_offset"))).alias("byte_offset"), F.max(where(head, F.col("after"))).alias("head_end"), F.max("after").alias("end"),
     )
-    blank = sized.where("bases = 0").groupBy("record").agg(F.max("line_no").alias("blank"))
     own = F.filter("shapes", lambda s: (s["bases"] == F.col("f.bases")) & (s["width"] == F.col("f.width")))
-    first_n = F.coalesce(own[0]["n"], F.lit(0))
+    first_n = F.coalesce(F.get(own, F.lit(0))["n"], F.lit(0))
     end_is_first = (F.col("e.bases") == F.col("f.bases")) & (F.col("e.width") == F.col("f.width"))
     uneven = F.col("n") - first_n > F.when(end_is_first, 0).otherwise(1)
-    longer = (F.col("e.bases") > F.col("f.bases"))
-    checked = _with_records(heads).join(per, "record", "left").join(blank, "record", "left")
-    twice = F.count("*").over(W.partitionBy("name")) > 1
+    longer = F.col("e.bases") > F.col("f.bases")
+    name = records.id_token("name")
+    twice = F.count("*").over(W.partitionBy("id")) > 1
     message = (
-        F.when(F.col("name") == "", "empty FASTA id")
+        F.when((F.col("record") < 0) & F.col("f").isNotNull(), "FASTA record header must start with `>`")
+        .when(F.col("record") < 0, F.lit(None))
+        .when(F.col("id") == "", "empty FASTA id")
         .when(F.col("blank") > F.col("f.l"), "FASTA index does not support blank sequence lines")
         .when(longer & ~uneven, "FASTA final sequence line is longer than the first sequence line")
         .when(uneven, "non-final FASTA sequence line has inconsistent wrapping")
@@ -92,44 +111,21 @@ def build_fai(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataF
     )
     zero = F.lit(0).cast("long")
     # a record without bases has for offset what a reader has reached when it learns that: past the next header, or the end
-    following = F.coalesce(F.lead("after").over(W.orderBy("record")), F.lit(_stream_size(lines)).cast("long"))
-    got = checked.select(
-        F.col("record").alias("ref_index"), "name", F.coalesce("len", zero).alias("len"), F.coalesce("f.offset", following).alias("offset"),
-        F.coalesce("f.bases", zero).alias("line_bases"), F.coalesce("f.width", zero).alias("line_width"), message.alias("message"), "byte_offset",
+    following = per.select((F.col("record") - 1).alias("record"), F.col("head_end").alias("next_end"))
+    got = per.withColumn("id", F.coalesce(name, F.lit(None).cast("string"))).join(following, "record", "left")
+    place = F.struct(F.lit("format").alias("kind"), message.alias("message"), F.coalesce("byte_offset", "f.offset", zero).alias("byte_offset"), F.greatest("record", zero).alias("record_index"), F.lit(0).alias("line_index"))
+    got = got.select(
+        F.col("record").alias("ref_index"), F.col("id").alias("name"), F.coalesce("len", zero).alias("len"), F.coalesce("f.offset", "next_end", "end").alias("offset"),
+        F.coalesce("f.bases", zero).alias("line_bases"), F.coalesce("f.width", zero).alias("line_width"), F.when(message.isNotNull(), place).alias("_error"),
     )
-    bad = got.where("message is not null").agg(F.min(F.struct("ref_index", "message", "byte_offset")).alias("e")).first().e
-    if bad:
-        raise SequenceFormatError(bad.message, bad.byte_offset, bad.ref_index, 0)
-    stray = lines.where((F.octet_length("line") > 0)).agg(F.min_by(head, "line_no").alias("h"), F.min_by("byte_offset", "line_no").alias("o")).first()
-    if stray.h is False:
-        raise SequenceFormatError("FASTA record header must start with `>`", stray.o, 0, 0)
-    got = got.drop("message", "byte_offset")
+    got = records.failing(got).where("ref_index >= 0")
     with open_at(path) as f:
-        kind = kind_of(f.read(PREFIX)) if "://" not in path or path.startswith("file:") else None
+        kind = kind_of(f.read(PREFIX))
     if kind != BGZF:
         return got.withColumn("virtual_offset", F.lit(None).cast("long"))
     return with_virtual_offset(got, bgzf_blocks(spark, path, range_bytes=range_bytes), "offset")
 
 
-def _stream_size(lines: DataFrame) -> int:
-    return lines.agg(F.max(F.col("byte_offset") + F.col("width"))).first()[0] or 0
-
-
-def _record_numbers(lines: DataFrame, head) -> DataFrame:
-    """lines with `record`, the number of headers up to the line, from 0: a running sum within stretches of lines, after the sums of the stretches before."""
-    stretch = 1 << 16
-    parts = lines.withColumn("stretch", F.floor(F.col("line_no") / stretch))
-    sums = parts.groupBy("stretch").agg(F.count_if(head).alias("h"))
-    before = sums.select("stretch", F.coalesce(F.sum("h").over(W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("h0"))
-    within = F.sum(head.cast("long")).over(W.partitionBy("stretch").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    return parts.join(before, "stretch").withColumn("record", F.col("h0") + within - 1)
-
-
-def _with_records(heads: DataFrame) -> DataFrame:
-    """Headers with their number: one row a reference."""
-    return heads.withColumn("record", F.row_number().over(W.orderBy("line_no")).cast("long") - 1)
-
-
 def with_virtual_offset(rows: DataFrame, blocks: DataFrame, offset: str) -> DataFrame:
     """rows with virtual_offset: the block that holds an offset of the decoded stream, and the place in it; null past the end.
 
@@ -156,11 +152,10 @@ def fai_lines(fai: DataFrame) -> DataFrame:
     return fai.select("ref_index", F.concat_ws("\t", "name", *[F.col(c).cast("string") for c in ("len", "offset", "line_bases", "line_width")]).alias("value"))
 
 
-def read_fai(spark: SparkSession, path: str) -> DataFrame:
-    """(ref_index, name, len, offset, line_bases, line_width) from a .fai file, checked; line numbers in errors count from 1."""
+def fai_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(ref_index, name, len, offset, line_bases, line_width, line_no, message) of the lines of a .fai file; message: what is wrong with one."""
     lines = scan_lines(spark, path).select("line_no", records.text("line").alias("value")).where("value <> ''")
     f = F.split("value", "\t")
-    number = lambda i: F.expr(f"try_cast(split(value, '\\t')[{i}] as decimal(20, 0))")
     names = ["len", "offset", "line_bases", "line_width"]
     whole = F.size(f) == 5
     rows = lines.select("line_no", whole.alias("whole"), F.get(f, F.lit(0)).alias("name"), *[F.when(whole & F.get(f, F.lit(i + 1)).rlike(r"^\+?[0-9]+$"), F.expr(f"try_cast(get(split(value, '\\t'), {i + 1}) as decimal(38, 0))")).alias(c) for i, c in enumerate(names)])
@@ -169,16 +164,17 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
         bad = bad.when(F.col(c).isNull() | (F.col(c) >= F.lit(str(U64)).cast("decimal(38,0)")), f"invalid {c.replace('_', ' ')}")
     bad = bad.when((F.col("len") > 0) & (F.col("line_bases") == 0), "line bases must be positive").when(F.col("line_width") < F.col("line_bases"), "line width is less than line bases")
     bad = bad.when(F.row_number().over(W.partitionBy("name").orderBy("line_no")) > 1, "duplicate reference name")
-    rows = rows.select("*", bad.alias("bad"))
-    e = rows.where("bad is not null").agg(F.min(F.struct("line_no", "bad")).alias("e")).first().e
-    if e:
-        raise SequenceFormatError(f"invalid .fai line {e.line_no + 1}: {e.bad}")
-    order = F.row_number().over(W.orderBy("line_no")).cast("long") - 1
     too_far = F.col("offset") + F.col("len") + F.col("line_width") >= F.lit(str(1 << 63)).cast("decimal(38,0)")
-    far = rows.where(too_far).agg(F.min("line_no")).first()[0]
-    if far is not None:
-        raise SequenceFormatError(f"FASTA sequence offset overflowed, .fai line {far + 1}")
-    return rows.select(order.alias("ref_index"), "name", *[F.col(c).cast("long").alias(c) for c in names])
+    number = (F.col("line_no") + 1).cast("string")
+    said = F.when(bad.isNotNull(), F.concat(F.lit("invalid .fai line "), number, F.lit(": "), bad)).when(too_far, F.concat(F.lit("FASTA sequence offset overflowed, .fai line "), number))
+    order = F.row_number().over(W.orderBy("line_no")).cast("long") - 1  # a row a reference
+    return rows.select(order.alias("ref_index"), "name", *[F.col(c).cast("long").alias(c) for c in names], "line_no", said.alias("message"))
+
+
+def read_fai(spark: SparkSession, path: str) -> DataFrame:
+    """(ref_index, name, len, offset, line_bases, line_width) from a .fai file; a job that meets a bad line fails with its number, from 1."""
+    rows = fai_rows(spark, path)
+    return rows.where(F.when(F.col("message").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("parse error: "), "message")).cast("boolean"))).drop("line_no", "message")
 
 
 def sequence_offset(position):
@@ -199,19 +195,17 @@ def sequence_spans(rows: DataFrame, start: str = "start", end: str = "end") -> D
 
 
 def check_ranges(asked: DataFrame, fai: DataFrame) -> DataFrame:
-    """(name, start, end, ...) joined to the index; a range that can't be read is an error."""
+    """(name, start, end, ...) joined to the index; a job that meets a range that can't be read fails."""
     got = asked.join(fai, "name", "left")
     bad = F.when(F.col("len").isNull(), F.concat(F.lit("FASTA reference not found in index: "), "name")).when(F.col("start") > F.col("end"), "FASTA range start must be <= end").when(F.col("end") > F.col("len"), "FASTA range end exceeds reference length")
-    e = got.select(bad.alias("bad")).where("bad is not null").agg(F.min("bad")).first()[0]
-    if e:
-        raise SequenceFormatError(e)
-    return got
+    return got.where(F.when(bad.isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("parse error: "), bad)).cast("boolean")))
 
 
-def fetch(spark: SparkSession, path: str, asked: DataFrame, fai: DataFrame) -> DataFrame:
+def fetch(spark: SparkSession, path: str, asked: DataFrame, fai: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """asked (name, start, end, any more) with seq: the bases of each range, read where the index says.
 
-    Each task seeks to its ranges, in the file's order; of block gzip it decodes the blocks of a range only.
+    Ranges that lie near each other in the file go to one task, which takes them in the file's order; of block
+    gzip it decodes the blocks of its ranges only, and those that follow each other once.
     """
     checked = check_ranges(asked, fai)
     low = sequence_offset(F.col("start"))
@@ -220,24 +214,38 @@ def fetch(spark: SparkSession, path: str, asked: DataFrame, fai: DataFrame) -> D
     with open_at(path) as f:
         compressed = kind_of(f.read(PREFIX)) == BGZF
     if compressed:
-        blocks = bgzf_blocks(spark, path)
+        blocks = bgzf_blocks(spark, path, range_bytes=range_bytes)
         ranged = with_virtual_offset(ranged, blocks, "_low")
     else:
         ranged = ranged.withColumn("virtual_offset", F.lit(None).cast("long"))
     keep = asked.columns
-    rows = ranged.select(*keep, "_low", "_high", "offset", "line_bases", "line_width", "virtual_offset")
+    size = list_files(spark, path)[0][1]
+    tasks = max(2 * spark.sparkContext.defaultParallelism, min(-(-size // range_bytes), 50_000))
+    near = F.floor(F.col("_low") / max(1 << 12, size // (4 * tasks)))
+    rows = ranged.select(*keep, "_low", "_high", "offset", "line_bases", "line_width", "virtual_offset").repartition(tasks, near).sortWithinPartitions("_low")
     schema = asked.schema.add("seq", "binary")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open_at(path) as f:
+            recent: dict[int, tuple[int, bytes]] = {}
             for batch in batches:
-                seqs = [read_range(f, r) for r in batch.select(["_low", "_high", "offset", "line_bases", "line_width", "virtual_offset"]).to_pylist()]
+                seqs = [read_range(f, r, recent) for r in batch.select(["_low", "_high", "offset", "line_bases", "line_width", "virtual_offset"]).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(seqs, pa.binary())], [*keep, "seq"])
 
     return rows.mapInArrow(read, schema)
 
 
-def read_range(f, r: dict) -> bytes:
+def _block(f, offset: int, recent: dict[int, tuple[int, bytes]]) -> tuple[int, bytes]:
+    """(where the next block starts, payload) of the block at an offset; a few blocks are kept in `recent`."""
+    if offset not in recent:
+        if len(recent) > 16:
+            recent.clear()
+        got = next(bgzf.read_blocks(f, offset), None)
+        recent[offset] = (offset + len(got[1]), got[2]) if got else (offset, b"")
+    return recent[offset]
+
+
+def read_range(f, r: dict, recent: dict[int, tuple[int, bytes]]) -> bytes:
     """The bases between two byte offsets of the decoded stream, line breaks taken out by the index's widths."""
     n = r["_high"] - r["_low"]
     if n <= 0:
@@ -246,12 +254,15 @@ def read_range(f, r: dict) -> bytes:
         f.seek(r["_low"])
         data = f.read(n)
     else:
-        data, skip = b"", r["virtual_offset"] & 0xFFFF
-        for _, _, payload in bgzf.read_blocks(f, r["virtual_offset"] >> 16):
-            data += payload
-            if len(data) >= skip + n or not payload:
+        skip, at = r["virtual_offset"] & 0xFFFF, r["virtual_offset"] >> 16
+        pieces, held = [], 0
+        while held < skip + n:
+            after, payload = _block(f, at, recent)
+            if not payload:
                 break
-        data = data[skip : skip + n]
+            pieces.append(payload)
+            held, at = held + len(payload), after
+        data = b"".join(pieces)[skip : skip + n]
     if len(data) < n:
         raise OSError("failed to fill whole buffer")
     at, out = (r["_low"] - r["offset"]) % r["line_width"], []
@@ -273,8 +284,8 @@ def chunks(asked: DataFrame, size: int) -> DataFrame:
 
 def reference_chunks(spark: SparkSession, path: str, asked: DataFrame, fai: DataFrame, size: int) -> DataFrame:
     """(name, global_offset, seq) of the chunks of each range; a long reference is never one cell."""
-    check_ranges(asked, fai)
-    return fetch(spark, path, chunks(asked, size), fai).select("name", F.col("start").alias("global_offset"), "seq")
+    whole = check_ranges(asked, fai).select(*asked.columns)
+    return fetch(spark, path, chunks(whole, size), fai).select("name", F.col("start").alias("global_offset"), "seq")
 
 
 def plan_partitions(fai: DataFrame, target: int, overlap: int = 0) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import SequenceFormatError
 from ..functions import packing, records
-from ..sources.scan import RANGE, scan_fastq
+from ..sources.scan import PLAIN, RANGE, Transport, scan_fastq, scan_packed
 
 #: Messages of the formats.
 MISMATCH = "paired FASTQ record identifiers do not match"
@@ -16,13 +15,14 @@ UNPAIRED = "interleaved FASTQ ended with an unpaired record"
 _COLUMNS = ["path", "record_index", "byte_offset", "name", "seq", "plus", "qual"]
 
 
-def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", validate: bool = True, max_record_bytes: int | None = None, range_bytes: int = RANGE) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", validate: bool = True, max_record_bytes: int | None = None, range_bytes: int = RANGE, stream: bool = False, transport: Transport = PLAIN) -> DataFrame:
     """Records of FASTQ files, raw, gzip or block gzip by their magic bytes (FASTQ_SCHEMA; _error if PERMISSIVE).
 
     Without validate only records that are cut short are errors. max_record_bytes limits the bytes of
-    the four lines; there is no limit by default.
+    the four lines; there is no limit by default. With stream the files, by name, are one stream.
+    Nothing is read before a job asks for it.
     """
-    rows = scan_fastq(spark, path, range_bytes)
+    rows = scan_fastq(spark, path, range_bytes, stream, transport)
     error = records.fastq_error() if validate else F.when(F.col("n_lines") < 4, records.fastq_error())
     if max_record_bytes is not None:
         size = F.col("qual_offset") - F.col("byte_offset") + F.octet_length("qual") + 1
@@ -84,12 +84,6 @@ def _checked(pairs: DataFrame, validation: str, mode: str, surplus: str) -> Data
     differ = ~ids_match(F.col("first.name"), F.col("second.name"), validation)
     found = F.when(one, error(surplus, alone)).when(differ, error(MISMATCH, F.col("second")))
     rows = pairs.select("pair_index", records.pair_id("first.name").alias("pair_id"), "first", "second", F.lit("").alias("path"), found.alias("_error"))
-    if mode.upper() == "FAILFAST":
-        e = rows.where("_error is not null").agg(F.min(F.struct("pair_index", "_error")).alias("e")).first().e
-        if e:
-            e = e["_error"]
-            raise SequenceFormatError(e.message, e.byte_offset, e.record_index, e.line_index)
-        return rows.drop("_error", "path")
     return records.with_mode(rows, mode).drop("path")
 
 
@@ -102,11 +96,11 @@ def pack(rows: DataFrame, prefix: str = "") -> DataFrame:
     return rows.withColumn("packed", packing.pack_bases(f"{prefix}seq")).withColumn("quality", packing.summarize_qualities(f"{prefix}qual"))
 
 
-def pack_trusted(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", range_bytes: int = RANGE) -> DataFrame:
-    """Packed records of a stream: always checked, but ids may be empty, and qualities must be Phred+33."""
-    rows = scan_fastq(spark, path, range_bytes)
-    rows = rows.select(*_COLUMNS, F.coalesce(records.fastq_error(trusted=True), records.phred_error()).alias("_error"))
-    return pack(records.with_mode(rows, mode))
+def pack_trusted(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", range_bytes: int = RANGE, stream: bool = False) -> DataFrame:
+    """Packed records of a stream: always checked, but ids may be empty, and qualities must be Phred+33. One pass makes and packs them."""
+    rows = scan_packed(spark, path, range_bytes, stream)
+    error = F.coalesce(records.fastq_error(trusted=True), records.phred_error())
+    return records.with_mode(rows.select(*_COLUMNS, "packed", "quality", error.alias("_error")), mode)
 
 
 def pack_pairs(pairs: DataFrame) -> DataFrame:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import gzip
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import packing, records
 from ..functions.register import register
 from ..operators import fasta, fastq, sam, stats, synthetic
-from ..sources import bgzf
-from ..sources.files import RAW, detect_kinds, open_at, scratch
+from ..sources import bgzf, sinks
+from ..sources.files import detect_kinds, scratch
 from ..sources.scan import bgzf_blocks, scan_lines
-from ..sources.sinks import write_bytes
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -44,7 +41,7 @@ _SCAN_SQL = f"select idx as record_index, name, substr(name, 2) as id_token, seq
 
 
 def _scanned(spark: SparkSession, path: str) -> DataFrame:
-    rows = fastq.read_fastq(spark, path, range_bytes=fx.RANGE)
+    rows = fastq.read_fastq(spark, path, range_bytes=fx.RANGE, stream=True)
     return rows.select("record_index", records.text("name").alias("name"), records.id_token("name").alias("id_token"), records.text("seq").alias("seq"), records.text("qual").alias("qual"))
 
 
@@ -65,11 +62,8 @@ def fastq_scan_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SCAN_SQL)
 def fastq_scan_bgzf_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two block-gzip streams in one file: the first end block ends it."""
-    path = fx.one_file(spark, fx.fastq_file(spark, sf_dir, "bgzf"))
-    with open_at(path) as f:
-        data = f.read()
-    return _scanned(spark, write_bytes(spark, f"{scratch(spark, 'concat')}/two.bgz", data + data))
+    """Two block-gzip streams in each file: the first end block ends it."""
+    return _scanned(spark, fx.rewritten(spark, fx.fastq_file(spark, sf_dir, "bgzf"), "concat", times=2))
 
 
 @query(_SCAN_SQL)
@@ -79,32 +73,29 @@ def fastq_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SCAN_SQL)
 def fastq_no_final_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fx.one_file(spark, fx.fastq_file(spark, sf_dir))
-    with open_at(path) as f:
-        data = f.read()
-    return _scanned(spark, write_bytes(spark, f"{scratch(spark, 'bare')}/bare.fastq", data.removesuffix(b"\n")))
+    return _scanned(spark, fx.rewritten(spark, fx.fastq_file(spark, sf_dir), "bare", drop=1))
 
 
-@query(_SCAN_SQL)
+@query(f"select name, substr(name, 2) as id_token, seq, qual from {READS} r")
 def fastq_bytes_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of a binary cell, by the table function."""
+    """Records of binary cells, a cell for each part of the file, by the table function."""
     register(spark)
     content = spark.read.format("binaryFile").load(fx.fastq_file(spark, sf_dir, "bgzf")).select("content")
     content.createOrReplaceTempView("fastq_content")
     rows = spark.sql("select p.* from fastq_content, lateral fastq_parse(content) p")
-    return rows.select("record_index", records.text("name").alias("name"), records.id_token("name").alias("id_token"), records.text("seq").alias("seq"), records.text("qual").alias("qual"))
+    return rows.select(records.text("name").alias("name"), records.id_token("name").alias("id_token"), records.text("seq").alias("seq"), records.text("qual").alias("qual"))
 
 
 @query(f"select idx as record_index, (sum(length(name) + length(seq) + length(qual) + 5) over (order by idx) - (length(name) + length(seq) + length(qual) + 5))::bigint as byte_offset from {READS} r")
 def fastq_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte offsets of records in the decoded stream of a compressed file."""
-    return fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE).select("record_index", "byte_offset")
+    return fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE, stream=True).select("record_index", "byte_offset")
 
 
 @query(f"select 4 * idx as line_no, name as line from {READS} r")
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header lines with their numbers among all lines."""
-    lines = scan_lines(spark, fx.fastq_file(spark, sf_dir), fx.RANGE).select("line_no", records.text("line").alias("line"))
+    lines = scan_lines(spark, fx.fastq_file(spark, sf_dir), fx.RANGE, stream=True).select("line_no", records.text("line").alias("line"))
     return lines.where("line_no % 4 = 0")
 
 
@@ -120,17 +111,21 @@ _TOTALS = "count(*) as records, sum(length(seq))::bigint as bases, sum(length(qu
 
 @query(f"select {_TOTALS}, {_fold(_STEP)} as checksum from {READS} r")
 def fastq_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.stream_stats(fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir), range_bytes=fx.RANGE))
+    return stats.stream_stats(fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir), range_bytes=fx.RANGE, stream=True))
 
 
 @query(f"select {_TOTALS}, {_fold(f'({_STEP} + {_CANONICAL} + list_sum({_PHREDS}))')} as checksum from {READS} r")
 def fastq_pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.stream_stats(fastq.pack_trusted(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE), packed=True)
+    return stats.stream_stats(fastq.pack_trusted(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE, stream=True), packed=True)
 
 
 #: Defects by key: other prefix, no id, other third line, short qualities.
-_DEFECTS = f"""(select idx, case k % 11 when 0 then concat('>', substr(name, 2)) when 1 then '@ none' else name end as name, seq,
-    case k % 11 when 2 then '-' else '+' end as plus, case k % 11 when 3 then concat(qual, 'I') else qual end as qual, k from {READS} r)"""
+def _defects(reads: str) -> str:
+    return f"""(select {"idx, " if "idx" in reads else ""}case k % 11 when 0 then concat('>', substr(name, 2)) when 1 then '@ none' else name end as name, seq,
+    case k % 11 when 2 then '-' else '+' end as plus, case k % 11 when 3 then concat(qual, 'I') else qual end as qual, k from {reads} r)"""
+
+
+_DEFECTS = _defects(READS)
 
 
 @query(f"""select idx as record_index, case k % 11 when 0 then 'header must start with `@`' when 1 then 'empty FASTQ id' when 2 then 'plus line must start with `+`'
@@ -141,8 +136,8 @@ _DEFECTS = f"""(select idx, case k % 11 when 0 then concat('>', substr(name, 2))
 def fastq_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with the records of a damaged file, and where."""
     fx.load(spark, sf_dir, "orders")
-    bad = spark.sql(f"select * from {_DEFECTS} d").withColumn("value", F.concat_ws("\n", "name", "seq", "plus", "qual"))
-    rows = fastq.read_fastq(spark, fx.written(bad, "damaged"), mode="PERMISSIVE", range_bytes=fx.RANGE)
+    bad = spark.sql(f"select * from {_defects(fx.reads_sql(numbered=False))} d").withColumn("value", F.concat_ws("\n", "name", "seq", "plus", "qual"))
+    rows = fastq.read_fastq(spark, fx.written(bad, "damaged"), mode="PERMISSIVE", range_bytes=fx.RANGE, stream=True)
     return rows.where("_error is not null").select("record_index", "_error.message", "_error.line_index", "_error.byte_offset")
 
 
@@ -204,7 +199,7 @@ def _mates(spark: SparkSession, sf_dir: str, names: str = "name", keep: str = "t
     one = fx.reads(spark, sf_dir, salt="1", prefix="@frag", suffix="/1")
     two = fx.reads(spark, sf_dir, salt="2", prefix="@frag", suffix="/2").where(keep).withColumn("name", F.expr(names))
     paths = [fx.written(x.withColumn("value", fx.fastq_value()), f"r{i}") for i, x in ((1, one), (2, two))]
-    return tuple(fastq.read_fastq(spark, p, range_bytes=fx.RANGE) for p in paths)
+    return tuple(fastq.read_fastq(spark, p, range_bytes=fx.RANGE, stream=True) for p in paths)
 
 
 _PAIR_SQL = f"select a.idx as pair_index, substr(a.name, 2, length(a.name) - 3) as pair_id, a.seq as seq_1, b.seq as seq_2 from {_FIRST} a join {_SECOND} b on a.idx = b.idx"
@@ -246,24 +241,21 @@ def paired_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pair_errors(spark, sf_dir, "none")
 
 
-@query(f"select idx as pair_index, '{fastq.COUNTS}' as message from {_FIRST} a where idx >= (select count(*) // 2 from orders)")
+@query(f"select idx as pair_index, '{fastq.COUNTS}' as message from {_FIRST} a where k > (select max(o_orderkey) // 2 from orders)")
 def paired_count_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of R1 that a shorter R2 leaves alone."""
-    fx.load(spark, sf_dir, "orders")
-    half = spark.table("orders").count() // 2
-    rows = fastq.pair_files(*_mates(spark, sf_dir, keep=f"idx < {half}"), mode="PERMISSIVE")
+    rows = fastq.pair_files(*_mates(spark, sf_dir, keep="k <= (select max(o_orderkey) div 2 from orders)"), mode="PERMISSIVE")
     return rows.where("_error is not null").select("pair_index", "_error.message")
 
 
-def _interleaved(spark: SparkSession, sf_dir: str) -> str:
-    one = fx.reads(spark, sf_dir, salt="1", prefix="@frag", suffix="/1").withColumn("idx", 2 * F.col("idx"))
-    two = fx.reads(spark, sf_dir, salt="2", prefix="@frag", suffix="/2").withColumn("idx", 2 * F.col("idx") + 1)
-    return fx.written(one.union(two).withColumn("value", fx.fastq_value()), "interleaved", "gzip")
+def _interleaved(spark: SparkSession, sf_dir: str, keep: str = "true") -> str:
+    one, two = (fx.reads(spark, sf_dir, salt=m, prefix="@frag", suffix=f"/{m}").withColumn("mate", F.lit(int(m))) for m in "12")
+    return fx.written(one.union(two).where(keep).withColumn("value", fx.fastq_value()), "interleaved", "gzip", ["k", "mate"])
 
 
 @query(_PAIR_SQL)
 def interleaved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(fastq.pair_interleaved(fastq.read_fastq(spark, _interleaved(spark, sf_dir), range_bytes=fx.RANGE)))
+    return _pairs(fastq.pair_interleaved(fastq.read_fastq(spark, _interleaved(spark, sf_dir), range_bytes=fx.RANGE, stream=True)))
 
 
 @query(f"""select pair_index, max(case when m = 1 then packed end) as bases_1, max(case when m = 2 then packed end) as bases_2, max(case when m = 1 then s end) as sum_1, max(case when m = 2 then s end) as sum_2
@@ -284,38 +276,49 @@ def _fasta_rows(rows: DataFrame) -> DataFrame:
 
 @query(_CONTIG_SQL)
 def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fasta_rows(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir), range_bytes=fx.RANGE))
+    return _fasta_rows(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir), range_bytes=fx.RANGE, stream=True))
 
 
 @query(_CONTIG_SQL)
 def fasta_scan_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fasta_rows(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE))
+    return _fasta_rows(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE, stream=True))
 
 
 def _two_line(spark: SparkSession, sf_dir: str) -> str:
     rows = fx.contigs(spark, sf_dir)
-    return fx.written(rows.withColumn("value", F.concat_ws("\n", "name", "seq")), "two-line")
+    return fx.written(rows.withColumn("value", F.concat_ws("\n", "name", "seq")), "two-line", order="c")
 
 
 @query(_CONTIG_SQL)
 def fasta_two_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fasta_rows(fasta.read_two_line_fasta(spark, _two_line(spark, sf_dir), range_bytes=fx.RANGE))
+    return _fasta_rows(fasta.read_two_line_fasta(spark, _two_line(spark, sf_dir), range_bytes=fx.RANGE, stream=True))
 
 
-@query(_CONTIG_SQL)
+@query(f"select name, seq from {CONTIGS} c")
 def fasta_bytes_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of a binary cell, by the table function."""
+    """Records of binary cells, a cell for each part of the file, by the table function."""
     register(spark)
     spark.read.format("binaryFile").load(fx.fasta_file(spark, sf_dir)).select("content").createOrReplaceTempView("fasta_content")
-    return _fasta_rows(spark.sql("select p.* from fasta_content, lateral fasta_parse(content) p"))
+    return _text(spark.sql("select p.name, p.seq from fasta_content, lateral fasta_parse(content) p"), "name", "seq")
+
+
+@query(f"select name, seq, n from {CONTIGS} c, (values (1), (2)) t(n)")
+def fasta_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-line and wrapped files, each read as its shape asks."""
+    parts = [fasta.read_fasta_auto(spark, path, range_bytes=fx.RANGE).select("name", "seq", F.lit(n).alias("n")) for n, path in ((1, _two_line(spark, sf_dir)), (2, fx.fasta_file(spark, sf_dir)))]
+    return _text(parts[0].union(parts[1]), "name", "seq")
 
 
-@query("select * from (values ('a.fa', 'TwoLine'), ('b.fa', 'Multiline'), ('c.fa', 'Multiline'), ('d.fa', 'TwoLine')) t(file, shape)")
+@query(f"""select kind, case when kind = 'two' or lines = 1 then 'TwoLine' else 'Multiline' end as shape, count(*) as files
+    from (select c, count(*) as lines from {LINES} l group by c) t, (values ('two'), ('wrapped')) k(kind) group by 1, 2""")
 def fasta_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of the references, wrapped and on two lines: a file each."""
+    rows = fx.contigs(spark, sf_dir).select("c", F.explode(F.array(F.struct(F.lit("two").alias("kind"), "seq"), F.struct(F.lit("wrapped").alias("kind"), F.array_join("lines", "\n").alias("seq")))).alias("x"), "name")
     top = scratch(spark, "shapes")
-    for name, data in (("a", b">s\nAC\n>t\nTT\n"), ("b", b">s\nAC\nGT\n"), ("c", b">s\nAC\n\n>t\nTT\n"), ("d", b"\n>s\nAC\n")):
-        write_bytes(spark, f"{top}/{name}.fa", data)
-    return fasta.fasta_shape(spark, top).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "shape")
+    files = rows.select(F.col("x.kind").alias("kind"), "c", F.concat_ws("\n", "name", "x.seq").alias("value"))
+    sinks.write_each(files, top, F.concat_ws("-", "kind", F.col("c").cast("string")))
+    seen = fasta.fasta_shape(spark, top).select(F.regexp_extract("path", r"([a-z]+)-[0-9]+$", 1).alias("kind"), "shape")
+    return seen.groupBy("kind", "shape").agg(F.count("*").alias("files"))
 
 
 _A5_SQL = f"""with l as (select count(*) as records, sum(length(seq))::bigint as bases,
@@ -326,17 +329,17 @@ select records, bases, cast(list_reduce(xs, lambda x, y: struct_pack(
 
 @query(_A5_SQL)
 def fasta_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.fasta_stats(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir), range_bytes=fx.RANGE))
+    return stats.fasta_stats(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir), range_bytes=fx.RANGE, stream=True))
 
 
 @query(_A5_SQL)
 def fasta_two_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.fasta_stats(fasta.read_two_line_fasta(spark, _two_line(spark, sf_dir), range_bytes=fx.RANGE))
+    return stats.fasta_stats(fasta.read_two_line_fasta(spark, _two_line(spark, sf_dir), range_bytes=fx.RANGE, stream=True))
 
 
 @query(f"select count(*) as records, sum(length(seq))::bigint as bases, 0::bigint as qualities, sum(length(name))::bigint as name_bytes, {_fold(_STEP)} as checksum from {CONTIGS} c")
 def fasta_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.stream_stats(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir, "gzip"), range_bytes=fx.RANGE))
+    return stats.stream_stats(fasta.read_fasta(spark, fx.fasta_file(spark, sf_dir, "gzip"), range_bytes=fx.RANGE, stream=True))
 
 
 FAI = f"""(select idx as ref_index, substr(name, 2) as name, length(seq) as len,
@@ -345,7 +348,7 @@ _FAI_SQL = f'select ref_index, name, len, "offset", line_bases, line_width from
 
 
 def _index(spark: SparkSession, sf_dir: str, transport: str = "raw") -> tuple[str, DataFrame]:
-    path = fx.one_file(spark, fx.fasta_file(spark, sf_dir, transport))
+    path = fx.one_file(spark, fx.fasta_file(spark, sf_dir, transport, files=1))  # an index is of one file
     return path, fasta.build_fai(spark, path, fx.RANGE)
 
 
@@ -364,7 +367,7 @@ def fai_bgzf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fai_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index, written as .fai and read again."""
     lines = fasta.fai_lines(_index(spark, sf_dir)[1])
-    return fasta.read_fai(spark, fx.one_file(spark, fx.written(lines, "fai", order="ref_index")))
+    return fasta.read_fai(spark, fx.one_file(spark, fx.written(lines, "fai", order="ref_index", files=1)))
 
 
 @query(f'select name, len // 2 as pos, "offset" + (len // 2) // line_bases * line_width + (len // 2) % line_bases as at from {FAI} f')
@@ -431,19 +434,19 @@ _BYTES = f"(select sum(length(name) + length(seq) + length(qual) + 5)::bigint as
 
 @query(f"select i as block_index, i * {bgzf.PAYLOAD} as uncompressed_offset, least({bgzf.PAYLOAD}, n - i * {bgzf.PAYLOAD}) as uncompressed_size from (select n, unnest(range(0, (n + {bgzf.PAYLOAD - 1}) // {bgzf.PAYLOAD})) as i from {_BYTES} b)")
 def bgzf_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE).select("block_index", "uncompressed_offset", "uncompressed_size")
+    return bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf", files=1), range_bytes=fx.RANGE).select("block_index", "uncompressed_offset", "uncompressed_size")
 
 
 @query(f"select (n + {bgzf.PAYLOAD - 1}) // {bgzf.PAYLOAD} as blocks, n as uncompressed_len from {_BYTES} b")
 def bgzf_index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE)
+    blocks = bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf", files=1), range_bytes=fx.RANGE)
     return blocks.agg(F.count("*").alias("blocks"), F.sum("uncompressed_size").alias("uncompressed_len"))
 
 
 @query(f"select pos, case when pos < n then pos // {bgzf.PAYLOAD} end as block_index, case when pos < n then pos % {bgzf.PAYLOAD} end as in_block from (select o_orderkey * 37 as pos from orders) o, {_BYTES} b")
 def bgzf_virtual_offset_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offsets of the decoded stream as block and place."""
-    blocks = bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf"), range_bytes=fx.RANGE)
+    blocks = bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf", files=1), range_bytes=fx.RANGE)
     fx.load(spark, sf_dir, "orders")
     asked = spark.table("orders").select((F.col("o_orderkey") * 37).alias("pos"))
     got = fasta.with_virtual_offset(asked, blocks, "pos")
@@ -458,12 +461,14 @@ def virtual_offset_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select k, raw, virtual_offset_block(raw) as compressed_offset, virtual_offset_within(raw) as in_block from (select o_orderkey as k, virtual_offset(o_orderkey, o_orderkey % 65536) as raw from orders)")
 
 
-@query(f"select md5(string_agg(name || chr(10) || seq || chr(10) || '+' || chr(10) || qual || chr(10), '' order by idx)) as digest, sum(length(name) + length(seq) + length(qual) + 5)::bigint as bytes from {READS} r")
+_WHOLE = f"(select string_agg(name || chr(10) || seq || chr(10) || '+' || chr(10) || qual || chr(10), '' order by idx) as t, sum(length(name) + length(seq) + length(qual) + 5)::bigint as n from {READS} r)"
+
+
+@query(f"select i as block_index, md5(substr(t, (i * {bgzf.PAYLOAD} + 1)::int, {bgzf.PAYLOAD})) as digest from (select t, unnest(range(0, (n + {bgzf.PAYLOAD - 1}) // {bgzf.PAYLOAD})) as i from {_WHOLE} w)")
 def bgzf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All decoded blocks in order are what was written."""
-    blocks = bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf"), decode=True, range_bytes=fx.RANGE)
-    whole = blocks.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_index", records.text("data").alias("t")))), lambda x: x["t"]), "").alias("t"))
-    return whole.select(F.md5(F.encode("t", "ISO-8859-1")).alias("digest"), F.length("t").cast("long").alias("bytes"))
+    """The decoded blocks are what was written, block by block."""
+    blocks = bgzf_blocks(spark, fx.fastq_file(spark, sf_dir, "bgzf", files=1), decode=True, range_bytes=fx.RANGE)
+    return blocks.select("block_index", F.md5("data").alias("digest"))
 
 
 @query(f"select count(*) as records, sum(length(seq))::bigint as bases, 0::bigint as qualities, sum(length(name) - 1)::bigint as name_bytes, {_fold(_STEP)} as checksum from {READS} r where k % 5 <> 0")
@@ -471,7 +476,7 @@ def sam_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.reads(spark, sf_dir)
     seq = F.when(F.col("k") % 5 == 0, "*").otherwise(F.col("seq"))
     value = F.concat_ws("\t", F.substr("name", F.lit(2)), F.lit("4\t*\t0\t0\t*\t*\t0\t0"), seq, F.lit("*"))
-    lines = rows.select("idx", value.alias("value")).union(spark.createDataFrame([(-1, "@HD\tVN:1.6")], "idx bigint, value string"))
+    lines = rows.select("k", value.alias("value")).union(spark.createDataFrame([(-1, "@HD\tVN:1.6")], "k bigint, value string"))
     return stats.stream_stats(sam.read_sam(spark, fx.written(lines, "sam")))
 
 
@@ -485,12 +490,11 @@ def synthetic_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.synthetic_fasta(spark, 1000, 150)
 
 
-@query("select * from (values ('a.bin', 'raw'), ('b.txt', 'gzip'), ('c.gz', 'bgzf'), ('d', 'raw')) t(file, kind)")
+@query("select * from (values ('raw', 'raw'), ('gzip', 'gzip'), ('bgzf', 'bgzf')) t(made, kind)")
 def detect_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = scratch(spark, "kinds")
-    for name, data in (("a.bin", b"@r\nA\n+\nI\n"), ("b.txt", gzip.compress(b"x")), ("c.gz", bgzf.compress(b"x")), ("d", RAW.encode())):
-        write_bytes(spark, f"{top}/{name}", data)
-    return detect_kinds(spark, top).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "kind")
+    """Transports of the reads' files by their first bytes, whatever they are called."""
+    rows = [detect_kinds(spark, fx.fastq_file(spark, sf_dir, t)).select(F.lit(t).alias("made"), "kind") for t in ("raw", "gzip", "bgzf")]
+    return rows[0].union(rows[1]).union(rows[2]).distinct()
 
 
 __all__ = ["QUERIES", "SQL"]

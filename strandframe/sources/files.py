@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +30,17 @@ def is_bgzf_header(b: bytes) -> bool:
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]:
-    """(path, bytes) of the files that a path, folder or pattern names, as Spark lists them; hidden files are left out."""
+    """(path, bytes) of the files that a path, folder (with those in it) or pattern names, as Spark lists them; hidden files are left out."""
     jvm, found = spark._jvm, []
+
+    def add(fs, status) -> None:
+        if not status.isDirectory():
+            found.append((status.getPath().toString(), status.getLen()))
+            return
+        for e in fs.listStatus(status.getPath()):
+            if e.getPath().getName()[0] not in "._":
+                add(fs, e)
+
     for p in [path] if isinstance(path, str) else path:
         root = jvm.org.apache.hadoop.fs.Path(p)
         fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -36,20 +48,25 @@ def list_files(spark: SparkSession, path: str | list[str]) -> list[tuple[str, in
         if not got:
             raise FileNotFoundError(p)
         for status in got:
-            entries = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-            for e in entries:
-                if not e.isDirectory() and e.getPath().getName()[0] not in "._":
-                    found.append((e.getPath().toString(), e.getLen()))
+            add(fs, status)
     return sorted(found)
 
 
+def file_system(path: str):
+    """(pyarrow's file system, name in it) of a path or URI."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme != "file" and "/" not in scheme:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), "/" + rest.lstrip("/") if colon and scheme == "file" else path
+
+
 def open_at(path: str, offset: int = 0) -> BinaryIO:
     """The file from an offset on; paths with a scheme other than file: by pyarrow's file systems."""
     scheme, colon, rest = path.partition(":")
     if colon and scheme not in ("file",) and "/" not in scheme:
-        from pyarrow import fs
-
-        system, name = fs.FileSystem.from_uri(path)
+        system, name = file_system(path)
         f = system.open_input_file(name)
     else:
         f = open("/" + rest.lstrip("/") if colon and scheme == "file" else path, "rb")
@@ -60,20 +77,30 @@ def open_at(path: str, offset: int = 0) -> BinaryIO:
 def detect_kinds(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, size, kind) of each file, from its first 18 bytes."""
 
-    @F.udf("string")
-    def sniff(p: str) -> str:
-        with open_at(p) as f:
-            return kind_of(f.read(PREFIX))
+    @F.arrow_udf("string")
+    def sniff(paths: pa.Array) -> pa.Array:
+        out = []
+        for p in paths.to_pylist():
+            with open_at(p) as f:
+                out.append(kind_of(f.read(PREFIX)))
+        return pa.array(out, pa.string())
 
     files = spark.createDataFrame(list_files(spark, path) or [], "path string, size bigint")
     return files.withColumn("kind", sniff("path"))
 
 
+@cache
+def _local() -> str:
+    top = tempfile.mkdtemp(prefix="strandframe-")
+    atexit.register(shutil.rmtree, top, ignore_errors=True)
+    return top
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors see: under spark.checkpoint.dir, or the local temp folder where Spark runs in one process."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = os.path.join(tempfile.gettempdir(), "strandframe")
+        top = _local()
     return f"{top}/{name}-{uuid.uuid4().hex}"

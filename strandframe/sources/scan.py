@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,31 +18,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..errors import BgzfError
-from ..schema import FASTA_SCAN_SCHEMA, FASTQ_SCAN_SCHEMA, LINE_SCHEMA
+from ..errors import BgzfError, SequenceFormatError
+from ..schema import FASTA_SCAN_SCHEMA, FASTQ_PACKED_SCHEMA, FASTQ_SCAN_SCHEMA, LINE_SCHEMA
+from ..functions import packing
 from . import bgzf
-from .files import BGZF, GZIP, PREFIX, kind_of, list_files, open_at
+from .files import BGZF, GZIP, PREFIX, RAW, kind_of, list_files, open_at
 
 RANGE = 64 << 20
 CHUNK = 4 << 20
+#: Tasks of a scan at most; a task of more than one range takes them one after the other.
+MOST_TASKS = 50_000
+#: Bytes that one buffer, and so one record, may have.
+MOST_BYTES = (1 << 31) - 1 - 2 * CHUNK
+#: Stands for the decoded size of a file that is one range and needn't be measured.
+WHOLE = 1 << 62
 _NL, _CR, _GT = 10, 13, 62
 
 
-def ranges(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE) -> DataFrame:
-    """(path, size, start, end) of all ranges; a task gets one or more of them."""
-    files = spark.createDataFrame(list_files(spark, path), "path string, size bigint")
+class Transport(NamedTuple):
+    """How bytes are decoded. decode: compressed input is, else all files are taken as they are. single: a gzip file has one member.
+
+    max_in, max_out: most compressed and decoded bytes of a gzip file.
+    """
+
+    decode: bool = True
+    single: bool = False
+    max_in: int | None = None
+    max_out: int | None = None
+
+
+PLAIN = Transport()
+
+
+def _tasks(spark: SparkSession, found: list[tuple[str, int]], range_bytes: int) -> int:
+    """Tasks for files of these sizes: one for each range's worth of bytes, of 8 MB at least, or one for each core while there are ranges enough."""
+    n_ranges = sum(max(1, -(-size // range_bytes)) for _, size in found)
+    by_bytes = -(-sum(size for _, size in found) // max(range_bytes, 8 << 20))
+    return max(1, min(n_ranges, max(by_bytes, spark.sparkContext.defaultParallelism), MOST_TASKS))
+
+
+def _cut(files: DataFrame, range_bytes: int) -> DataFrame:
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start")
-    cut = files.select("path", "size", at).withColumn("end", F.least("size", F.col("start") + range_bytes))
-    return cut.repartition(F.col("path"), F.col("start"))
+    return files.select("path", "size", at).withColumn("end", F.least("size", F.col("start") + range_bytes))
+
+
+def ranges(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE) -> DataFrame:
+    """(path, size, start, end) of all ranges, dealt in turn to a number of tasks that follows from the bytes: the rows are tiny, so adaptive execution mustn't join them."""
+    found = list_files(spark, path)
+    return _cut(spark.createDataFrame(found, "path string, size bigint"), range_bytes).repartition(_tasks(spark, found, range_bytes))
 
 
 class Range:
     """Decoded bytes from the first that a range holds on, past its end as far as they are asked for."""
 
-    def __init__(self, path: str, size: int, start: int, end: int, stop: int | None = None) -> None:
-        self.path, self.size, self.start, self.end, self.stop = path, size, start, end, stop
+    def __init__(self, path: str, size: int, start: int, end: int, transport: Transport = PLAIN) -> None:
+        self.path, self.size, self.start, self.end, self.transport = path, size, start, end, transport
         self.file = open_at(path)
-        self.kind = kind_of(self.file.read(PREFIX))
+        self.kind = kind_of(self.file.read(PREFIX)) if transport.decode else RAW
 
     def close(self) -> None:
         self.file.close()
@@ -50,7 +83,7 @@ class Range:
         """(bytes, whether they lie in the range). Plain gzip is one range, the first of its file."""
         if self.kind == GZIP:
             if self.start == 0:
-                for part in gunzip(self.file):
+                for part in gunzip(self.file, *self.transport[1:]):
                     yield part, True
             return
         if self.kind == BGZF:
@@ -77,8 +110,10 @@ class Range:
                 return
             left -= len(part)
             yield part, True
-        while part := self.file.read(CHUNK):
+        more = 1 << 16  # past the end mostly a part of one record is needed
+        while part := self.file.read(more):
             yield part, False
+            more = min(CHUNK, 2 * more)
 
     def _ends(self, offset: int) -> bool:
         """Whether the block is the end block; empty blocks of other makes are none."""
@@ -128,97 +163,133 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(decode_gzip: bool, transport: Transport) -> Callable:
     """What a range holds: decoded bytes, newlines, header lines that begin after a newline, and how it begins and ends.
 
-    stop: offset of the end block of a block-gzip file, if it lies in the range.
+    stop: offset of the end block of a block-gzip file, if it lies in the range. A plain gzip file is
+    one range, so nothing follows that needs its counts: it isn't decoded unless they are asked for.
     """
-    for r in _each(batches):
-        source = Range(r["path"], r["size"], r["start"], r["end"])
-        n = lines = headers = 0
-        first, last, pending, stop = None, None, False, None
-        for part, own in source.chunks():
-            if not part:
-                continue
-            if pending and part[0] == _GT:
-                headers += 1
-            pending = False
-            if not own:
-                break
-            b = np.frombuffer(part, dtype=np.uint8)
-            at = np.flatnonzero(b == _NL)
-            lines += len(at)
-            after = at[at + 1 < len(b)] + 1
-            headers += int((b[after] == _GT).sum())
-            pending = bool(b[-1] == _NL)
-            first = int(b[0]) if first is None else first
-            last = int(b[-1])
-            n += len(b)
-        if source.kind == BGZF:
-            at = bgzf.first_block(source.file, r["start"], r["size"])
-            if at is not None:
-                for offset, size, out in bgzf.hop(source.file, at, r["end"]):
-                    if out == 0 and size == len(bgzf.EOF_BLOCK) and source._ends(offset):
-                        stop = offset
-                        break
-        source.close()
-        row = {**r, "bytes": n, "newlines": lines, "headers": headers, "first": first, "last": last, "stop": stop}
-        yield pa.RecordBatch.from_pylist([row], schema=_MEASURED)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _each(batches):
+            source = Range(r["path"], r["size"], r["start"], r["end"], transport)
+            n = lines = headers = 0
+            first, last, pending, stop = None, None, False, None
+            skip = source.kind == GZIP and not decode_gzip
+            if skip:
+                n = WHOLE if r["start"] == 0 else 0
+            for part, own in () if skip else source.chunks():
+                if not part:
+                    continue
+                if pending and part[0] == _GT:
+                    headers += 1
+                pending = False
+                if not own:
+                    break
+                lines += part.count(b"\n")
+                headers += part.count(b"\n>")
+                pending = part[-1] == _NL
+                first = part[0] if first is None else first
+                last = part[-1]
+                n += len(part)
+            if source.kind == BGZF:
+                at = bgzf.first_block(source.file, r["start"], r["size"])
+                if at is not None:
+                    for offset, size, out in bgzf.hop(source.file, at, r["end"]):
+                        if out == 0 and size == len(bgzf.EOF_BLOCK) and source._ends(offset):
+                            stop = offset
+                            break
+            source.close()
+            row = {**r, "bytes": n, "newlines": lines, "headers": headers, "first": first, "last": last, "stop": stop}
+            yield pa.RecordBatch.from_pylist([row], schema=_MEASURED)
+
+    return measure
 
 
 _MEASURED = pa.schema([("path", pa.string()), ("size", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("bytes", pa.int64()), ("newlines", pa.int64()), ("headers", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("stop", pa.int64())])
 _MEASURED_DDL = "path string, size bigint, start bigint, end bigint, bytes bigint, newlines bigint, headers bigint, first int, last int, stop bigint"
+_NUMBERED = ["path", "size", "start", "end", "bytes", "byte0", "line0", "record0", "byte_base", "line_base", "fastq_base", "fasta_base"]
 
 
-def numbered(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE) -> DataFrame:
-    """Ranges with the numbers of the bytes, lines and FASTA records that start before them: (path, size, start, end, byte0, line0, record0, total).
+def numbered(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE, stream: bool = False, transport: Transport = PLAIN) -> DataFrame:
+    """Ranges with the numbers of the bytes, lines and FASTA records that start before them in their file: byte0, line0, record0.
 
-    One row a range; running sums are over the ranges of a file. Block-gzip ranges after the first end block are left out.
+    Running sums are over ranges. Files of one range aren't measured: nothing in them comes before.
+    Block-gzip ranges after the first end block are left out. With `stream` the files, in the order of
+    their names, are one stream: *_base are the numbers of bytes, lines and records in the files before.
     """
-    found = ranges(spark, path, range_bytes).mapInArrow(_measure, _MEASURED_DDL)
-    order = W.partitionBy("path").orderBy("start")
-    before, whole = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("path")
-    found = found.withColumn("eof", F.min("stop").over(whole)).where("eof is null or start <= eof").where("bytes > 0")
-    total = F.sum("bytes").over(whole)
-    run = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0).cast("long"))
-    found = found.select("*", run("bytes").alias("byte0"), total.alias("total"))
+    found = [f for f in list_files(spark, path) if f[1]]
+    tasks = _tasks(spark, found, range_bytes)
+    zero = F.lit(0).cast("long")
+    alone = [] if stream else [f for f in found if f[1] <= range_bytes]
+    cut = found if stream else [f for f in found if f[1] > range_bytes]
+    none = [zero.alias(c) for c in _NUMBERED[-4:]]
+    whole = spark.createDataFrame(alone, "path string, size bigint").select("path", "size", zero.alias("start"), F.col("size").alias("end"), F.lit(WHOLE).cast("long").alias("bytes"), zero.alias("byte0"), zero.alias("line0"), zero.alias("record0"), *none)
+    if not cut:
+        return whole.repartition(tasks)
+    seen = _cut(spark.createDataFrame(cut, "path string, size bigint"), range_bytes).repartition(_tasks(spark, cut, range_bytes)).mapInArrow(_measure(stream, transport), _MEASURED_DDL)
+    order, file = W.partitionBy("path").orderBy("start"), W.partitionBy("path")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    seen = seen.withColumn("eof", F.min("stop").over(file)).where("eof is null or start <= eof").where("bytes > 0")
+    run = lambda c: F.coalesce(F.sum(c).over(before), zero)
+    seen = seen.withColumn("byte0", run("bytes")).withColumn("total", F.sum("bytes").over(file))
     opens = (F.col("byte0") == 0).cast("long")
     closes = ((F.col("byte0") + F.col("bytes") == F.col("total")) & (F.col("last") == _NL)).cast("long")
-    own_lines = F.col("newlines") + opens - closes
-    own_records = F.col("headers") + opens * (F.col("first") == _GT).cast("long")
-    found = found.withColumn("own_lines", own_lines).withColumn("own_records", own_records)
-    return found.select("path", "size", "start", "end", "eof", "bytes", "byte0", "total", run("own_lines").alias("line0"), run("own_records").alias("record0"))
+    seen = seen.withColumn("own_lines", F.col("newlines") + opens - closes).withColumn("own_records", F.col("headers") + opens * (F.col("first") == _GT).cast("long"))
+    seen = seen.withColumn("line0", run("own_lines")).withColumn("record0", run("own_records"))
+    if stream:
+        sums = seen.groupBy("path").agg(F.sum("bytes").alias("byte_base"), F.sum("own_lines").alias("line_base"), F.ceil(F.sum("own_lines") / 4).alias("fastq_base"), F.sum("own_records").alias("fasta_base"))
+        files = W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)  # a row for each file
+        sums = sums.select("path", *[F.coalesce(F.sum(c).over(files), zero).alias(c) for c in _NUMBERED[-4:]])
+        seen = seen.join(sums, "path")
+    else:
+        seen = seen.select("*", *none)
+    seen = seen.select(*_NUMBERED)
+    return (seen.union(whole) if alone else seen).repartition(tasks)
 
 
 class _Reader:
     """Whole lines of a range, from the first that it owns, as buffers with the offset of their first byte."""
 
-    def __init__(self, r: dict) -> None:
-        self.r, self.source = r, Range(r["path"], r["size"], r["start"], r["end"])
+    def __init__(self, r: dict, transport: Transport) -> None:
+        self.r, self.source = r, Range(r["path"], r["size"], r["start"], r["end"], transport)
         self.own_end = r["byte0"] + r["bytes"]  # lines that start here or before are owned
 
-    def buffers(self, needed: Callable[[bytes], int]) -> Iterator[tuple[bytes, int, bool]]:
-        """(buffer, offset, last): `needed` tells how many bytes of a buffer were used; the others come again, with more."""
-        carry, offset = b"", self.r["byte0"]
+    def buffers(self, step: Callable[[bytes, int, bool], int]) -> Iterator[int]:
+        """Calls step(buffer, offset, last), which tells how many bytes it has used; the others come again, with at least as many more.
+
+        So a record that fills many buffers is looked at in sizes that double, not anew for each part.
+        """
+        pieces: list[bytes] = []
+        held, least, offset = 0, 0, self.r["byte0"]
         skip = offset > 0
         for part, _ in self.source.chunks():
-            carry += part
             if skip:
-                at = carry.find(b"\n")
+                at = part.find(b"\n")
                 if at < 0:
-                    offset += len(carry)
-                    carry = b""
+                    offset += len(part)
                     continue
                 offset += at + 1
-                carry, skip = carry[at + 1 :], False
+                part, skip = part[at + 1 :], False
             if offset > self.own_end:
                 return
-            used = needed(carry, offset, False)
+            pieces.append(part)
+            held += len(part)
+            if held > MOST_BYTES:
+                raise SequenceFormatError("a record of 2 GiB or more is read by an index, in chunks", offset, self.r["record0"], 0)
+            if held < least:
+                continue
+            carry = pieces[0] if len(pieces) == 1 else b"".join(pieces)
+            used = step(carry, offset, False)
             yield used
             offset += used
-            carry = carry[used:]
-        if not skip and carry and offset <= self.own_end:
-            needed(carry, offset, True)
+            if offset > self.own_end:
+                return
+            pieces = [carry[used:]]
+            held = len(pieces[0])
+            least = 2 * held
+        if not skip and held and offset <= self.own_end:
+            yield step(b"".join(pieces), offset, True)
 
 
 def _line_ends(buf: bytes, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,10 +316,10 @@ def _slices(buf: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return gaps.take(pa.array(np.arange(0, 2 * len(starts), 2)))
 
 
-def _run(read: Callable[[dict, list], Callable], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run(read: Callable[[dict, list], Callable], batches: Iterator[pa.RecordBatch], transport: Transport = PLAIN) -> Iterator[pa.RecordBatch]:
     for r in _each(batches):
         out: list[pa.RecordBatch] = []
-        reader = _Reader(r)
+        reader = _Reader(r, transport)
         step = read(reader, out)
         for _ in reader.buffers(step):
             yield from out
@@ -262,7 +333,8 @@ def _batch(schema: list[str], columns: list) -> pa.RecordBatch:
 
 
 def _lines(reader: _Reader, out: list) -> Callable:
-    state = {"line": reader.r["line0"]}
+    state = {"line": reader.r["line0"] + reader.r.get("line_base", 0)}
+    base = reader.r.get("byte_base", 0)
     names = ["path", "line_no", "byte_offset", "width", "line"]
 
     def step(buf: bytes, offset: int, last: bool) -> int:
@@ -273,15 +345,47 @@ def _lines(reader: _Reader, out: list) -> Callable:
             s, e, a = starts[:own], ends[:own], after[:own]
             numbers = state["line"] + np.arange(own)
             state["line"] += own
-            out.append(_batch(names, [pa.array([reader.r["path"]] * own, pa.string()), numbers, s + offset, a - s, _slices(buf, s, e)]))
+            out.append(_batch(names, [pa.array([reader.r["path"]] * own, pa.string()), numbers, s + (offset + base), a - s, _slices(buf, s, e)]))
         return int(after[-1]) if len(after) else 0
 
     return step
 
 
+#: Bytes that end an id.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\f\r"))
+
+
+def _faults(buf: bytes, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """What is wrong with whole records, by the starts and ends of their four lines (see FASTQ_SCAN_SCHEMA)."""
+    b = np.frombuffer(buf, dtype=np.uint8)
+    at = lambda i: b[np.minimum(i, len(b) - 1)]
+    width = e - s
+    # an id stands after one @ or >, if there is one
+    named = s[:, 0] + np.isin(at(s[:, 0]), [ord("@"), _GT]) * (width[:, 0] > 0)
+    out = 2 * ((width[:, 0] == 0) | (at(s[:, 0]) != ord("@"))) + 4 * ((named >= e[:, 0]) | _BLANK[at(named)])
+    return (out + 8 * ((width[:, 2] == 0) | (at(s[:, 2]) != ord("+"))) + 16 * (width[:, 1] != width[:, 3])).astype(np.int32)
+
+
+def _packed(reader: _Reader, out: list) -> Callable:
+    """Records with their packed bases and qualities summed up, made in the same pass."""
+    found: list[pa.RecordBatch] = []
+    step = _fastq(reader, found)
+
+    def packed(buf: bytes, offset: int, last: bool) -> int:
+        used = step(buf, offset, last)
+        for b in found:
+            qual = b.column("qual")
+            out.append(_batch([*b.schema.names, "packed", "quality", "bad_phred"], [*b.columns, packing.packed_array(b.column("seq")), packing.quality_array(qual), packing.first_bad_phred(qual)]))
+        found.clear()
+        return used
+
+    return packed
+
+
 def _fastq(reader: _Reader, out: list) -> Callable:
-    state = {"skip": -reader.r["line0"] % 4, "record": -(-reader.r["line0"] // 4)}
-    names = ["path", "record_index", "byte_offset", "name", "seq", "plus", "qual", "plus_offset", "qual_offset", "n_lines"]
+    state = {"skip": -reader.r["line0"] % 4, "record": -(-reader.r["line0"] // 4) + reader.r.get("fastq_base", 0)}
+    base = reader.r.get("byte_base", 0)
+    names = ["path", "record_index", "byte_offset", "name", "seq", "plus", "qual", "plus_offset", "qual_offset", "n_lines", "faults"]
 
     def step(buf: bytes, offset: int, last: bool) -> int:
         starts, ends, after = _line_ends(buf, last)
@@ -298,13 +402,13 @@ def _fastq(reader: _Reader, out: list) -> Callable:
             numbers = state["record"] + np.arange(own)
             state["record"] += own
             cells = [_slices(buf, s[:, k], e[:, k]) for k in range(4)]
-            out.append(_batch(names, [pa.array([path] * own, pa.string()), numbers, s[:, 0] + offset, *cells, s[:, 2] + offset, s[:, 3] + offset, np.full(own, 4, np.int32)]))
+            out.append(_batch(names, [pa.array([path] * own, pa.string()), numbers, s[:, 0] + (offset + base), *cells, s[:, 2] + (offset + base), s[:, 3] + (offset + base), np.full(own, 4, np.int32), _faults(buf, s, e)]))
         rest = starts[4 * whole :]
         if last and own == whole and len(rest) and rest[0] + offset <= reader.own_end:
             cells = [buf[starts[i] : ends[i]] for i in range(4 * whole, len(starts))] + [None] * (4 - len(rest))
-            row = [[path], [state["record"]], [int(rest[0]) + offset], *[pa.array([c], pa.binary()) for c in cells]]
-            place = [int(rest[k]) + offset if len(rest) > k else None for k in (2, 3)]
-            out.append(_batch(names, [*row, *[pa.array([p], pa.int64()) for p in place], np.array([len(rest)], np.int32)]))
+            row = [[path], [state["record"]], [int(rest[0]) + offset + base], *[pa.array([c], pa.binary()) for c in cells]]
+            place = [int(rest[k]) + offset + base if len(rest) > k else None for k in (2, 3)]
+            out.append(_batch(names, [*row, *[pa.array([p], pa.int64()) for p in place], np.array([len(rest)], np.int32), np.array([1], np.int32)]))
         if own < whole:
             return len(buf)  # what follows belongs to the next range: nothing more is needed
         return int(after[4 * whole - 1]) if whole else dropped
@@ -312,8 +416,38 @@ def _fastq(reader: _Reader, out: list) -> Callable:
     return step
 
 
+def _two_line(reader: _Reader, out: list) -> Callable:
+    """Lines in pairs, as they come: (path, record_index, byte_offset, name, seq, seq_offset, n_lines)."""
+    state = {"skip": reader.r["line0"] % 2, "record": -(-reader.r["line0"] // 2) + reader.r.get("line_base", 0) // 2}
+    base = reader.r.get("byte_base", 0)
+    names = ["path", "record_index", "byte_offset", "name", "seq", "seq_offset", "n_lines"]
+
+    def step(buf: bytes, offset: int, last: bool) -> int:
+        starts, ends, after = _line_ends(buf, last)
+        drop = min(state["skip"], len(starts))
+        state["skip"] -= drop
+        dropped = int(after[drop - 1]) if drop else 0
+        starts, ends, after = starts[drop:], ends[drop:], after[drop:]
+        whole = len(starts) // 2
+        own = int(np.searchsorted(starts[: 2 * whole : 2], reader.own_end - offset, side="right"))
+        numbers = state["record"] + np.arange(own)
+        state["record"] += own
+        path = pa.array([reader.r["path"]], pa.string())
+        if own:
+            s, e = starts[: 2 * own].reshape(-1, 2), ends[: 2 * own].reshape(-1, 2)
+            out.append(_batch(names, [path.take(pa.array(np.zeros(own, np.int8))), numbers, s[:, 0] + (offset + base), *[_slices(buf, s[:, k], e[:, k]) for k in range(2)], s[:, 1] + (offset + base), np.full(own, 2, np.int32)]))
+        if last and own == whole and len(starts) % 2 and starts[-1] + offset <= reader.own_end:
+            out.append(_batch(names, [path, [state["record"]], [int(starts[-1]) + offset + base], pa.array([buf[starts[-1] : ends[-1]]], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), np.array([1], np.int32)]))
+        if own < whole:
+            return len(buf)
+        return int(after[2 * whole - 1]) if whole else dropped
+
+    return step
+
+
 def _fasta(reader: _Reader, out: list) -> Callable:
-    state = {"record": reader.r["record0"], "open": reader.r["byte0"] == 0}
+    state = {"record": reader.r["record0"] + reader.r.get("fasta_base", 0), "open": reader.r["byte0"] == 0}
+    base = reader.r.get("byte_base", 0)
     names = ["path", "record_index", "byte_offset", "name", "seq", "n_lines"]
 
     def step(buf: bytes, offset: int, last: bool) -> int:
@@ -330,7 +464,7 @@ def _fasta(reader: _Reader, out: list) -> Callable:
             before = np.flatnonzero(full[: at[0]] if len(at) else full)
             if len(before):
                 i = before[0]
-                out.append(_batch(names, [[path], [state["record"]], [int(starts[i]) + offset], pa.array([None], pa.binary()), pa.array([buf[starts[i] : ends[i]]], pa.binary()), np.array([0], np.int32)]))
+                out.append(_batch(names, [[path], [state["record"]], [int(starts[i]) + offset + base], pa.array([None], pa.binary()), pa.array([buf[starts[i] : ends[i]]], pa.binary()), np.array([0], np.int32)]))
                 state["open"] = False
             elif len(at):
                 state["open"] = False
@@ -340,20 +474,23 @@ def _fasta(reader: _Reader, out: list) -> Callable:
         own = done[starts[done] + offset <= reader.own_end]
         if len(own):
             stop = np.append(at, len(starts))[1:][: len(own)]
-            keep = np.zeros(len(b) + 1, dtype=np.int32)
-            body = full & ~head
-            keep[starts[body]] += 1
-            keep[ends[body]] -= 1
-            mask = np.cumsum(keep[:-1]) > 0
-            kept = np.concatenate([[0], np.cumsum(mask)])
-            data = b[mask].tobytes()
-            lo, hi = kept[starts[own]], kept[after[stop - 1]]
-            lines = np.concatenate([[0], np.cumsum(body)])
+            low, high = int(starts[own[0]]), int(after[stop[-1] - 1])
+            # a byte of memory for each byte of text: headers and line breaks are taken out
+            turns = np.zeros(high - low + 1, dtype=np.int8)
+            turns[starts[own] - low] = 1
+            turns[ends[own] - low] -= 1
+            keep = np.cumsum(turns[:-1], dtype=np.int8) == 0
+            e, a = ends[own[0] : stop[-1]] - low, after[own[0] : stop[-1]] - low
+            keep[a[a > e] - 1] = False
+            keep[a[a > e + 1] - 2] = False
+            sizes = np.add.reduceat(keep.view(np.uint8), starts[own] - low, dtype=np.int64)
+            cells = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lines = np.concatenate([[0], np.cumsum(full & ~head)])
             n_lines = lines[stop] - lines[own]
             numbers = state["record"] + np.arange(len(own))
             state["record"] += len(own)
-            seqs = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.append(lo, hi[-1]).astype(np.int32)), pa.py_buffer(data)])
-            out.append(_batch(names, [pa.array([path] * len(own), pa.string()), numbers, starts[own] + offset, _slices(buf, starts[own], ends[own]), seqs, n_lines.astype(np.int32)]))
+            seqs = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cells), pa.py_buffer(b[low:high][keep])])
+            out.append(_batch(names, [pa.array([path] * len(own), pa.string()), numbers, starts[own] + (offset + base), _slices(buf, starts[own], ends[own]), seqs, n_lines.astype(np.int32)]))
         if len(own) < len(done) or starts[at[-1]] + offset > reader.own_end:
             return len(buf)
         return int(starts[at[-1]])
@@ -361,19 +498,77 @@ def _fasta(reader: _Reader, out: list) -> Callable:
     return step
 
 
-def scan_lines(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE) -> DataFrame:
-    """(path, line_no, byte_offset, width, line): all lines, CR before LF taken off, numbers and offsets in the decoded stream."""
-    return numbered(spark, path, range_bytes).repartition(F.col("path"), F.col("start")).mapInArrow(lambda b: _run(_lines, b), LINE_SCHEMA)
+#: A row for each header (bases -1), and for each size of line of a record that a buffer holds.
+SHAPE_SCHEMA = "record bigint, bases bigint, width bigint, n bigint, line_no bigint, byte_offset bigint, last bigint, after bigint, name binary"
+
+
+def _shapes(reader: _Reader, out: list) -> Callable:
+    """What an index needs of the lines: by record and size of line how many there are, the first and the last of them."""
+    state = {"line": reader.r["line0"], "record": reader.r["record0"] - 1}
+    names = ["record", "bases", "width", "n", "line_no", "byte_offset", "last", "after", "name"]
+
+    def step(buf: bytes, offset: int, last: bool) -> int:
+        starts, ends, after = _line_ends(buf, last)
+        own = min(int(np.searchsorted(starts, reader.own_end - offset, side="right")), len(starts))
+        if own:
+            s, e, a = starts[:own], ends[:own], after[:own]
+            b = np.frombuffer(buf, dtype=np.uint8)
+            head = (e > s) & (b[np.minimum(s, len(b) - 1)] == _GT)
+            record = state["record"] + np.cumsum(head)
+            line = state["line"] + np.arange(own)
+            state["line"] += own
+            state["record"] = int(record[-1])
+            at = np.flatnonzero(head)
+            if len(at):
+                minus, one = np.full(len(at), -1), np.ones(len(at), np.int64)
+                out.append(_batch(names, [record[at], minus, minus, one, line[at], s[at] + offset, line[at], a[at] + offset, _slices(buf, s[at], e[at])]))
+            at = np.flatnonzero(~head)
+            if len(at):
+                at = at[np.lexsort(((a - s)[at], (e - s)[at], record[at]))]  # lines of a size stay in order
+                keys = record[at], (e - s)[at], (a - s)[at]
+                new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+                end = np.append(new[1:], len(at))
+                out.append(_batch(names, [*[k[new] for k in keys], end - new, line[at[new]], s[at[new]] + offset, line[at[end - 1]], a[at[end - 1]] + offset, pa.nulls(len(new), pa.binary())]))
+        return int(after[-1]) if len(after) else 0
+
+    return step
+
+
+def _scan(spark: SparkSession, path: str | list[str], range_bytes: int, stream: bool, transport: Transport, read: Callable, schema: str) -> DataFrame:
+    return numbered(spark, path, range_bytes, stream, transport).mapInArrow(lambda b: _run(read, b, transport), schema)
+
 
+def scan_lines(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE, stream: bool = False, transport: Transport = PLAIN) -> DataFrame:
+    """(path, line_no, byte_offset, width, line): all lines, CR before LF taken off, numbers and offsets in the decoded stream.
 
-def scan_fastq(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE) -> DataFrame:
+    In all scans, numbers begin anew in each file; with `stream` they go on from file to file, by name.
+    """
+    return _scan(spark, path, range_bytes, stream, transport, _lines, LINE_SCHEMA)
+
+
+def scan_fastq(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE, stream: bool = False, transport: Transport = PLAIN) -> DataFrame:
     """All four-line records, unchecked, with the places of their lines (FASTQ_SCAN_SCHEMA); the last may be cut short."""
-    return numbered(spark, path, range_bytes).repartition(F.col("path"), F.col("start")).mapInArrow(lambda b: _run(_fastq, b), FASTQ_SCAN_SCHEMA)
+    return _scan(spark, path, range_bytes, stream, transport, _fastq, FASTQ_SCAN_SCHEMA)
+
+
+def scan_packed(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE, stream: bool = False, transport: Transport = PLAIN) -> DataFrame:
+    """The records of scan_fastq with their packed bases and Phred summaries (FASTQ_PACKED_SCHEMA), without a second way through Python."""
+    return _scan(spark, path, range_bytes, stream, transport, _packed, FASTQ_PACKED_SCHEMA)
 
 
-def scan_fasta(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE) -> DataFrame:
+def scan_fasta(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE, stream: bool = False, transport: Transport = PLAIN) -> DataFrame:
     """All records, sequence lines joined (FASTA_SCAN_SCHEMA); text before the first header is a record without a name."""
-    return numbered(spark, path, range_bytes).repartition(F.col("path"), F.col("start")).mapInArrow(lambda b: _run(_fasta, b), FASTA_SCAN_SCHEMA)
+    return _scan(spark, path, range_bytes, stream, transport, _fasta, FASTA_SCAN_SCHEMA)
+
+
+def scan_two_line(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE, stream: bool = False, transport: Transport = PLAIN) -> DataFrame:
+    """Lines in pairs, unchecked: (path, record_index, byte_offset, name, seq, seq_offset, n_lines)."""
+    return _scan(spark, path, range_bytes, stream, transport, _two_line, "path string, record_index bigint, byte_offset bigint, name binary, seq binary, seq_offset bigint, n_lines int")
+
+
+def scan_shapes(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE) -> DataFrame:
+    """Headers and line sizes of FASTA records (SHAPE_SCHEMA), summed within buffers; no sequence leaves the task."""
+    return _scan(spark, path, range_bytes, False, PLAIN, _shapes, SHAPE_SCHEMA)
 
 
 def _blocks(decode: bool) -> Callable:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from . import bgzf
+from .files import file_system
 
 
 def fastq_text(name: Column | str, seq: Column | str, qual: Column | str, plus: str = "+", eol: str = "\n") -> Column:
@@ -26,9 +27,16 @@ def fasta_text(name: Column | str, seq: Column | str, width: int | None = None)
     return F.concat(name, F.lit("\n"), body)
 
 
-def write_text(df: DataFrame, path: str, order: str, compression: str | None = None, files: int = 1) -> None:
+def _ordered(df: DataFrame, order: str | list[str], files: int | None) -> DataFrame:
+    """df by ranges of `order`, sorted; as many as the session's shuffle partitions if no number is given."""
+    order = [order] if isinstance(order, str) else order
+    files = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartitionByRange(files, *order) if files > 1 else df.coalesce(1)).sortWithinPartitions(*order)
+
+
+def write_text(df: DataFrame, path: str, order: str | list[str], compression: str | None = None, files: int | None = None) -> None:
     """The column `value` in lines, sorted by `order`: range-partitioned, so files in name order hold the rows in order."""
-    rows = df.repartitionByRange(files, order).sortWithinPartitions(order) if files > 1 else df.coalesce(1).sortWithinPartitions(order)
+    rows = _ordered(df, order, files)
     rows.select("value").write.option("lineSep", "\n").text(path, compression=compression or "none")
 
 
@@ -38,22 +46,26 @@ class _Part(WriterCommitMessage):
 
 
 class _BgzfWriter(DataSourceArrowWriter):
-    """Each task writes a part of its own beside the others; the commit gives it its name. Parts of failed tasks go."""
+    """Each task writes a part of its own beside the others; the commit gives it its name. Parts of failed tasks go.
+
+    The folder is one that all tasks see: a shared mount, or a store that pyarrow's file systems reach.
+    """
 
     def __init__(self, path: str) -> None:
-        self.path = path.removeprefix("file:")
+        self.path = path
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        name = f"{self.path}/.part-{context.partitionId():05d}-{context.taskAttemptId()}"
+        system, folder = file_system(self.path)
+        system.create_dir(folder)
+        name = f"{folder}/.part-{context.partitionId():05d}-{context.taskAttemptId()}"
         held, some = b"", False
-        with open(name, "wb") as f:
+        with system.open_output_stream(name) as f:
             for batch in batches:
                 held += b"".join(v + b"\n" for v in batch.column(0).cast(pa.binary()).to_pylist() if v is not None)
-                some = True
+                some = some or batch.num_rows > 0
                 whole = len(held) - len(held) % bgzf.PAYLOAD
                 for i in range(0, whole, bgzf.PAYLOAD):
                     f.write(bgzf.deflate(held[i : i + bgzf.PAYLOAD]))
@@ -61,18 +73,23 @@ class _BgzfWriter(DataSourceArrowWriter):
             if held:
                 f.write(bgzf.deflate(held))
             f.write(bgzf.EOF_BLOCK)
+        if not some:
+            system.delete_file(name)
         return _Part(name if some else "")
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, _ = file_system(self.path)
         for m in messages:
             if m and m.path:
                 folder, _, name = m.path.rpartition("/")
-                os.replace(m.path, f"{folder}/{name[1:].rpartition('-')[0]}.bgz")
+                system.move(m.path, f"{folder}/{name[1:].rpartition('-')[0]}.bgz")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, _ = file_system(self.path)
         for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+            if m and m.path:
+                with contextlib.suppress(OSError):
+                    system.delete_file(m.path)
 
 
 class BgzfDataSource(DataSource):
@@ -86,11 +103,25 @@ class BgzfDataSource(DataSource):
         return _BgzfWriter(self.options["path"])
 
 
-def write_bgzf(df: DataFrame, path: str, order: str, files: int = 1) -> None:
-    """The column `value` in lines, sorted by `order`, as block gzip."""
+def write_bgzf(df: DataFrame, path: str, order: str | list[str], files: int | None = None) -> None:
+    """The column `value` in lines, sorted by `order`, as block gzip; ranges of it to files, as in write_text."""
     df.sparkSession.dataSource.register(BgzfDataSource)
-    rows = df.repartitionByRange(files, order).sortWithinPartitions(order) if files > 1 else df.coalesce(1).sortWithinPartitions(order)
-    rows.select("value").write.format("bgzf").mode("append").save(path)
+    _ordered(df, order, files).select("value").write.format("bgzf").mode("append").save(path)
+
+
+def write_each(df: DataFrame, folder: str, name: Column) -> None:
+    """A file for each row: its column `value` and a line break, under the folder and a name; tasks write them."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = file_system(folder)
+        system.create_dir(top)
+        for b in batches:
+            for n, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{top}/{n}") as f:
+                    f.write(v.encode() + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    df.select(name.alias("name"), "value").mapInArrow(put, "n bigint").agg(F.sum("n")).collect()
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:

@@ -1,16 +1,34 @@
 """FASTQ, FASTA and block-gzip inputs with known results, whatever the transport and wherever the ranges are cut."""
 
+import contextlib
 import gzip
+import re
+import time
+import types
 
+import pyarrow as pa
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
-from strandframe.errors import BgzfError, SequenceFormatError
+from strandframe.errors import BgzfError, from_spark
 from strandframe.functions import packing, records
 from strandframe.operators import fasta, fastq, stats, synthetic
-from strandframe.sources import bgzf
+from strandframe.sources import bgzf, scan
 from strandframe.sources.scan import bgzf_blocks, check_bgzf, gunzip, scan_lines
 
 
+@contextlib.contextmanager
+def failing(message=""):
+    """A job that a parse error ends; the error is in `.value` afterwards."""
+    box = types.SimpleNamespace(value=None)
+    with pytest.raises(PySparkException) as e:
+        yield box
+    box.value = from_spark(e.value)
+    assert box.value is not None, e.value
+    assert re.search(message, box.value.detail), box.value.detail
+
+
 @pytest.fixture
 def put(tmp_path):
     def write(data, name="x", transport="raw"):
@@ -51,8 +69,8 @@ def test_fastq_by_any_cut(spark, put, transport, cut):
     ],
 )
 def test_fastq_errors(spark, put, data, message, place):
-    with pytest.raises(SequenceFormatError) as e:
-        fastq.read_fastq(spark, put(data), range_bytes=5)
+    with failing() as e:
+        fastq.read_fastq(spark, put(data), range_bytes=5).count()
     assert (e.value.detail, (e.value.byte_offset, e.value.record_index, e.value.line_index)) == (message, place)
     assert str(e.value) == f"parse error at byte {place[0]}, record {place[1]}, line {place[2]}: {message}"
     assert fastq.read_fastq(spark, put(data), mode="DROPMALFORMED").count() == place[1]
@@ -61,8 +79,8 @@ def test_fastq_errors(spark, put, data, message, place):
 def test_empty_and_lenient(spark, put):
     assert fastq.read_fastq(spark, put("")).count() == 0
     assert fastq.read_fastq(spark, put("r\nA\n-\nII\n"), validate=False).count() == 1
-    with pytest.raises(SequenceFormatError, match="exceeds slab size"):
-        fastq.read_fastq(spark, put(FASTQ), max_record_bytes=15)
+    with failing("exceeds slab size"):
+        fastq.read_fastq(spark, put(FASTQ), max_record_bytes=15).count()
 
 
 def test_ids(spark):
@@ -87,18 +105,18 @@ def test_pairing(spark, put, first, second, mode, match):
     if match:
         assert pairs(spark, put, [first], [second], mode).count() == 1
     else:
-        with pytest.raises(SequenceFormatError, match=fastq.MISMATCH) as e:
-            pairs(spark, put, [first], [second], mode)
+        with failing(fastq.MISMATCH) as e:
+            pairs(spark, put, [first], [second], mode).count()
         assert (e.value.byte_offset, e.value.record_index, e.value.line_index) == (0, 0, 0)
 
 
 def test_pair_counts(spark, put):
-    with pytest.raises(SequenceFormatError, match="different record counts") as e:
-        pairs(spark, put, ["frag1/1", "frag2/1"], ["frag1/2"])
+    with failing("different record counts") as e:
+        pairs(spark, put, ["frag1/1", "frag2/1"], ["frag1/2"]).count()
     assert (e.value.byte_offset, e.value.record_index) == (21, 1)
     single = fastq.read_fastq(spark, put("@frag1/1\nA\n+\nI\n"))
-    with pytest.raises(SequenceFormatError, match="unpaired record"):
-        fastq.pair_interleaved(single)
+    with failing("unpaired record"):
+        fastq.pair_interleaved(single).count()
 
 
 def packed(spark, seq, qual=b"I"):
@@ -129,8 +147,8 @@ def test_qualities(spark):
 
 
 def test_trusted_pack_checks_qualities(spark, put):
-    with pytest.raises(SequenceFormatError, match="invalid Phred.33 quality byte 31 at offset 1") as e:
-        fastq.pack_trusted(spark, put(b"@r0\nACG\n+\nI\x1fI\n"))
+    with failing("invalid Phred.33 quality byte 31 at offset 1") as e:
+        fastq.pack_trusted(spark, put(b"@r0\nACG\n+\nI\x1fI\n")).count()
     assert (e.value.byte_offset, e.value.line_index) == (10, 3)
     assert fastq.pack_trusted(spark, put("@\nACGTN\n+\nIIIII\n")).first().packed.n == 1
 
@@ -149,8 +167,8 @@ def test_fasta_by_any_cut(spark, put, transport, cut):
 
 @pytest.mark.parametrize(("data", "message", "record"), [("ACGT\n", "FASTA record header must start with `>`", 0), (">\nACGT\n", "empty FASTA id", 0), (">s\nAC\n>t\nGT\n> x\nTT\n", "empty FASTA id", 2)])
 def test_fasta_errors(spark, put, data, message, record):
-    with pytest.raises(SequenceFormatError) as e:
-        fasta.read_fasta(spark, put(data), range_bytes=3)
+    with failing() as e:
+        fasta.read_fasta(spark, put(data), range_bytes=3).count()
     assert (e.value.detail, e.value.record_index) == (message, record)
 
 
@@ -170,8 +188,8 @@ def test_index(spark, put, cut):
     ],
 )
 def test_index_errors(spark, put, data, message):
-    with pytest.raises(SequenceFormatError, match=message):
-        fasta.build_fai(spark, put(data))
+    with failing(message):
+        fasta.build_fai(spark, put(data)).count()
 
 
 def test_fetch_chunks_partitions(spark, put):
@@ -183,8 +201,8 @@ def test_fetch_chunks_partitions(spark, put):
     chunks = fasta.reference_chunks(spark, path, ask(("chr1", 2, 10)), fai, 3).sort("global_offset").collect()
     assert [(r.global_offset, bytes(r.seq)) for r in chunks] == [(2, b"GTT"), (5, b"GCA"), (8, b"AA")]
     for bad, message in ((("chrX", 0, 1), "not found in index: chrX"), (("chr1", 3, 2), "start must be <= end"), (("chr1", 0, 11), "end exceeds reference length")):
-        with pytest.raises(SequenceFormatError, match=message):
-            fasta.fetch(spark, path, ask(bad), fai)
+        with failing(message):
+            fasta.fetch(spark, path, ask(bad), fai).count()
     plan = spark.createDataFrame([(0, "chr1", 10), (1, "chr2", 6)], "ref_index bigint, name string, len bigint")
     got = [tuple(r)[2:6] for r in fasta.plan_partitions(plan, 3, 2).sort("partition_index").collect()]
     assert got == [(0, 6, 0, 8), (6, 10, 4, 10), (0, 6, 0, 6)]
@@ -193,8 +211,8 @@ def test_fetch_chunks_partitions(spark, put):
 def test_fai_file_checks(spark, put):
     assert fasta.read_fai(spark, put("chr1\t10\t11\t4\t5\n")).first().len == 10
     for data in ("chr1\t1\t2\t3\n", "chr1\t1\t2\t0\t1\n", "chr1\t1\t2\t3\t4\nchr1\t1\t2\t3\t4\n", "chr1\tx\t2\t3\t4\n", "\t1\t2\t3\t4\n", "c\t1\t2\t4\t3\n"):
-        with pytest.raises(SequenceFormatError, match="invalid .fai line"):
-            fasta.read_fai(spark, put(data))
+        with failing("invalid .fai line"):
+            fasta.read_fai(spark, put(data)).count()
 
 
 def test_bgzf_index_and_fetch(spark, put):
@@ -234,6 +252,57 @@ def test_gzip_members(tmp_path):
         list(gunzip(io.BytesIO(gzip.compress(b"a" * 100)), max_out=10))
 
 
+def test_a_file_is_read_by_many_tasks(spark, put):
+    """The rows of ranges are tiny, yet adaptive execution must leave each to its own task."""
+    path = put("@r\nACGT\n+\nIIII\n" * 5000)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    for rows in (fastq.read_fastq(spark, path, range_bytes=1600), fasta.scan_shapes(spark, path, 1600), scan_lines(spark, path, 1600)):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    path = put("@r\nACGT\n+\nIIII\n" * 3_000_000, "large")
+    assert fastq.read_fastq(spark, path, range_bytes=1 << 20).select(F.spark_partition_id().alias("p")).distinct().count() >= 6
+
+
+def test_files_as_one_stream(spark, tmp_path):
+    for name, n, transport in (("a", 3, bytes), ("b", 0, bytes), ("c", 2, gzip.compress), ("d", 4, bgzf.compress)):
+        (tmp_path / name).write_bytes(transport(b"@r\nACGT\n+\nIIII\n" * n))
+    for cut in (20, 1 << 20):
+        got = fastq.read_fastq(spark, str(tmp_path), range_bytes=cut, stream=True).sort("record_index").collect()
+        assert [(r.record_index, r.byte_offset) for r in got] == [(i, 15 * i) for i in range(9)]
+    assert fastq.read_fastq(spark, str(tmp_path)).where("record_index = 0").count() == 3
+
+
+def test_a_long_record_takes_time_in_proportion(tmp_path):
+    """In one task, without Spark: a record of many buffers isn't looked at anew for each."""
+    took = []
+    for mb in (16, 64):
+        path = tmp_path / f"{mb}.fa"
+        path.write_bytes(b">chr\n" + (b"ACGT" * 15 + b"\n") * ((mb << 20) // 61))
+        row = {"path": str(path), "size": path.stat().st_size, "start": 0, "end": path.stat().st_size, "bytes": scan.WHOLE, "byte0": 0, "line0": 0, "record0": 0}
+        began = time.perf_counter()
+        (batch,) = scan._run(scan._fasta, iter([pa.RecordBatch.from_pylist([row])]))
+        took.append(time.perf_counter() - began)
+        assert len(batch.column("seq")[0].as_py()) == 60 * ((mb << 20) // 61)
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_gzip_options(spark, tmp_path):
+    (tmp_path / "two").write_bytes(gzip.compress(FASTQ.encode()) + gzip.compress(b"@r\nA\n+\nI\n"))
+    (tmp_path / "one").write_bytes(gzip.compress(FASTQ.encode()))
+    assert fastq.read_fastq(spark, str(tmp_path / "one"), transport=scan.Transport(single=True, max_in=1000, max_out=1000)).count() == 4
+    for name, kind, message in (("two", {"single": True}, "one gzip member"), ("one", {"max_in": 10}, "exceeds 10 compressed"), ("one", {"max_out": 10}, "output exceeds 10")):
+        with pytest.raises(PySparkException, match=message):
+            fastq.read_fastq(spark, str(tmp_path / name), transport=scan.Transport(**kind)).count()
+    with failing():
+        fastq.read_fastq(spark, str(tmp_path / "one"), transport=scan.Transport(decode=False)).count()
+
+
+def test_auto_fasta(spark, tmp_path):
+    for name, data in (("a", ">s\nAC\n>t\nTT\n"), ("b", ">s\nAC\nGT\n"), ("c", "\n>s\nAC\n")):
+        (tmp_path / name).write_text(data)
+    got = fasta.read_fasta_auto(spark, str(tmp_path)).collect()
+    assert sorted((r.path[-1], bytes(r.seq)) for r in got) == [("a", b"AC"), ("a", b"TT"), ("b", b"ACGT"), ("c", b"AC")]
+
+
 @pytest.mark.parametrize("cut", [1, 2, 5, 1 << 20])
 def test_lines(spark, put, cut):
     got = scan_lines(spark, put("a\n\nbb\r\nc\rd\n\ne"), cut).sort("line_no").collect()
