@@ -315,7 +315,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depths 0 to 5; Krichevsky-Trofimov estimates of all depths are mixed with weights 1/2. Counts are
     of all texts learned from; they are then fixed. base_score: the sum over the tokens of
     log10((c + 1) / (N + V + 1)). Words are known by 64-bit hashes. The `common` most frequent grams
-    and words go to all tasks; the others' values are joined to the texts that ask for them.
+    and words go to all tasks; the others' values are joined to the texts that ask for them. Rows that repeat an id
+    or a text are scored each, and learned from each. A very long text goes through in blocks, whole. An empty table
+    gives an empty one. Other columns aren't looked at; ids are longs.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (fold(F.col(id_col), 7) == 2).alias("held_out"))
     counts = rows.select("text", (~F.col("held_out")).alias("learn")).mapInArrow(_count, "kind int, key bigint, n bigint, n_all bigint")
@@ -343,19 +345,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _most(values: DataFrame, common: int) -> tuple[np.ndarray, ...]:
     """The keys, in order, with their values, of those that occur most often: at most `common` of them."""
-    n = values.count()
     least = 0
-    if n > common:
-        # the least count that no more than `common` keys reach
-        steps = values.groupBy("n_all").count().orderBy(F.desc("n_all")).limit(common + 1).collect()
-        so_far, least = 0, None
-        for r in steps:
-            if so_far + r["count"] > common:
-                break
-            so_far += r["count"]
-            least = r.n_all
-        if least is None:
-            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    if values.count() > common:
+        # the least count that no more than `common` keys reach: the class of counts of so many bits, of which at most 64 rows come here, then by halves
+        by = {r.b: r.n for r in values.groupBy(F.length(F.bin("n_all")).alias("b")).agg(F.count("*").alias("n")).collect()}
+        room, b = common, max(by)
+        while by.get(b, 0) <= room:
+            room, b = room - by.get(b, 0), b - 1
+        end = 1 << b
+        least, most = end // 2, end
+        while least < most:
+            middle = (least + most) // 2
+            if values.where((F.col("n_all") >= middle) & (F.col("n_all") < end)).count() <= room:
+                most = middle
+            else:
+                least = middle + 1
     got = values.where(F.col("n_all") >= least).select("key", "value", "is_known").toArrow()
     keys, value, known = (got.column(c).to_numpy() for c in ("key", "value", "is_known"))
     order = np.argsort(keys)
@@ -394,4 +398,5 @@ def _assemble(asked: DataFrame, values: DataFrame, handed, total: int) -> DataFr
 
 
 def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by the model learned from those that aren't held out."""
     return score_texts(table(spark, sf_dir, "documents"))

@@ -53,14 +53,19 @@ class Items:
     An item of n characters may have floor(rate * n) errors; it is cut into one piece more than that,
     so one piece of a match is intact. A tree over the pieces verifies: a node of p pieces must match
     with p - 1 errors or fewer, for some path from an intact piece to the whole item that holds.
+    Items of under `least` characters stand in too many texts by chance: they are found where a whole line is the item.
     """
 
     def __init__(self, items: list[tuple[object, str]], rate: float, least: int) -> None:
         self.texts: list[tuple[object, str, int]] = []
+        self.short: dict[str, list[int]] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
         for key, raw in items:
             text = normalise(raw)
             if len(text) < least:
+                if text:
+                    self.short.setdefault(text, []).append(len(self.texts))
+                    self.texts.append((key, text, 0))
                 continue
             errors = int(rate * len(text))
             for p in range(errors + 1):
@@ -101,17 +106,25 @@ class Items:
         text = normalise(raw)
         best: dict[int, tuple[int, int]] = {}
         seen: set[tuple[int, int]] = set()
-        for last, (length, at) in self.automaton.iter(text) if self.texts else ():
+        if self.short:
+            done = 0
+            for line in raw.split("\n"):
+                line = normalise(line)
+                done += len(line) + bool(line and done)
+                for item in self.short.get(line, ()):
+                    best.setdefault(item, (0, done))
+        for last, (length, at) in self.automaton.iter(text) if len(self.automaton) else ():
             start = last + 1 - length
             for item, piece in at:
                 if best.get(item, (1, 0))[0] == 0:
                     continue
-                place = (item, (start - self.span(len(self.texts[item][1]), self.texts[item][2] + 1, piece, piece + 1)[0]) // 8)
+                # where the item would start: all pieces that agree in it verify the same window
+                place = (item, start - self.span(len(self.texts[item][1]), self.texts[item][2] + 1, piece, piece + 1)[0])
                 if place in seen:
                     continue
                 got = self.match(item, piece, start, text)
                 if got:
-                    seen.add(place)  # other pieces of the same match need no second look
+                    seen.add(place)
                     if item not in best or got < best[item]:
                         best[item] = got
         for item, (distance, end) in sorted(best.items()):
@@ -158,8 +171,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Texts and items are compared in lower case without punctuation. An item is found where some part
     of the text is within rate x its length edits; distance is the least, end where its first such
-    match ends in the normalised text. Items of under `least` normalised characters say nothing about
-    a text and are left out. Null and empty texts hold no item; repeated rows give repeated results.
+    match ends in the normalised text. Items of under `least` normalised characters are found where a whole line
+    of the text is the item; those without a letter or digit nowhere. Null and empty texts hold no item; repeated
+    rows give repeated results; an empty table on either side gives an empty result. Of equal matches the first
+    counts. A very long text is searched whole, in one go, by the automaton. Other columns aren't looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = None
@@ -170,7 +185,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = 0.1, least: int = 16, chars: int = 4_000_000) -> DataFrame:
-    """docs without the rows in which an item is found. Columns are returned as they came."""
+    """docs without the rows in which an item is found (see contamination). Columns are returned as they came, whatever their names."""
     names = docs.columns
     rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     at = F.col(f"_c{names.index(text_col)}")
@@ -180,4 +195,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, over all documents and items."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -9,31 +9,22 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, table
 
 SAMPLES = 64
-#: Steps of the table of gamma quantiles: two such tables stay in a core's cache.
-LEVELS = 1 << 12
+#: Samples that one row of the aggregate makes: few enough for its code to be compiled as one method.
+TOGETHER = 8
 
 
-def gamma_quantiles(spark: SparkSession, log: bool = False) -> Column:
-    """The array of LEVELS quantiles of Gamma(2, 1), or of their logarithms, at the middles of equal steps, as a scalar subquery.
-
-    Newton's method from 1, where the distribution function turns, comes to the quantile from one side.
-    """
-    p = (F.col("id") + F.lit(0.5)) / F.lit(float(LEVELS))
-    step = lambda x, _: x - (1 - (1 + x) * F.exp(-x) - p) / (x * F.exp(-x))
-    at = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(1.0), step)
-    rows = spark.range(LEVELS).select(F.struct("id", at.alias("x")).alias("q"))
-    return rows.agg(F.sort_array(F.collect_list("q")).alias("q")).select(F.transform("q", lambda q: F.log(q["x"]) if log else q["x"])).scalar()
-
-
-def _sample(term: str, log_weight: str, j: int, gamma: Column, log_gamma: Column) -> Column:
+def _sample(term: str, log_weight: str, j: Column) -> Column:
     """ln a of Ioffe's scheme: r, c from Gamma(2, 1) and beta from [0, 1) by term and j; the least over a text's terms is its sample.
 
-    It is a function of the term, j and the quantised weight t alone, so equal values mean equal (term, t).
+    -ln(u v) of two uniforms is Gamma(2, 1). Two hashes give the five uniforms. The value is a function of the term,
+    j and the quantised weight t alone, so equal values mean equal (term, t).
     """
-    h = F.xxhash64(term, F.lit(j))
-    r = F.get(gamma, h.bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
-    log_c = F.get(log_gamma, F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
-    beta = F.shiftrightunsigned(h, 24) * F.lit(0.5**40)
+    one = F.xxhash64(term, j)
+    two = F.xxhash64(one)
+    low = F.lit((1 << 21) - 1)
+    r = -F.log((one.bitwiseAND(low) + 0.5) * (F.shiftrightunsigned(one, 21).bitwiseAND(low) + 0.5) * F.lit(0.5**42))
+    beta = F.shiftrightunsigned(one, 42) * F.lit(0.5**22)
+    log_c = F.log(-F.log((two.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) * (F.shiftrightunsigned(two, 32) + 0.5) * F.lit(0.5**64)))
     return log_c - r * (F.floor(F.col(log_weight) / r + beta) - beta + 1)
 
 
@@ -47,9 +38,11 @@ def cws_signatures(texts: DataFrame, keys: list[str], text_col: str = "text", sa
     words = F.split(ascii_lower(text_col), r"[\x20\x09-\x0D]+")
     terms = texts.select(*keys, F.explode(words).alias("w")).where("w <> ''").select(*keys, F.xxhash64("w").alias("term"))
     weighed = terms.groupBy(*keys, "term").agg(F.count("*").alias("n")).select(*keys, "term", F.log("n").alias("lw"))
-    gamma, log_gamma = (gamma_quantiles(texts.sparkSession, log) for log in (False, True))
-    least = weighed.groupBy(*keys).agg(*[F.min(_sample("term", "lw", j, gamma, log_gamma)).alias(f"s{j}") for j in range(samples)])
-    return least.select(*keys, F.array(*[F.xxhash64(f"s{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(samples)]).alias("sig"))
+    parts = weighed.select("*", F.explode(F.array(*[F.lit(j) for j in range(0, samples, TOGETHER)])).alias("first"))
+    least = parts.groupBy(*keys, "first").agg(*[F.min(_sample("term", "lw", F.col("first") + j)).alias(f"s{j}") for j in range(TOGETHER)])
+    part = F.struct("first", F.array(*[F.xxhash64(f"s{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(TOGETHER)]).alias("x"))
+    whole = least.groupBy(*keys).agg(F.sort_array(F.collect_list(part)).alias("parts"))  # samples / TOGETHER parts
+    return whole.select(*keys, F.slice(F.flatten("parts.x"), 1, samples).alias("sig"))
 
 
 def likeness(a: Column | str, b: Column | str) -> Column:
@@ -65,7 +58,7 @@ def as_text(sig: Column | str) -> Column:
 
 
 def _followers(keys: DataFrame) -> DataFrame:
-    """id, h, n, twice and next_id, next_h: the key that follows in descending order, after the last the first.
+    """known, id, h, n, times and next_known, next_id, next_h: the key that follows in descending order, after the last the first.
 
     The order is by ranges: keys are looked at within a range, and a row for each range tells where the next begins.
     """
@@ -79,45 +72,54 @@ def _followers(keys: DataFrame) -> DataFrame:
     by = W.orderBy("pid")
     starts = starts.select("pid", F.coalesce(F.lead("start").over(by), F.first("start").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("start"))
     follows = F.coalesce("follows", "start")
-    return rows.join(F.broadcast(starts), "pid").select("known", "id", "h", "n", "twice", follows["known"].alias("next_known"), follows["id"].alias("next_id"), follows["h"].alias("next_h"))
+    return rows.join(F.broadcast(starts), "pid").select("known", "id", "h", "n", "times", follows["known"].alias("next_known"), follows["id"].alias("next_id"), follows["h"].alias("next_h"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, sig, edited_sig, near_edited, near_next), a row for each document.
-
-    A document is a pair of id and text: rows that repeat both are one. The next document is the
-    following one by descending id, null ids last, then by a hash of the text; after the last comes
-    the first, so a lone document follows itself. Null texts are empty. The edited text has the first
-    floor(n / 2) characters of the next one (or all, if it is shorter) in place of its own last ones.
+    """(doc_id, n_chars, edited_sha256, sig, edited_sig, near_edited, near_next), a row for each row of docs.
+
+    The next document is the following one by descending id, null ids last, ties by a hash of the text; rows that repeat
+    an id and a text follow each other. After the last comes the first, so a lone document follows itself. Null texts
+    are empty; an empty text has no words, a null signature, and is like other such texts only. The edited text has
+    the first floor(n / 2) characters of the next one (or all, if it is shorter) in place of its own last ones. A very long
+    text is a row of its terms' counts; nothing holds all its words at once but the text itself. An empty table
+    gives an empty one. Other columns of docs aren't looked at; ids are longs.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("h"), "text")
     key = ["id", "h", "known"]
-    every = rows.groupBy(*key).agg(F.max(F.length("text")).alias("n"), (F.count("*") > 1).alias("twice"))
+    every = rows.groupBy(*key).agg(F.max(F.length("text")).alias("n"), F.count("*").alias("times"))
     chain = cut(_followers(every))
-    repeated = not chain.where("twice").isEmpty()
-    head = chain.select(*[F.col(f"next_{k}").alias(k) for k in key], *[F.col(k).alias(f"own_{k}") for k in key], "n")
-    heads = rows.join(head, key).select(*[F.col(f"own_{k}").alias(k) for k in key], F.expr("substring(text, 1, n div 2)").alias("head"), "n")
-    own = rows
+    repeated = not chain.where("times > 1").isEmpty()
+    own = rows.dropDuplicates(key) if repeated else rows
+    # of rows that repeat a key the last has the next key for its next document, the others their own
+    head = chain.select(*[F.col(f"next_{k}").alias(k) for k in key], *[F.col(k).alias(f"own_{k}") for k in key], "n", F.lit(False).alias("same"))
     if repeated:
-        heads, own = heads.dropDuplicates(key), rows.dropDuplicates(key)
-    edited = own.join(heads, key).select(*key, "text", "n", F.concat(F.expr("substring(text, 1, n - n div 2)"), F.col("head")).alias("edited"))
-    both = edited.select(*key, F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), "text"), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))).alias("x"))
-    sigs = cws_signatures(both.select(*key, "x.is_edited", "x.text"), [*key, "is_edited"], samples=samples)
+        head = head.union(chain.where("times > 1").select(*key, *key, "n", F.lit(True)))
+    heads = own.join(head, key).select(*[F.col(f"own_{k}").alias(k) for k in key], F.expr("substring(text, 1, n div 2)").alias("head"), "n", "same")
+    edited = own.join(heads, key).select(*key, "same", "text", "n", F.concat(F.expr("substring(text, 1, n - n div 2)"), F.col("head")).alias("edited"))
+    one, two = F.struct(F.lit(False).alias("is_edited"), "text"), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text"))
+    both = edited.select(*key, "same", F.explode(F.when(F.col("same"), F.array(two)).otherwise(F.array(one, two))).alias("x"))
+    sigs = cws_signatures(both.select(*key, "same", "x.is_edited", "x.text"), [*key, "same", "is_edited"], samples=samples)
     # of each pair of rows at most one has either signature
-    sigs = sigs.groupBy(*key).agg(F.max(F.when(~F.col("is_edited"), F.col("sig"))).alias("sig"), F.max(F.when(F.col("is_edited"), F.col("sig"))).alias("edited_sig"))
-    meta = edited.select(*key, F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    pick = lambda condition, name: F.max(F.when(condition, F.col("sig"))).alias(name)
+    sigs = sigs.groupBy(*key).agg(pick(~F.col("is_edited"), "sig"), pick(F.col("is_edited") & ~F.col("same"), "next_edit"), pick(F.col("is_edited") & F.col("same"), "same_edit"))
+    meta = edited.groupBy(*key).agg(F.max("n").cast("long").alias("n_chars"), F.max(F.when(~F.col("same"), F.sha2("edited", 256))).alias("next_sha"), F.max(F.when(F.col("same"), F.sha2("edited", 256))).alias("same_sha"))
     # one job: texts and heads are shuffled once for signatures and hashes
     signed = cut(meta.join(sigs, key, "left"))
-    links = chain.select(*key, "next_id", "next_h", "next_known")
+    links = chain.select(*key, "times", "next_id", "next_h", "next_known")
     after = signed.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("known").alias("next_known"), F.col("sig").alias("next_sig"))
     got = signed.join(links, key).join(after, ["next_id", "next_h", "next_known"], "left")
+    last = F.struct(F.col("next_sha").alias("sha"), F.col("next_edit").alias("edit"), F.col("next_sig").alias("after"))
+    others = F.array_repeat(F.struct(F.col("same_sha").alias("sha"), F.col("same_edit").alias("edit"), F.col("sig").alias("after")), (F.col("times") - 1).cast("int"))
+    got = got.select("known", "id", "n_chars", "sig", F.explode(F.concat(F.array(last), others)).alias("x"))
     return got.select(
-        F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "sig", "edited_sig",
-        likeness("sig", "edited_sig").alias("near_edited"), likeness("sig", "next_sig").alias("near_next"),
+        F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_chars", F.col("x.sha").alias("edited_sha256"), "sig", F.col("x.edit").alias("edited_sig"),
+        likeness("sig", "x.edit").alias("near_edited"), likeness("sig", "x.after").alias("near_next"),
     )
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
     got = fingerprint_documents(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_chars", "edited_sha256", as_text("sig").alias("fingerprint"), as_text("edited_sig").alias("edited_fingerprint"), "near_edited", "near_next")

@@ -237,7 +237,9 @@ def predict_language(text: Column | str, langs: list[str], prototypes: np.ndarra
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), a row for each row of docs; learned where crc32(doc_id) mod 5 isn't 0.
 
-    Null ids count as the empty text in the fold. Other columns of docs aren't looked at.
+    Null ids count as the empty text in the fold. Null texts and texts without a letter are `und`; ties go to the first
+    language. Rows that repeat an id or a text have equal predictions. A very long text's trigrams are all counted.
+    An empty table gives an empty one. Other columns of docs aren't looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (fold(F.col(id_col), 5) == 0).alias("held_out"))
     langs, prototypes = profiles(rows.where("not held_out"), dimensions)
@@ -271,4 +273,5 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by profiles learned from those that aren't held out."""
     return identify_languages(table(spark, sf_dir, "documents"))

@@ -2,99 +2,88 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, table
 
+
+def _tsv(name: str) -> list[tuple[str, str]]:
+    return [tuple(line.split("\t")) for line in (Path(__file__).parent / name).read_text(encoding="utf-8").splitlines()]
+
+
 #: (identifier, sentence): sentences of licence texts and notices, as they are published.
-SENTENCES = [
-    ("MitRef", "Released under the MIT License."),
-    ("MitLicensed", "Licensed under the MIT License."),
-    ("MitGrant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("MitNotice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("MitAsIs", "The software is provided as is, without warranty of any kind, express or implied."),
-    ("Apache2Ref", "Licensed under the Apache License, Version 2.0."),
-    ("Apache2Comply", "You may not use this file except in compliance with the License."),
-    ("Apache2Copy", "You may obtain a copy of the License at"),
-    ("Gpl3Work", "This work is licensed under the GNU General Public License, version 3."),
-    ("Gpl3Free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3."),
-    ("Gpl2Free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2."),
-    ("GplHope", "This program is distributed in the hope that it will be useful, but without any warranty."),
-    ("GplCopy", "You should have received a copy of the GNU General Public License along with this program."),
-    ("BsdUse", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("BsdSource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("BsdBinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation."),
-    ("BsdEndorse", "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("CcByNc4", "Licensed under CC BY-NC 4.0."),
-    ("CcBy4", "Licensed under CC BY 4.0."),
-    ("CcBySa4", "Licensed under CC BY-SA 4.0."),
-    ("AllRights", "All rights reserved."),
-]
-
-#: (licence, identifiers in order). Rules are tried from the longest to the shortest; what one has matched no other uses.
-RULES = [
-    ("MIT", ["MitGrant", "MitNotice", "MitAsIs"]),
-    ("MIT", ["MitRef"]),
-    ("MIT", ["MitLicensed"]),
-    ("Apache-2.0", ["Apache2Ref", "Apache2Comply", "Apache2Copy"]),
-    ("Apache-2.0", ["Apache2Ref"]),
-    ("GPL-3.0", ["Gpl3Free", "GplHope", "GplCopy"]),
-    ("GPL-3.0", ["Gpl3Free"]),
-    ("GPL-3.0", ["Gpl3Work"]),
-    ("GPL-2.0", ["Gpl2Free", "GplHope", "GplCopy"]),
-    ("GPL-2.0", ["Gpl2Free"]),
-    ("BSD-3-Clause", ["BsdUse", "BsdSource", "BsdBinary", "BsdEndorse"]),
-    ("BSD-2-Clause", ["BsdUse", "BsdSource", "BsdBinary"]),
-    ("CC-BY-NC-4.0", ["CcByNc4"]),
-    ("CC-BY-4.0", ["CcBy4"]),
-    ("CC-BY-SA-4.0", ["CcBySa4"]),
-    ("all-rights-reserved", ["AllRights"]),
-]
-
-#: A sentence ends at a line break or at a mark that a blank follows.
-END = r"[.!?;:]?[ \t\r]*\n|[.!?;][ \t]+"
+SENTENCES = _tsv("licence_sentences.tsv")
+#: (licence, identifiers in order). Rules are tried from the longest to the shortest, then as they stand; what one has matched no other uses.
+RULES = [(licence, ids.split(" ")) for licence, ids in _tsv("licence_rules.tsv")]
+
+#: A sentence ends at a mark before a blank or a line break, and at an empty line (or one of comment signs only). Other line breaks wrap it.
+END = r"[.!?;:][ \t\r]*\n|[.!?;:][ \t]+|\n[ \t\r]*[#*/;-]*[ \t\r]*\n"
 #: What remains when all but letters, digits and the dots and hyphens between them is a blank.
-NOISE = r"[^\p{L}\p{N}.-]+|[.-]+(?![\p{L}\p{N}])"
+NOISE = r"[^\p{L}\p{N}.-]+|[.-]+(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[.-]+"
 HINT = "licen[cs]e"
 
 
 def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(sentence), NOISE, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(ascii_lower(sentence), NOISE, " "), " {2,}", " "))
 
 
-def scan_licences(docs: DataFrame, sentences: DataFrame, rules: list[tuple[str, list[str]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licences(docs: DataFrame, sentences: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sentence_ids, licences, unknown), a row for each row of docs.
 
-    sentences: (identifier, sentence). sentence_ids: identifiers in text order, joined by commas;
-    licences: those of the rules that match the sequence, sorted, joined by commas; unknown: sentences
-    that speak of a licence but aren't known. Null and empty texts have empty lists. Rows that repeat
-    an id and a text have equal results.
+    sentences: (identifier, sentence); rules: (place, licence, ids array<string>), a few hundred of them. A sentence
+    may be wrapped over lines; where it is not known as a whole, each of its lines is tried as one, since
+    notices often stand on a line of their own. sentence_ids: identifiers in text order, joined by commas;
+    licences: those of the rules that match the sequence, sorted, joined by commas; unknown: sentences that
+    speak of a licence and have no known part. A sentence that stands twice in the table has the least identifier; of rules
+    of one length the first comes first. Null and empty texts have empty lists. Rows that repeat an id and a text
+    have equal results. A very long text is cut whole into its sentences, a row each. Empty tables give
+    empty results. Other columns of docs aren't looked at.
     """
     known = sentences.select(normalise(F.col("sentence")).alias("s"), "identifier").groupBy("s").agg(F.min("identifier").alias("identifier"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    found = rows.select("doc_id", "h", F.posexplode(F.split("text", END)).alias("at", "s")).select("doc_id", "h", "at", normalise(F.col("s")).alias("s"))
-    found = found.join(known, "s", "left").where(F.col("identifier").isNotNull() | F.col("s").rlike(HINT))
-    found = found.select("doc_id", "h", F.struct("at", "identifier").alias("x")).distinct()
+    cut = rows.select("doc_id", "h", F.posexplode(F.split("text", END)).alias("at", "s")).where(F.col("s") != "")
+    lines = F.when(F.contains("s", F.lit("\n")), F.split("s", "\n")).otherwise(F.array().cast("array<string>"))
+    tried = cut.select("doc_id", "h", "at", F.posexplode(F.concat(F.array("s"), lines)).alias("line", "s")).select("doc_id", "h", "at", "line", normalise(F.col("s")).alias("s"))
+    speaks = (F.col("line") == 0) & F.col("s").rlike(HINT)
+    found = tried.join(known, "s", "left").where(F.col("identifier").isNotNull() | speaks)
+    found = found.select("doc_id", "h", F.struct("at", "line", "identifier").alias("x")).distinct()
     seq = found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    ids = F.transform(F.filter("xs", lambda x: x["identifier"].isNotNull()), lambda x: x["identifier"])
-    seq = seq.select("doc_id", "h", F.array_join(ids, ",").alias("sentence_ids"), (F.size("xs") - F.size(ids)).cast("long").alias("unknown"))
-    # a step a rule: an identifier stands between two commas of its own
-    seq = seq.withColumn("_left", F.when(F.col("sentence_ids") != "", F.concat(F.lit(","), F.replace("sentence_ids", F.lit(","), F.lit(",,")), F.lit(","))).otherwise(F.lit("")))
-    seq = seq.withColumn("_got", F.array().cast("array<string>"))
-    for licence, rule in sorted(rules, key=lambda r: -len(r[1])):
-        pattern = "".join(f",{x}," for x in rule)
-        seq = seq.withColumn("_got", F.when(F.contains("_left", F.lit(pattern)), F.array_append("_got", F.lit(licence))).otherwise(F.col("_got")))
-        seq = seq.withColumn("_left", F.replace("_left", F.lit(pattern), F.lit(",-,")))
-    seq = seq.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), "sentence_ids", F.array_join(F.array_sort(F.array_distinct("_got")), ",").alias("licences"), "unknown")
-    got = rows.select("doc_id", "h").join(seq, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
-    return got.select("doc_id", F.coalesce("sentence_ids", F.lit("")).alias("sentence_ids"), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("unknown", F.lit(0).cast("long")).alias("unknown"))
+    named = F.filter("xs", lambda x: x["identifier"].isNotNull())
+    # a sentence known as a whole isn't also read by its lines
+    whole = F.transform(F.filter(named, lambda x: x["line"] == 0), lambda x: x["at"])
+    seq = seq.select("doc_id", "h", "xs", named.alias("named"), whole.alias("whole"))
+    ids = F.transform(F.filter("named", lambda x: (x["line"] == 0) | ~F.array_contains("whole", x["at"])), lambda x: x["identifier"])
+    places = F.transform("named", lambda x: x["at"])
+    unknown = F.size(F.filter("xs", lambda x: x["identifier"].isNull() & ~F.array_contains(places, x["at"])))
+    seq = seq.select("doc_id", "h", F.array_join(ids, ",").alias("sentence_ids"), unknown.cast("long").alias("unknown"))
+    # an identifier stands between two commas of its own; a rule that is found leaves a mark, so that none reaches across it
+    left = F.when(F.col("sentence_ids") != "", F.concat(F.lit(","), F.replace("sentence_ids", F.lit(","), F.lit(",,")), F.lit(","))).otherwise(F.lit(""))
+    pattern = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(","))
+    ordered = rules.select((-F.size("ids")).alias("k"), "place", "licence", pattern.alias("pattern")).agg(F.sort_array(F.collect_list(F.struct("k", "place", "licence", "pattern"))).alias("r")).scalar()
+    seq = seq.withColumn("_rules", F.coalesce(ordered, F.array().cast("array<struct<k: int, place: int, licence: string, pattern: string>>")))
+    start = F.struct(left.alias("left"), F.array().cast("array<string>").alias("got"))
+    step = lambda s, r: F.when(F.contains(s["left"], r["pattern"]), F.struct(F.replace(s["left"], r["pattern"], F.lit(",-,")).alias("left"), F.array_append(s["got"], r["licence"]).alias("got"))).otherwise(s)
+    got = F.when(F.col("sentence_ids") != "", F.aggregate("_rules", start, step)["got"]).otherwise(F.array().cast("array<string>"))
+    seq = seq.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), "sentence_ids", F.array_join(F.array_sort(F.array_distinct(got)), ",").alias("licences"), "unknown")
+    out = rows.select("doc_id", "h").join(seq, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+    return out.select("doc_id", F.coalesce("sentence_ids", F.lit("")).alias("sentence_ids"), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("unknown", F.lit(0).cast("long")).alias("unknown"))
+
+
+def known_sentences(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SENTENCES, "identifier string, sentence string")
+
+
+def known_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "place int, licence string, ids array<string>")
 
 
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentences = spark.createDataFrame(SENTENCES, "identifier string, sentence string")
-    return scan_licences(table(spark, sf_dir, "documents"), sentences, RULES)
+    """The licences of all documents, by the published sentences and rules of the two tables beside this module."""
+    return scan_licences(table(spark, sf_dir, "documents"), known_sentences(spark), known_rules(spark))
 
 
 def _values(rows: list) -> str:
@@ -102,18 +91,23 @@ def _values(rows: list) -> str:
 
 
 def _op3_sql() -> str:
-    norm = lambda s: rf"trim(regexp_replace(regexp_replace(translate({s}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ', '[^\p{{L}}\p{{N}}.-]+', ' ', 'g'), '[.-]+ ', ' ', 'g'), ' ')"
+    noise = lambda s: rf"regexp_replace(regexp_replace(regexp_replace(' ' || translate({s}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ', '[^\p{{L}}\p{{N}}.-]+', ' ', 'g'), '[.-]+ ', ' ', 'g'), ' [.-]+', ' ', 'g')"
+    norm = lambda s: f"trim(regexp_replace({noise(s)}, ' {{2,}}', ' ', 'g'), ' ')"
     steps, at = [], "first_step"
     for k, (licence, rule) in enumerate(sorted(RULES, key=lambda r: -len(r[1]))):
         pattern = "".join(f",{x}," for x in rule)
         steps.append(f"step{k} as (select doc_id, sentence_ids, unknown, replace(l, '{pattern}', ',-,') as l, case when contains(l, '{pattern}') then list_append(got, '{licence}') else got end as got from {at})")
         at = f"step{k}"
+    end = END.replace("'", "''")
     return f"""
 with known as (select {norm("sentence")} as s, min(identifier) as identifier from (values {_values(SENTENCES)}) t(identifier, sentence) group by 1),
-cut as (select doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[.!?;:]?[ \\t\\r]*\\n|[.!?;][ \\t]+')) as s, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[.!?;:]?[ \\t\\r]*\\n|[.!?;][ \\t]+'), 1) as pos from documents),
-found as (select doc_id, pos, identifier, {norm("cut.s")} as n from cut left join known on {norm("cut.s")} = known.s),
-seq as (select doc_id, coalesce(string_agg(identifier, ',' order by pos) filter (where identifier is not null), '') as sentence_ids,
-    count(*) filter (where identifier is null and regexp_matches(n, '{HINT}')) as unknown from found group by doc_id),
+pieces as (select doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '{end}')) as s, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '{end}'), 1) as pos from documents),
+tried as (select doc_id, pos, 0 as line, s from pieces union all
+    select doc_id, pos, generate_subscripts(string_split(s, chr(10)), 1), unnest(string_split(s, chr(10))) from pieces where contains(s, chr(10))),
+found as (select doc_id, pos, line, identifier, {norm("tried.s")} as n from tried left join known on {norm("tried.s")} = known.s),
+per as (select *, max(case when line = 0 and identifier is not null then 1 else 0 end) over (partition by doc_id, pos) as whole, max(case when identifier is not null then 1 else 0 end) over (partition by doc_id, pos) as partly from found),
+seq as (select doc_id, coalesce(string_agg(identifier, ',' order by pos, line) filter (where identifier is not null and (line = 0 or whole = 0)), '') as sentence_ids,
+    count(*) filter (where line = 0 and partly = 0 and regexp_matches(n, '{HINT}')) as unknown from per group by doc_id),
 first_step as (select doc_id, sentence_ids, unknown, case when sentence_ids <> '' then ',' || replace(sentence_ids, ',', ',,') || ',' else '' end as l, []::varchar[] as got from seq),
 {", ".join(steps)}
 select doc_id, sentence_ids, array_to_string(list_sort(list_distinct(got)), ',') as licences, unknown::bigint as unknown from {at}

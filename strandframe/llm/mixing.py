@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import cut, n_words, table
 
 WEIGHTS = (5, 2, 1)
+#: Words of a shard, some 64 MB of text, and the fewest shards.
+SHARD_WORDS, FEWEST = 10_000_000, 8
 
 
 def _uniform(*keys: Column) -> Column:
@@ -112,37 +114,49 @@ def _block(key: Column, blocks: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(blocks))
 
 
-def mix_plan(docs: DataFrame, shards: int = 32, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = 1024, seed: int = 17, **kind) -> DataFrame:
+def mix_plan(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = 1024, seed: int = 17, **kind) -> DataFrame:
     """(doc_id, size, source_size, target, draws), a row for each row of docs; draws: in which pass it goes to which shard.
 
     size: words of the text, 0 for null. Null sources are one source, the last. Rows that repeat an id
     share a block and count as often as they come. Documents without words are drawn with their block.
-    Sources whose words number 0 have target 0. Other columns of docs aren't looked at.
+    Sources whose words number 0 have target 0. A very long text is one number of words, in one block. An empty table
+    gives an empty one. Other columns of docs aren't looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")).withColumn("block", _block(F.col("doc_id"), blocks, seed))
-    d = mix_draws(rows, shards, blocks=blocks, seed=seed, **kind).select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "draws")
+    narrow = cut(rows.groupBy("source", "block").agg(F.sum("size").alias("size")))
+    d = mix_draws(narrow, shards or _shards(narrow), blocks=blocks, seed=seed, **kind).select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "draws")
     joined = rows.join(d, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     return joined.select("doc_id", "size", "source_size", "target", "draws")
 
 
-def mix(docs: DataFrame, shards: int = 32, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = 1024, seed: int = 17, **kind) -> DataFrame:
+def _shards(words: DataFrame) -> int:
+    return max(FEWEST, -(-(words.agg(F.sum("size")).first()[0] or 0) // SHARD_WORDS))
+
+
+def mix(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = 1024, seed: int = 17, **kind) -> DataFrame:
     """The mixture: docs, each row as often as it is drawn, with its columns and mix_epoch, mix_shard and mix_rank.
 
-    Rows of a shard lie in one partition, shuffled by a seeded hash; mix_rank is that hash.
+    Rows of a shard lie in one partition, shuffled by a seeded hash; mix_rank is that hash. Without a number there is a shard for
+    each SHARD_WORDS words of docs. See mix_plan for null, empty, very long, repeated and missing rows; of rows of one rank either
+    comes first.
     """
     names = docs.columns
     cols = [f"_c{i}" for i in range(len(names))]
     rows = docs.toDF(*cols)
     at = {n: F.col(cols[names.index(n)]) for n in (id_col, text_col, source_col)}
     narrow = rows.select(at[source_col].alias("source"), n_words(at[text_col]).alias("size"), _block(at[id_col], blocks, seed).alias("block"))
+    # words by block: all that the plan needs of the documents, and what tells the number of shards
+    narrow = cut(narrow.groupBy("source", "block").agg(F.sum("size").alias("size")))
+    shards = shards or _shards(narrow)
     d = mix_draws(narrow, shards, blocks=blocks, seed=seed, **kind).where(F.size("draws") > 0).select("source", F.col("block").alias("_block"), "draws")
     drawn = rows.withColumn("_b", _block(at[id_col], blocks, seed)).join(d, at[source_col].eqNullSafe(F.col("source")) & (F.col("_b") == F.col("_block")))
     drawn = drawn.select(*cols, F.explode("draws").alias("_d")).select(*cols, F.col("_d.epoch").alias("mix_epoch"), F.col("_d.shard").alias("mix_shard"))
     drawn = drawn.withColumn("mix_rank", F.xxhash64(F.lit(seed), "mix_shard", "mix_epoch", at[id_col], at[text_col]))
     taken = {"mix_epoch", "mix_shard", "mix_rank"}
-    return drawn.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_rank").toDF(*[f"{n}_in" if n in taken else n for n in names], "mix_epoch", "mix_shard", "mix_rank")
+    return drawn.repartitionByRange(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_rank").toDF(*[f"{n}_in" if n in taken else n for n in names], "mix_epoch", "mix_shard", "mix_rank")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share in the mixture: its size, its source's size and target, and the words that the mix takes."""
     got = mix_plan(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))

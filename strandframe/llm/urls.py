@@ -36,9 +36,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     rules: host, path, verdict. A rule fits its host and all subdomains if the url's path starts with
     the rule's; of several the longest text host + path wins, then the longer host, then block. No rule:
-    null and `default`. Each distinct host and path is expanded into all host suffixes and those path
-    prefixes whose length some rule has; SHA-256 digests meet the rules' by their first 32 bits, full
-    digests confirm. Rules with a null host or path fit nothing. Null urls have an empty host and path.
+    null and `default`. Each distinct host and path is expanded into the host suffixes and path
+    prefixes whose number of labels and length some rule has; SHA-256 digests meet the rules' by their first 32 bits, full
+    digests confirm. Rules with a null host or path fit nothing. Null urls have an empty host and path. Rows that
+    repeat an id or a url are judged each. A very long url costs as many prefixes as rules have lengths. Empty tables of
+    pages give empty ones, those of rules the default for all. Other columns of pages aren't looked at.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -47,7 +49,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     # the lengths of paths in rules: a few numbers, however many rules there are
     lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # so many labels as some rule's host has: a few numbers too, so a host of many dots isn't cut at each
+    depths = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\."))).distinct().collect())
+    wanted = F.filter(F.array(*[F.lit(n) for n in depths]).cast("array<int>"), lambda n: n <= F.size(labels))
+    suffixes = F.transform(wanted, lambda n: F.array_join(F.slice(labels, -n, n), "."))
     prefixes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     prefixes = F.transform(prefixes, lambda n: F.substr(F.col("path"), F.lit(1), n))
     asked = rows.select("host", "path").distinct()
@@ -57,11 +62,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     hits = asked.join(listed.withColumnRenamed("digest", "full"), "short").where("digest = full and on_host = rule_host")
     rank = F.struct(F.length("rule"), F.length("rule_host"), F.col("verdict") == "block", "rule", "verdict")
     best = hits.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    # urls that no rule fits, many of them alike, needn't meet: rules hit few distinct hosts and paths, and adaptive execution splits those that many pages share
     found = rows.join(best, ["host", "path"], "left")
     return found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url by the five dealt rules."""
     rules = spark.sql("select * from values " + ", ".join(str(r) for r in RULES) + " as t(host, path, verdict)")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 

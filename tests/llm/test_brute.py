@@ -122,14 +122,17 @@ def test_near_links_recall(spark):
     docs = common.table(spark, "/root/testdata/sf0.1", "documents")
     texts = docs.select(F.xxhash64("text").alias("h"), "text").dropDuplicates(["h"])
     held = {r.h: r.text.encode() for r in texts.collect()}
-    sets = {h: set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for h, t in held.items()}
+    sets = {h: simhash._shingles(t, 5) for h, t in held.items()}
     by = collections.defaultdict(list)
     for h, s in sets.items():
+        # of n shingles a like text shares all but a fifth: one of the rarest fifth, and one, is among them
         for x in s:
             by[x].append(h)
-    shared = collections.Counter(p for v in by.values() if len(v) < 50 for p in itertools.combinations(sorted(v), 2))
-    near = [p for p, n in shared.items() if n > 2]  # shorter texts, of two rare shingles at most, aren't looked at
-    want = {p for p in near if simhash.shingle_jaccard(held[p[0]], held[p[1]], 5) >= 0.8}
+    shared = set()
+    for h, s in sets.items():
+        rare = sorted(s, key=lambda x: (len(by[x]), x))[: len(s) - -(-4 * len(s) // 5) + 1]
+        shared |= {(min(h, g), max(h, g)) for x in rare for g in by[x] if g != h}
+    want = {p for p in shared if simhash.shingle_jaccard(held[p[0]], held[p[1]], 5) >= 0.8}
     links = simhash.near_links(texts).cache()
     assert all(simhash.shingle_jaccard(held[r.a], held[r.b], 5) >= 0.8 for r in links.collect())
     of = {r.node: r.component for r in components.connected_components(links).collect()}
@@ -150,7 +153,7 @@ def test_lines_keep_the_first_of_each_component(spark):
             like = like[:at] + "q" + like[at + 1 :]
         rows.append((i, "\n".join([own[0], like.upper() if i % 2 else like, "", "short line", own[1]])))
     rows.append((50, "short line\n\nshort line"))
-    where = [(i, k, lines.normalise(line.encode()).decode()) for i, t in rows for k, line in enumerate(t.split("\n")) if len(line) >= lines.LEAST]
+    where = [(i, k, lines.normalise(line.encode()).decode()) for i, t in rows for k, line in enumerate(t.split("\n")) if line.strip()]
     linked = classes(range(len(where)), lambda a, b: lines.line_jaccard(where[a][2], where[b][2]) >= 0.8)
     drop = {where[n][:2] for n, c in linked.items() if n != c}
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -180,12 +183,17 @@ def test_decontamination_finds_all_edits(spark):
             at = rng.randrange(len(leak))
             leak[at : at + 1] = rng.choice(["", "z", leak[at] + "w"])
         rows.append((i, f"{text} {''.join(leak).upper()}, {sentence(10)}"))
-    rows += [(90, None), (91, ""), (92, sentence(300))]
+    rows += [(90, None), (91, ""), (92, sentence(300)), (93, "one\n Tiny!\ntwo"), (94, "a tiny one")]
     norm = decontamination.normalise
     want = {}
     for d, t in rows:
         for i, x in items:
-            if t and x and len(norm(x)) >= 16 and (k := edit_distance_in(norm(x), norm(t))) <= int(0.1 * len(norm(x))):
+            if not t or not x or not norm(x):
+                continue
+            if len(norm(x)) < 16:
+                if norm(x) in map(norm, t.split("\n")):
+                    want[d, i] = 0
+            elif (k := edit_distance_in(norm(x), norm(t))) <= int(0.1 * len(norm(x))):
                 want[d, i] = k
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontamination.contamination(docs, bench).collect()}
@@ -195,6 +203,24 @@ def test_decontamination_finds_all_edits(spark):
     assert {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_decontamination_finds_the_least_distance_in_periodic_texts():
+    rng = random.Random(14)
+    texts = [("bababababbbbaababbbbbaaaaabba", "babababababbbbaababbbbbaaabaabbaababba")]
+    for _ in range(1500):
+        unit = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 5)))
+        item = (unit * 40)[: rng.randrange(20, 45)]
+        item = "".join(c if rng.random() > 0.1 else rng.choice("ab") for c in item)
+        text = list(unit * rng.randrange(2) + item + item[: rng.randrange(20)])
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = rng.choice(["", "a", "b", "ab"])
+        texts.append((item, "".join(text)))
+    for item, text in texts:
+        least, most = edit_distance_in(item, text), int(0.1 * len(item))
+        got = [(k, d) for k, d, _ in decontamination.Items([(0, item)], 0.1, 16).search(text)]
+        assert got == ([(0, least)] if least <= most else [])
+
+
 def test_context_tree_weighting(spark):
     """Scores are those of a tree of dictionaries, bit by bit."""
     rows = [(i, t) for i, t in documents(n=25, size=14)] + [(60, None), (61, "  "), (62, "É é ALPHA")]
@@ -324,6 +350,12 @@ def test_mixing(spark):
     want |= {s: level * weight[s] for s in free}
     assert {s: round(x, 6) for s, x in target.items()} == {s: round(x, 6) for s, x in want.items()}
     assert sum(want.values()) == pytest.approx(total)
+    # what is taken falls short of the target by less than one of the source's blocks, here of one document or a few
+    blocks = collections.Counter()
+    for r in docs.select("doc_id", "source", common.n_words("text").alias("n"), mixing._block(F.col("doc_id"), 1024, 17).alias("b")).collect():
+        blocks[r.source, r.b] += r.n
+    for s in names:
+        assert want[s] - max(n for (x, _), n in blocks.items() if x == s) < taken[s] <= want[s] + 1e-6
     mixed = collections.Counter(r.doc_id for r in mixing.mix(docs, shards=8).select("doc_id").collect())
     assert mixed == {r.doc_id: len(r.draws) for r in got if r.draws}
 
@@ -347,26 +379,119 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_levenshtein_walk_finds_one_edit():
-    words = ["idiot", "moron", "worthless", "scum"]
+def test_language_by_brute_force(spark):
+    """Predictions are those of vectors bundled gram by gram."""
+    docs = common.table(spark, SF, "documents").select("doc_id", "text", "lang").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang) for r in docs] + [(10**6, None, "en"), (10**6 + 1, "12 ?", "en")]
+    d = 256
+
+    def vector(text):
+        letters = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in text or ""]
+        flat = [0]
+        for x in [*letters, 0]:
+            if x or flat[-1]:
+                flat.append(x)
+        v, n = np.zeros(d), 0
+        for a, b, c in zip(flat, flat[1:], flat[2:], strict=False):
+            v += np.roll(langid._letter_vector(a, d), 2).astype(float) * np.roll(langid._letter_vector(b, d), 1) * langid._letter_vector(c, d)
+            n += 1
+        return v, n if any(letters) else 0
+
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 and r[1] is not None and r[2] is not None]
+    langs = sorted({r[2] for r in learn})
+    p = np.array([unit(sum(vector(t)[0] for _, t, x in learn if x == lang)) for lang in langs])
+    shared = p.mean(axis=0)
+    q = np.array([unit(x) for x in p - shared])
+    got = {r.doc_id: r for r in langid.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dimensions=d).collect()}
+    for i, t, _ in rows:
+        v, n = vector(t)
+        if not n:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cos = q @ unit(unit(v) - shared)
+        assert got[i].lang_pred == langs[int(np.argmax(cos))]
+        assert got[i].score == pytest.approx(max(0.0, cos.max()), abs=1e-4)
+
+
+def swaps_and_edits(a, b):
+    """Edit distance in which a swap of two neighbours is one edit."""
+    row = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+        row[i][j] = min(row[i - 1][j] + 1, row[i][j - 1] + 1, row[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+            row[i][j] = min(row[i][j], row[i - 2][j - 2] + 1)
+    return row[-1][-1]
+
+
+def test_levenshtein_walk_finds_one_edit_and_no_more():
+    words = ["idiot", "moron", "worthless", "scum", "morons"]
     trie = toxicity.Trie(dict.fromkeys(words, 1.0))
-
-    def distance(a, b):
-        row = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
-            row[i][j] = min(row[i - 1][j] + 1, row[i][j - 1] + 1, row[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-        return row[-1][-1]
-
     rng = random.Random(6)
-    for _ in range(3000):
+    for _ in range(4000):
         w = list(rng.choice(words))
         for _ in range(rng.randrange(4)):
             at = rng.randrange(len(w) + 1)
-            w[at : at + rng.randrange(2)] = rng.choice(["", "x", "o"])
+            if rng.random() < 0.3 and 0 < at < len(w):
+                w[at - 1], w[at] = w[at], w[at - 1]
+            else:
+                w[at : at + rng.randrange(2)] = rng.choice(["", "x", "o"])
         w = "".join(w)
-        want = min((x for x in words if len(x) >= 5 and distance(x, w) == 1), default=None)
-        if want:
-            assert trie.near(w) == want
+        if w in words:
+            continue
+        assert trie.near(w) == min((x for x in words if toxicity.budget(x) and swaps_and_edits(x, w) == 1), default=None), w
+
+
+def labelled(rng, n=600):
+    rows, labels = [], []
+    for i in range(n):
+        words = [rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(40)]
+        kind = i % 6
+        if kind < 2:  # abuse
+            for at in rng.sample(range(3, 40), 3):
+                words[at] = rng.choice(["grumblix", "snarfwit", "grumblx"])
+                words[at - 1] = rng.choice(["hey", words[at - 1]])
+        elif kind == 2:  # told of
+            at = rng.randrange(4, 40)
+            words[at - 2 : at + 1] = ["reportedly", "shouted", "grumblix"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(kind < 2)))
+    return rows, labels
+
+
+def test_toxicity_by_brute_force(spark):
+    """Features and scores are those of a walk over all terms; context words come from labels alone."""
+    rows, labels = labelled(random.Random(12))
+    rows += [(1000, 'they said "grumblix" and left'), (1001, ""), (1002, "snarfwti!"), (1003, "a grumblix-like thing"), (1004, None)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    assert {"grumblix", "snarfwit"} <= set(model.lexicon) and model.context.get("reportedly", 0) < 0 < model.context.get("hey", 0)
+
+    def hit(token):
+        word = toxicity._EDGE.sub("", token)
+        if word in model.lexicon:
+            return model.lexicon[word], True
+        near = [x for x in model.lexicon if word and toxicity.budget(x) and swaps_and_edits(x, word) == 1]
+        if near:
+            return model.lexicon[min(near)], False
+        parts = [x for x in toxicity._PARTS.split(word) if x in model.lexicon]
+        return (max(model.lexicon[x] for x in parts), True) if parts else None
+
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, known).collect()}
+    for i, t in rows:
+        tokens = (t or "").lower().split()
+        hits = [(k, h) for k, x in enumerate(tokens) if (h := hit(x))]
+        x = [0.0] * 6
+        if hits:
+            quoted = {k for k, _ in hits if tokens[k][0] in toxicity._QUOTES and len(tokens[k]) > 1}
+            around = [sum(model.context.get(w, 0.0) for w in {toxicity._EDGE.sub("", y) for y in tokens[max(0, k - 8) : k + 9]}) for k, _ in hits]
+            total = lambda keep: math.log1p(sum(w for k, (w, whole) in hits if keep(k, whole)))
+            window = max(sum(w for m, (w, _) in hits if k - toxicity.WINDOW < m <= k) for k, _ in hits)
+            x = [total(lambda k, whole: k not in quoted and whole), total(lambda k, whole: k not in quoted and not whole), math.log1p(window), len(hits) / len(tokens), total(lambda k, _: k in quoted), sum(around) / len(hits)]
+        z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x, strict=True))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+    held = [(got[i].predicted, y) for i, y in labels if got[i].held_out]
+    assert np.mean([p == y for p, y in held]) > 0.95
 
 
 def test_toxicity_learns_terms_and_quotation(spark):

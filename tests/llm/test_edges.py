@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandframe.llm import ctw, decontamination, fingerprints, langid, licences, lines, mixing, registry, simhash, toxicity, urls
+from strandframe.llm import common, ctw, decontamination, fingerprints, langid, licences, lines, mixing, registry, simhash, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -43,7 +43,8 @@ def labels(spark, rows=((1, 0, 1), (2, None, None), (None, 1, 1), (3, 0, 0), (3,
 
 PER_ROW = {
     "ctw": lambda s, d: ctw.score_texts(d),
-    "licences": lambda s, d: licences.scan_licences(d, s.createDataFrame(licences.SENTENCES, "identifier string, sentence string"), licences.RULES),
+    "licences": lambda s, d: licences.scan_licences(d, licences.known_sentences(s), licences.known_rules(s)),
+    "fingerprints": lambda s, d: fingerprints.fingerprint_documents(d),
     "mixing": lambda s, d: mixing.mix_plan(d, shards=4),
     "simhash": lambda s, d: simhash.simhash_classes(d),
     "lines": lambda s, d: lines.dedup_lines(d),
@@ -65,13 +66,13 @@ def test_empty_tables(spark, name):
     assert PER_ROW[name](spark, frame(spark, [])).count() == 0
 
 
-def test_fingerprints_have_a_row_for_each_document(spark):
-    for clash in (False, True):
-        got = fingerprints.fingerprint_documents(frame(spark, clash=clash)).collect()
-        assert len(got) == len({(r[0], r[1] or "") for r in ROWS})
-        alone = {r.doc_id: r for r in got}
-        assert alone[4].sig is None and alone[3].n_chars == 0
-    assert fingerprints.fingerprint_documents(frame(spark, [])).count() == 0
+def test_fingerprints_of_repeated_and_lone_rows(spark):
+    rows = fingerprints.fingerprint_documents(frame(spark)).collect()
+    alone = {r.doc_id: r for r in rows}
+    assert alone[4].sig is None and alone[3].n_chars == 0
+    # of rows that repeat an id and a text one goes on to the next document, the others to their own text
+    twice = [r for r in rows if r.doc_id == 1]
+    assert len(twice) == 2 and max(r.near_next for r in twice) == 1.0
     one = fingerprints.fingerprint_documents(frame(spark, ROWS[:1])).first()
     assert one.near_next == 1.0
 
@@ -122,6 +123,15 @@ def test_decisions_of_stages(spark):
     assert ids[0] == sorted(["1", "1", "2", "2", "6", "None", "8"])  # no null, empty or letterless text
     # repeated rows are one document: both keep its lines; doc 2's copy of the line goes, and the null id comes last
     assert ids[1] == sorted(["1", "1", "2", "3", "4", "5", "6", "None", "7", "8"])
+    leaked = docs.withColumn("text", F.when(F.col("doc_id") == 6, F.concat_ws(" ", "text", F.lit(common.table(spark, SF, "benchmark").first().text))).otherwise(F.col("text")))
+    stage = dict(corpus_pipeline.STAGES)
+    assert "6" not in {str(r.doc_id) for r in stage["benchmark decontamination"](spark, leaked, SF).collect()}
+    assert stage["benchmark decontamination"](spark, docs, SF).count() == len(ROWS)
+    # the small source is drawn three times at most, and no row of it more often
+    mixed = stage["mixing sources to target weights"](spark, docs.where("doc_id is not null"), SF)
+    drawn = {(r.doc_id, r.source): r["count"] for r in mixed.groupBy("doc_id", "source").count().collect()}
+    rows = {(r.doc_id, r.source): r["count"] for r in docs.groupBy("doc_id", "source").count().collect()}
+    assert drawn and all(n <= 3 * rows[k] for k, n in drawn.items())
     # one of equal rows and texts; null, empty and blank texts differ as texts, but all have no words
     assert ids[2].count("1") == 1 and ids[2].count("2") == 1
 
