@@ -84,12 +84,12 @@ def mix_draws(rows: DataFrame, shards: int, weights: tuple[float, ...] = WEIGHTS
     named = sources.drop("words").join(targets.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     epochs = F.when(F.col("words") > 0, F.least(F.floor(F.col("target") / F.col("words") + 1e-9), F.lit(most))).otherwise(0).cast("int")
     named = named.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") < most, F.col("target") - F.col("epochs") * F.col("words")).otherwise(0.0))
-    # blocks without words cost nothing and go in with the last pass
+    # blocks without words cost nothing and go in with the last pass, but never beyond the most passes
     fits = F.aggregate(
         "items",
         F.struct(F.col("rest").alias("left"), F.array().cast("array<bigint>").alias("took")),
         lambda s, x: F.when(
-            x["words"] <= s["left"],
+            (x["words"] <= s["left"]) & (F.col("epochs") < most),
             F.struct((s["left"] - x["words"]).alias("left"), F.concat(s["took"], F.array(x["block"])).alias("took")),
         ).otherwise(s),
     )["took"]

@@ -450,7 +450,6 @@ def labelled(rng, n=600):
         if kind < 2:  # abuse
             for at in rng.sample(range(3, 40), 3):
                 words[at] = rng.choice(["grumblix", "snarfwit", "grumblx"])
-                words[at - 1] = rng.choice(["hey", words[at - 1]])
         elif kind == 2:  # told of
             at = rng.randrange(4, 40)
             words[at - 2 : at + 1] = ["reportedly", "shouted", "grumblix"]
@@ -465,7 +464,7 @@ def test_toxicity_by_brute_force(spark):
     rows += [(1000, 'they said "grumblix" and left'), (1001, ""), (1002, "snarfwti!"), (1003, "a grumblix-like thing"), (1004, None)]
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(docs, known)
-    assert {"grumblix", "snarfwit"} <= set(model.lexicon) and model.context.get("reportedly", 0) < 0 < model.context.get("hey", 0)
+    assert {"grumblix", "snarfwit"} <= set(model.lexicon) and model.context["reportedly"] < 0 and model.context["shouted"] < 0
 
     def hit(token):
         word = toxicity._EDGE.sub("", token)
