@@ -77,24 +77,36 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
-def full_links(dealt: DataFrame, held: DataFrame, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int, shingles: Callable[[str], set], similarity: float) -> DataFrame:
+def _met(t: pa.Table, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (k, m) in a group of entries of different components whose sketches differ in `most` at most."""
+    of, left = t.column("c").to_numpy(), t.column("left").to_numpy().astype(bool)
+    sketch = np.array(t.column("sketch").to_pylist(), dtype=np.int64).view(np.uint64).reshape(len(of), -1)
+    inner = not t.column("main")[0].as_py() and t.column("i")[0].as_py() == t.column("j")[0].as_py()
+    x, y = (np.arange(len(of)),) * 2 if inner else (np.flatnonzero(left), np.flatnonzero(~left))
+    near = (of[x][:, None] != of[y]) & (distance(sketch[x], sketch[y]) <= most)
+    p, q = np.nonzero(np.triu(near) if inner else near)
+    return x[p], y[q]
+
+
+def full_links(dealt: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int, shingles: Callable[[str], set], similarity: float) -> DataFrame:
     """Edges (a, b) of Jaccard `similarity` or more, enough to connect what such pairs connect in each group of unmet().
 
-    held: (id, text, sketch array<bigint>); distance gives the distances of two arrays of sketches,
-    pairs of over `most` are not looked at. Pairs that are connected already are passed over, so
-    a group of g entries gives less than g edges.
+    sketches: (id, sketch array<bigint>); texts gives (id, text) for the ids of a table; distance gives the
+    distances of two arrays of sketches, pairs of over `most` are not looked at. Sketches meet first, and only
+    entries with a near one in their group are met again with their texts. Pairs that are connected
+    already are passed over, so a group of g entries gives less than g edges.
     """
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            some = np.unique(np.concatenate(_met(t, distance, most)))
+            if len(some):
+                yield from t.take(pa.array(some)).combine_chunks().to_batches()
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             ids, of = t.column("id").to_pylist(), t.column("c").to_numpy()
-            sketch = np.array(t.column("sketch").to_pylist(), dtype=np.int64).view(np.uint64).reshape(len(ids), -1)
-            left = t.column("left").to_numpy().astype(bool)
-            inner = not t.column("main")[0].as_py() and t.column("i")[0].as_py() == t.column("j")[0].as_py()
-            x, y = (np.arange(len(ids)),) * 2 if inner else (np.flatnonzero(left), np.flatnonzero(~left))
-            near = (of[x][:, None] != of[y]) & (distance(sketch[x], sketch[y]) <= most)
-            p, q = np.nonzero(np.triu(near) if inner else near)
-            texts, sets, parent = t.column("text"), {}, {}
+            held, sets, parent = t.column("text"), {}, {}
             found = []
 
             def find(c: int) -> int:
@@ -104,10 +116,10 @@ def full_links(dealt: DataFrame, held: DataFrame, distance: Callable[[np.ndarray
 
             def of_text(k: int) -> set:
                 if k not in sets:
-                    sets[k] = shingles(texts[k].as_py())
+                    sets[k] = shingles(held[k].as_py())
                 return sets[k]
 
-            for k, m in zip(x[p].tolist(), y[q].tolist(), strict=True):
+            for k, m in zip(*(x.tolist() for x in _met(t, distance, most)), strict=True):
                 c, d = find(int(of[k])), find(int(of[m]))
                 if c == d:
                     continue
@@ -119,5 +131,7 @@ def full_links(dealt: DataFrame, held: DataFrame, distance: Callable[[np.ndarray
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([z[0] for z in found], pa.int64()), pa.array([z[1] for z in found], pa.int64())], ["a", "b"])
 
-    rows = dealt.join(held, "id").repartition(*KEYS).sortWithinPartitions(*KEYS)
-    return rows.mapInArrow(linked, "a bigint, b bigint")
+    grouped = lambda rows: rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    rows = dealt.join(sketches, "id").select(*dealt.columns, "sketch")
+    some = cut(grouped(rows).mapInArrow(near, rows.schema))
+    return grouped(some.join(texts(some), "id")).mapInArrow(linked, "a bigint, b bigint")

@@ -34,9 +34,9 @@ def line_id(line: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-#: MinHashes of which a sketch has two bits, and how many of them may differ. At a Jaccard of 0.8 some 15 % differ, of
-#: unlike lines 75 %: over 19 of 32 is seven deviations off (one like pair in 10^9), and drops nine of ten chance meetings.
-SKETCHED, MAY_DIFFER = 32, 19
+#: MinHashes of which a sketch has two bits, and how many of them may differ. At a Jaccard of 0.8 some 15 % differ: over
+#: 14 of 32 do in one of 30 000 such pairs, where the bands miss one of 115.
+SKETCHED, MAY_DIFFER = 32, 14
 
 
 def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +183,8 @@ def line_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     dealt = cut(unmet(crowd.select("v", "id"), links))
     if dealt.isEmpty():
         return links
-    held = _held(texts, dealt, "id", "text").join(crowd.groupBy("id").agg(F.array(F.first("sketch")).alias("sketch")), "id")
-    return links.union(full_links(dealt, held, _sketch_distance, MAY_DIFFER, line_shingles, similarity))
+    sketches = crowd.groupBy("id").agg(F.array(F.first("sketch")).alias("sketch"))
+    return links.union(full_links(dealt, sketches, lambda some: _held(texts, some, "id", "text"), _sketch_distance, MAY_DIFFER, line_shingles, similarity))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

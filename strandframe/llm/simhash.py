@@ -239,9 +239,9 @@ def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segmen
     dealt = cut(unmet(met.where("crowded").select("v", "id"), links))
     if dealt.isEmpty():
         return links
-    held = KeyFilter(dealt.select("id"), "id").where(texts, "h").join(marks.select("h", F.col("s").alias("sketch")), "h")
-    held = held.select(F.col("h").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "sketch")
-    return links.union(full_links(dealt, held, _bits_apart, most, lambda t: _shingles(t, width), similarity))
+    texts_of = lambda some: KeyFilter(some.select("id"), "id").where(texts, "h").select(F.col("h").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    sketches = marks.select(F.col("h").alias("id"), F.col("s").alias("sketch"))
+    return links.union(full_links(dealt, sketches, texts_of, _bits_apart, most, lambda t: _shingles(t, width), similarity))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
