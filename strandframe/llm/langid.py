@@ -15,7 +15,9 @@ from .common import fold, table, utf8
 DIMENSIONS = 1024
 UNKNOWN = "und"
 #: Documents whose vectors are made at once.
-DOCS = 256
+DOCS = 128
+#: Grams whose vectors are held as one array, and vectors that a worker keeps.
+TOGETHER, KEPT = 2048, 20_000
 
 
 @cache
@@ -45,7 +47,7 @@ def _gram_vector(gram: tuple[int, int, int], dimensions: int) -> np.ndarray:
 
 
 def gram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
-    if _gram_vector.cache_info().currsize > 50_000:
+    if _gram_vector.cache_info().currsize > KEPT:
         _gram_vector.cache_clear()
     rows = [_gram_vector((g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF), dimensions) for g in grams.tolist()]
     return np.array(rows, dtype=np.float32).reshape(-1, dimensions)
@@ -174,7 +176,9 @@ def _judge(texts: pa.Array, langs: list[str], prototypes: np.ndarray) -> Iterato
     for part in _parts(texts):
         doc, gram, keys = letter_grams(part)
         n = np.bincount(doc * len(keys) + gram, minlength=len(part) * len(keys)).reshape(len(part), -1) if len(keys) else np.zeros((len(part), 0))
-        v = n.astype(np.float32) @ gram_vectors(keys, prototypes.shape[1]) if len(keys) else np.zeros((len(part), prototypes.shape[1]))
+        v = np.zeros((len(part), prototypes.shape[1]), dtype=np.float32)
+        for at in range(0, len(keys), TOGETHER):
+            v += n[:, at : at + TOGETHER].astype(np.float32) @ gram_vectors(keys[at : at + TOGETHER], prototypes.shape[1])
         total = n.sum(axis=1).astype(np.int64)
         fits = (v @ prototypes.T) / (np.maximum(total, 1)[:, None] * np.sqrt(prototypes.shape[1]))
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) - shared
