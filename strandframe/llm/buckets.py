@@ -58,7 +58,8 @@ def kept_links(links: DataFrame) -> DataFrame:
     return cut(links.mapInArrow(lambda batches: batches, "a bigint, b bigint"))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows in order of KEYS, as tables of whole groups with the places where groups start and the end."""
     rest = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -70,22 +71,31 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             x = t.column(k).to_numpy()
             new[1:] |= x[1:] != x[:-1]
         starts = [0, *np.flatnonzero(new).tolist()]
-        for a, b in pairwise(starts):
-            yield t.slice(a, b - a)
+        if len(starts) > 1:
+            yield t.slice(0, starts[-1]), starts
         rest = t.slice(starts[-1])
     if rest is not None:
-        yield rest
+        yield rest, [0, len(rest)]
 
 
-def _met(t: pa.Table, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (k, m) in a group of entries of different components whose sketches differ in `most` at most."""
-    of, left = t.column("c").to_numpy(), t.column("left").to_numpy().astype(bool)
-    sketch = np.array(t.column("sketch").to_pylist(), dtype=np.int64).view(np.uint64).reshape(len(of), -1)
-    inner = not t.column("main")[0].as_py() and t.column("i")[0].as_py() == t.column("j")[0].as_py()
-    x, y = (np.arange(len(of)),) * 2 if inner else (np.flatnonzero(left), np.flatnonzero(~left))
-    near = (of[x][:, None] != of[y]) & (distance(sketch[x], sketch[y]) <= most)
-    p, q = np.nonzero(np.triu(near) if inner else near)
-    return x[p], y[q]
+class _Entries:
+    """Columns of whole groups as arrays, made once for all groups of a table."""
+
+    def __init__(self, t: pa.Table) -> None:
+        self.of, self.left = t.column("c").to_numpy(), t.column("left").to_numpy()
+        self.inner = ~t.column("main").to_numpy() & (t.column("i").to_numpy() == t.column("j").to_numpy())
+        self.sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(t), -1)
+
+    def met(self, a: int, b: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (k, m) of entries of different components in the group from a to b whose sketches differ in `most` at most."""
+        of, sketch = self.of[a:b], self.sketch[a:b]
+        if self.inner[a]:
+            near = np.triu((of[:, None] != of) & (distance(sketch, sketch) <= most))
+            p, q = np.nonzero(near)
+            return p + a, q + a
+        x, y = np.flatnonzero(self.left[a:b]), np.flatnonzero(~self.left[a:b])
+        p, q = np.nonzero((of[x][:, None] != of[y]) & (distance(sketch[x], sketch[y]) <= most))
+        return x[p] + a, y[q] + a
 
 
 def full_links(dealt: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], distance: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int, shingles: Callable[[str], set], similarity: float) -> DataFrame:
@@ -98,16 +108,19 @@ def full_links(dealt: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame
     """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            some = np.unique(np.concatenate(_met(t, distance, most)))
-            if len(some):
-                yield from t.take(pa.array(some)).combine_chunks().to_batches()
+        for t, starts in _whole_groups(batches):
+            entries, some = _Entries(t), np.zeros(len(t), dtype=bool)
+            for a, b in pairwise(starts):
+                for places in entries.met(a, b, distance, most):
+                    some[places] = True
+            if some.any():
+                yield from t.filter(pa.array(some)).combine_chunks().to_batches()
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
-            ids, of = t.column("id").to_pylist(), t.column("c").to_numpy()
-            held, sets, parent = t.column("text"), {}, {}
-            found = []
+        for t, starts in _whole_groups(batches):
+            entries, held = _Entries(t), t.column("text")
+            ids, of = t.column("id").to_numpy().tolist(), entries.of.tolist()
+            sets, parent, found = {}, {}, []
 
             def find(c: int) -> int:
                 while (up := parent.get(c, c)) != c:
@@ -119,15 +132,17 @@ def full_links(dealt: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame
                     sets[k] = shingles(held[k].as_py())
                 return sets[k]
 
-            for k, m in zip(*(x.tolist() for x in _met(t, distance, most)), strict=True):
-                c, d = find(int(of[k])), find(int(of[m]))
-                if c == d:
-                    continue
-                a, b = of_text(k), of_text(m)
-                both = len(a & b)
-                if both / (len(a) + len(b) - both) >= similarity:
-                    parent[c] = d
-                    found.append((max(ids[k], ids[m]), min(ids[k], ids[m])))
+            for start, end in pairwise(starts):
+                sets.clear()
+                for k, m in zip(*(x.tolist() for x in entries.met(start, end, distance, most)), strict=True):
+                    c, d = find(of[k]), find(of[m])
+                    if c == d:
+                        continue
+                    a, b = of_text(k), of_text(m)
+                    both = len(a & b)
+                    if both / (len(a) + len(b) - both) >= similarity:
+                        parent[c] = d
+                        found.append((max(ids[k], ids[m]), min(ids[k], ids[m])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([z[0] for z in found], pa.int64()), pa.array([z[1] for z in found], pa.int64())], ["a", "b"])
 
