@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+#: Parts of a group that are joined apart.
+SALTS = 32
+
+
+def with_group_min(rows: DataFrame, key: str, spread: str, value: Column, name: str) -> DataFrame:
+    """rows with a column `name`: the least value of all rows of their key, which isn't null.
+
+    A group is dealt to SALTS parts by a hash of `spread`. Parts are reduced apart, the parts of a
+    key meet as SALTS rows at most, and each goes back to its own part: no task holds a whole group.
+    """
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    parts = rows.groupBy(key, "_salt").agg(F.min(value).alias(name))
+    parts = parts.withColumn(name, F.min(name).over(W.partitionBy(key)))
+    return rows.join(parts, [key, "_salt"]).drop("_salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node goes to the smallest one among the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    both = with_group_min(both, "a", "b", F.least("a", "b"), "m")
+    return both.where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

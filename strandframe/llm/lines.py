@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .buckets import full_links, kept_links, stars, unmet
 from .common import KeyFilter, cut, table, utf8
-from .components import connected_components
+from .components import connected_components, with_group_min
 
 SHINGLE = 5
 BANDS, ROWS = 9, 4
@@ -197,7 +197,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "at")
     first = seen.groupBy("line").agg(F.min(place).alias("place"), F.count("*").alias("n")).join(classes.withColumnRenamed("node", "line"), "line", "left")
     first = cut(first.where("n > 1 or component is not null").select("line", "place", F.coalesce("component", "line").alias("c")))
-    kept = first.join(first.groupBy("c").agg(F.min("place").alias("keep")), "c").select("line", "keep")
+    kept = with_group_min(first, "c", "line", F.col("place"), "keep").select("line", "keep")
     gone = seen.join(kept, "line").where(~place.eqNullSafe(F.col("keep")))
     return gone.groupBy("doc_id", "h").agg(F.collect_set("at").alias("drop"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .buckets import full_links, kept_links, stars, unmet
 from .common import KeyFilter, cut, table, utf8
-from .components import connected_components
+from .components import connected_components, with_group_min
 
 HALF = 0xFFFFFFFF
 
@@ -113,8 +113,8 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = connected_components(hamming_links(rows, dense))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("m")).join(classes.withColumnRenamed("node", "fp"), "fp", "left")
     least = cut(least.select("fp", "m", F.coalesce("component", "fp").alias("c")))
-    names = least.groupBy("c").agg(F.min("m").alias("component_id"))
-    return rows.join(least.join(names, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    names = with_group_min(least, "c", "fp", F.col("m"), "component_id")
+    return rows.join(names.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
