@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import connected_components
 
 #: Entries of a bucket that one block holds; blocks meet in pairs.
 BLOCK = 256
@@ -31,15 +30,14 @@ def stars(entries: DataFrame, *more: str) -> DataFrame:
     return met.select("v", "id", *more, "head", "before", (F.col("n") > 3).alias("crowded"))
 
 
-def unmet(crowd: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(v, main, i, j, left, id, c): entries (v, id) of buckets that hold more than one component c of links, dealt to pairs of blocks.
+def unmet(crowd: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(v, main, i, j, left, id, c): entries (v, id) of buckets that hold more than one component c of classes (component_stars), dealt to pairs of blocks.
 
     Members of the bucket's largest component don't meet each other; they meet all the rest, and the
     rest meets itself. So each two entries of different components share a group (v, main, i, j)
     in which one is left and the other isn't, or i = j and not main. No group has more than some two blocks.
     """
-    seen = crowd.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").select("v", "id", F.coalesce("component", "id").alias("c"))
-    seen = cut(seen)
+    seen = cut(crowd.join(classes.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("v", "id", F.coalesce("component", "id").alias("c")))
     sizes = seen.groupBy("v", "c").agg(F.count("*").alias("n")).groupBy("v")
     sizes = sizes.agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.ceil(F.max("n") / block).cast("int").alias("n_most"), F.ceil((F.sum("n") - F.max("n")) / block).cast("int").alias("n_rest")).where("n_rest > 0")
     rows = seen.join(sizes, "v").withColumn("own", F.col("c") == F.col("most"))
@@ -53,11 +51,6 @@ def unmet(crowd: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("v", "id", "c", F.explode(F.when(F.col("own"), most).otherwise(both)).alias("g")).select("v", "g.*", "id", "c")
 
 
-def kept_links(links: DataFrame) -> DataFrame:
-    """Edges (a, b), computed once. The pass through Arrow leaves Spark's constraints behind: a kept plan with those of a filter can't be united and kept again."""
-    return cut(links.mapInArrow(lambda batches: batches, "a bigint, b bigint"))
-
-
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
     """Rows in order of KEYS, as tables of whole groups with the places where groups start and the end."""
     rest = None

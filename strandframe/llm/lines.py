@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import full_links, kept_links, stars, unmet
+from .buckets import full_links, stars, unmet
 from .common import KeyFilter, cut, table, utf8
-from .components import connected_components, with_group_min
+from .components import component_stars, connected_components, with_group_min
 
 SHINGLE = 5
 BANDS, ROWS = 9, 4
@@ -125,7 +125,7 @@ def _line_texts(wanted: KeyFilter):
             found = sorted({line for t in utf8(batch.column("text")) if t for _, line in _lines(t)})
             ids = np.array([line_id(x) for x in found], dtype=np.int64)
             pick = np.flatnonzero(wanted(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array([found[i].decode("utf-8", "replace") for i in pick], pa.string())], ["line", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array([found[i].decode("utf-8", "replace") for i in pick], pa.string())], ["id", "text"])
 
     return texts
 
@@ -159,32 +159,34 @@ def _sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
 
 
-def _held(texts: DataFrame, wanted: DataFrame, column: str, name: str) -> DataFrame:
-    """(column, name): the lines whose ids stand in that column of wanted, and maybe others."""
-    found = texts.mapInArrow(_line_texts(KeyFilter(wanted.select(column), column)), "line bigint, s string")
-    return found.select(F.col("line").alias(column), F.col("s").alias(name)).dropDuplicates([column])
+def _held(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text): the lines whose ids stand in that column of wanted, and maybe others."""
+    found = texts.mapInArrow(_line_texts(KeyFilter(wanted.select("id"), "id")), "id bigint, text string")
+    return found.dropDuplicates(["id"])
 
 
 def line_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(a, b): ids of lines of (text) whose character shingles have a Jaccard similarity of `similarity` or more.
+    """(a, b): ids of lines of (text), connecting those whose character shingles have a Jaccard similarity of `similarity` or more.
 
     The lines of a band stand in order; each meets the first and the one before it, so a group of g
     like lines gives some 2 g candidates a band, not pairs. Sketches drop chance meetings, the lines
     themselves decide on the others. Bands of four lines or more that these links leave in more
-    than one component are then compared in full, so what is like in a band is connected.
+    than one component are then compared in full, so what is like in a band is connected. Lines
+    that meet are read from the texts once. Of the first links the stars of their components are returned.
     """
     bands = texts.mapInArrow(_bands, "v bigint, line bigint, sketch bigint").withColumnRenamed("line", "id")
     met = stars(bands, "sketch").withColumn("others", F.filter(F.array_distinct(F.array("head", "before")), lambda o: o.isNotNull() & (o["id"] != F.col("id")) & (_differ(F.col("sketch"), o["sketch"]) <= MAY_DIFFER)))
     met = cut(met.where("crowded or size(others) > 0").select("v", "id", "sketch", "crowded", F.transform("others", lambda o: o["id"]).alias("others")))
-    met_pairs = met.select("id", F.explode("others").alias("other"))
-    pairs = cut(met_pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
-    links = kept_links(pairs.join(_held(texts, pairs, "a", "s_a"), "a").join(_held(texts, pairs, "b", "s_b"), "b").where(_alike("s_a", "s_b", similarity)).select("a", "b"))
+    held = cut(_held(texts, met.select(F.explode(F.concat(F.array("id"), "others")).alias("id"))))
+    pairs = met.select("id", F.explode("others").alias("other")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+    pairs = pairs.join(held.toDF("a", "s_a"), "a").join(held.toDF("b", "s_b"), "b")
+    classes = component_stars(pairs.where(_alike("s_a", "s_b", similarity)).select("a", "b"))
     crowd = met.where("crowded")
-    dealt = cut(unmet(crowd.select("v", "id"), links))
+    dealt = cut(unmet(crowd.select("v", "id"), classes))
     if dealt.isEmpty():
-        return links
+        return classes
     sketches = crowd.groupBy("id").agg(F.array(F.first("sketch")).alias("sketch"))
-    return links.union(full_links(dealt, sketches, lambda some: _held(texts, some, "id", "text"), _sketch_distance, MAY_DIFFER, line_shingles, similarity))
+    return classes.union(full_links(dealt, sketches, lambda some: held, _sketch_distance, MAY_DIFFER, line_shingles, similarity))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

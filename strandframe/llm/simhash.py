@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import full_links, kept_links, stars, unmet
+from .buckets import full_links, stars, unmet
 from .common import KeyFilter, cut, table, utf8
-from .components import connected_components, with_group_min
+from .components import component_stars, connected_components, with_group_min
 
 HALF = 0xFFFFFFFF
 
@@ -219,7 +219,7 @@ def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segmen
     """Edges (a, b) between near duplicates among distinct texts (h long, text): Jaccard of word shingles of `similarity` or more.
 
     Bands of MinHashes of the shingles are the tables. In a table's bucket a text meets the first and
-    the one before, so a group of g copies gives links in proportion to g, not pairs. SimHash
+    the one before, so a group of g copies gives links in proportion to g, not pairs (their stars are returned). SimHash
     distances over the same shingles drop chance meetings, the texts themselves decide. Buckets of
     four texts or more that these links leave in more than one component are then compared in full,
     so what is like in a bucket is connected.
@@ -235,13 +235,13 @@ def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segmen
     held = KeyFilter(pairs.select(F.explode(F.array("a", "b")).alias("h")), "h").where(texts, "h")
     left = held.select(F.col("h").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
-    links = kept_links(pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b"))
-    dealt = cut(unmet(met.where("crowded").select("v", "id"), links))
+    classes = component_stars(pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b"))
+    dealt = cut(unmet(met.where("crowded").select("v", "id"), classes))
     if dealt.isEmpty():
-        return links
+        return classes
     texts_of = lambda some: KeyFilter(some.select("id"), "id").where(texts, "h").select(F.col("h").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     sketches = marks.select(F.col("h").alias("id"), F.col("s").alias("sketch"))
-    return links.union(full_links(dealt, sketches, texts_of, _bits_apart, most, lambda t: _shingles(t, width), similarity))
+    return classes.union(full_links(dealt, sketches, texts_of, _bits_apart, most, lambda t: _shingles(t, width), similarity))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
