@@ -165,28 +165,41 @@ def _held(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.dropDuplicates(["id"])
 
 
-def line_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(a, b): ids of lines of (text), connecting those whose character shingles have a Jaccard similarity of `similarity` or more.
-
-    The lines of a band stand in order; each meets the first and the one before it, so a group of g
-    like lines gives some 2 g candidates a band, not pairs. Sketches drop chance meetings, the lines
-    themselves decide on the others. Bands of four lines or more that these links leave in more
-    than one component are then compared in full, so what is like in a band is connected. Lines
-    that meet are read from the texts once. Of the first links the stars of their components are returned.
-    """
+def _linked(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Links of (text) by stars, the stars of their components, and the links of bands compared in full; see line_links."""
     bands = texts.mapInArrow(_bands, "v bigint, line bigint, sketch bigint").withColumnRenamed("line", "id")
     met = stars(bands, "sketch").withColumn("others", F.filter(F.array_distinct(F.array("head", "before")), lambda o: o.isNotNull() & (o["id"] != F.col("id")) & (_differ(F.col("sketch"), o["sketch"]) <= MAY_DIFFER)))
     met = cut(met.where("crowded or size(others) > 0").select("v", "id", "sketch", "crowded", F.transform("others", lambda o: o["id"]).alias("others")))
     held = cut(_held(texts, met.select(F.explode(F.concat(F.array("id"), "others")).alias("id"))))
     pairs = met.select("id", F.explode("others").alias("other")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
     pairs = pairs.join(held.toDF("a", "s_a"), "a").join(held.toDF("b", "s_b"), "b")
-    classes = component_stars(pairs.where(_alike("s_a", "s_b", similarity)).select("a", "b"))
+    links = pairs.where(_alike("s_a", "s_b", similarity)).select("a", "b")
+    classes = component_stars(links)
     crowd = met.where("crowded")
     dealt = cut(unmet(crowd.select("v", "id"), classes))
     if dealt.isEmpty():
-        return classes
+        return links, classes, None
     sketches = crowd.groupBy("id").agg(F.array(F.first("sketch")).alias("sketch"))
-    return classes.union(full_links(dealt, sketches, lambda some: held, _sketch_distance, MAY_DIFFER, line_shingles, similarity))
+    return links, classes, full_links(dealt, sketches, lambda some: held, _sketch_distance, MAY_DIFFER, line_shingles, similarity)
+
+
+def line_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b): ids of lines of (text) whose character shingles have a Jaccard similarity of `similarity` or more.
+
+    The lines of a band stand in order; each meets the first and the one before it, so a group of g
+    like lines gives some 2 g candidates a band, not pairs. Sketches drop chance meetings, the lines
+    themselves decide on the others. Bands of four lines or more that these links leave in more
+    than one component are then compared in full, so what is like in a band is connected. Lines
+    that meet are read from the texts once.
+    """
+    links, _, more = _linked(texts, similarity)
+    return links if more is None else links.union(more)
+
+
+def line_classes(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(node, component) of line_links, by the stars of the first links."""
+    _, classes, more = _linked(texts, similarity)
+    return connected_components(classes if more is None else classes.union(more))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -194,7 +207,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     Of each component of like lines the first occurrence stays: the smallest id (null last), hash, number.
     """
-    classes = connected_components(line_links(docs.select("text"), similarity))
+    classes = line_classes(docs.select("text"), similarity)
     seen = cut(docs.mapInArrow(_occurrences, "doc_id bigint, h bigint, at int, line bigint"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "at")
     first = seen.groupBy("line").agg(F.min(place).alias("place"), F.count("*").alias("n")).join(classes.withColumnRenamed("node", "line"), "line", "left")

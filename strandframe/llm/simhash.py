@@ -215,15 +215,8 @@ def _alike(a: str, b: str, width: int, least: float) -> Column:
     return alike(a, b)
 
 
-def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = SEGMENTS) -> DataFrame:
-    """Edges (a, b) between near duplicates among distinct texts (h long, text): Jaccard of word shingles of `similarity` or more.
-
-    Bands of MinHashes of the shingles are the tables. In a table's bucket a text meets the first and
-    the one before, so a group of g copies gives links in proportion to g, not pairs (their stars are returned). SimHash
-    distances over the same shingles drop chance meetings, the texts themselves decide. Buckets of
-    four texts or more that these links leave in more than one component are then compared in full,
-    so what is like in a bucket is connected.
-    """
+def _linked(texts: DataFrame, width: int, similarity: float, segments: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Links by stars, the stars of their components, and the links of buckets compared in full; see near_links."""
     marks = cut(texts.select("h", _marks(F.col("text"), width, segments).alias("m")).select("h", "m.s", "m.bands"))
     met = cut(stars(marks.select(F.explode("bands").alias("v"), F.col("h").alias("id"))))
     pairs = met.select("id", F.explode(F.array_distinct(F.array("head.id", "before.id"))).alias("other")).where("other <> id")
@@ -235,13 +228,33 @@ def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segmen
     held = KeyFilter(pairs.select(F.explode(F.array("a", "b")).alias("h")), "h").where(texts, "h")
     left = held.select(F.col("h").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
-    classes = component_stars(pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b"))
+    links = pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b")
+    classes = component_stars(links)
     dealt = cut(unmet(met.where("crowded").select("v", "id"), classes))
     if dealt.isEmpty():
-        return classes
+        return links, classes, None
     texts_of = lambda some: KeyFilter(some.select("id"), "id").where(texts, "h").select(F.col("h").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     sketches = marks.select(F.col("h").alias("id"), F.col("s").alias("sketch"))
-    return classes.union(full_links(dealt, sketches, texts_of, _bits_apart, most, lambda t: _shingles(t, width), similarity))
+    return links, classes, full_links(dealt, sketches, texts_of, _bits_apart, most, lambda t: _shingles(t, width), similarity)
+
+
+def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = SEGMENTS) -> DataFrame:
+    """Edges (a, b) between near duplicates among distinct texts (h long, text): Jaccard of word shingles of `similarity` or more.
+
+    Bands of MinHashes of the shingles are the tables. In a table's bucket a text meets the first and
+    the one before, so a group of g copies gives links in proportion to g, not pairs. SimHash
+    distances over the same shingles drop chance meetings, the texts themselves decide. Buckets of
+    four texts or more that these links leave in more than one component are then compared in full,
+    so what is like in a bucket is connected.
+    """
+    links, _, more = _linked(texts, width, similarity, segments)
+    return links if more is None else links.union(more)
+
+
+def near_classes(texts: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = SEGMENTS) -> DataFrame:
+    """(node, component) of near_links, by the stars of the first links."""
+    _, classes, more = _linked(texts, width, similarity, segments)
+    return connected_components(classes if more is None else classes.union(more))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -254,7 +267,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, text = F.col(id_col), F.col(text_col)
     rows = docs.select(key.alias("doc_id"), F.xxhash64(text).alias("h"))
     texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).dropDuplicates(["h"])
-    classes = connected_components(near_links(texts, width, similarity))
+    classes = near_classes(texts, width, similarity)
     named = rows.join(classes.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("component", "h").alias("c"))
     first = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("s"))
     keep = first.select(F.col("s.doc_id").alias("_keep_id"), F.col("s.h").alias("_keep_h"))
