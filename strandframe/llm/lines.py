@@ -143,7 +143,14 @@ def line_jaccard(a: str, b: str) -> float:
 def _alike(a: str, b: str, least: float) -> Column:
     @F.arrow_udf("boolean")
     def alike(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([line_jaccard(x, y) >= least for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.bool_())
+        out, last, b = [], None, set()
+        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            if y != last:  # rows come in order of b, so many have the line of the row before
+                last, b = y, line_shingles(y)
+            a = line_shingles(x)
+            both = len(a & b)
+            out.append(both / (len(a) + len(b) - both) >= least)
+        return pa.array(out, pa.bool_())
 
     return alike(a, b)
 
