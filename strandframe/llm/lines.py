@@ -177,8 +177,8 @@ def _linked(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame,
     bands = texts.mapInArrow(_bands, "v bigint, line bigint, sketch bigint").withColumnRenamed("line", "id")
     met = stars(bands, "sketch").withColumn("others", F.filter(F.array_distinct(F.array("head", "before")), lambda o: o.isNotNull() & (o["id"] != F.col("id")) & (_differ(F.col("sketch"), o["sketch"]) <= MAY_DIFFER)))
     met = cut(met.where("crowded or size(others) > 0").select("v", "id", "sketch", "crowded", F.transform("others", lambda o: o["id"]).alias("others")))
-    held = cut(_held(texts, met.select(F.explode(F.concat(F.array("id"), "others")).alias("id"))))
-    pairs = met.select("id", F.explode("others").alias("other")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+    pairs = cut(met.select("id", F.explode("others").alias("other")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
+    held = cut(_held(texts, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
     pairs = pairs.join(held.toDF("a", "s_a"), "a").join(held.toDF("b", "s_b"), "b")
     links = pairs.where(_alike("s_a", "s_b", similarity)).select("a", "b")
     classes = component_stars(links)
@@ -187,7 +187,7 @@ def _linked(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame,
     if dealt.isEmpty():
         return links, classes, None
     sketches = crowd.groupBy("id").agg(F.array(F.first("sketch")).alias("sketch"))
-    return links, classes, full_links(dealt, sketches, lambda some: held, _sketch_distance, MAY_DIFFER, line_shingles, similarity)
+    return links, classes, full_links(dealt, sketches, lambda some: _held(texts, some), _sketch_distance, MAY_DIFFER, line_shingles, similarity)
 
 
 def line_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -196,8 +196,7 @@ def line_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     The lines of a band stand in order; each meets the first and the one before it, so a group of g
     like lines gives some 2 g candidates a band, not pairs. Sketches drop chance meetings, the lines
     themselves decide on the others. Bands of four lines or more that these links leave in more
-    than one component are then compared in full, so what is like in a band is connected. Lines
-    that meet are read from the texts once.
+    than one component are then compared in full, so what is like in a band is connected.
     """
     links, _, more = _linked(texts, similarity)
     return links if more is None else links.union(more)
