@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontamination, fingerprints, langid, licences, lines, mixing, simhash, token_ids, toxicity, urls
+from . import ctw, decontamination, fingerprints, langid, licences, lines, mixing, runs, simhash, token_ids, toxicity, urls
 
 QUERIES = {
     "op1_ctw": ctw.op1_ctw,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_token_ids": token_ids.op11_token_ids,
+    "op12_runs": runs.op12_runs,
 }
 SQL = {
     "op3_licence_scan": licences.OP3_SQL,
