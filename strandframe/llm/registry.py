@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontamination, fingerprints, langid, licences, lines, mixing, runs, simhash, token_ids, toxicity, urls
+from . import ctw, decontamination, fingerprints, langid, licences, lines, merkle, mixing, runs, simhash, token_ids, toxicity, urls
 
 QUERIES = {
     "op1_ctw": ctw.op1_ctw,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_token_ids": token_ids.op11_token_ids,
     "op12_runs": runs.op12_runs,
+    "op13_merkle": merkle.op13_merkle,
 }
 SQL = {
     "op3_licence_scan": licences.OP3_SQL,
