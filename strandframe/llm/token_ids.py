@@ -19,8 +19,9 @@ import re
 import struct
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,65 +37,101 @@ _TRAILER = struct.Struct("<8sQQQII")
 #: Keys of an index file on average, where there are more than _LEAST_FILES * KEYS of them.
 KEYS = 1 << 20
 _LEAST_FILES = 64
-#: Pieces of a text whose ids a task keeps, and the most characters of such a piece.
-KEPT, SHORT = 1 << 18, 64
-#: White space of the pre-tokenizers: a token never begins before white space and ends after it, so a text may be cut where white space begins.
+#: Entries of a generation of the words whose ids a worker keeps (of their parts it keeps twice as many), and the most characters of such a word.
+KEPT, SHORT = 1 << 17, 64
+#: White space of the pre-tokenizer, and letters that it surely takes as such.
 _S = " \\t\\n\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PIECE = re.compile(f"[{_S}]*[^{_S}]+|[{_S}]+")
+_LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u02af"
+#: Where a space has white space before it, it may be of the token before.
+_JOINED = re.compile(f"[{_S}] ")
+_SPACED = re.compile(f"[{_S}]*[^{_S}]+|[{_S}]+")
+#: Tokens end where letters end, and where white space begins that follows none: texts may be cut there.
+_PIECE = re.compile(f"\\n(?=[^{_S}])| ?[{_LETTERS}]+(?=[\\x00-@\\[-`{{-\\x7f]|\\Z)|[{_S}]*[^{_S}]+|[{_S}]+")
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+
+
+class _Kept(dict):
+    """Values of keys, made when they are asked for: two generations of entries, of which the older goes when the younger has `most`."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > SHORT:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
-    """Ids of texts by a file of the tokenizers library; pieces of texts that come again aren't encoded again.
+    """Ids of whole texts, as bytes of 4 a little-endian id, by a file of the tokenizers library.
 
-    special_as_text: the strings of special tokens are ordinary text, else they become these tokens as the library has it.
-    pieces: texts are cut where white space begins; only for tokenizers of the byte-level kind, whose tokens never go on there.
+    special_as_text: the strings of special tokens are ordinary text, else they become these tokens as the
+    library has it. With a byte-level pre-tokenizer texts are cut where no token goes on, and pieces that come
+    again aren't encoded again; a piece that is one word of the pre-tokenizer's goes to the model at once.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False, pieces: bool | None = None) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         made = json.loads(self.tokenizer.to_str())
         before = made["pre_tokenizer"] or {}
-        cuttable = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.pieces = cuttable if pieces is None else pieces
+        plain = made["normalizer"] is None and all(not t["content"].strip().isalpha() for t in made["added_tokens"])
+        self.pieces = bool(plain and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"))
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kept: dict[str, np.ndarray] = {}
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = (chr(c) for c in range(0x2B0) if _WORD.fullmatch(chr(c)))
+        self.table = {ord(c): level.pre_tokenize_str(c)[0][0] for c in (" ", *letters)}
+        self.cut = _Kept(self._piece, 2 * KEPT)
+        self.words = _Kept(lambda w: self._spaced(f" {w}"), KEPT)  # words behind a space
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if _WORD.fullmatch(piece):
+            return array("I", [t.id for t in self.model.tokenize(piece.translate(self.table))]).tobytes()
+        return self._whole(piece)
+
+    def _spaced(self, piece: str) -> bytes:
+        """The ids of a piece that may be cut further."""
+        return b"".join([self.cut[p] for p in _PIECE.findall(piece)])
+
+    def __call__(self, text: str) -> bytes:
+        if not self.pieces:
+            return self._whole(text)
+        if _JOINED.search(text):
+            return b"".join(map(self._spaced, _SPACED.findall(text)))
+        first, *words = text.split(" ")
+        return self._spaced(first) + b"".join(map(self.words.__getitem__, words))
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.pieces:
-            return self._encode(texts)
-        cut = [_PIECE.findall(t) for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        new = list({p for pieces in cut for p in pieces} - self.kept.keys())
-        made = dict(zip(new, self._encode(new), strict=True))
-        self.kept.update((p, ids) for p, ids in made.items() if len(p) <= SHORT)
-        known = made | self.kept if len(self.kept) < len(made) else None
-        out = []
-        for pieces in cut:
-            if known is not None:
-                found = [known[p] for p in pieces]
-            else:
-                found = [self.kept[p] if p in self.kept else made[p] for p in pieces]
-            out.append(np.concatenate(found) if found else np.zeros(0, np.uint32))
-        return out
+@cache
+def _encoder(path: str, special_as_text: bool) -> Encoder:
+    """One for a worker, whatever tasks it has."""
+    return Encoder(path, special_as_text)
 
 
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int | None = 2, special_as_text: bool = False) -> DataFrame:
     """(key long, ids binary): the ids of each whole text, little-endian, in 4 bytes, and the end id; null is the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, special_as_text)
+        encoder = _encoder(tokenizer, special_as_text)
         tail = b"" if end is None else struct.pack("<I", end)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [x.astype("<u4", copy=False).tobytes() + tail for x in encoder([t or "" for t in part.column(1).to_pylist()])]
+                ids = [encoder(t or "") + tail for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, ids binary")
