@@ -43,7 +43,7 @@ KEPT, SHORT = 1 << 17, 64
 _S = " \\t\\n\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u02af"
 #: Where a space has white space before it, it may be of the token before.
-_JOINED = re.compile(f"[{_S}] ")
+_JOINED = re.compile(f" (?<=[{_S}] )")
 _SPACED = re.compile(f"[{_S}]*[^{_S}]+|[{_S}]+")
 #: Tokens end where letters end, and where white space begins that follows none: texts may be cut there.
 _PIECE = re.compile(f"\\n(?=[^{_S}])| ?[{_LETTERS}]+(?=[\\x00-@\\[-`{{-\\x7f]|\\Z)|[{_S}]*[^{_S}]+|[{_S}]+")
@@ -99,9 +99,13 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if _WORD.fullmatch(piece):
-            return array("I", [t.id for t in self.model.tokenize(piece.translate(self.table))]).tobytes()
-        return self._whole(piece)
+        if piece.isascii() and piece[piece[0] == " " :].isalpha():  # the bytes of these stand for themselves
+            mapped = self.table[32] + piece[1:] if piece[0] == " " else piece
+        elif _WORD.fullmatch(piece):
+            mapped = piece.translate(self.table)
+        else:
+            return self._whole(piece)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _spaced(self, piece: str) -> bytes:
         """The ids of a piece that may be cut further."""
