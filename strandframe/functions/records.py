@@ -35,34 +35,35 @@ def pair_id(name: Column | str) -> Column:
     return F.regexp_replace(id_token(name), r"/[12]\z", "")
 
 
-def _error(*cases: tuple[Column, Column, Column, Column]) -> Column:
-    """The first of (condition, message, byte offset, line) that holds, as an error; null if none does."""
+def _error(*cases: tuple[Column, Column, Column, Column], of: str = "") -> Column:
+    """The first of (condition, message, byte offset, line) that holds, as an error; null if none does. of: the struct of the record and a dot."""
     out = None
     for condition, message, offset, line in cases:
-        e = F.struct(F.lit("format").alias("kind"), message.alias("message"), offset.cast("long").alias("byte_offset"), F.col("record_index").alias("record_index"), line.cast("int").alias("line_index"))
+        e = F.struct(F.lit("format").alias("kind"), message.alias("message"), offset.cast("long").alias("byte_offset"), F.col(f"{of}record_index").alias("record_index"), line.cast("int").alias("line_index"))
         out = F.when(condition, e) if out is None else out.when(condition, e)
     return out
 
 
-def fastq_error(trusted: bool = False) -> Column:
-    """What is wrong with a row of a FASTQ scan, in the order in which a reader finds it. trusted: ids may be empty."""
-    fault = lambda bit: F.col("faults").bitwiseAND(F.lit(bit)) != 0
+def fastq_error(trusted: bool = False, of: str = "") -> Column:
+    """What is wrong with a row of a FASTQ scan, in the order in which a reader finds it. trusted: ids may be empty. of: prefix of its columns."""
+    col = lambda c: F.col(f"{of}{c}")
+    fault = lambda bit: col("faults").bitwiseAND(F.lit(bit)) != 0
     cases = [
-        (fault(1), F.lit("truncated FASTQ record"), F.col("byte_offset"), F.col("n_lines")),
-        (fault(2), F.lit("header must start with `@`"), F.col("byte_offset"), F.lit(0)),
-        (fault(4), F.lit("empty FASTQ id"), F.col("byte_offset"), F.lit(0)),
-        (fault(8), F.lit("plus line must start with `+`"), F.col("plus_offset"), F.lit(2)),
-        (fault(16), F.concat(F.lit("quality length "), F.octet_length("qual").cast("string"), F.lit(" != sequence length "), F.octet_length("seq").cast("string")), F.col("qual_offset"), F.lit(3)),
+        (fault(1), F.lit("truncated FASTQ record"), col("byte_offset"), col("n_lines")),
+        (fault(2), F.lit("header must start with `@`"), col("byte_offset"), F.lit(0)),
+        (fault(4), F.lit("empty FASTQ id"), col("byte_offset"), F.lit(0)),
+        (fault(8), F.lit("plus line must start with `+`"), col("plus_offset"), F.lit(2)),
+        (fault(16), F.concat(F.lit("quality length "), F.octet_length(col("qual")).cast("string"), F.lit(" != sequence length "), F.octet_length(col("seq")).cast("string")), col("qual_offset"), F.lit(3)),
     ]
-    return F.when(F.col("faults") != 0, _error(*(c for i, c in enumerate(cases) if not (trusted and i == 2))))
+    return F.when(col("faults") != 0, _error(*(c for i, c in enumerate(cases) if not (trusted and i == 2)), of=of))
 
 
-def phred_error() -> Column:
+def phred_error(of: str = "", bad: str = "bad_phred") -> Column:
     """A quality byte outside of ! to ~, of a packing scan; its place is where the quality line starts."""
-    at = F.col("bad_phred")
-    byte = F.conv(F.hex(F.substr("qual", at + 1, F.lit(1))), 16, 10)
+    at = F.col(bad)
+    byte = F.conv(F.hex(F.substr(F.col(f"{of}qual"), at + 1, F.lit(1))), 16, 10)
     message = F.concat(F.lit("invalid Phred+33 quality byte "), byte, F.lit(" at offset "), at.cast("string"))
-    return _error((at.isNotNull(), message, F.col("qual_offset"), F.lit(3)))
+    return _error((at.isNotNull(), message, F.col(f"{of}qual_offset"), F.lit(3)), of=of)
 
 
 def fasta_error() -> Column:

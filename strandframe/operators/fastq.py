@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import packing, records
+from ..sources.pairs import scan_interleaved, scan_pairs
 from ..sources.scan import PLAIN, RANGE, Transport, scan_fastq, scan_packed
 
 #: Messages of the formats.
@@ -77,18 +78,52 @@ def pair_interleaved(rows: DataFrame, validation: str = "full", mode: str = "FAI
     return _checked(pairs, validation, mode, UNPAIRED)
 
 
-def _checked(pairs: DataFrame, validation: str, mode: str, surplus: str) -> DataFrame:
+def _checked(pairs: DataFrame, validation: str, mode: str, surplus: str, before: Column | None = None, more: tuple = ()) -> DataFrame:
+    """before: errors that come before those of the pair; more: further columns."""
     alone = F.coalesce("second", "first")
     error = lambda message, at: F.struct(F.lit("format").alias("kind"), F.lit(message).alias("message"), at["byte_offset"].alias("byte_offset"), at["record_index"].alias("record_index"), F.lit(0).alias("line_index"))
     one = F.col("first").isNull() | F.col("second").isNull()
     differ = ~ids_match(F.col("first.name"), F.col("second.name"), validation)
     found = F.when(one, error(surplus, alone)).when(differ, error(MISMATCH, F.col("second")))
-    rows = pairs.select("pair_index", records.pair_id("first.name").alias("pair_id"), "first", "second", F.lit("").alias("path"), found.alias("_error"))
+    mates = [F.when(F.col(m).isNotNull(), F.struct(*[F.col(f"{m}.{c}") for c in _COLUMNS[1:]])).alias(m) for m in ("first", "second")]
+    rows = pairs.select("pair_index", records.pair_id("first.name").alias("pair_id"), *mates, *more, F.lit("").alias("path"), (found if before is None else F.coalesce(before, found)).alias("_error"))
     return records.with_mode(rows, mode).drop("path")
 
 
-def read_paired_fastq(spark: SparkSession, first: str, second: str, validation: str = "full", mode: str = "FAILFAST", **options) -> DataFrame:
-    return pair_files(read_fastq(spark, first, **options), read_fastq(spark, second, **options), validation, mode)
+def _mate_errors(validate: bool, packed: bool = False) -> Column:
+    found = []
+    for i, m in enumerate(("first.", "second."), 1):
+        error = records.fastq_error(trusted=packed, of=m)
+        found.append(error if validate else F.when(F.col(f"{m}n_lines") < 4, error))
+        if packed:
+            found.append(records.phred_error(m, f"bad_phred_{i}"))
+    return F.coalesce(*found)
+
+
+def read_paired_fastq(spark: SparkSession, first: str | list[str], second: str | list[str], validation: str = "full", mode: str = "FAILFAST", validate: bool = True, range_bytes: int = RANGE, transport: Transport = PLAIN) -> DataFrame:
+    """(pair_index, pair_id, first, second) of two streams, each the files of a path by name, read side by side: no record is shuffled.
+
+    Errors are of the mates' records, first before second, then those of pair_files; PERMISSIVE keeps the pair with its _error.
+    """
+    return _checked(scan_pairs(spark, first, second, range_bytes, transport), validation, mode, COUNTS, _mate_errors(validate))
+
+
+def read_interleaved_fastq(spark: SparkSession, path: str | list[str], validation: str = "full", mode: str = "FAILFAST", validate: bool = True, range_bytes: int = RANGE, transport: Transport = PLAIN) -> DataFrame:
+    """The same of one stream in which mates follow each other, made by the reader."""
+    return _checked(scan_interleaved(spark, path, range_bytes, transport), validation, mode, UNPAIRED, _mate_errors(validate))
+
+
+_PACKED = ("packed_1", "quality_1", "packed_2", "quality_2")
+
+
+def pack_paired_fastq(spark: SparkSession, first: str | list[str], second: str | list[str], validation: str = "full", mode: str = "FAILFAST", range_bytes: int = RANGE, transport: Transport = PLAIN) -> DataFrame:
+    """The pairs of read_paired_fastq with packed and quality of both mates, in one pass; qualities must be Phred+33."""
+    return _checked(scan_pairs(spark, first, second, range_bytes, transport, True), validation, mode, COUNTS, _mate_errors(True, True), _PACKED)
+
+
+def pack_interleaved_fastq(spark: SparkSession, path: str | list[str], validation: str = "full", mode: str = "FAILFAST", range_bytes: int = RANGE, transport: Transport = PLAIN) -> DataFrame:
+    """The same of one stream in which mates follow each other."""
+    return _checked(scan_interleaved(spark, path, range_bytes, transport, True), validation, mode, UNPAIRED, _mate_errors(True, True), _PACKED)
 
 
 def pack(rows: DataFrame, prefix: str = "") -> DataFrame:

@@ -194,12 +194,11 @@ _FIRST = fx.reads_sql("1", "@frag", "/1")
 _SECOND = fx.reads_sql("2", "@frag", "/2")
 
 
-def _mates(spark: SparkSession, sf_dir: str, names: str = "name", keep: str = "true") -> tuple[DataFrame, DataFrame]:
+def _mates(spark: SparkSession, sf_dir: str, names: str = "name", keep: str = "true") -> list[str]:
     """R1, and R2 with names by an expression and less the rows that `keep` doesn't hold for."""
     one = fx.reads(spark, sf_dir, salt="1", prefix="@frag", suffix="/1")
     two = fx.reads(spark, sf_dir, salt="2", prefix="@frag", suffix="/2").where(keep).withColumn("name", F.expr(names))
-    paths = [fx.written(x.withColumn("value", fx.fastq_value()), f"r{i}") for i, x in ((1, one), (2, two))]
-    return tuple(fastq.read_fastq(spark, p, range_bytes=fx.RANGE, stream=True) for p in paths)
+    return [fx.written(x.withColumn("value", fx.fastq_value()), f"r{i}") for i, x in ((1, one), (2, two))]
 
 
 _PAIR_SQL = f"select a.idx as pair_index, substr(a.name, 2, length(a.name) - 3) as pair_id, a.seq as seq_1, b.seq as seq_2 from {_FIRST} a join {_SECOND} b on a.idx = b.idx"
@@ -211,14 +210,14 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 @query(_PAIR_SQL)
 def paired_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(fastq.pair_files(*_mates(spark, sf_dir)))
+    return _pairs(fastq.read_paired_fastq(spark, *_mates(spark, sf_dir), range_bytes=fx.RANGE))
 
 
 _OTHER = "case when k % 7 = 0 then '@other/2' when k % 7 = 1 then replace(name, '/2', '/1') else name end"
 
 
 def _pair_errors(spark: SparkSession, sf_dir: str, validation: str) -> DataFrame:
-    rows = fastq.pair_files(*_mates(spark, sf_dir, _OTHER), validation, "PERMISSIVE")
+    rows = fastq.read_paired_fastq(spark, *_mates(spark, sf_dir, _OTHER), validation, "PERMISSIVE", range_bytes=fx.RANGE)
     return rows.select("pair_index", F.col("_error.message").alias("message"))
 
 
@@ -244,7 +243,7 @@ def paired_none(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select idx as pair_index, '{fastq.COUNTS}' as message from {_FIRST} a where k > (select max(o_orderkey) // 2 from orders)")
 def paired_count_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of R1 that a shorter R2 leaves alone."""
-    rows = fastq.pair_files(*_mates(spark, sf_dir, keep="k <= (select max(o_orderkey) div 2 from orders)"), mode="PERMISSIVE")
+    rows = fastq.read_paired_fastq(spark, *_mates(spark, sf_dir, keep="k <= (select max(o_orderkey) div 2 from orders)"), mode="PERMISSIVE", range_bytes=fx.RANGE)
     return rows.where("_error is not null").select("pair_index", "_error.message")
 
 
@@ -255,13 +254,13 @@ def _interleaved(spark: SparkSession, sf_dir: str, keep: str = "true") -> str:
 
 @query(_PAIR_SQL)
 def interleaved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(fastq.pair_interleaved(fastq.read_fastq(spark, _interleaved(spark, sf_dir), range_bytes=fx.RANGE, stream=True)))
+    return _pairs(fastq.read_interleaved_fastq(spark, _interleaved(spark, sf_dir), range_bytes=fx.RANGE))
 
 
 @query(f"""select pair_index, max(case when m = 1 then packed end) as bases_1, max(case when m = 2 then packed end) as bases_2, max(case when m = 1 then s end) as sum_1, max(case when m = 2 then s end) as sum_2
     from (select idx as pair_index, m, {_PACKED_SQL} as packed, list_sum({_PHREDS})::bigint as s from (select *, 1 as m from {_FIRST} a union all select *, 2 as m from {_SECOND} b)) group by pair_index""")
 def paired_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fastq.pack_pairs(fastq.pair_files(*_mates(spark, sf_dir)))
+    rows = fastq.pack_pairs(fastq.read_paired_fastq(spark, *_mates(spark, sf_dir), range_bytes=fx.RANGE))
     return rows.select("pair_index", F.hex("packed_1.bases").alias("bases_1"), F.hex("packed_2.bases").alias("bases_2"), F.col("quality_1.sum_phred").alias("sum_1"), F.col("quality_2.sum_phred").alias("sum_2"))
 
 
