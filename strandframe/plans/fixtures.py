@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import file_system, list_files, open_at, scratch
-from ..sources.sinks import write_bgzf, write_text
+from ..sources.sinks import write_bgzf, write_one, write_text
 
 #: Ranges of scans in the queries: small, so that records cross them.
 RANGE = 1 << 20
@@ -52,9 +52,11 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str, transport: str = "raw", order: str | list[str] = "k", files: int | None = None) -> str:
-    """The files of the column `value` in a new scratch folder: ranges of the order, written side by side; one stream by name."""
+    """The files of the column `value` in a new scratch folder: ranges of the order, written side by side; one stream by name, or one file."""
     path = scratch(df.sparkSession, name)
-    if transport == "bgzf":
+    if files == 1:
+        write_one(df, f"{path}/{name}", order, transport, blocks_at_once=8)
+    elif transport == "bgzf":
         write_bgzf(df, path, order, files)
     else:
         write_text(df, path, order, compression="gzip" if transport == "gzip" else None, files=files)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import contextlib
+import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from . import bgzf
-from .files import file_system
+from .files import file_system, list_files, open_at, scratch
 
 
 def fastq_text(name: Column | str, seq: Column | str, qual: Column | str, plus: str = "+", eol: str = "\n") -> Column:
@@ -109,6 +112,117 @@ def write_bgzf(df: DataFrame, path: str, order: str | list[str], files: int | No
     _ordered(df, order, files).select("value").write.format("bgzf").mode("append").save(path)
 
 
+#: Blocks that a task compresses into one part, and bytes that a task copies.
+BLOCKS_AT_ONCE = 512
+COPIED_AT_ONCE = 64 << 20
+
+
+def _in_order(found: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Parts by their numbers, of which names of Spark's have five digits or more."""
+    return sorted(found, key=lambda f: [int(n) for n in re.findall(r"part-(\d+)", f[0].rpartition("/")[2])])
+
+
+def _stream_bytes(files: list[tuple[str, int]], ends: list[int], start: int, end: int) -> Iterator[bytes]:
+    """Bytes start to end of files that stand behind one another; ends: where each ends."""
+    k = bisect.bisect_right(ends, start)
+    while start < end:
+        path, size = files[k]
+        with open_at(path, start - (ends[k] - size)) as f:
+            data = f.read(min(end, ends[k]) - start)
+        yield data
+        start, k = start + len(data), k + 1
+
+
+def _ends(files: list[tuple[str, int]]) -> list[int]:
+    out, n = [], 0
+    for _, size in files:
+        n += size
+        out.append(n)
+    return out
+
+
+def compress_bgzf(spark: SparkSession, parts: list[tuple[str, int]], folder: str, blocks_at_once: int = BLOCKS_AT_ONCE) -> list[tuple[str, int]]:
+    """(path, bytes) of the parts of one block-gzip stream, compressed by tasks from files that are one raw stream in this order.
+
+    A part holds whole blocks of 60 KiB of the stream, wherever the files end, so blocks are those that one
+    writer would make; only the last part has the end block. A part is written beside its place and moved, so
+    a task that runs again does no harm.
+    """
+    ends = _ends(parts)
+    total, step = ends[-1] if ends else 0, blocks_at_once * bgzf.PAYLOAD
+    n = max(1, -(-total // step))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = file_system(folder)
+        system.create_dir(top)
+        for b in batches:
+            for unit in b.column(0).to_pylist():
+                hidden, held = f"{top}/.{uuid.uuid4().hex}", b""
+                with system.open_output_stream(hidden) as f:
+                    for data in _stream_bytes(parts, ends, unit * step, min(total, (unit + 1) * step)):
+                        held += data
+                        whole = len(held) - len(held) % bgzf.PAYLOAD
+                        for i in range(0, whole, bgzf.PAYLOAD):
+                            f.write(bgzf.deflate(held[i : i + bgzf.PAYLOAD]))
+                        held = held[whole:]
+                    if held:
+                        f.write(bgzf.deflate(held))
+                    if unit == n - 1:
+                        f.write(bgzf.EOF_BLOCK)
+                system.move(hidden, f"{top}/part-{unit:08d}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    spark.range(0, n, 1, min(n, 10_000)).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return _in_order(list_files(spark, folder))
+
+
+def join_files(spark: SparkSession, parts: list[tuple[str, int]], path: str, at_once: int = COPIED_AT_ONCE) -> int:
+    """The parts behind one another as one file of a mounted folder; tasks copy them to their places. Returns how many there were.
+
+    Stores without positional writes have no such file: there the parts, in the order of their names, are read as one stream.
+    """
+    if "://" in path and not path.startswith("file:"):
+        raise ValueError("one file is written to a mounted folder; elsewhere keep the parts, which scans read as one stream")
+    system, local = file_system(path)
+    system.create_dir(local.rpartition("/")[0] or "/")
+    ends = _ends(parts)
+    total = ends[-1] if ends else 0
+    with open(local, "wb") as f:
+        f.truncate(total)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for unit in b.column(0).to_pylist():
+                start = unit * at_once
+                with open(local, "r+b") as f:
+                    f.seek(start)
+                    for data in _stream_bytes(parts, ends, start, min(total, start + at_once)):
+                        f.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    n = -(-total // at_once)
+    if n:
+        spark.range(0, n, 1, min(n, 10_000)).mapInArrow(copy, "n bigint").agg(F.sum("n")).collect()
+    return len(parts)
+
+
+def write_one(df: DataFrame, path: str, order: str | list[str], transport: str = "raw", files: int | None = None, blocks_at_once: int = BLOCKS_AT_ONCE) -> int:
+    """The column `value` in lines, sorted by `order`, as one raw, gzip or block-gzip file that many tasks write. Returns the number of joined parts.
+
+    Sorted ranges are written as text first; block gzip is made from that stream by tasks of whole blocks.
+    """
+    spark = df.sparkSession
+    top = scratch(spark, "parts")
+    write_text(df, f"{top}/text", order, "gzip" if transport == "gzip" else None, files)
+    parts = _in_order([f for f in list_files(spark, f"{top}/text") if f[1]])
+    if transport == "bgzf":
+        parts = compress_bgzf(spark, parts, f"{top}/blocks", blocks_at_once)
+    n = join_files(spark, parts, path)
+    system, folder = file_system(top)
+    system.delete_dir(folder)
+    return n
+
+
 def write_each(df: DataFrame, folder: str, name: Column) -> None:
     """A file for each row: its column `value` and a line break, under the folder and a name; tasks write them."""
 

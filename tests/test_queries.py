@@ -1,14 +1,18 @@
 """Queries against their SQL, the command line, SQL names, formats and streams."""
 
+import gzip
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandframe import cli
 from strandframe.functions.register import register
 from strandframe.operators import stats
 from strandframe.plans import registry
-from strandframe.sources import bgzf
+from strandframe.sources import bgzf, sinks
 from strandframe.sources.files import detect_kinds
+from strandframe.sources.scan import check_bgzf
 from strandframe.sources.sinks import write_bgzf, write_text
 from strandframe.streaming.files import stream_files
 
@@ -80,6 +84,32 @@ def test_writers(spark, tmp_path):
     assert read_fastq(spark, str(tmp_path / "t"), range_bytes=4096).count() == 5000
 
 
+@pytest.mark.parametrize("transport", ["raw", "gzip", "bgzf"])
+def test_one_file_of_many_tasks(spark, tmp_path, monkeypatch, transport):
+    rows = spark.range(9000).repartition(5).selectExpr("id", "concat('@r', id, '\n', repeat('ACGT', 20), '\n+\n', repeat(char(33 + id % 90), 80)) as value")
+    join = sinks.join_files
+    monkeypatch.setattr(sinks, "join_files", lambda *a: join(*a, at_once=10_000))
+    path = str(tmp_path / "new" / "one")
+    parts = sinks.write_one(rows, path, "id", transport, files=3, blocks_at_once=4)
+    assert parts >= 3
+    want = "".join(f"@r{i}\n{'ACGT' * 20}\n+\n{chr(33 + i % 90) * 80}\n" for i in range(9000)).encode()
+    data = (tmp_path / "new" / "one").read_bytes()
+    if transport == "bgzf":
+        assert data == bgzf.compress(want)  # block by block what one writer makes, with one end block
+        assert check_bgzf(spark, path).count() == -(-len(want) // bgzf.PAYLOAD)
+    else:
+        assert (gzip.decompress(data) if transport == "gzip" else data) == want
+    from strandframe.operators.fastq import read_fastq
+
+    assert read_fastq(spark, path, range_bytes=50_000).agg(F.max("record_index")).first()[0] == 8999
+    empty = str(tmp_path / "none")
+    sinks.write_one(rows.where("false"), empty, "id", transport)
+    data = (tmp_path / "none").read_bytes()
+    assert data == bgzf.EOF_BLOCK if transport == "bgzf" else (gzip.decompress(data) if data else data) == b""
+    with pytest.raises(ValueError, match="mounted"):
+        sinks.join_files(spark, [], "s3://bucket/one")
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
