@@ -76,12 +76,19 @@ def fasta_shape(spark: SparkSession, path: str | list[str], range_bytes: int = R
     return seen.select("path", F.when(F.col("full") == 0, "Empty").when(two, "TwoLine").otherwise("Multiline").alias("shape"))
 
 
-def build_fai(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+def _repeated(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with `repeated`, whether the key has come before. Keys are counted in tasks first; only those that come again are joined."""
+    again = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first")).where("_n > 1")
+    return rows.join(again, F.col(key) == F.col("_key"), "left").withColumn("repeated", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_n", "_first")
+
+
+def build_fai(spark: SparkSession, path: str, range_bytes: int = RANGE, mode: str = "FAILFAST") -> DataFrame:
     """(ref_index, name, len, offset, line_bases, line_width, virtual_offset) of a wrapped FASTA file; sequences aren't joined.
 
     Tasks sum lines by record and size, so they hand on a few rows a record. Blank sequence lines and
-    uneven wrapping are errors of the job that meets them, as are repeated names. virtual_offset is given
-    for block gzip.
+    uneven wrapping are errors of the job that meets them, as are names that have come before; PERMISSIVE goes on
+    after them and keeps a record with its _error, text before the first record at ref_index -1. virtual_offset is
+    given for block gzip.
     """
     parts = scan_shapes(spark, path, range_bytes)
     first = F.struct("line_no", "byte_offset")
@@ -99,7 +106,6 @@ def build_fai(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataF
     uneven = F.col("n") - first_n > F.when(end_is_first, 0).otherwise(1)
     longer = F.col("e.bases") > F.col("f.bases")
     name = records.id_token("name")
-    twice = F.count("*").over(W.partitionBy("id")) > 1
     message = (
         F.when((F.col("record") < 0) & F.col("f").isNotNull(), "FASTA record header must start with `>`")
         .when(F.col("record") < 0, F.lit(None))
@@ -107,18 +113,19 @@ def build_fai(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataF
         .when(F.col("blank") > F.col("f.l"), "FASTA index does not support blank sequence lines")
         .when(longer & ~uneven, "FASTA final sequence line is longer than the first sequence line")
         .when(uneven, "non-final FASTA sequence line has inconsistent wrapping")
-        .when(twice, "duplicate FASTA index reference name")
+        .when(F.col("repeated"), "duplicate FASTA index reference name")
     )
     zero = F.lit(0).cast("long")
     # a record without bases has for offset what a reader has reached when it learns that: past the next header, or the end
     following = per.select((F.col("record") - 1).alias("record"), F.col("head_end").alias("next_end"))
-    got = per.withColumn("id", F.coalesce(name, F.lit(None).cast("string"))).join(following, "record", "left")
+    got = _repeated(per.withColumn("id", name), "id", "record").join(following, "record", "left")
     place = F.struct(F.lit("format").alias("kind"), message.alias("message"), F.coalesce("byte_offset", "f.offset", zero).alias("byte_offset"), F.greatest("record", zero).alias("record_index"), F.lit(0).alias("line_index"))
     got = got.select(
         F.col("record").alias("ref_index"), F.col("id").alias("name"), F.coalesce("len", zero).alias("len"), F.coalesce("f.offset", "next_end", "end").alias("offset"),
         F.coalesce("f.bases", zero).alias("line_bases"), F.coalesce("f.width", zero).alias("line_width"), F.when(message.isNotNull(), place).alias("_error"),
     )
-    got = records.failing(got).where("ref_index >= 0")
+    kept = "ref_index >= 0 or _error is not null" if mode.upper() == "PERMISSIVE" else "ref_index >= 0"
+    got = records.with_mode(got.withColumn("path", F.lit(path)), mode).drop("path").where(kept)
     with open_at(path) as f:
         kind = kind_of(f.read(PREFIX))
     if kind != BGZF:
@@ -163,17 +170,31 @@ def fai_rows(spark: SparkSession, path: str) -> DataFrame:
     for c in names:
         bad = bad.when(F.col(c).isNull() | (F.col(c) >= F.lit(str(U64)).cast("decimal(38,0)")), f"invalid {c.replace('_', ' ')}")
     bad = bad.when((F.col("len") > 0) & (F.col("line_bases") == 0), "line bases must be positive").when(F.col("line_width") < F.col("line_bases"), "line width is less than line bases")
-    bad = bad.when(F.row_number().over(W.partitionBy("name").orderBy("line_no")) > 1, "duplicate reference name")
+    bad = bad.when(F.col("repeated"), "duplicate reference name")
     too_far = F.col("offset") + F.col("len") + F.col("line_width") >= F.lit(str(1 << 63)).cast("decimal(38,0)")
     number = (F.col("line_no") + 1).cast("string")
     said = F.when(bad.isNotNull(), F.concat(F.lit("invalid .fai line "), number, F.lit(": "), bad)).when(too_far, F.concat(F.lit("FASTA sequence offset overflowed, .fai line "), number))
-    order = F.row_number().over(W.orderBy("line_no")).cast("long") - 1  # a row a reference
-    return rows.select(order.alias("ref_index"), "name", *[F.col(c).cast("long").alias(c) for c in names], "line_no", said.alias("message"))
+    # blank lines aren't counted: lines are numbered within stretches, and stretches by their sums
+    stretch = F.shiftright("line_no", 16)
+    before = lines.groupBy(stretch.alias("_stretch")).agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_stretch", (F.sum("_n").over(W.orderBy("_stretch")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_stretch").orderBy("line_no"))
+    rows = _repeated(rows, "name", "line_no").withColumn("_stretch", stretch).join(before, "_stretch")
+    return rows.select((F.col("_before") + within - 1).alias("ref_index"), "name", *[F.col(c).cast("long").alias(c) for c in names], "line_no", said.alias("message"))
 
 
-def read_fai(spark: SparkSession, path: str) -> DataFrame:
-    """(ref_index, name, len, offset, line_bases, line_width) from a .fai file; a job that meets a bad line fails with its number, from 1."""
+def read_fai(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    """(ref_index, name, len, offset, line_bases, line_width) from a .fai file; a job that meets a bad line fails with its number, from 1.
+
+    PERMISSIVE keeps bad lines, with line_no (from 0) and the message of each line or null; DROPMALFORMED drops them.
+    """
     rows = fai_rows(spark, path)
+    if mode.upper() == "PERMISSIVE":
+        return rows
+    if mode.upper() == "DROPMALFORMED":
+        return rows.where("message is null").drop("line_no", "message")
+    if mode.upper() != "FAILFAST":
+        raise ValueError(f"mode {mode}")
     return rows.where(F.when(F.col("message").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("parse error: "), "message")).cast("boolean"))).drop("line_no", "message")
 
 

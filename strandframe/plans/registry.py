@@ -10,7 +10,7 @@ from ..functions.register import register
 from ..operators import fasta, fastq, sam, stats, synthetic
 from ..sources import bgzf, sinks
 from ..sources.files import detect_kinds, scratch
-from ..sources.scan import bgzf_blocks, scan_lines
+from ..sources.scan import bgzf_blocks, bgzf_errors, scan_lines
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -470,6 +470,64 @@ def bgzf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("block_index", F.md5("data").alias("digest"))
 
 
+_N_BLOCKS = f"(select ((n + {bgzf.PAYLOAD - 1}) // {bgzf.PAYLOAD})::bigint as blocks from {_BYTES} b)"
+
+
+@query(f"""select i as block_index, case when i % 3 = 0 then 'CRC32 mismatch' else 'invalid BGZF header' end as message from (select unnest(range(0, blocks)) as i, blocks from {_N_BLOCKS} n) where i % 3 = 0 or i % 6 = 4
+    union all select -1, 'trailing bytes after BGZF EOF marker'""")
+def bgzf_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a block-gzip file whose checksums and headers tasks have damaged, and that doesn't end with its end block."""
+    path = fx.fastq_file(spark, sf_dir, "bgzf", files=1)
+    one = fx.one_file(spark, path)
+    blocks = bgzf_blocks(spark, one, range_bytes=fx.RANGE).select("block_index", "compressed_offset", "compressed_size").persist()
+    end = F.col("compressed_offset") + F.col("compressed_size")
+    i = F.col("block_index")
+    fx.poked(one, blocks.where(i % 3 == 0).select((end - 8).alias("at")).union(blocks.where(i % 6 == 4).select("compressed_offset")))
+    sinks.append_bytes(one, b"more")
+    found = bgzf_errors(spark, one, range_bytes=fx.RANGE // 8).join(blocks.select("block_index", "compressed_offset"), "compressed_offset", "left")
+    return found.select(F.coalesce("block_index", F.lit(-1)).alias("block_index"), "message")
+
+
+_BROKEN_BODY = "case c % 5 when 1 then replace(body, chr(10), chr(10) || chr(10)) when 2 then body || repeat('A', 40) when 3 then body || chr(10) || 'AC' || chr(10) || 'A' else body end"
+
+
+def _broken_contigs(spark: SparkSession, sf_dir: str) -> str:
+    """References of which some have blank lines, a long last line or short ones inside; at the end the first two come again."""
+    rows = fx.contigs(spark, sf_dir).select("c", "name", F.array_join("lines", "\n").alias("body")).withColumn("again", F.lit(0))
+    rows = rows.union(rows.orderBy("c").limit(2).withColumn("again", F.lit(1))).withColumn("body", F.expr(_BROKEN_BODY))
+    return fx.one_file(spark, fx.written(rows.withColumn("value", F.concat("name", F.lit("\n"), "body")), "broken", order=["again", "c"], files=1))
+
+
+@query(f"""with broken as (select idx, c, name, body, {_BROKEN_BODY} as made, 1 + length(body) - length(replace(body, chr(10), '')) as n, max(idx) over () as top from {CONTIGS} c)
+    select idx as ref_index, substr(name, 2) as name,
+        case when c % 5 = 1 and n > 1 then 'FASTA index does not support blank sequence lines'
+             when c % 5 = 2 and n > 1 then 'FASTA final sequence line is longer than the first sequence line'
+             when c % 5 = 3 then 'non-final FASTA sequence line has inconsistent wrapping' end as message
+    from broken
+    union all select top + 1 + idx, substr(name, 2), case when c % 5 = 1 and n > 1 then 'FASTA index does not support blank sequence lines'
+             when c % 5 = 2 and n > 1 then 'FASTA final sequence line is longer than the first sequence line'
+             when c % 5 = 3 then 'non-final FASTA sequence line has inconsistent wrapping' else 'duplicate FASTA index reference name' end
+    from broken where idx < 2""")
+def fai_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a damaged file: each reference, and what is wrong with it."""
+    fai = fasta.build_fai(spark, _broken_contigs(spark, sf_dir), fx.RANGE // 4, mode="PERMISSIVE")
+    return fai.select("ref_index", "name", F.col("_error.message").alias("message"))
+
+
+_FAI_LINE = "case k % 7 when 0 then concat('n', k, '\t5\t6\t7') when 1 then concat('\t5\t6\t7\t8') when 2 then concat('n', k, '\tx\t6\t7\t8') when 3 then concat('n', k, '\t5\t6\t0\t8') when 4 then concat('n', k, '\t5\t6\t9\t8') when 5 then concat('d', k % 4, '\t5\t6\t7\t8') else concat('n', k, '\t5\t6\t7\t8') end"
+
+
+@query("""with l as (select row_number() over (order by o_orderkey) - 1 as line_no, o_orderkey as k from orders)
+    select line_no, case k % 7 when 0 then 'expected 5 tab-separated fields' when 1 then 'empty reference name' when 2 then 'invalid len' when 3 then 'line bases must be positive' when 4 then 'line width is less than line bases'
+        when 5 then case when row_number() over (partition by case when k % 7 = 5 then k % 4 end order by line_no) > 1 then 'duplicate reference name' end end as message from l""")
+def fai_line_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a .fai file, and what is wrong with each."""
+    fx.load(spark, sf_dir, "orders")
+    lines = spark.table("orders").select(F.col("o_orderkey").alias("k")).withColumn("value", F.expr(_FAI_LINE))
+    rows = fasta.read_fai(spark, fx.one_file(spark, fx.written(lines, "fai", files=1)), mode="PERMISSIVE")
+    return rows.select("line_no", F.regexp_replace("message", r"^invalid \.fai line \d+: ", "").alias("message"))
+
+
 @query(f"select count(*) as records, sum(length(seq))::bigint as bases, 0::bigint as qualities, sum(length(name) - 1)::bigint as name_bytes, {_fold(_STEP)} as checksum from {READS} r where k % 5 <> 0")
 def sam_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.reads(spark, sf_dir)

@@ -612,15 +612,80 @@ def bgzf_blocks(spark: SparkSession, path: str | list[str], decode: bool = False
     return got if decode else got.drop("data")
 
 
-def check_bgzf(spark: SparkSession, path: str) -> DataFrame:
-    """The strict index of a file: every block inflates, an end block is there and nothing follows it; else an error."""
-    size = list_files(spark, path)[0][1]
-    blocks = ranges(spark, path).mapInArrow(_blocks(True), "path string, start bigint, compressed_offset bigint, compressed_size bigint, uncompressed_size bigint, data binary").drop("data")
+_REPORT = "path string, start bigint, compressed_offset bigint, compressed_size bigint, uncompressed_size bigint, message string"
+
+
+def _next_block(f, at: int, stop: int, size: int) -> int | None:
+    """Where the first block from a place on begins that is whole and has another behind it, or the end; None if there is none before `stop`."""
+    while at < stop:
+        found = bgzf.first_block(f, at, size)
+        if found is not None:
+            return found if found < stop else None
+        at += 2 * bgzf.MAX_BLOCK
+    return None
+
+
+def _checked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block from a range's first to the first of the ranges behind, and one where none begins but should; payloads are inflated and dropped here."""
+    for r in _each(batches):
+        rows: list[tuple] = []
+        with open_at(r["path"]) as f:
+            at, size = _next_block(f, r["start"], r["end"], r["size"]), r["size"]
+            limit = _next_block(f, r["end"], size, size) if at is not None else None
+            limit = size if limit is None else limit
+            while at is not None and at < limit:
+                f.seek(at)
+                header = f.read(PREFIX)
+                try:
+                    if len(header) < PREFIX:
+                        raise BgzfError("short block")
+                    own = bgzf.block_size(header)
+                except BgzfError as e:
+                    rows.append((at, None, None, e.detail))
+                    at = _next_block(f, at + 1, limit, size)
+                    continue
+                block = header + f.read(own - PREFIX)
+                try:
+                    if len(block) < own:
+                        raise BgzfError("short block")
+                    rows.append((at, own, len(bgzf.inflate(block)), None))
+                except BgzfError as e:
+                    rows.append((at, own, None, e.detail))
+                at += own
+        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        yield _batch(["path", "start", "compressed_offset", "compressed_size", "uncompressed_size", "message"], [pa.array([r["path"]] * len(rows), pa.string()), pa.array([r["start"]] * len(rows), pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]])
+
+
+def bgzf_errors(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE) -> DataFrame:
+    """(path, compressed_offset, message): all that is wrong with block-gzip files; none of an intact one.
+
+    Ranges are checked side by side: headers, sizes, payloads and their CRC. A block whose payload is damaged is
+    passed over; where a header is, reading goes on with the next block that has a whole one behind it, and what
+    lies between isn't judged. A task goes on to where a following range finds its first block, so no block is
+    left out. Then the end block must be there and be the last. Sizes alone leave the tasks.
+    """
+    found = list_files(spark, path)
+    blocks = ranges(spark, path, range_bytes).mapInArrow(_checked_blocks, _REPORT)
     end = F.col("compressed_offset") + F.col("compressed_size")
-    is_end = (F.col("uncompressed_size") == 0) & (F.col("compressed_size") == len(bgzf.EOF_BLOCK))
-    row = blocks.agg(F.min(F.when(is_end, end)).alias("eof"), F.max(end).alias("last")).first()
-    if row.eof is None:
-        raise BgzfError("missing BGZF EOF marker")
-    if row.eof != size:
-        raise BgzfError("trailing bytes after BGZF EOF marker")
+    whole = F.col("message").isNull()
+    marker = whole & (F.col("uncompressed_size") == 0) & (F.col("compressed_size") == len(bgzf.EOF_BLOCK))
+    each = blocks.groupBy("path", "start").agg(F.min(F.when(marker, end)).alias("eof"), F.collect_list(F.when(~whole, F.struct("compressed_offset", "message"))).alias("errors"))
+    # what stands behind an end block is trailing bytes, whatever it is
+    inner = each.select("path", F.min("eof").over(W.partitionBy("path")).alias("stop"), "errors").select("path", "stop", F.explode("errors").alias("e"))
+    inner = inner.where("stop is null or e.compressed_offset < stop").select("path", "e.*")
+    files = spark.createDataFrame(found, "path string, size bigint")
+    ends = each.groupBy("path").agg(F.min("eof").alias("eof"))
+    at_end = files.join(ends, "path", "left").select(
+        "path", F.coalesce("eof", "size").alias("compressed_offset"),
+        F.when(F.col("eof").isNull(), "missing BGZF EOF marker").when(F.col("eof") != F.col("size"), "trailing bytes after BGZF EOF marker").alias("message"),
+    )
+    return inner.union(at_end.where("message is not null"))
+
+
+def check_bgzf(spark: SparkSession, path: str) -> DataFrame:
+    """The strict index of a file: every block inflates, an end block is there and nothing follows it; else the first error is raised."""
+    first = bgzf_errors(spark, path).agg(F.min(F.struct("compressed_offset", "message")).alias("e")).first().e
+    if first is not None:
+        raise BgzfError(first.message)
     return bgzf_blocks(spark, path)

@@ -246,3 +246,9 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
     out.write(bytearray(data))
     out.close()
     return path
+
+
+def append_bytes(path: str, data: bytes) -> None:
+    """Some bytes at the end of a file of a mounted folder."""
+    with open(file_system(path)[1], "ab") as f:
+        f.write(data)

@@ -18,7 +18,7 @@ from strandframe.streaming.files import stream_files
 
 SF = "/root/testdata/sf0.001"
 #: One or two of each family; the driver compares all of them.
-CHOSEN = "fastq_scan_bgzf fastq_stream_stats fastq_pack_stats fastq_validation_report pack_bases packed_base_at quality_bins paired_fast_slash paired_count_mismatch interleaved_pairs fasta_stats fai_bgzf fasta_fetch_bgzf fetch_partition bgzf_virtual_offset_asof sam_checksum".split()
+CHOSEN = "fastq_scan_bgzf fastq_stream_stats fastq_pack_stats fastq_validation_report pack_bases packed_base_at quality_bins paired_fast_slash paired_count_mismatch interleaved_pairs fasta_stats fai_bgzf fasta_fetch_bgzf fetch_partition bgzf_virtual_offset_asof sam_checksum bgzf_damage fai_errors fai_line_errors".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)

@@ -331,3 +331,50 @@ def test_fasta_checksums(spark):
     df = lambda *seqs: spark.createDataFrame([(i, s.encode()) for i, s in enumerate(seqs)], "record_index bigint, seq binary")
     for seqs, want in (((), "14695981039346656037"), (("ACGT", "TTAA"), "10941314783621317075"), (("ACGT", "TT"), "10941103677388697107"), (("",), "17039301642135479899")):
         assert stats.fasta_stats(df(*seqs)).first().checksum == want
+
+
+def damaged(data, places):
+    out = bytearray(data)
+    for at in places:
+        out[at] ^= 0xFF
+    return bytes(out)
+
+
+@pytest.mark.parametrize("cut", [400, 5000, 1 << 26])
+def test_damage_of_block_gzip(spark, put, cut):
+    blocks = [bgzf.deflate(bytes([65 + i % 50]) * 900 + repr(i * 7919).encode() * 40) for i in range(40)]
+    whole = b"".join(blocks) + bgzf.EOF_BLOCK
+    starts = [sum(map(len, blocks[:i])) for i in range(41)]
+    report = lambda data: sorted((r.compressed_offset, r.message) for r in scan.bgzf_errors(spark, put(data), cut).collect())
+    assert report(whole) == []
+    assert report(whole[: starts[40]]) == [(starts[40], "missing BGZF EOF marker")]
+    assert report(whole + b"junk") == [(len(whole), "trailing bytes after BGZF EOF marker")]
+    assert report(b"") == [(0, "missing BGZF EOF marker")]
+    crc = [starts[i + 1] - 8 for i in (0, 7, 8, 39)]
+    assert report(damaged(whole, crc)) == [(starts[i], "CRC32 mismatch") for i in (0, 7, 8, 39)]
+    heads = [starts[i] for i in (5, 20, 33)]
+    assert report(damaged(whole, heads)) == [(at, "invalid BGZF header") for at in heads]
+    size = [starts[13] - 4]
+    assert report(damaged(whole, size))[0][0] == starts[12]
+    short = whole[: starts[30] + 25]
+    assert report(short)[-1] == (len(short), "missing BGZF EOF marker")
+    with pytest.raises(BgzfError, match="CRC32 mismatch"):
+        check_bgzf(spark, put(damaged(whole, crc)))
+
+
+def test_index_goes_on_after_errors(spark, put):
+    data = "stray\n>a\nACGT\nAC\n>b\nAC\n\nAC\n>c\nACG\nA\nACG\n>a again\nACGT\n>\nAC\n>d\nAC\nACGT\n>e\nA\n"
+    for cut in (6, 1 << 20):
+        rows = fasta.build_fai(spark, put(data), cut, "PERMISSIVE").sort("ref_index").collect()
+        assert [(r.ref_index, r.name, r._error.message if r._error else None) for r in rows] == [
+            (-1, None, "FASTA record header must start with `>`"), (0, "a", None), (1, "b", "FASTA index does not support blank sequence lines"), (2, "c", "non-final FASTA sequence line has inconsistent wrapping"),
+            (3, "a", "duplicate FASTA index reference name"), (4, "", "empty FASTA id"), (5, "d", "FASTA final sequence line is longer than the first sequence line"), (6, "e", None),
+        ]
+        assert [r.name for r in fasta.build_fai(spark, put(data), cut, "DROPMALFORMED").sort("ref_index").collect()] == ["a", "e"]
+
+
+def test_fai_lines_with_errors_are_kept(spark, put):
+    data = "a\t1\t2\t3\t4\n\nb\t1\t2\n\na\t5\t6\t7\t8\nc\t0\t2\t0\t1\n"
+    rows = fasta.read_fai(spark, put(data), "PERMISSIVE").sort("line_no").collect()
+    assert [(r.ref_index, r.line_no, r.name, r.message) for r in rows] == [(0, 0, "a", None), (1, 2, "b", "invalid .fai line 3: expected 5 tab-separated fields"), (2, 4, "a", "invalid .fai line 5: duplicate reference name"), (3, 5, "c", None)]
+    assert [r.name for r in fasta.read_fai(spark, put(data), "DROPMALFORMED").sort("ref_index").collect()] == ["a", "c"]
