@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import Window as W
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..schema import BGZF_INDEX_SCHEMA, FASTA_SCAN_SCHEMA, FASTQ_SCAN_SCHEMA
 from ..sources import scan, sinks
 from ..sources.bgzf import EOF_BLOCK, hop, read_blocks
-from ..sources.files import BGZF, GZIP, file_system, kind_of, open_at
+from ..sources.files import BGZF, GZIP, file_system, kind_of, open_at, scratch
 from . import packing
 
 
 def decoded(content: bytes) -> bytes:
     """Bytes of a small file, decoded by their magic."""
-    import io
-
     kind = kind_of(content[:18])
     if kind == GZIP:
         return b"".join(scan.gunzip(io.BytesIO(content)))
@@ -66,19 +66,65 @@ class FastaParse:
 
 
 class _Reader(DataSourceReader):
-    """Files, by a path, folder or pattern of a shared mount or a store that pyarrow reaches; a file a task."""
+    """Files, by a path, folder or pattern of a shared mount or a store that pyarrow reaches.
+
+    A file is a task; with the option `ranges`, a table that measure() has written, tasks are groups of ranges
+    of 64 MB or so, and filters on path and record_index leave out ranges that can't hold such records.
+    """
 
     def __init__(self, options: dict, step, schema: str) -> None:
         self.options, self.step, self.schema = options, step, schema
+        self.paths: set[str] | None = None
+        self.low, self.high = 0, scan.WHOLE
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if column == ("path",) and isinstance(f, EqualTo | In):
+                these = set(value if isinstance(f, In) else [value])
+                self.paths = these if self.paths is None else self.paths & these
+            elif column == ("record_index",) and isinstance(value, int | tuple | list):
+                if isinstance(f, In):
+                    self.low, self.high = max(self.low, min(value)), min(self.high, max(value))
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    self.low = max(self.low, value + isinstance(f, GreaterThan))
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    self.high = min(self.high, value - isinstance(f, LessThan))
+            yield f  # ranges are coarse, so Spark still looks at each record
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in _files(self.options["path"])]
+        wanted = lambda p: self.paths is None or p in self.paths
+        if "ranges" not in self.options:
+            row = {"start": 0, "byte0": 0, "bytes": scan.WHOLE, "line0": 0, "record0": 0}
+            return [InputPartition([{**row, "path": p, "size": n, "end": n}]) for p, n in _files(self.options["path"]) if n and wanted(p)] or [InputPartition([])]
+        import pyarrow.dataset as ds
+
+        system, folder = file_system(self.options["ranges"])
+        rows = ds.dataset(folder, filesystem=system, format="parquet").to_table().to_pylist()
+        rows = [r for r in rows if wanted(r["path"]) and r["first_record"] <= self.high and (r["next_record"] is None or r["next_record"] > self.low)]
+        rows.sort(key=lambda r: (r["path"], r["start"]))
+        tasks = max(1, min(len(rows), scan.MOST_TASKS))
+        return [InputPartition(rows[k * len(rows) // tasks : (k + 1) * len(rows) // tasks]) for k in range(tasks)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        path, size = partition.value
-        if size:
-            row = {"path": path, "size": size, "start": 0, "end": size, "byte0": 0, "bytes": scan.WHOLE, "line0": 0, "record0": 0}
-            yield from scan._run(self.step, iter([pa.RecordBatch.from_pylist([row])]))
+        if partition.value:
+            yield from scan._run(self.step, iter([pa.RecordBatch.from_pylist(partition.value)]))
+
+
+def measure(spark: SparkSession, kind: str, path: str | list[str], ranges: str, range_bytes: int = scan.RANGE) -> None:
+    """Writes the table of ranges that the formats fastq and fasta take as option `ranges`: a row a range, with its first record and the next range's."""
+    rows = scan.numbered(spark, path, range_bytes)
+    first = F.ceil(F.col("line0") / 4) if kind == "fastq" else F.col("record0")
+    following = F.lead("first_record").over(W.partitionBy("path").orderBy("start"))
+    rows.withColumn("first_record", first).withColumn("next_record", following).write.parquet(ranges)
+
+
+def load(spark: SparkSession, kind: str, path: str, range_bytes: int = scan.RANGE) -> DataFrame:
+    """spark.read.format(kind).load(path) with measured ranges, so that large files are many tasks and filters prune. kind: fastq or fasta."""
+    register(spark)
+    ranges = scratch(spark, "ranges")
+    measure(spark, kind, path, ranges, range_bytes)
+    return spark.read.format(kind).option("ranges", ranges).load(path)
 
 
 def _files(path: str) -> list[tuple[str, int]]:
@@ -98,7 +144,7 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 
 class FastqDataSource(DataSource):
-    """spark.read.format("fastq").load(path): a file a task; scan.scan_fastq splits large files."""
+    """spark.read.format("fastq").load(path): a file a task; with option("ranges", ...) of measure(), or by load(), a range."""
 
     @classmethod
     def name(cls) -> str:
@@ -112,7 +158,7 @@ class FastqDataSource(DataSource):
 
 
 class FastaDataSource(DataSource):
-    """spark.read.format("fasta").load(path): a file a task; scan.scan_fasta splits large files."""
+    """spark.read.format("fasta").load(path): as fastq."""
 
     @classmethod
     def name(cls) -> str:
@@ -141,11 +187,12 @@ class FaiDataSource(DataSource):
 
 class _FaiReader(_Reader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open_at(partition.value[0]) as f:
-            for line in f.read().decode("latin-1").splitlines():
-                if line:
-                    name, *rest = line.split("\t")
-                    yield (partition.value[0], name, *map(int, rest))
+        for r in partition.value:
+            with open_at(r["path"]) as f:
+                for line in io.TextIOWrapper(f, "latin-1", newline="\n"):  # a line at a time
+                    if line := line.rstrip("\r\n"):
+                        name, *rest = line.split("\t")
+                        yield (r["path"], name, *map(int, rest))
 
 
 class BlocksDataSource(DataSource):
@@ -164,13 +211,14 @@ class BlocksDataSource(DataSource):
 
 class _BlocksReader(_Reader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        decoded = 0
-        with open_at(partition.value[0]) as f:
-            for i, (offset, size, out) in enumerate(hop(f, 0)):
-                if out == 0 and size == len(EOF_BLOCK):
-                    return
-                yield partition.value[0], i, offset, decoded, size, out
-                decoded += out
+        for r in partition.value:
+            decoded = 0
+            with open_at(r["path"]) as f:
+                for i, (offset, size, out) in enumerate(hop(f, 0)):
+                    if out == 0 and size == len(EOF_BLOCK):
+                        break
+                    yield r["path"], i, offset, decoded, size, out
+                    decoded += out
 
 
 @F.udtf(returnType="line bigint, span_start bigint, span_end bigint")
@@ -203,7 +251,8 @@ _SQL = {
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """Makes the functions, table functions and formats known to a session."""
+    """Makes the functions, table functions and formats known to a session, and lets formats see filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for head, body in _SQL.items():
         spark.sql(f"create or replace temporary function {head} return {body}")
     spark.udf.register("pack_bases", packing.pack_bases)
@@ -217,4 +266,4 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
-__all__ = ["FastaParse", "FastqParse", "decoded", "parse_bytes", "register"]
+__all__ = ["FastaParse", "FastqParse", "decoded", "load", "measure", "parse_bytes", "register"]

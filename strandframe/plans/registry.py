@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import packing, records
-from ..functions.register import register
+from ..functions.register import load, register
 from ..operators import fasta, fastq, sam, stats, synthetic
 from ..sources import bgzf, sinks
 from ..sources.files import detect_kinds, scratch
@@ -50,6 +50,15 @@ def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, fx.fastq_file(spark, sf_dir))
 
 
+@query(f"select * from ({_SCAN_SQL}) s where record_index >= (select count(*) // 3 from orders) and record_index < (select 2 * (count(*) // 3) from orders)")
+def fastq_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle third of one file's records by the format, which reads the ranges that hold them."""
+    rows = load(spark, "fastq", fx.one_file(spark, fx.fastq_file(spark, sf_dir, "bgzf", files=1)), fx.RANGE // 8)
+    third = spark.table("orders").count() // 3
+    got = rows.where(F.col("record_index").between(third, 2 * third - 1))
+    return got.select("record_index", records.text("name").alias("name"), records.id_token("name").alias("id_token"), records.text("seq").alias("seq"), records.text("qual").alias("qual"))
+
+
 @query(_SCAN_SQL)
 def fastq_scan_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, fx.fastq_file(spark, sf_dir, "gzip"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandframe import cli
-from strandframe.functions.register import register
+from strandframe.functions.register import load, register
 from strandframe.operators import stats
 from strandframe.plans import registry
 from strandframe.sources import bgzf, sinks
@@ -18,7 +18,7 @@ from strandframe.streaming.files import stream_files
 
 SF = "/root/testdata/sf0.001"
 #: One or two of each family; the driver compares all of them.
-CHOSEN = "fastq_scan_bgzf fastq_stream_stats fastq_pack_stats fastq_validation_report pack_bases packed_base_at quality_bins paired_fast_slash paired_count_mismatch interleaved_pairs fasta_stats fai_bgzf fasta_fetch_bgzf fetch_partition bgzf_virtual_offset_asof sam_checksum bgzf_damage fai_errors fai_line_errors".split()
+CHOSEN = "fastq_scan_bgzf fastq_stream_stats fastq_pack_stats fastq_validation_report pack_bases packed_base_at quality_bins paired_fast_slash paired_count_mismatch interleaved_pairs fasta_stats fai_bgzf fasta_fetch_bgzf fetch_partition bgzf_virtual_offset_asof sam_checksum fastq_format bgzf_damage fai_errors fai_line_errors".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
@@ -72,6 +72,38 @@ def test_sql_names(spark, files):
     assert spark.read.format("fasta").load(str(files / "a.fa")).count() == 2
 
 
+@pytest.mark.parametrize("transport", ["raw", "bgzf"])
+def test_formats_split_files_and_prune_ranges(spark, tmp_path, transport):
+    n = 4000
+    text = "".join(f"@r{i}\n{'ACGT' * (i % 9)}\n+\n{'IIII' * (i % 9)}\n" for i in range(n)).encode()
+    for name in ("a.fq", "b.fq"):
+        data = text if transport == "raw" else b"".join(bgzf.deflate(text[i : i + 4000]) for i in range(0, len(text), 4000)) + bgzf.EOF_BLOCK
+        (tmp_path / name).write_bytes(data)
+    size = (tmp_path / "a.fq").stat().st_size
+    rows = load(spark, "fastq", str(tmp_path / "*.fq"), -(-size // 50))
+    assert rows.rdd.getNumPartitions() > 50
+    assert rows.groupBy("path").agg(F.count("*"), F.max("record_index"), F.countDistinct("name")).select("count(1)", "max(record_index)", "count(DISTINCT name)").collect() == [(n, n - 1, n)] * 2
+    some = rows.where("record_index >= 1000 and record_index < 1100")
+    assert some.rdd.getNumPartitions() < 20 and some.count() == 200
+    path = rows.where("path like '%a.fq'").first().path
+    one = rows.where(F.col("path") == path).where(F.col("record_index").isin(5, 17))
+    assert one.rdd.getNumPartitions() <= 4 and sorted(bytes(r.name) for r in one.collect()) == [b"@r17", b"@r5"]
+    assert rows.where("record_index > 3998 and record_index <= 3999").count() == 2 and rows.where("record_index = 4000").count() == 0
+    spark.sql(f"create or replace temporary view fq using fastq options (path '{tmp_path}/a.fq')")
+    assert spark.sql("select max(record_index) from fq").first()[0] == n - 1
+
+
+def test_formats_of_indexes_and_names_of_sql(spark, files):
+    register(spark)
+    assert [tuple(r)[1:] for r in spark.read.format("fai").load(str(files / "a.fai")).collect()] == [("alpha", 13, 13, 5, 6), ("beta", 2, 35, 2, 3)]
+    assert [tuple(r)[1:] for r in spark.read.format("bgzf_blocks").load(str(files / "a.bgz")).collect()] == [(0, 0, 0, (files / "a.bgz").stat().st_size - 28, 13)]
+    fasta = load(spark, "fasta", str(files / "a.fa"), 12).sort("record_index").collect()
+    assert [(bytes(r.name), bytes(r.seq)) for r in fasta] == [(b">alpha first", b"GATTACAGATTAC"), (b">beta", b"CC")]
+    spans = spark.sql("select * from fasta_spans(3, 9, 13, 5, 6)").collect()
+    assert [tuple(r) for r in spans] == [(0, 16, 18), (1, 19, 23)]
+    assert spark.sql("select hex(bin_qualities(encode('!+5?I', 'utf-8'), array(10, 20, 30))) b").first().b == "0001020303"
+
+
 def test_writers(spark, tmp_path):
     rows = spark.range(5000).selectExpr("id", "concat('@r', id, '\n', repeat('ACGT', 20), '\n+\n', repeat('I', 80)) as value")
     write_bgzf(rows, str(tmp_path / "b"), "id", files=3)
