@@ -24,12 +24,25 @@ END = r"[.!?;:][ \t\r]*\n|[.!?;:][ \t]+|\n[ \t\r]*[#*/;-]*[ \t\r]*\n"
 #: What remains when all but letters, digits and the dots and hyphens between them is a blank.
 NOISE = r"[^\p{L}\p{N}.-]+|[.-]+(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[.-]+"
 HINT = "licen[cs]e"
+#: Sentences with parts of their own, such as the holder's name: (words that they have, pattern of the normalised beginning, beginning of the known sentence).
+FORMS = [
+    ("nor the names of", r"^(?:[0-9]{1,2} )?neither the names? of .{1,200}? nor the names of (?:its|their|any|the|other) contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    ("may not be used to endorse", r"^(?:[0-9]{1,2} )?the names? of .{1,200}? may not be used to endorse", "the name of the author may not be used to endorse"),
+    ("redistributions", r"^[0-9]{1,2} redistributions ", "redistributions "),
+]
 
 
 def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(ascii_lower(sentence), NOISE, " "), " {2,}", " "))
 
 
+def canonical(normal: Column) -> Column:
+    """A normalised sentence with the parts of its own replaced by those of the known sentence."""
+    for words, pattern, known in FORMS:
+        normal = F.when(F.contains(normal, F.lit(words)), F.regexp_replace(normal, pattern, known)).otherwise(normal)
+    return normal
+
+
 def scan_licences(docs: DataFrame, sentences: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sentence_ids, licences, unknown), a row for each row of docs.
 
@@ -42,12 +55,13 @@ def scan_licences(docs: DataFrame, sentences: DataFrame, rules: DataFrame, id_co
     have equal results. A very long text is cut whole into its sentences, a row each. Empty tables give
     empty results. Other columns of docs aren't looked at.
     """
-    known = sentences.select(normalise(F.col("sentence")).alias("s"), "identifier").groupBy("s").agg(F.min("identifier").alias("identifier"))
+    known = sentences.select(normalise(F.col("sentence")).alias("s"), "identifier").select(canonical(F.col("s")).alias("s"), "identifier").groupBy("s").agg(F.min("identifier").alias("identifier"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
     cut = rows.select("doc_id", "h", F.posexplode(F.split("text", END)).alias("at", "s")).where(F.col("s") != "")
     lines = F.when(F.contains("s", F.lit("\n")), F.split("s", "\n")).otherwise(F.array().cast("array<string>"))
     tried = cut.select("doc_id", "h", "at", F.posexplode(F.concat(F.array("s"), lines)).alias("line", "s")).select("doc_id", "h", "at", "line", normalise(F.col("s")).alias("s"))
+    tried = tried.withColumn("s", canonical(F.col("s")))
     speaks = (F.col("line") == 0) & F.col("s").rlike(HINT)
     found = tried.join(known, "s", "left").where(F.col("identifier").isNotNull() | speaks)
     found = found.select("doc_id", "h", F.struct("at", "line", "identifier").alias("x")).distinct()
@@ -92,7 +106,13 @@ def _values(rows: list) -> str:
 
 def _op3_sql() -> str:
     noise = lambda s: rf"regexp_replace(regexp_replace(regexp_replace(' ' || translate({s}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ', '[^\p{{L}}\p{{N}}.-]+', ' ', 'g'), '[.-]+ ', ' ', 'g'), ' [.-]+', ' ', 'g')"
-    norm = lambda s: f"trim(regexp_replace({noise(s)}, ' {{2,}}', ' ', 'g'), ' ')"
+    norm = lambda s: canon(f"trim(regexp_replace({noise(s)}, ' {{2,}}', ' ', 'g'), ' ')")
+
+    def canon(s: str) -> str:
+        for _, pattern, known in FORMS:
+            s = f"regexp_replace({s}, '{pattern}', '{known}')"
+        return s
+
     steps, at = [], "first_step"
     for k, (licence, rule) in enumerate(sorted(RULES, key=lambda r: -len(r[1]))):
         pattern = "".join(f",{x}," for x in rule)

@@ -65,3 +65,40 @@ def test_whole_texts(spark, name, licence):
     if not path.exists():
         pytest.skip("the system has no licence texts")
     assert licence in scan(spark, [path.read_text()])[0].split(",")
+
+
+GNU = """This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License for more details.
+
+You should have received a copy of the GNU {kind} General Public License along with this {what}."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."""
+
+
+@pytest.mark.parametrize("holder", ["Acme LLC", "the University of Somewhere", "Acme, Inc", "Acme, Inc.", "the Regents", "Jörg Müller & Söhne GmbH"])
+@pytest.mark.parametrize("mark", ["3.", "*", "(3)", "-"])
+def test_any_holder_of_three_clauses(spark, holder, mark):
+    endorse = f"{mark} Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    text = BSD2 + "\n\n" + endorse
+    assert scan(spark, [text, wrapped(text, 72), wrapped(text, 66, "//"), BSD2]) == ["BSD-3-Clause"] * 3 + ["BSD-2-Clause"]
+
+
+def test_notices_of_more_licences(spark):
+    forms = {
+        "LGPL-2.1": GNU.format(what="library", a=";", b=";", kind="Lesser", version="2.1"), "LGPL-3.0": GNU.format(what="program", a=":", b=",", kind="Lesser", version="3"), "AGPL-3.0": GNU.format(what="program", a=":", b=",", kind="Affero", version="3"), "Zlib": ZLIB,
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)", "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\nCREATIVE COMMONS CORPORATION IS NOT A LAW FIRM",
+        "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    }
+    want = [name for name in forms for _ in range(3)]
+    assert scan(spark, [form for text in forms.values() for form in (text, wrapped(text, 72), wrapped(text, 70, "#"))]) == want
+
+
+def test_spdx_tags(spark):
+    tags = {"MIT": "// SPDX-License-Identifier: MIT\nint main() {}", "GPL-2.0": "/* SPDX-License-Identifier: GPL-2.0-only */\n#include <x.h>", "Apache-2.0": "# SPDX-License-Identifier: Apache-2.0\nimport os\n", "LGPL-2.1": "SPDX-License-Identifier: LGPL-2.1-or-later"}
+    assert scan(spark, list(tags.values())) == list(tags)
+    assert scan(spark, ["MIT\nis a school", "see Apache-2.0"]) == ["", ""]
