@@ -53,18 +53,20 @@ class Items:
     An item of n characters may have floor(rate * n) errors; it is cut into one piece more than that,
     so one piece of a match is intact. A tree over the pieces verifies: a node of p pieces must match
     with p - 1 errors or fewer, for some path from an intact piece to the whole item that holds.
-    Items of under `least` characters stand in too many texts by chance: they are found where a whole line is the item.
+    Items of under `least` characters have no errors: they are found where their words stand in a row. An item of
+    a single word that short is in too many texts by chance, and is found where a whole line is the item.
     """
 
     def __init__(self, items: list[tuple[object, str]], rate: float, least: int) -> None:
         self.texts: list[tuple[object, str, int]] = []
         self.short: dict[str, list[int]] = {}
+        rows: dict[str, list[int]] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
         for key, raw in items:
             text = normalise(raw)
             if len(text) < least:
                 if text:
-                    self.short.setdefault(text, []).append(len(self.texts))
+                    (rows if " " in text else self.short).setdefault(text, []).append(len(self.texts))
                     self.texts.append((key, text, 0))
                 continue
             errors = int(rate * len(text))
@@ -77,6 +79,11 @@ class Items:
             self.automaton.add_word(piece, (len(piece), at))
         if pieces:
             self.automaton.make_automaton()
+        self.rows = ahocorasick.Automaton()
+        for words, at in rows.items():
+            self.rows.add_word(f" {words} ", (len(words), at))
+        if rows:
+            self.rows.make_automaton()
 
     @staticmethod
     def span(n: int, parts: int, first: int, end: int) -> tuple[int, int]:
@@ -113,6 +120,9 @@ class Items:
                 done += len(line) + bool(line and done)
                 for item in self.short.get(line, ()):
                     best.setdefault(item, (0, done))
+        for last, (_, at) in self.rows.iter(f" {text} ") if len(self.rows) else ():
+            for item in at:
+                best.setdefault(item, (0, last - 1))
         for last, (length, at) in self.automaton.iter(text) if len(self.automaton) else ():
             start = last + 1 - length
             for item, piece in at:
@@ -171,8 +181,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Texts and items are compared in lower case without punctuation. An item is found where some part
     of the text is within rate x its length edits; distance is the least, end where its first such
-    match ends in the normalised text. Items of under `least` normalised characters are found where a whole line
-    of the text is the item; those without a letter or digit nowhere. Null and empty texts hold no item; repeated
+    match ends in the normalised text. Items of under `least` normalised characters are found without edits where
+    their words stand in a row, those of one word where a whole line of the text is the item, and those without a
+    letter or digit nowhere. Null and empty texts hold no item; repeated
     rows give repeated results; an empty table on either side gives an empty result. Of equal matches the first
     counts. A very long text is searched whole, in one go, by the automaton. Other columns aren't looked at.
     """

@@ -203,6 +203,21 @@ def test_decontamination_finds_all_edits(spark):
     assert {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_decontamination_finds_short_items_where_their_words_stand(spark):
+    items = [(0, "What is 7 x 8?"), (1, "tiny"), (2, "is 7"), (3, "a b a"), (4, "7 x 8"), (5, "Ünder är")]
+    rows = [(0, "Question: What is 7 x 8? Answer: 56."), (1, "what is\n7 X 8"), (2, "what is 7 x 85"), (3, "tiny\nthis 7 words"), (4, "a tiny thing; a, b! a-b a"), (5, "xa b a"), (6, "ünder ÄR"), (7, ""), (8, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    norm = decontamination.normalise
+    want = set()
+    for d, t in rows:
+        for i, x in items:
+            if t and " " in norm(x) and f" {norm(x)} " in f" {norm(t)} " or t and " " not in norm(x) and norm(x) in map(norm, t.split("\n")):
+                want.add((d, i, 0, f" {norm(t)} ".find(f" {norm(x)} ") + len(norm(x)) if " " in norm(x) else len(norm(x))))
+    got = {(r.doc_id, r.item_id, r.distance, r.end) for r in decontamination.contamination(docs, bench).collect()}
+    assert got == want and {(0, 0), (0, 2), (0, 4), (1, 0), (2, 2), (3, 1), (4, 3), (6, 5)} == {w[:2] for w in want} - {(1, 2), (1, 4)}
+    assert {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()} == {5, 7, 8}
+
+
 def test_decontamination_finds_the_least_distance_in_periodic_texts():
     rng = random.Random(14)
     texts = [("bababababbbbaababbbbbaaaaabba", "babababababbbbaababbbbbaaabaabbaababba")]
