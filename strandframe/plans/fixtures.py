@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,6 +92,25 @@ def rewritten(spark: SparkSession, folder: str, name: str, times: int = 1, drop:
     return top
 
 
+def gzip_each(df: DataFrame, name: str) -> str:
+    """A gzip file for each row, by tasks: `value`, under `name`, in the `how` of the row: whole, cut, twice (two members) or wrong (checksum)."""
+    top = scratch(df.sparkSession, name)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, out = file_system(top)
+        system.create_dir(out)
+        for b in batches:
+            for name, value, how in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                data = gzip.compress(value.encode())
+                data = {"whole": data, "cut": data[:-9], "twice": data + data, "wrong": data[:-8] + bytes([data[-8] ^ 1]) + data[-7:]}[how]
+                with system.open_output_stream(f"{out}/{name}") as f:
+                    f.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    df.select("name", "value", "how").mapInArrow(put, "n bigint").agg(F.sum("n")).collect()
+    return top
+
+
 def poked(path: str, places: DataFrame) -> None:
     """Bytes of one file of a mounted folder turned round (each bit), at the places of column `at`, by tasks."""
 

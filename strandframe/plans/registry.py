@@ -10,7 +10,7 @@ from ..functions.register import load, register
 from ..operators import fasta, fastq, sam, stats, synthetic
 from ..sources import bgzf, sinks
 from ..sources.files import detect_kinds, scratch
-from ..sources.scan import bgzf_blocks, bgzf_errors, scan_lines
+from ..sources.scan import Transport, bgzf_blocks, bgzf_errors, scan_lines, transport_errors
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -556,6 +556,56 @@ def synthetic_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.synthetic_fasta(spark, 1000, 150)
 
 
+_HOW = "case s_suppkey % 5 when 1 then 'cut' when 2 then 'twice' when 3 then 'wrong' else 'whole' end"
+
+
+def _gzips(spark: SparkSession, sf_dir: str) -> str:
+    """A gzip FASTQ file of three records for each supplier, many of them damaged."""
+    fx.load(spark, sf_dir, "supplier")
+    value = "concat(repeat(concat('@s', s_suppkey, '\n', 'ACGT', '\n+\n', 'IIII', '\n'), 3))"
+    return fx.gzip_each(spark.table("supplier").selectExpr("concat('s', s_suppkey, '.gz') as name", f"{value} as value", f"{_HOW} as how"), "gzips")
+
+
+@query(f"""select s_suppkey as k, case {_HOW} when 'cut' then 'unexpected end of gzip data' when 'twice' then 'buffered reading accepts exactly one gzip member' when 'wrong' then 'Error -3 while decompressing data: incorrect data check' end as message
+    from supplier where {_HOW} <> 'whole'""")
+def transport_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that can't be decoded whole, of which each must be one gzip member."""
+    bad = transport_errors(spark, _gzips(spark, sf_dir), Transport(single=True))
+    return bad.select(F.regexp_extract("path", r"/s(\d+)\.gz$", 1).cast("bigint").alias("k"), "message")
+
+
+@query(f"select s_suppkey as k, (case {_HOW} when 'twice' then 6 else 3 end)::bigint as records from supplier where {_HOW} <> 'wrong'")
+def lenient_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the files whose bytes all came out, whatever their ends are like."""
+    rows = fastq.read_fastq(spark, _gzips(spark, sf_dir), mode="DROPMALFORMED", transport=Transport(lenient=True))
+    k = F.regexp_extract("path", r"/s(\d+)\.gz$", 1).cast("bigint")
+    return rows.groupBy(k.alias("k")).agg(F.count("*").alias("records")).where("k % 5 <> 3")
+
+
+@query(f"select idx as record_index, concat('record exceeds slab size (', length(name) + 2 * length(seq) + 5, ' bytes)') as message from {READS} r where length(name) + 2 * length(seq) + 5 > 50")
+def oversized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of more than 50 bytes, by the limit of the reader."""
+    rows = fastq.read_fastq(spark, fx.fastq_file(spark, sf_dir, "bgzf"), "PERMISSIVE", max_record_bytes=50, range_bytes=fx.RANGE, stream=True)
+    return rows.where("_error is not null").select("record_index", "_error.message")
+
+
+@query(f"select max(a.idx) as pair_index, 2 * max(a.idx) as record_index, '{fastq.UNPAIRED}' as message from {_FIRST} a")
+def interleaved_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record that the last second mate leaves alone."""
+    path = _interleaved(spark, sf_dir, "mate = 1 or k < (select max(o_orderkey) from orders)")
+    rows = fastq.read_interleaved_fastq(spark, path, mode="PERMISSIVE", range_bytes=fx.RANGE)
+    return rows.where("_error is not null").select("pair_index", "_error.record_index", "_error.message")
+
+
+@query(f"select idx as record_index, concat('invalid Phred+33 quality byte 31 at offset ', length(seq) // 2) as message from {READS} r where k % 9 = 0")
+def phred_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a quality byte that is none, and its place."""
+    bad = "case when k % 9 = 0 then concat(substr(qual, 1, length(seq) div 2), char(31), substr(qual, length(seq) div 2 + 2)) else qual end"
+    rows = fx.reads(spark, sf_dir).withColumn("qual", F.expr(bad)).withColumn("value", fx.fastq_value())
+    got = fastq.pack_trusted(spark, fx.written(rows, "phred"), "PERMISSIVE", fx.RANGE, True)
+    return got.where("_error is not null").select("record_index", "_error.message")
+
+
 @query("select * from (values ('raw', 'raw'), ('gzip', 'gzip'), ('bgzf', 'bgzf')) t(made, kind)")
 def detect_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transports of the reads' files by their first bytes, whatever they are called."""

@@ -38,13 +38,15 @@ _NL, _CR, _GT = 10, 13, 62
 class Transport(NamedTuple):
     """How bytes are decoded. decode: compressed input is, else all files are taken as they are. single: a gzip file has one member.
 
-    max_in, max_out: most compressed and decoded bytes of a gzip file.
+    max_in, max_out: most compressed and decoded bytes of a gzip file. lenient: a gzip file that can't be decoded
+    any further ends there, its last record cut short; transport_errors tells which files these are.
     """
 
     decode: bool = True
     single: bool = False
     max_in: int | None = None
     max_out: int | None = None
+    lenient: bool = False
 
 
 PLAIN = Transport()
@@ -83,8 +85,12 @@ class Range:
         """(bytes, whether they lie in the range). Plain gzip is one range, the first of its file."""
         if self.kind == GZIP:
             if self.start == 0:
-                for part in gunzip(self.file, *self.transport[1:]):
-                    yield part, True
+                try:
+                    for part in gunzip(self.file, *self.transport[1:4]):
+                        yield part, True
+                except OSError:
+                    if not self.transport.lenient:
+                        raise
             return
         if self.kind == BGZF:
             first = bgzf.first_block(self.file, self.start, self.size)
@@ -127,7 +133,7 @@ class Range:
 def gunzip(f, single: bool = False, max_in: int | None = None, max_out: int | None = None) -> Iterator[bytes]:
     """The decoded members of a gzip file, one after the other; with single, a second member or other bytes are an error."""
     f.seek(0)
-    z, read, made, members = zlib.decompressobj(31), 0, 0, 0
+    z, read, made, members, within = zlib.decompressobj(31), 0, 0, 0, False
     data = f.read(CHUNK)
     while data:
         read += len(data)
@@ -145,7 +151,7 @@ def gunzip(f, single: bool = False, max_in: int | None = None, max_out: int | No
                 raise OSError(f"gzip output exceeds {max_out} bytes")
             if part:
                 yield part
-            data = b""
+            data, within = b"", not z.eof
             if z.eof:
                 data, members = z.unused_data, members + 1
                 if data and single:
@@ -154,7 +160,7 @@ def gunzip(f, single: bool = False, max_in: int | None = None, max_out: int | No
         data = f.read(CHUNK)
         if data and members and single:
             raise OSError("buffered reading accepts exactly one gzip member")
-    if not members:
+    if not members or within:
         raise OSError("unexpected end of gzip data")
 
 
@@ -689,3 +695,33 @@ def check_bgzf(spark: SparkSession, path: str) -> DataFrame:
     if first is not None:
         raise BgzfError(first.message)
     return bgzf_blocks(spark, path)
+
+
+def transport_errors(spark: SparkSession, path: str | list[str], transport: Transport = PLAIN, range_bytes: int = RANGE) -> DataFrame:
+    """(path, kind, decoded bigint, message): the files that can't be decoded whole or go beyond a limit, with the bytes decoded before.
+
+    A gzip file is one task's, which drops what it decodes; block gzip is checked by ranges, and its first error told. Raw files have none.
+    """
+    found = list_files(spark, path)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _each(batches):
+            made, message = 0, None
+            with open_at(r["path"]) as f:
+                kind = kind_of(f.read(PREFIX))
+                if kind == GZIP:
+                    try:
+                        for part in gunzip(f, *transport[1:4]):
+                            made += len(part)
+                    except OSError as e:
+                        message = str(e)
+            yield _batch(["path", "kind", "decoded", "message"], [[r["path"]], [kind], pa.array([made], pa.int64()), pa.array([message], pa.string())])
+
+    files = spark.createDataFrame(found, "path string, size bigint").repartition(max(1, min(len(found), MOST_TASKS)))
+    seen = files.mapInArrow(decode, "path string, kind string, decoded bigint, message string")
+    blocked = [r.path for r in seen.where(F.col("kind") == BGZF).select("path").toLocalIterator()]
+    bad = seen.where("message is not null")
+    if blocked:
+        first = bgzf_errors(spark, blocked, range_bytes).groupBy("path").agg(F.min(F.struct("compressed_offset", "message"))["message"].alias("message"))
+        bad = bad.union(first.select("path", F.lit(BGZF), F.lit(None).cast("bigint"), "message"))
+    return bad

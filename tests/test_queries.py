@@ -18,13 +18,14 @@ from strandframe.streaming.files import stream_files
 
 SF = "/root/testdata/sf0.001"
 #: One or two of each family; the driver compares all of them.
-CHOSEN = "fastq_scan_bgzf fastq_stream_stats fastq_pack_stats fastq_validation_report pack_bases packed_base_at quality_bins paired_fast_slash paired_count_mismatch interleaved_pairs fasta_stats fai_bgzf fasta_fetch_bgzf fetch_partition bgzf_virtual_offset_asof sam_checksum fastq_format bgzf_damage fai_errors fai_line_errors".split()
+CHOSEN = "fastq_scan_bgzf fastq_stream_stats fastq_pack_stats fastq_validation_report pack_bases packed_base_at quality_bins paired_fast_slash paired_count_mismatch interleaved_pairs fasta_stats fai_bgzf fasta_fetch_bgzf fetch_partition bgzf_virtual_offset_asof sam_checksum fastq_format transport_damage lenient_records oversized_records interleaved_odd phred_errors bgzf_damage fai_errors fai_line_errors".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view orders as select * from '{SF}/orders.parquet'")
+    for t in ("orders", "supplier"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(registry.SQL[name]).df()
     got = registry.QUERIES[name](spark, SF).toPandas()
     cols = sorted(got.columns)

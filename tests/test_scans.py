@@ -378,3 +378,23 @@ def test_fai_lines_with_errors_are_kept(spark, put):
     rows = fasta.read_fai(spark, put(data), "PERMISSIVE").sort("line_no").collect()
     assert [(r.ref_index, r.line_no, r.name, r.message) for r in rows] == [(0, 0, "a", None), (1, 2, "b", "invalid .fai line 3: expected 5 tab-separated fields"), (2, 4, "a", "invalid .fai line 5: duplicate reference name"), (3, 5, "c", None)]
     assert [r.name for r in fasta.read_fai(spark, put(data), "DROPMALFORMED").sort("ref_index").collect()] == ["a", "c"]
+
+
+def test_files_that_cannot_be_decoded(spark, put, tmp_path):
+    data = FASTQ.encode()
+    zipped = gzip.compress(data)
+    files = {"raw": data, "whole": zipped, "cut": zipped[:-12], "second": zipped + zipped[:-3], "padded": zipped + b"\0" * 9, "blocks": bgzf.compress(data), "worn": damaged(bgzf.compress(data), [len(bgzf.compress(data)) - 36])}
+    folder = tmp_path / "all"
+    folder.mkdir()
+    for name, content in files.items():
+        (folder / name).write_bytes(content)
+    said = lambda t=scan.PLAIN: {r.path.rpartition("/")[2]: r.message for r in scan.transport_errors(spark, str(folder), t).collect()}
+    assert said() == {"cut": "unexpected end of gzip data", "second": "unexpected end of gzip data", "worn": "CRC32 mismatch"}
+    assert said(scan.Transport(max_out=10))["whole"] == "gzip output exceeds 10 bytes"
+    assert set(said(scan.Transport(single=True))) == {"cut", "second", "padded", "worn"}
+    (folder / "worn").unlink()
+    rows = fastq.read_fastq(spark, str(folder), mode="PERMISSIVE", transport=scan.Transport(lenient=True))
+    good = {r.path.rpartition("/")[2]: r["count"] for r in rows.where("_error is null").groupBy("path").count().collect()}
+    assert good["whole"] == good["raw"] == good["blocks"] == good["padded"] == 4 and good["second"] >= 3
+    with pytest.raises(PySparkException, match="unexpected end of gzip data"):
+        fastq.read_fastq(spark, str(folder)).count()
