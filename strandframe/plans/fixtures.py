@@ -77,7 +77,7 @@ def rewritten(spark: SparkSession, folder: str, name: str, times: int = 1, drop:
             for path, size in zip(b.column("path").to_pylist(), b.column("size").to_pylist(), strict=True):
                 system, out = file_system(top)
                 system.create_dir(out)
-                with system.open_output_stream(f"{out}/{path.rpartition('/')[2]}") as f:
+                with system.open_output_stream(f"{out}/{path.rpartition('/')[2]}", compression=None) as f:
                     for _ in range(times):
                         left = size - drop
                         with open_at(path) as source:
@@ -103,7 +103,7 @@ def gzip_each(df: DataFrame, name: str) -> str:
             for name, value, how in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 data = gzip.compress(value.encode())
                 data = {"whole": data, "cut": data[:-9], "twice": data + data, "wrong": data[:-8] + bytes([data[-8] ^ 1]) + data[-7:]}[how]
-                with system.open_output_stream(f"{out}/{name}") as f:
+                with system.open_output_stream(f"{out}/{name}", compression=None) as f:  # else its name makes it compress
                     f.write(data)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 

@@ -145,7 +145,7 @@ def gunzip(f, single: bool = False, max_in: int | None = None, max_out: int | No
             except zlib.error as e:
                 if members and not single:
                     return  # bytes after the last member
-                raise OSError(f"invalid gzip header: {e}" if not made else str(e)) from e
+                raise OSError(f"invalid gzip header: {e}" if "header" in str(e) else str(e)) from e
             made += len(part)
             if max_out is not None and made > max_out:
                 raise OSError(f"gzip output exceeds {max_out} bytes")

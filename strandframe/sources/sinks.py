@@ -231,7 +231,7 @@ def write_each(df: DataFrame, folder: str, name: Column) -> None:
         system.create_dir(top)
         for b in batches:
             for n, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with system.open_output_stream(f"{top}/{n}") as f:
+                with system.open_output_stream(f"{top}/{n}", compression=None) as f:
                     f.write(v.encode() + b"\n")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
