@@ -93,7 +93,7 @@ class Encoder:
         letters = (chr(c) for c in range(0x2B0) if _WORD.fullmatch(chr(c)))
         self.table = {ord(c): level.pre_tokenize_str(c)[0][0] for c in (" ", *letters)}
         self.cut = _Kept(self._piece, 2 * KEPT)
-        self.words = _Kept(lambda w: self._spaced(f" {w}"), KEPT)  # words behind a space
+        self.words = _Kept(self._word, KEPT)  # words behind a space
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -107,6 +107,14 @@ class Encoder:
             return self._whole(piece)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.cut[" " + word]
+        head, mark = word[:-1], word[-1:]
+        if mark.isascii() and head.isalpha() and not mark.isalpha():  # letters end there
+            return self.cut[" " + head] + self.cut[mark]
+        return self._spaced(" " + word)
+
     def _spaced(self, piece: str) -> bytes:
         """The ids of a piece that may be cut further."""
         return b"".join([self.cut[p] for p in _PIECE.findall(piece)])
