@@ -24,6 +24,8 @@ END = r"[.!?;:][ \t\r]*\n|[.!?;:][ \t]+|\n[ \t\r]*[#*/;-]*[ \t\r]*\n"
 #: What remains when all but letters, digits and the dots and hyphens between them is a blank.
 NOISE = r"[^\p{L}\p{N}.-]+|[.-]+(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[.-]+"
 HINT = "licen[cs]e"
+#: Bytes of the sentence table up to which each executor gets it, so that sentences of documents aren't shuffled.
+MOST_BROADCAST = 8 << 20
 #: Sentences with parts of their own, such as the holder's name: (words that they have, pattern of the normalised beginning, beginning of the known sentence).
 FORMS = [
     ("nor the names of", r"^(?:[0-9]{1,2} )?neither the names? of .{1,200}? nor the names of (?:its|their|any|the|other) contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
@@ -56,6 +58,8 @@ def scan_licences(docs: DataFrame, sentences: DataFrame, rules: DataFrame, id_co
     empty results. Other columns of docs aren't looked at.
     """
     known = sentences.select(normalise(F.col("sentence")).alias("s"), "identifier").select(canonical(F.col("s")).alias("s"), "identifier").groupBy("s").agg(F.min("identifier").alias("identifier"))
+    if (known.agg(F.sum(F.octet_length("s") + F.octet_length("identifier"))).first()[0] or 0) <= MOST_BROADCAST:
+        known = F.broadcast(known)  # else both sides are dealt by the sentence
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
     cut = rows.select("doc_id", "h", F.posexplode(F.split("text", END)).alias("at", "s")).where(F.col("s") != "")
