@@ -38,7 +38,7 @@ _TRAILER = struct.Struct("<8sQQQII")
 KEYS = 1 << 20
 _LEAST_FILES = 64
 #: Entries of a generation of the words whose ids a worker keeps (of their parts it keeps twice as many), and the most characters of such a word.
-KEPT, SHORT = 1 << 17, 64
+KEPT, SHORT = 1 << 18, 64
 #: White space of the pre-tokenizer, and letters that it surely takes as such.
 _S = " \\t\\n\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u02af"
@@ -161,8 +161,18 @@ class _Shard(WriterCommitMessage):
 class _ShardWriter(DataSourceArrowWriter):
     """Each task writes its rows to a hidden file; the commit names the files by the order of the tasks and writes the manifest."""
 
-    def __init__(self, path: str, width: int) -> None:
-        self.path, self.width = path, width
+    def __init__(self, path: str, width: int, tokenizer: str | None, end: int | None, special_as_text: bool) -> None:
+        self.path, self.width, self.tokenizer, self.end, self.special_as_text = path, width, tokenizer, end, special_as_text
+
+    def _ids(self, cells: pa.Array) -> Iterator[np.ndarray]:
+        """Of cells that hold ids, or texts to be encoded here, so that ids needn't pass through the JVM."""
+        if self.tokenizer is None:
+            yield from (np.frombuffer(c or b"", dtype="<u4") for c in common.utf8(cells))
+            return
+        encoder = _encoder(self.tokenizer, self.special_as_text)
+        tail = b"" if self.end is None else struct.pack("<I", self.end)
+        for lo in range(0, len(cells), 256):
+            yield from (np.frombuffer(encoder(t or "") + tail, dtype="<u4") for t in cells.slice(lo, 256).to_pylist())
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -174,8 +184,7 @@ class _ShardWriter(DataSourceArrowWriter):
         ends, keys, null, n = array("Q"), array("q"), bytearray(), 0
         with system.open_output_stream(name) as f:
             for batch in batches:
-                for key, ids in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1)), strict=True):
-                    found = np.frombuffer(ids or b"", dtype="<u4")
+                for key, found in zip(batch.column(0).to_pylist(), self._ids(batch.column(1)), strict=True):
                     f.write(found.astype(f"<u{self.width}", copy=False).tobytes())
                     n += len(found)
                     ends.append(n)
@@ -209,14 +218,18 @@ class _ShardWriter(DataSourceArrowWriter):
 
 
 class TokenIdSource(DataSource):
-    """df.write.format("token_ids").option("width", 2 or 4).save(path): the columns key and ids of `encode`, a shard a partition."""
+    """df.write.format("token_ids").option("width", 2 or 4).save(path): the columns key and ids of `encode`, a shard a partition.
+
+    With the options tokenizer, end and special_as_text the columns are key and text, and the writer encodes the texts.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "token_ids"
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _ShardWriter(self.options["path"], int(self.options.get("width", 4)))
+        end = self.options.get("end")
+        return _ShardWriter(self.options["path"], int(self.options.get("width", 4)), self.options.get("tokenizer"), int(end) if end else None, self.options.get("special_as_text") == "true")
 
 
 @dataclass
@@ -277,8 +290,12 @@ class Shard:
 
 def write_shards(encoded: DataFrame, path: str, width: int = 4) -> None:
     """The rows of `encode`, already in order within and across partitions, as shards under a path."""
-    encoded.sparkSession.dataSource.register(TokenIdSource)
-    encoded.write.format("token_ids").option("width", width).mode("append").save(path)
+    _write(encoded, path, width=width)
+
+
+def _write(rows: DataFrame, path: str, **options) -> None:
+    rows.sparkSession.dataSource.register(TokenIdSource)
+    rows.write.format("token_ids").options(**{k: v for k, v in options.items() if v is not None}).mode("append").save(path)
 
 
 def build_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int | None = 2, special_as_text: bool = False) -> None:
@@ -292,7 +309,7 @@ def build_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), hashed.alias("h"))
     ordered = rows.repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text")
     wide = Encoder(tokenizer).wide or (end or 0) >= 1 << 16
-    write_shards(encode(ordered, tokenizer, "key", "text", end, special_as_text), path, 4 if wide else 2)
+    _write(ordered.select("key", "text"), path, width=4 if wide else 2, tokenizer=tokenizer, end=end, special_as_text=special_as_text)
 
 
 # the index

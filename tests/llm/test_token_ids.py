@@ -86,6 +86,20 @@ def test_query_agrees_with_one_pass_over_the_texts(spark):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want
 
 
+def all_ids(path):
+    shards = [token_ids.Shard(f"{path}/{n}") for n in token_ids.Manifest.read(path).names]
+    return [i for s in shards for i in s.ids(0, s.tokens).tolist()]
+
+
+def test_rows_of_ids_make_the_shards_of_texts(spark, tmp_path):
+    df = spark.createDataFrame([(2, "a b"), (1, None), (3, "é<|endoftext|>")], SCHEMA).coalesce(1).sortWithinPartitions("doc_id")
+    for special in (False, True):
+        made, path = str(tmp_path / f"m{special}"), str(tmp_path / f"p{special}")
+        token_ids.write_shards(token_ids.encode(df, FILE, end=None, special_as_text=special), made, 2)
+        token_ids.build_shards(df, path, FILE, end=None, special_as_text=special)
+        assert all_ids(made) == all_ids(path) and (50256 in all_ids(path)) != special
+
+
 def test_edges(spark, tmp_path):
     rows = [(5, "x y"), (5, "x y"), (5, "another"), (-7, None), (0, ""), (None, "no key"), (None, None), (2**63 - 1, "long " * 100_000), (-(2**63), "漢字")]
     path, df = built(spark, rows, tmp_path)
