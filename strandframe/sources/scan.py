@@ -625,6 +625,10 @@ def _next_block(f, at: int, stop: int, size: int) -> int | None:
     """Where the first block from a place on begins that is whole and has another behind it, or the end; None if there is none before `stop`."""
     while at < stop:
         found = bgzf.first_block(f, at, size)
+        f.seek(at)
+        marker = f.read(2 * bgzf.MAX_BLOCK + len(bgzf.EOF_BLOCK)).find(bgzf.EOF_BLOCK)  # an end block, whatever stands behind it
+        if marker >= 0:
+            found = at + marker if found is None else min(found, at + marker)
         if found is not None:
             return found if found < stop else None
         at += 2 * bgzf.MAX_BLOCK
