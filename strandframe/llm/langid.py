@@ -18,6 +18,8 @@ UNKNOWN = "und"
 DOCS = 128
 #: Grams whose vectors are held as one array, and vectors that a worker keeps.
 TOGETHER, KEPT = 2048, 20_000
+#: Entries of a matrix of counts.
+COUNTS = 1 << 21
 
 
 @cache
@@ -160,6 +162,20 @@ def profiles(texts: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str],
     return [r.lang for r in rows], p
 
 
+def _count_blocks(doc: np.ndarray, gram: np.ndarray, docs: int, grams: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first gram, counts of docs x grams) for runs of grams, so that a matrix has COUNTS entries or TOGETHER grams, whatever the script."""
+    wide = max(TOGETHER, COUNTS // max(docs, 1) // TOGETHER * TOGETHER)
+    if grams > wide:
+        # occurrences by gram, so that each run of grams is one slice of them
+        order = np.argsort(gram, kind="stable")
+        doc, gram = doc[order], gram[order]
+    for at in range(0, grams, wide):
+        width = min(wide, grams - at)
+        own = slice(*np.searchsorted(gram, (at, at + width))) if grams > wide else slice(None)
+        n = np.bincount(doc[own] * width + (gram[own] - at), minlength=docs * width)
+        yield at, n.reshape(docs, width).astype(np.float32)
+
+
 def _predict(texts: pa.Array, langs: list[str], prototypes: np.ndarray) -> Iterator[tuple[str, float]]:
     for lang, score, _, _ in _judge(texts, langs, prototypes):
         yield lang, score
@@ -175,11 +191,11 @@ def _judge(texts: pa.Array, langs: list[str], prototypes: np.ndarray) -> Iterato
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
     for part in _parts(texts):
         doc, gram, keys = letter_grams(part)
-        n = np.bincount(doc * len(keys) + gram, minlength=len(part) * len(keys)).reshape(len(part), -1) if len(keys) else np.zeros((len(part), 0))
         v = np.zeros((len(part), prototypes.shape[1]), dtype=np.float32)
-        for at in range(0, len(keys), TOGETHER):
-            v += n[:, at : at + TOGETHER].astype(np.float32) @ gram_vectors(keys[at : at + TOGETHER], prototypes.shape[1])
-        total = n.sum(axis=1).astype(np.int64)
+        for at, n in _count_blocks(doc, gram, len(part), len(keys)):
+            for k in range(0, n.shape[1], TOGETHER):
+                v += n[:, k : k + TOGETHER] @ gram_vectors(keys[at + k : at + min(k + TOGETHER, n.shape[1])], prototypes.shape[1])
+        total = np.bincount(doc, minlength=len(part)).astype(np.int64)
         fits = (v @ prototypes.T) / (np.maximum(total, 1)[:, None] * np.sqrt(prototypes.shape[1]))
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) - shared
         cos = (v @ p.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)

@@ -394,6 +394,21 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_gram_counts_are_the_same_in_any_number_of_runs(monkeypatch):
+    """Texts of thousands of symbols have more trigrams than one matrix holds; each matrix stays small and none is lost."""
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x8E00)) for _ in range(rng.randrange(2000))).encode() for _ in range(12)]
+    doc, gram, keys = langid.letter_grams([*texts, None, b""])
+    whole = np.zeros((14, len(keys)))
+    np.add.at(whole, (doc, gram), 1)
+    for entries in (1, 14 * 4096, 1 << 30):
+        monkeypatch.setattr(langid, "COUNTS", entries)
+        got = list(langid._count_blocks(doc, gram, 14, len(keys)))
+        assert all(n.size <= max(entries, 14 * langid.TOGETHER) for _, n in got)
+        assert [at for at, _ in got] == list(np.cumsum([0, *(n.shape[1] for _, n in got)]))[:-1]
+        assert (np.hstack([n for _, n in got]) == whole).all()
+
+
 def test_language_by_brute_force(spark):
     """Predictions are those of vectors bundled gram by gram."""
     docs = common.table(spark, SF, "documents").select("doc_id", "text", "lang").limit(60).collect()
