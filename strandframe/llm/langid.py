@@ -16,8 +16,8 @@ DIMENSIONS = 1024
 UNKNOWN = "und"
 #: Documents whose vectors are made at once.
 DOCS = 128
-#: Grams whose vectors are held as one array, and vectors that a worker keeps.
-TOGETHER, KEPT = 2048, 20_000
+#: Grams whose vectors are held as one array.
+TOGETHER = 2048
 #: Entries of a matrix of counts.
 COUNTS = 1 << 21
 
@@ -41,18 +41,12 @@ def _letter_vector(letter: int, dimensions: int) -> np.ndarray:
     return np.where(np.random.default_rng([29, letter]).integers(0, 2, dimensions) > 0, 1, -1).astype(np.int8)
 
 
-@cache
-def _gram_vector(gram: tuple[int, int, int], dimensions: int) -> np.ndarray:
-    """Letter vectors, permuted by their place, bound by multiplication."""
-    a, b, c = (_letter_vector(x, dimensions) for x in gram)
-    return np.roll(a, 2) * np.roll(b, 1) * c
-
-
 def gram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
-    if _gram_vector.cache_info().currsize > KEPT:
-        _gram_vector.cache_clear()
-    rows = [_gram_vector((g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF), dimensions) for g in grams.tolist()]
-    return np.array(rows, dtype=np.float32).reshape(-1, dimensions)
+    """A row for each gram: its letters' vectors, permuted by their place, bound by multiplication."""
+    letters, at = np.unique(np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF]), return_inverse=True)
+    at = at.reshape(3, -1)
+    v = np.array([_letter_vector(x, dimensions) for x in letters.tolist()], dtype=np.int8).reshape(-1, dimensions)
+    return (np.roll(v, 2, axis=1)[at[0]] * np.roll(v, 1, axis=1)[at[1]] * v[at[2]]).astype(np.float32)
 
 
 def letter_grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
