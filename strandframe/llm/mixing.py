@@ -11,6 +11,10 @@ from .common import cut, n_words, table
 WEIGHTS = (5, 2, 1)
 #: Words of a shard, some 64 MB of text, and the fewest shards.
 SHARD_WORDS, FEWEST = 10_000_000, 8
+#: Levels of the splitting tree after which its nodes are dealt to tasks.
+SPREAD = 6
+#: Blocks of a source for each shard; blocks behind the first that doesn't fit, of which those that fit are taken.
+PER_SHARD, TAIL = 8, 1024
 
 
 def _uniform(*keys: Column) -> Column:
@@ -67,46 +71,67 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         right = F.struct((F.col("first") + F.col("half")).alias("first"), (F.col("n") - F.col("half")).alias("n"), F.zip_with("q", "got", lambda x, g: F.struct(x["key"].alias("key"), (x["quota"] - g).alias("quota"))).alias("q"))
         nodes = drawn.select(F.explode(F.filter(F.array(left, right), lambda x: x["n"] > 0)).alias("x")).select("x.first", "x.n", "x.q")
         level += 1
+        if level == SPREAD:
+            # so far all nodes are in the task of the first; a number given outright isn't joined again
+            nodes = nodes.repartition(1 << SPREAD, "first")
     return nodes.select(F.col("first").alias("shard"), F.explode("q").alias("x")).select("shard", "x.key", "x.quota")
 
 
-def mix_draws(rows: DataFrame, shards: int, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = 3, blocks: int = 1024, seed: int = 17) -> DataFrame:
+def _running(rows: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """rows with a running sum of each value over their source, in the order of `by`, of which the last two are a hash and a block.
+
+    Sums of 1024 ranges of hashes come first, so rows of one source are sorted by many tasks. rows is read twice.
+    """
+    rows = rows.withColumn("_part", F.struct(*by[:-2], F.shiftright(by[-2], 54).alias("p")))
+    sums = rows.groupBy("source", "_part").agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    before = W.partitionBy("source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(F.col("source").alias("_s"), F.col("_part").alias("_p"), *[F.coalesce(F.sum(n).over(before), F.lit(0).cast("long")).alias(f"_{n}") for n in values])
+    within = W.partitionBy("source", "_part").orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
+    joined = rows.join(base, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    return joined.select(*[c for c in rows.columns if c != "_part"], *[(F.col(f"_{n}") + F.sum(v).over(within)).alias(n) for n, v in values.items()])
+
+
+def _with_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows with the columns of facts, a row a source."""
+    return rows.join(facts.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+
+
+def mix_draws(rows: DataFrame, shards: int, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = 3, seed: int = 17) -> DataFrame:
     """(source, block, source_size, target, draws array<struct<epoch, shard>>), a row for each block of rows (source, block, size).
 
-    A source's block goes in whole as often as its target holds all blocks; of the rest, permuted
-    blocks are taken as long as they fit. Every draw of a block falls to one shard, by the exact quotas
-    of split_quotas. Tables here have at most `blocks` rows a source.
+    A source's blocks go in whole as often as its target holds all of them. Of the rest, in permuted order, blocks are taken up to
+    the target; of the next TAIL blocks those that still fit. Every draw of a block falls to one shard, by the exact quotas of
+    split_quotas. Blocks and draws are rows, numbered within their source by running sums.
     """
-    by_block = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    item = F.struct(F.xxhash64(F.lit(seed), "source", "block").alias("o"), "block", "words")
-    sources = by_block.groupBy("source").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(item)).alias("items"))
-    targets = source_targets(sources.select("source", "words"), weights, share, float(most))
-    named = sources.drop("words").join(targets.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    by_block = rows.groupBy("source", "block").agg(F.sum("size").alias("words")).withColumn("o", F.xxhash64(F.lit(seed), "source", "block"))
+    sources = cut(by_block.groupBy("source").agg(F.sum("words").alias("words")))
     epochs = F.when(F.col("words") > 0, F.least(F.floor(F.col("target") / F.col("words") + 1e-9), F.lit(most))).otherwise(0).cast("int")
-    named = named.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") < most, F.col("target") - F.col("epochs") * F.col("words")).otherwise(0.0))
+    facts = source_targets(sources, weights, share, float(most)).select("source", F.col("words").alias("source_size"), "target", epochs.alias("epochs"))
     # blocks without words cost nothing and go in with the last pass, but never beyond the most passes
-    fits = F.aggregate(
+    facts = cut(facts.withColumn("rest", F.when(F.col("epochs") < most, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(-1.0)))
+    placed = cut(_with_source(_running(by_block, ["o", "block"], {"sum": F.col("words"), "number": F.lit(1).cast("long")}), facts))
+    fits = F.col("sum") <= F.col("rest")
+    filled = placed.groupBy("source").agg(F.coalesce(F.max(F.when(fits, F.col("sum"))), F.lit(0)).alias("full"), F.count_if(fits).alias("first"))
+    tail = _with_source(placed.where(~fits & (F.col("epochs") < most)), filled).where(F.col("number") <= F.col("first") + TAIL)
+    tail = tail.groupBy("source").agg(F.first(F.col("rest") - F.col("full")).alias("left"), F.sort_array(F.collect_list(F.struct("o", "block", "words"))).alias("items"))
+    took = F.aggregate(
         "items",
-        F.struct(F.col("rest").alias("left"), F.array().cast("array<bigint>").alias("took")),
-        lambda s, x: F.when(
-            (x["words"] <= s["left"]) & (F.col("epochs") < most),
-            F.struct((s["left"] - x["words"]).alias("left"), F.concat(s["took"], F.array(x["block"])).alias("took")),
-        ).otherwise(s),
+        F.struct(F.col("left").alias("left"), F.array().cast("array<bigint>").alias("took")),
+        lambda s, x: F.when(x["words"] <= s["left"], F.struct((s["left"] - x["words"]).alias("left"), F.concat(s["took"], F.array(x["block"])).alias("took"))).otherwise(s),
     )["took"]
-    ids = F.transform("items", lambda x: x["block"])
-    order = lambda epoch, which: F.sort_array(F.transform(which, lambda b: F.struct(F.xxhash64(F.lit(seed), epoch, F.col("source"), b).alias("o"), b.alias("block"), epoch.alias("epoch"))))
-    whole = F.flatten(F.transform(F.when(F.col("epochs") > 0, F.sequence(F.lit(0), F.col("epochs") - 1)).otherwise(F.array().cast("array<int>")), lambda e: order(e, ids)))
-    named = named.withColumn("fits", fits).withColumn("seq", F.concat(whole, order(F.col("epochs"), F.col("fits"))))
-    quotas = named.agg(F.sort_array(F.collect_list(F.struct(F.col("source").alias("key"), F.size("seq").cast("long").alias("quota")))).alias("quotas"))
-    dealt = split_quotas(quotas, shards, seed)
-    ends = dealt.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("shard", "quota"))).alias("dealt"))
-    plan = named.join(ends, F.col("source").eqNullSafe(F.col("key"))).select("source", "words", "target", "items", "seq", "dealt")
-    shard_of = F.flatten(F.transform("dealt", lambda d: F.array_repeat(d["shard"], d["quota"].cast("int"))))
-    draws = F.arrays_zip("seq", shard_of.alias("shard"))
-    draw = plan.select("source", F.explode(draws).alias("x")).select("source", F.col("x.seq.block").alias("block"), F.struct(F.col("x.seq.epoch").alias("epoch"), F.col("x.shard").alias("shard")).alias("d"))
-    taken = draw.groupBy("source", "block").agg(F.sort_array(F.collect_list("d")).alias("draws")).select(F.col("source").alias("s"), F.col("block").alias("b"), "draws")
-    every = plan.select("source", F.col("words").alias("source_size"), "target", F.explode("items.block").alias("block"))
-    every = every.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    more = tail.select(F.col("source").alias("_s"), F.explode(took).alias("_b"))
+    drawn = placed.join(more, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
+    n = F.col("epochs") + F.when(fits | F.col("_b").isNotNull(), 1).otherwise(0)
+    drawn = drawn.where(n > 0).select("source", "block", F.explode(F.sequence(F.lit(0), n - 1)).alias("epoch"))
+    drawn = cut(drawn.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "source", "block")))
+    quotas = drawn.groupBy("source").agg(F.count("*").alias("quota"))
+    dealt = split_quotas(quotas.agg(F.sort_array(F.collect_list(F.struct(F.col("source").alias("key"), "quota"))).alias("quotas")), shards, seed)
+    end = F.sum("quota").over(W.partitionBy("key").orderBy("shard").rowsBetween(W.unboundedPreceding, 0))
+    dealt = dealt.where("quota > 0").withColumn("end", end).select("key", "shard", F.explode(F.expr("sequence(end - quota + 1, end)")).alias("place"))
+    numbered = _running(drawn, ["epoch", "h", "block"], {"number": F.lit(1).cast("long")})
+    draws = numbered.join(dealt, F.col("source").eqNullSafe(F.col("key")) & (F.col("number") == F.col("place")))
+    draws = draws.groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("draws"))
+    every = placed.join(draws, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
     return every.select("source", "block", "source_size", "target", F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int>>")).alias("draws"))
 
 
@@ -114,18 +139,32 @@ def _block(key: Column, blocks: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(blocks))
 
 
-def mix_plan(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = 1024, seed: int = 17, **kind) -> DataFrame:
+def _by_block(rows: DataFrame, shards: int | None, blocks: int | None, seed: int) -> tuple[DataFrame, int, int]:
+    """(source, block, size) of rows (key, source, size), the number of shards and that of blocks a source: 1024 at least, and
+    PER_SHARD for each shard, so that a shard of one source alone has blocks to hold."""
+    count = blocks or 1024
+    while True:
+        narrow = cut(rows.groupBy("source", _block(F.col("key"), count, seed).alias("block")).agg(F.sum("size").alias("size")))
+        n = shards or _shards(narrow)
+        if blocks or count >= PER_SHARD * n:
+            return narrow, n, count
+        # words are counted once more, by finer blocks
+        count = 1 << (PER_SHARD * n - 1).bit_length()
+
+
+def mix_plan(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int | None = None, seed: int = 17, **kind) -> DataFrame:
     """(doc_id, size, source_size, target, draws), a row for each row of docs; draws: in which pass it goes to which shard.
 
     size: words of the text, 0 for null. Null sources are one source, the last. Rows that repeat an id
     share a block and count as often as they come. Documents without words are drawn with their block.
     Sources whose words number 0 have target 0. A very long text is one number of words, in one block. An empty table
-    gives an empty one. Other columns of docs aren't looked at.
+    gives an empty one. Other columns of docs aren't looked at. The number of blocks a source follows from that of
+    shards unless it is given.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")).withColumn("block", _block(F.col("doc_id"), blocks, seed))
-    narrow = cut(rows.groupBy("source", "block").agg(F.sum("size").alias("size")))
-    d = mix_draws(narrow, shards or _shards(narrow), blocks=blocks, seed=seed, **kind).select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "draws")
-    joined = rows.join(d, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    narrow, shards, blocks = _by_block(rows.withColumnRenamed("doc_id", "key"), shards, blocks, seed)
+    d = mix_draws(narrow, shards, seed=seed, **kind).select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "draws")
+    joined = rows.withColumn("block", _block(F.col("doc_id"), blocks, seed)).join(d, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     return joined.select("doc_id", "size", "source_size", "target", "draws")
 
 
@@ -133,7 +172,7 @@ def _shards(words: DataFrame) -> int:
     return max(FEWEST, -(-(words.agg(F.sum("size")).first()[0] or 0) // SHARD_WORDS))
 
 
-def mix(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = 1024, seed: int = 17, **kind) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int | None = None, seed: int = 17, **kind) -> DataFrame:
     """The mixture: docs, each row as often as it is drawn, with its columns and mix_epoch, mix_shard and mix_rank.
 
     Rows of a shard lie in one partition, shuffled by a seeded hash; mix_rank is that hash. Without a number there is a shard for
@@ -144,11 +183,9 @@ def mix(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text
     cols = [f"_c{i}" for i in range(len(names))]
     rows = docs.toDF(*cols)
     at = {n: F.col(cols[names.index(n)]) for n in (id_col, text_col, source_col)}
-    narrow = rows.select(at[source_col].alias("source"), n_words(at[text_col]).alias("size"), _block(at[id_col], blocks, seed).alias("block"))
     # words by block: all that the plan needs of the documents, and what tells the number of shards
-    narrow = cut(narrow.groupBy("source", "block").agg(F.sum("size").alias("size")))
-    shards = shards or _shards(narrow)
-    d = mix_draws(narrow, shards, blocks=blocks, seed=seed, **kind).where(F.size("draws") > 0).select("source", F.col("block").alias("_block"), "draws")
+    narrow, shards, blocks = _by_block(rows.select(at[id_col].alias("key"), at[source_col].alias("source"), n_words(at[text_col]).alias("size")), shards, blocks, seed)
+    d = mix_draws(narrow, shards, seed=seed, **kind).where(F.size("draws") > 0).select("source", F.col("block").alias("_block"), "draws")
     drawn = rows.withColumn("_b", _block(at[id_col], blocks, seed)).join(d, at[source_col].eqNullSafe(F.col("source")) & (F.col("_b") == F.col("_block")))
     drawn = drawn.select(*cols, F.explode("draws").alias("_d")).select(*cols, F.col("_d.epoch").alias("mix_epoch"), F.col("_d.shard").alias("mix_shard"))
     drawn = drawn.withColumn("mix_rank", F.xxhash64(F.lit(seed), "mix_shard", "mix_epoch", at[id_col], at[text_col]))

@@ -375,6 +375,15 @@ def test_mixing(spark):
     assert mixed == {r.doc_id: len(r.draws) for r in got if r.draws}
 
 
+def test_every_shard_of_one_source_has_rows(spark):
+    """More shards than the fewest blocks: blocks grow with them, the tree's nodes are dealt to tasks, quotas stay exact."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("x").alias("source"))
+    got = mixing.mix_plan(docs, shards=300).collect()
+    by_shard = collections.Counter(d.shard for r in got for d in r.draws)
+    assert len(got) == 12_000 and all(len(r.draws) == 1 for r in got)
+    assert set(by_shard) == set(range(300)) and sum(by_shard.values()) == 12_000
+
+
 def test_split_quotas_is_exact(spark):
     quotas = {"a": 37, "b": 0, "c": 5, None: 210}
     row = spark.createDataFrame([([(k, q) for k, q in quotas.items()],)], "quotas array<struct<key: string, quota: bigint>>")
