@@ -3,21 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
-from ..functions.records import raw, text
-from ..sources.scan import PLAIN, Transport, scan_lines
+from ..sources.scan import PLAIN, RANGE, Transport, scan_sam
 
 
-def read_sam(spark: SparkSession, path: str | list[str], transport: Transport = PLAIN) -> DataFrame:
+def read_sam(spark: SparkSession, path: str | list[str], transport: Transport = PLAIN, range_bytes: int = RANGE) -> DataFrame:
     """(record_index, name, seq): columns 1 and 10 of alignment lines; headers, empty lines and sequences `*` aren't records."""
-    f = F.split(text("line"), "\t")
-    rows = scan_lines(spark, path, stream=True, transport=transport).select("path", "line_no", text("line").alias("t"), F.get(f, F.lit(0)).alias("name"), F.get(f, F.lit(9)).alias("seq"))
-    rows = rows.where("t <> '' and not startswith(t, '@') and seq is not null and seq <> '*'")
-    stretch = F.floor(F.col("line_no") / (1 << 16))
-    rows = rows.withColumn("stretch", stretch)
-    before = rows.groupBy("stretch").agg(F.count("*").alias("n"))
-    before = before.select("stretch", F.coalesce(F.sum("n").over(W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("n0"))
-    within = F.row_number().over(W.partitionBy("stretch").orderBy("line_no"))
-    return rows.join(before, ["stretch"]).select((F.col("n0") + within - 1).alias("record_index"), raw("name").alias("name"), raw("seq").alias("seq"))
+    return scan_sam(spark, path, range_bytes, transport)

@@ -33,6 +33,7 @@ MOST_BYTES = (1 << 31) - 1 - 2 * CHUNK
 #: Stands for the decoded size of a file that is one range and needn't be measured.
 WHOLE = 1 << 62
 _NL, _CR, _GT = 10, 13, 62
+_TAB, _AT, _STAR = 9, 64, 42
 
 
 class Transport(NamedTuple):
@@ -508,6 +509,44 @@ def _fasta(reader: _Reader, out: list) -> Callable:
 SHAPE_SCHEMA = "record bigint, bases bigint, width bigint, n bigint, line_no bigint, byte_offset bigint, last bigint, after bigint, name binary"
 
 
+def _alignments(buf: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where names and sequences, columns 1 and 10 of SAM, start and end, in lines that are alignments with a sequence."""
+    b = np.frombuffer(buf, dtype=np.uint8)
+    some = starts < ends
+    starts, ends = starts[some], ends[some]
+    aligned = b[starts] != _AT
+    starts, ends = starts[aligned], ends[aligned]
+    # tabs beyond the end, so that each line has a ninth and a tenth to look at
+    tabs = np.concatenate([np.flatnonzero(b == _TAB), np.full(10, len(b))])
+    first = np.searchsorted(tabs, starts)
+    whole = tabs[np.minimum(first + 8, len(tabs) - 1)] < ends
+    starts, ends, first = starts[whole], ends[whole], first[whole]
+    at, to = tabs[first + 8] + 1, np.minimum(tabs[first + 9], ends)
+    there = (to - at != 1) | (b[np.minimum(at, len(b) - 1)] != _STAR)
+    return starts[there], tabs[first][there], at[there], to[there]
+
+
+def _owned(reader: _Reader, buf: bytes, offset: int, last: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """(starts, ends) of the lines of a buffer that the range owns, and how many bytes are used."""
+    starts, ends, after = _line_ends(buf, last)
+    own = min(int(np.searchsorted(starts, reader.own_end - offset, side="right")), len(starts))
+    return starts[:own], ends[:own], int(after[-1]) if len(after) else 0
+
+
+def _sam(reader: _Reader, out: list) -> Callable:
+    state = {"n": reader.r["sam0"]}
+
+    def step(buf: bytes, offset: int, last: bool) -> int:
+        starts, ends, used = _owned(reader, buf, offset, last)
+        names, name_ends, seqs, seq_ends = _alignments(buf, starts, ends)
+        if len(names):
+            out.append(_batch(["record_index", "name", "seq"], [state["n"] + np.arange(len(names)), _slices(buf, names, name_ends), _slices(buf, seqs, seq_ends)]))
+            state["n"] += len(names)
+        return used
+
+    return step
+
+
 def _shapes(reader: _Reader, out: list) -> Callable:
     """What an index needs of the lines: by record and size of line how many there are, the first and the last of them."""
     state = {"line": reader.r["line0"], "record": reader.r["record0"] - 1}
@@ -567,6 +606,37 @@ def scan_fasta(spark: SparkSession, path: str | list[str], range_bytes: int = RA
     return _scan(spark, path, range_bytes, stream, transport, _fasta, FASTA_SCAN_SCHEMA)
 
 
+def scan_sam(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE, transport: Transport = PLAIN) -> DataFrame:
+    """(record_index, name, seq): SAM alignments that have a sequence, numbered over all files by name.
+
+    Each range's alignments are counted and the counts summed over ranges, so a record has its number when it is read.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _each(batches):
+            reader, n = _Reader(r, transport), 0
+
+            def step(buf: bytes, offset: int, last: bool) -> int:
+                nonlocal n
+                starts, ends, used = _owned(reader, buf, offset, last)
+                n += len(_alignments(buf, starts, ends)[0])
+                return used
+
+            for _ in reader.buffers(step):
+                pass
+            reader.source.close()
+            yield pa.RecordBatch.from_pylist([{**r, "alignments": n}], schema=counted)
+
+    names = [*_NUMBERED, "alignments"]
+    counted = pa.schema([(c, pa.string() if c == "path" else pa.int64()) for c in names])
+    seen = numbered(spark, path, range_bytes, True, transport).mapInArrow(count, ", ".join(f"{c} {'string' if c == 'path' else 'bigint'}" for c in names))
+    sum_before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    seen = seen.withColumn("sam0", sum_before("alignments", W.partitionBy("path").orderBy("byte0"))).withColumn("file_end", F.col("sam0") + F.col("alignments"))
+    files = seen.groupBy("path").agg(F.max("file_end").alias("n")).select("path", sum_before("n", W.orderBy("path")).alias("base"))  # a row for each file
+    seen = seen.join(files, "path").select(*_NUMBERED, (F.col("sam0") + F.col("base")).alias("sam0"))
+    return seen.repartition(_tasks(spark, list_files(spark, path), range_bytes)).mapInArrow(lambda b: _run(_sam, b, transport), "record_index bigint, name binary, seq binary")
+
+
 def scan_two_line(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE, stream: bool = False, transport: Transport = PLAIN) -> DataFrame:
     """Lines in pairs, unchecked: (path, record_index, byte_offset, name, seq, seq_offset, n_lines)."""
     return _scan(spark, path, range_bytes, stream, transport, _two_line, "path string, record_index bigint, byte_offset bigint, name binary, seq binary, seq_offset bigint, n_lines int")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandframe.errors import BgzfError, from_spark
 from strandframe.functions import packing, records
-from strandframe.operators import fasta, fastq, stats, synthetic
+from strandframe.operators import fasta, fastq, sam, stats, synthetic
 from strandframe.sources import bgzf, scan
 from strandframe.sources.scan import bgzf_blocks, check_bgzf, gunzip, scan_lines
 
@@ -398,3 +398,32 @@ def test_files_that_cannot_be_decoded(spark, put, tmp_path):
     assert good["whole"] == good["raw"] == good["blocks"] == good["padded"] == 4 and good["second"] >= 3
     with pytest.raises(PySparkException, match="unexpected end of gzip data"):
         fastq.read_fastq(spark, str(folder)).count()
+
+
+SAM = b"""@HD\tVN:1.6\n@SQ\tSN:c\tLN:9\n
+a\t0\tc\t1\t9\t3M\t*\t0\t0\tACG\t!!!\tNM:i:0\r
+b\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*
+c\t4\t*\t0\t0\t*\t*\t0\t0\t\t*
+cut\t4\t*\t0
+\t4\t*\t0\t0\t*\t*\t0\t0\tTT
+@CO\ta\tb\tc\td\te\tf\tg\th\ti\tj
+d\t4\t*\t0\t0\t*\t*\t0\t0\t*A\t*"""
+
+
+@pytest.mark.parametrize("transport", ["raw", "gzip", "bgzf"])
+@pytest.mark.parametrize("end", [b"", b"\n"])
+def test_sam_numbers_wherever_ranges_are_cut(spark, put, transport, end):
+    want = [(b"a", b"ACG"), (b"c", b""), (b"", b"TT"), (b"d", b"*A")]
+    paths = [put(SAM + end, "1.sam", transport), put("@HD\tVN:1.6\n", "2.sam", transport), put(SAM + end, "3.sam", transport)]
+    for range_bytes in (7, 64, 1 << 20):
+        got = sorted((r.record_index, bytes(r.name), bytes(r.seq)) for r in sam.read_sam(spark, paths, range_bytes=range_bytes).collect())
+        assert got == [(k, *x) for k, x in enumerate(want + want)], range_bytes
+
+
+def test_sam_sequences_are_not_shuffled(spark, put):
+    plan = sam.read_sam(spark, put(SAM, "1.sam"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("MapInArrow")
+
+
+def test_sam_without_rows(spark, put):
+    assert sam.read_sam(spark, [put("", "1.sam"), put("@CO\tx", "2.sam")]).count() == 0
