@@ -17,7 +17,7 @@ _PARTS = re.compile(r"[\W_]+")
 _QUOTES = "\"'“”„«»‘’"
 SPAN = 8
 WINDOW = 20
-#: Letters of a term for each edit that a misspelling may have, up to MOST_EDITS: a short word is one edit from many others.
+#: Letters of a term for each edit that a misspelling may have, up to MOST_EDITS unless a number is given: a short word is one edit from many others.
 PER_EDIT, MOST_EDITS = 5, 1
 
 
@@ -27,36 +27,43 @@ class Model(NamedTuple):
     lexicon: dict[str, float]
     context: dict[str, float]
     weights: list[float]
+    most_edits: int = MOST_EDITS
 
 
-def budget(term: str) -> int:
-    return min(MOST_EDITS, len(term) // PER_EDIT)
+def budget(term: str, most_edits: int = MOST_EDITS) -> int:
+    return min(most_edits, len(term) // PER_EDIT)
 
 
 class Trie:
     """Lexicon words by letter; a walk with a row of edit distances is the Levenshtein automaton intersected with it."""
 
-    def __init__(self, words: dict[str, float]) -> None:
+    #: Keys of a node, beside its letters: the word that ends there, and the largest budget of the words below.
+    WORD, BUDGET = "", "budget"
+
+    def __init__(self, words: dict[str, float], most_edits: int = MOST_EDITS) -> None:
         self.root: dict = {}
+        self.budgets = {w: budget(w, most_edits) for w in words}
+        self.most = max(self.budgets.values(), default=0)
         self.starts: set[str] = set()
         self.ends: set[str] = set()
         self.sizes: set[int] = set()
-        for w in words:
+        for w, own in self.budgets.items():
             node = self.root
             for c in w:
                 node = node.setdefault(c, {})
-            node[""] = w
-            if budget(w):
+                node[self.BUDGET] = max(own, node.get(self.BUDGET, 0))
+            node[self.WORD] = w
+            if own:
                 self.starts.add(w[: len(w) // 2])
                 self.ends.add(w[len(w) // 2 :])
                 self.sizes |= {len(w) // 2, len(w) - len(w) // 2}
 
     def near(self, word: str) -> str | None:
-        """The least lexicon word whose budget allows it, one edit (or swap of two neighbours) off; None if there is none."""
-        # one edit leaves a half of the word whole, at its own end; a swap across the middle is the exception
-        if not any(word[:n] in self.starts or word[-n:] in self.ends for n in self.sizes) and not self._swapped(word):
+        """The nearest lexicon word whose budget allows the edits (or swaps of two neighbours) to it, of equally near ones the least; None if there is none."""
+        # one edit leaves a half of a term whole, at its own end; a swap across the middle is the exception. More edits may leave neither
+        if self.most < 2 and not any(word[:n] in self.starts or word[-n:] in self.ends for n in self.sizes) and not self._swapped(word):
             return None
-        found: list[str] = []
+        found: list[tuple[int, str]] = []
         row = list(range(len(word) + 1))
 
         def walk(node: dict, letter: str, before: list[int], last: list[int] | None, previous: str) -> None:
@@ -66,18 +73,19 @@ class Trie:
                 if last is not None and i > 1 and c == previous and word[i - 2] == letter:
                     cost = min(cost, last[i - 2] + 1)
                 now.append(cost)
-            if min(now) > 1 and min(before) > 0:
+            # a swap goes on from the row before with one edit more
+            if min(now) > node[self.BUDGET] and min(before) >= node[self.BUDGET]:
                 return
-            if "" in node and now[-1] == 1 and budget(node[""]):
-                found.append(node[""])
+            if self.WORD in node and 0 < now[-1] <= self.budgets[node[self.WORD]]:
+                found.append((now[-1], node[self.WORD]))
             for c, child in node.items():
-                if c:
+                if len(c) == 1:
                     walk(child, c, now, before, letter)
 
         for c, child in self.root.items():
-            if c:
+            if len(c) == 1:
                 walk(child, c, row, None, "")
-        return min(found, default=None)
+        return min(found)[1] if found else None
 
     def _swapped(self, word: str) -> bool:
         i = len(word) // 2
@@ -87,9 +95,9 @@ class Trie:
 class _Words(dict):
     """What a token is to the lexicon: (weight, exact) or None. Forgets when it grows too large."""
 
-    def __init__(self, lexicon: dict[str, float]) -> None:
+    def __init__(self, lexicon: dict[str, float], most_edits: int = MOST_EDITS) -> None:
         super().__init__()
-        self.lexicon, self.trie = lexicon, Trie(lexicon)
+        self.lexicon, self.trie = lexicon, Trie(lexicon, most_edits)
 
     def __missing__(self, token: str) -> tuple[float, bool] | None:
         word = _EDGE.sub("", token)
@@ -142,26 +150,26 @@ def features(text: str, words: _Words, context: dict[str, float]) -> list[float]
     return [float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(best)), len(hits) / len(tokens), float(np.log1p(quoted)), around / len(hits)]
 
 
-def _featured(text: Column | str, lexicon: dict[str, float], context: dict[str, float]) -> Column:
+def _featured(text: Column | str, lexicon: dict[str, float], context: dict[str, float], most_edits: int) -> Column:
     made: list[_Words] = []
 
     @F.arrow_udf("array<double>")
     def seen(texts: pa.Array) -> pa.Array:
         if not made:
-            made.append(_Words(lexicon))
+            made.append(_Words(lexicon, most_edits))
         return pa.array([features(t.decode(), made[0], context) if t else [0.0] * len(FEATURES) for t in utf8(texts)], pa.list_(pa.float64()))
 
     return seen(text)
 
 
-def _around(text: Column | str, lexicon: dict[str, float]) -> Column:
+def _around(text: Column | str, lexicon: dict[str, float], most_edits: int) -> Column:
     """The distinct words that stand within SPAN of the terms of each text, terms left out."""
     made: list[_Words] = []
 
     @F.arrow_udf("array<string>")
     def near(texts: pa.Array) -> pa.Array:
         if not made:
-            made.append(_Words(lexicon))
+            made.append(_Words(lexicon, most_edits))
         out = []
         for t in utf8(texts):
             tokens, hits = found_terms(t.decode() if t else "", made[0])
@@ -171,10 +179,10 @@ def _around(text: Column | str, lexicon: dict[str, float]) -> Column:
     return near(text)
 
 
-def mine_context(rows: DataFrame, lexicon: dict[str, float], least: float = 15.0) -> dict[str, float]:
+def mine_context(rows: DataFrame, lexicon: dict[str, float], least: float = 15.0, most_edits: int = MOST_EDITS) -> dict[str, float]:
     """Words around terms that tell abuse from quotation: by texts (text, toxic) that hold a term, the log of the odds that a word has in toxic
     ones against others, where the log-likelihood ratio is `least` or more. Words of both kinds of texts alike aren't taken."""
-    seen = rows.select("toxic", _around("text", lexicon).alias("w")).where(F.size("w") > 0)
+    seen = rows.select("toxic", _around("text", lexicon, most_edits).alias("w")).where(F.size("w") > 0)
     totals = seen.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).first()
     if not totals.a or not totals.b:
         return {}
@@ -224,7 +232,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_edits: int = MOST_EDITS) -> Model:
     """The lexicon and the weights, from labelled rows that aren't held out.
 
     docs: doc_id, text; labels: doc_id, toxic. At most about `most` labelled rows, by a hash of the
@@ -240,35 +248,35 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
     rows = cut(docs.where("text is not null").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))
     lexicon = mine_lexicon(rows.where(part > 0))
-    context = mine_context(rows.where(part > 0), lexicon) if lexicon else {}
+    context = mine_context(rows.where(part > 0), lexicon, most_edits=most_edits) if lexicon else {}
     # numbers only, a row for each labelled text of the bound; their order is that of their values
-    got = sorted(rows.where(part == 0).select(_featured("text", lexicon, context).alias("x"), "toxic").collect(), key=lambda r: (r.toxic, r.x)) if lexicon else []
+    got = sorted(rows.where(part == 0).select(_featured("text", lexicon, context, most_edits).alias("x"), "toxic").collect(), key=lambda r: (r.toxic, r.x)) if lexicon else []
     y = np.array([r.toxic for r in got], dtype=float)
     if not len(y) or y.min() == y.max():
         bad, every = rows.agg(F.sum("toxic"), F.count("*")).first()
         rate = ((bad or 0) + 0.5) / (every + 1)
         # nothing to weigh features by: a term of weight 1 outweighs the base rate
-        return Model(lexicon, context, [float(np.log(rate / (1 - rate))), 4.0, 1.0, 0.0, 0.0, 0.0, 0.0])
-    return Model(lexicon, context, _logistic(np.array([r.x for r in got]), y).tolist())
+        return Model(lexicon, context, [float(np.log(rate / (1 - rate))), 4.0, 1.0, 0.0, 0.0, 0.0, 0.0], most_edits)
+    return Model(lexicon, context, _logistic(np.array([r.x for r in got]), y).tolist(), most_edits)
 
 
 def toxicity(text: Column | str, model: Model) -> Column:
     """The score of each text, 0 to 1; null and empty texts have that of a text without a term."""
-    x = _featured(text, model.lexicon, model.context)
+    x = _featured(text, model.lexicon, model.context, model.most_edits)
     z = F.aggregate(F.zip_with(x, F.array(*[F.lit(w) for w in model.weights[1:]]), lambda a, b: a * b), F.lit(model.weights[0]), lambda a, b: a + b)
     return 1 / (1 + F.exp(-z))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", most: int = 20_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", most: int = 20_000, most_edits: int = MOST_EDITS) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of docs; held out where crc32(doc_id) mod 5 is 0.
 
     Null ids have no label and count as the empty text in the fold. Null and empty texts have the score of a text
-    without a term. Rows that repeat an id or a text have equal scores. Of two terms that a word is one edit from
-    the least counts. A very long text is read whole, a token at a time. Without labels all scores are equal; an empty
+    without a term. Rows that repeat an id or a text have equal scores. Of the terms that a word may be a misspelling
+    of, at most `most_edits` edits off, the nearest counts, of equally near ones the least. A very long text is read whole, a token at a time. Without labels all scores are equal; an empty
     table gives an empty one. Other columns aren't looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = fit(rows, labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("toxic")), most)
+    model = fit(rows, labels.select(F.col(label_id).alias("doc_id"), F.col(label_col).alias("toxic")), most, most_edits)
     scored = rows.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), toxicity("text", model).alias("score"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -463,13 +463,14 @@ def swaps_and_edits(a, b):
     return row[-1][-1]
 
 
-def test_levenshtein_walk_finds_one_edit_and_no_more():
-    words = ["idiot", "moron", "worthless", "scum", "morons"]
-    trie = toxicity.Trie(dict.fromkeys(words, 1.0))
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_levenshtein_walk_finds_edits_within_the_budget_and_no_more(most):
+    words = ["idiot", "moron", "worthless", "scum", "morons", "incompetence", "incompetents", "good-for-nothing"]
+    trie = toxicity.Trie(dict.fromkeys(words, 1.0), most)
     rng = random.Random(6)
     for _ in range(4000):
         w = list(rng.choice(words))
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(5)):
             at = rng.randrange(len(w) + 1)
             if rng.random() < 0.3 and 0 < at < len(w):
                 w[at - 1], w[at] = w[at], w[at - 1]
@@ -478,7 +479,16 @@ def test_levenshtein_walk_finds_one_edit_and_no_more():
         w = "".join(w)
         if w in words:
             continue
-        assert trie.near(w) == min((x for x in words if toxicity.budget(x) and swaps_and_edits(x, w) == 1), default=None), w
+        near = [(d, x) for x in words if 0 < (d := swaps_and_edits(x, w)) <= toxicity.budget(x, most)]
+        assert trie.near(w) == min(near, default=(0, None))[1], w
+
+
+def test_two_edits_are_found_where_a_model_allows_them(spark):
+    model = toxicity.Model({"incompetents": 3.0}, {}, [-3.0, 4.0, 4.0, 0.0, 0.0, 0.0, 0.0])
+    docs = spark.createDataFrame([(1, "you inkompetentz there"), (2, "you inkompetents there"), (3, "you are there"), (4, "you imkonpetentz there")], "doc_id long, text string")
+    for most, want in ((1, {2}), (2, {1, 2})):
+        got = docs.select("doc_id", toxicity.toxicity("text", model._replace(most_edits=most)).alias("score")).where("score > 0.5").collect()
+        assert {r.doc_id for r in got} == want, most
 
 
 def labelled(rng, n=600):
