@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import cache
 from typing import BinaryIO
 
@@ -52,6 +54,67 @@ def list_files(spark: SparkSession, path: str | list[str]) -> list[tuple[str, in
     return sorted(found)
 
 
+def _entries(folder: str) -> Iterator[tuple[str, int | None]]:
+    """(path, bytes) of what a folder holds, but hidden entries; folders without bytes."""
+    from pyarrow import fs
+
+    system, name = file_system(folder)
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(name) as found:
+            for e in found:
+                if e.name[0] not in "._":
+                    yield f"{folder.rstrip('/')}/{e.name}", None if e.is_dir() else e.stat().st_size
+        return
+    for e in system.get_file_info(fs.FileSelector(name)):
+        if e.base_name[0] not in "._":
+            yield f"{folder.rstrip('/')}/{e.base_name}", None if e.type == fs.FileType.Directory else e.size
+
+
+def _listed(deep: bool) -> Callable:
+    """What the folders of a column hold, and with deep what the folders in them do."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, int | None]] = []
+        for b in batches:
+            left = b.column("path").to_pylist()
+            while left:
+                for path, size in _entries(left.pop()):
+                    if deep and size is None:
+                        left.append(path)
+                    else:
+                        rows.append((path, size))
+                    if len(rows) == 4096:
+                        yield _as_batch(rows)
+                        rows = []
+        yield _as_batch(rows)
+
+    return listed
+
+
+def _as_batch(rows: list[tuple[str, int | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["path", "size"])
+
+
+def files_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, size) of the files that list_files names, as a table: tasks list the folders, so no row of them passes the driver."""
+    jvm, files, folders = spark._jvm, [], []
+    for p in [path] if isinstance(path, str) else path:
+        root = jvm.org.apache.hadoop.fs.Path(p)
+        got = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root)
+        if not got:
+            raise FileNotFoundError(p)
+        for status in got:
+            (folders if status.isDirectory() else files).append((status.getPath().toString(), status.getLen()))
+    schema = "path string, size bigint"
+    named = spark.createDataFrame(files, schema)
+    if not folders:
+        return named
+    top = spark.createDataFrame(folders, schema).repartition(len(folders)).mapInArrow(_listed(False), schema)
+    inner = top.where("size is null").repartition(spark.sparkContext.defaultParallelism).mapInArrow(_listed(True), schema)
+    below = top.where("size is not null").union(inner)
+    return named.union(below) if files else below
+
+
 def file_system(path: str):
     """(pyarrow's file system, name in it) of a path or URI."""
     from pyarrow import fs

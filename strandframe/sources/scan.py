@@ -22,7 +22,7 @@ from ..errors import BgzfError, SequenceFormatError
 from ..schema import FASTA_SCAN_SCHEMA, FASTQ_PACKED_SCHEMA, FASTQ_SCAN_SCHEMA, LINE_SCHEMA
 from ..functions import packing
 from . import bgzf
-from .files import BGZF, GZIP, PREFIX, RAW, kind_of, list_files, open_at
+from .files import BGZF, GZIP, PREFIX, RAW, files_table, kind_of, list_files, open_at
 
 RANGE = 64 << 20
 CHUNK = 4 << 20
@@ -60,6 +60,26 @@ def _tasks(spark: SparkSession, found: list[tuple[str, int]], range_bytes: int)
     return max(1, min(n_ranges, max(by_bytes, spark.sparkContext.defaultParallelism), MOST_TASKS))
 
 
+class _Sizes(NamedTuple):
+    """Of a table of files: how many ranges they are, their bytes, and how many are more than one range."""
+
+    n_ranges: int
+    total: int
+    cut: int
+
+
+def _sizes(files: DataFrame, range_bytes: int) -> _Sizes:
+    size, zero = F.col("size"), F.lit(0).cast("long")
+    row = files.agg(F.sum(F.greatest(F.lit(1).cast("long"), F.ceil(size / range_bytes))).alias("n"), F.sum("size").alias("total"), F.count_if(size > range_bytes).alias("cut"))
+    return _Sizes(*row.select(F.coalesce("n", zero), F.coalesce("total", zero), "cut").first())
+
+
+def _tasks_of(spark: SparkSession, sizes: _Sizes, range_bytes: int) -> int:
+    """Tasks for a table of files, by the rule of _tasks."""
+    by_bytes = -(-sizes.total // max(range_bytes, 8 << 20))
+    return max(1, min(sizes.n_ranges, max(by_bytes, spark.sparkContext.defaultParallelism), MOST_TASKS))
+
+
 def _cut(files: DataFrame, range_bytes: int) -> DataFrame:
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start")
     return files.select("path", "size", at).withColumn("end", F.least("size", F.col("start") + range_bytes))
@@ -225,16 +245,16 @@ def numbered(spark: SparkSession, path: str | list[str], range_bytes: int = RANG
     Block-gzip ranges after the first end block are left out. With `stream` the files, in the order of
     their names, are one stream: *_base are the numbers of bytes, lines and records in the files before.
     """
-    found = [f for f in list_files(spark, path) if f[1]]
-    tasks = _tasks(spark, found, range_bytes)
+    found = files_table(spark, path).where("size > 0")
+    sizes = _sizes(found, range_bytes)
+    tasks = _tasks_of(spark, sizes, range_bytes)
     zero = F.lit(0).cast("long")
-    alone = [] if stream else [f for f in found if f[1] <= range_bytes]
-    cut = found if stream else [f for f in found if f[1] > range_bytes]
+    small = F.lit(not stream) & (F.col("size") <= range_bytes)
     none = [zero.alias(c) for c in _NUMBERED[-4:]]
-    whole = spark.createDataFrame(alone, "path string, size bigint").select("path", "size", zero.alias("start"), F.col("size").alias("end"), F.lit(WHOLE).cast("long").alias("bytes"), zero.alias("byte0"), zero.alias("line0"), zero.alias("record0"), *none)
-    if not cut:
+    whole = found.where(small).select("path", "size", zero.alias("start"), F.col("size").alias("end"), F.lit(WHOLE).cast("long").alias("bytes"), zero.alias("byte0"), zero.alias("line0"), zero.alias("record0"), *none)
+    if not stream and not sizes.cut:
         return whole.repartition(tasks)
-    seen = _cut(spark.createDataFrame(cut, "path string, size bigint"), range_bytes).repartition(_tasks(spark, cut, range_bytes)).mapInArrow(_measure(stream, transport), _MEASURED_DDL)
+    seen = _cut(found.where(~small), range_bytes).repartition(tasks).mapInArrow(_measure(stream, transport), _MEASURED_DDL)
     order, file = W.partitionBy("path").orderBy("start"), W.partitionBy("path")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     seen = seen.withColumn("eof", F.min("stop").over(file)).where("eof is null or start <= eof").where("bytes > 0")
@@ -252,7 +272,7 @@ def numbered(spark: SparkSession, path: str | list[str], range_bytes: int = RANG
     else:
         seen = seen.select("*", *none)
     seen = seen.select(*_NUMBERED)
-    return (seen.union(whole) if alone else seen).repartition(tasks)
+    return (seen if stream else seen.union(whole)).repartition(tasks)
 
 
 class _Reader:
@@ -579,6 +599,56 @@ def _shapes(reader: _Reader, out: list) -> Callable:
     return step
 
 
+#: What the shape of a file follows from, counted over a part of its lines.
+_COUNTS = ["h", "b", "n", "even", "odd", "full"]
+COUNT_SCHEMA = "path string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
+
+
+def _counted(transport: Transport) -> Callable:
+    """For each range the first header line and the last blank line, and how many headers, headers on even and odd lines and full lines there are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for r in _each(batches):
+            reader = _Reader(r, transport)
+            at, first, blank, n, even, full, lines = r["line0"], None, None, 0, 0, 0, 0
+
+            def step(buf: bytes, offset: int, last: bool) -> int:
+                nonlocal at, first, blank, n, even, full, lines
+                starts, ends, used = _owned(reader, buf, offset, last)
+                some = ends > starts
+                heads = np.flatnonzero(some & (np.frombuffer(buf, dtype=np.uint8)[np.minimum(starts, len(buf) - 1)] == _GT)) if len(starts) else starts
+                if len(heads):
+                    first = at + int(heads[0]) if first is None else first
+                    n, even = n + len(heads), even + int(np.count_nonzero((heads + at) % 2 == 0))
+                none = np.flatnonzero(~some)
+                blank = at + int(none[-1]) if len(none) else blank
+                full, at, lines = full + len(some) - len(none), at + len(some), lines + len(some)
+                return used
+
+            for _ in reader.buffers(step):
+                pass
+            reader.source.close()
+            if lines:
+                rows.append((r["path"], first, blank, n, even, n - even, full))
+            if len(rows) == 4096:
+                yield _counts(rows)
+                rows = []
+        yield _counts(rows)
+
+    return count
+
+
+def _counts(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 7
+    return _batch(["path", *_COUNTS], [pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]])
+
+
+def scan_line_counts(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE, transport: Transport = PLAIN) -> DataFrame:
+    """A row for each range with a line (COUNT_SCHEMA): no line leaves its task, and files of one range are a row each."""
+    return numbered(spark, path, range_bytes, False, transport).mapInArrow(_counted(transport), COUNT_SCHEMA)
+
+
 def _scan(spark: SparkSession, path: str | list[str], range_bytes: int, stream: bool, transport: Transport, read: Callable, schema: str) -> DataFrame:
     return numbered(spark, path, range_bytes, stream, transport).mapInArrow(lambda b: _run(read, b, transport), schema)
 
@@ -745,8 +815,13 @@ def bgzf_errors(spark: SparkSession, path: str | list[str], range_bytes: int = R
     lies between isn't judged. A task goes on to where a following range finds its first block, so no block is
     left out. Then the end block must be there and be the last. Sizes alone leave the tasks.
     """
-    found = list_files(spark, path)
-    blocks = ranges(spark, path, range_bytes).mapInArrow(_checked_blocks, _REPORT)
+    return _block_errors(spark, files_table(spark, path), range_bytes)
+
+
+def _block_errors(spark: SparkSession, files: DataFrame, range_bytes: int) -> DataFrame:
+    """bgzf_errors of a table of files."""
+    tasks = _tasks_of(spark, _sizes(files, range_bytes), range_bytes)
+    blocks = _cut(files, range_bytes).repartition(tasks).mapInArrow(_checked_blocks, _REPORT)
     end = F.col("compressed_offset") + F.col("compressed_size")
     whole = F.col("message").isNull()
     marker = whole & (F.col("uncompressed_size") == 0) & (F.col("compressed_size") == len(bgzf.EOF_BLOCK))
@@ -754,7 +829,6 @@ def bgzf_errors(spark: SparkSession, path: str | list[str], range_bytes: int = R
     # what stands behind an end block is trailing bytes, whatever it is
     inner = each.select("path", F.min("eof").over(W.partitionBy("path")).alias("stop"), "errors").select("path", "stop", F.explode("errors").alias("e"))
     inner = inner.where("stop is null or e.compressed_offset < stop").select("path", "e.*")
-    files = spark.createDataFrame(found, "path string, size bigint")
     ends = each.groupBy("path").agg(F.min("eof").alias("eof"))
     at_end = files.join(ends, "path", "left").select(
         "path", F.coalesce("eof", "size").alias("compressed_offset"),
@@ -775,27 +849,41 @@ def transport_errors(spark: SparkSession, path: str | list[str], transport: Tran
     """(path, kind, decoded bigint, message): the files that can't be decoded whole or go beyond a limit, with the bytes decoded before.
 
     A gzip file is one task's, which drops what it decodes; block gzip is checked by ranges, and its first error told. Raw files have none.
+    Files are dealt to tasks by their bytes, and no row of them passes the driver.
     """
-    found = list_files(spark, path)
+    found = files_table(spark, path)
+    sizes = _sizes(found, range_bytes)
+    files = found.repartition(_tasks_of(spark, sizes, range_bytes))
+
+    def sniff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blocked = []
+            for p in b.column("path").to_pylist():
+                with open_at(p) as f:
+                    blocked.append(kind_of(f.read(PREFIX)) == BGZF)
+            yield b.filter(pa.array(blocked, pa.bool_()))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _each(batches):
-            made, message = 0, None
-            with open_at(r["path"]) as f:
-                kind = kind_of(f.read(PREFIX))
-                if kind == GZIP:
+        for b in batches:
+            bad: list[tuple] = []
+            for p in b.column("path").to_pylist():
+                made = 0
+                with open_at(p) as f:
+                    kind = kind_of(f.read(PREFIX))
+                    if kind != GZIP:
+                        continue
                     try:
                         for part in gunzip(f, *transport[1:4]):
                             made += len(part)
                     except OSError as e:
-                        message = str(e)
-            yield _batch(["path", "kind", "decoded", "message"], [[r["path"]], [kind], pa.array([made], pa.int64()), pa.array([message], pa.string())])
-
-    files = spark.createDataFrame(found, "path string, size bigint").repartition(max(1, min(len(found), MOST_TASKS)))
-    seen = files.mapInArrow(decode, "path string, kind string, decoded bigint, message string")
-    blocked = [r.path for r in seen.where(F.col("kind") == BGZF).select("path").toLocalIterator()]
-    bad = seen.where("message is not null")
-    if blocked:
-        first = bgzf_errors(spark, blocked, range_bytes).groupBy("path").agg(F.min(F.struct("compressed_offset", "message"))["message"].alias("message"))
+                        bad.append((p, kind, made, str(e)))
+            cols = list(zip(*bad, strict=True)) or [(), (), (), ()]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string()]
+            yield _batch(["path", "kind", "decoded", "message"], [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)])
+
+    bad = files.mapInArrow(decode, "path string, kind string, decoded bigint, message string")
+    blocked = files.mapInArrow(sniff, "path string, size bigint")
+    if not blocked.isEmpty():
+        first = _block_errors(spark, blocked, range_bytes).groupBy("path").agg(F.min(F.struct("compressed_offset", "message"))["message"].alias("message"))
         bad = bad.union(first.select("path", F.lit(BGZF), F.lit(None).cast("bigint"), "message"))
     return bad
