@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import records
 from ..sources import bgzf
 from ..sources.files import BGZF, PREFIX, RAW, kind_of, list_files, open_at
-from ..sources.scan import PLAIN, RANGE, Transport, bgzf_blocks, scan_fasta, scan_lines, scan_shapes, scan_two_line
+from ..sources.scan import PLAIN, RANGE, Transport, bgzf_blocks, scan_fasta, scan_line_counts, scan_lines, scan_shapes, scan_two_line
 
 _COLUMNS = ["path", "record_index", "byte_offset", "name", "seq"]
 U64 = 1 << 64
@@ -64,14 +64,9 @@ def _begins_blank(path: str, transport: Transport) -> bool:
 
 
 def fasta_shape(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE, transport: Transport = PLAIN) -> DataFrame:
-    """(path, shape): Empty, TwoLine or Multiline of each file that has a line; blank lines before the first header don't count."""
-    lines = scan_lines(spark, path, range_bytes, transport=transport)
-    blank = F.octet_length("line") == 0
-    head = F.substring(records.text("line"), 1, 1) == ">"
-    seen = lines.groupBy("path").agg(
-        F.min(F.when(head, F.col("line_no"))).alias("h"), F.max(F.when(blank, F.col("line_no"))).alias("b"), F.max("line_no").alias("last"), F.count_if(head).alias("n"),
-        F.count_if(head & (F.col("line_no") % 2 == 0)).alias("even"), F.count_if(head & (F.col("line_no") % 2 == 1)).alias("odd"), F.count_if(~blank).alias("full"),
-    )
+    """(path, shape): Empty, TwoLine or Multiline of each file that has a line; blank lines before the first header don't count. Lines are counted in the tasks that read them."""
+    counts = scan_line_counts(spark, path, range_bytes, transport)
+    seen = counts.groupBy("path").agg(F.min("h").alias("h"), F.max("b").alias("b"), *[F.sum(c).alias(c) for c in ("n", "even", "odd", "full")])
     two = ((F.col("b").isNull()) | (F.col("b") < F.col("h"))) & (F.col("full") == 2 * F.col("n")) & F.when(F.col("h") % 2 == 0, F.col("even") == F.col("n")).otherwise(F.col("odd") == F.col("n"))
     return seen.select("path", F.when(F.col("full") == 0, "Empty").when(two, "TwoLine").otherwise("Multiline").alias("shape"))
 

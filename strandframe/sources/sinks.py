@@ -224,13 +224,20 @@ def write_one(df: DataFrame, path: str, order: str | list[str], transport: str =
 
 
 def write_each(df: DataFrame, folder: str, name: Column) -> None:
-    """A file for each row: its column `value` and a line break, under the folder and a name; tasks write them."""
+    """A file for each row: its column `value` and a line break, under the folder and a name; tasks write them.
+
+    A name may have folders in it: of very many files, a folder for some thousand each keeps listings apart.
+    """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = file_system(folder)
         system.create_dir(top)
+        made = {""}
         for b in batches:
             for n, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if (inner := n.rpartition("/")[0]) not in made:
+                    system.create_dir(f"{top}/{inner}")
+                    made.add(inner)
                 with system.open_output_stream(f"{top}/{n}", compression=None) as f:
                     f.write(v.encode() + b"\n")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
