@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,7 +94,11 @@ def rewritten(spark: SparkSession, folder: str, name: str, times: int = 1, drop:
 
 
 def gzip_each(df: DataFrame, name: str) -> str:
-    """A gzip file for each row, by tasks: `value`, under `name`, in the `how` of the row: whole, cut, twice (two members) or wrong (checksum)."""
+    """A gzip file for each row, by tasks: `value`, under `name`, in the `how` of the row: whole, cut, twice (two members) or wrong (checksum).
+
+    A cut file lacks nine bytes, one of the compressed data and all behind it. It is flushed before they begin, so its
+    bytes all come out; else the code that the cut goes through would take a match with it, and whole records.
+    """
     top = scratch(df.sparkSession, name)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,15 +107,22 @@ def gzip_each(df: DataFrame, name: str) -> str:
         for b in batches:
             for name, value, how in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 data = gzip.compress(value.encode())
-                data = {"whole": data, "cut": data[:-9], "twice": data + data, "wrong": data[:-8] + bytes([data[-8] ^ 1]) + data[-7:]}[how]
+                data = {"whole": data, "cut": _flushed(value.encode())[:-9], "twice": data + data, "wrong": data[:-8] + bytes([data[-8] ^ 1]) + data[-7:]}[how]
                 with system.open_output_stream(f"{out}/{name}", compression=None) as f:  # else its name makes it compress
                     f.write(data)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
-    df.select("name", "value", "how").mapInArrow(put, "n bigint").agg(F.sum("n")).collect()
+    # a row is a file to be made, so the rows are dealt to all cores
+    df.select("name", "value", "how").repartition(df.sparkSession.sparkContext.defaultParallelism).mapInArrow(put, "n bigint").agg(F.sum("n")).collect()
     return top
 
 
+def _flushed(data: bytes) -> bytes:
+    """A gzip member whose end is ten bytes that add nothing to the data."""
+    z = zlib.compressobj(wbits=31)
+    return z.compress(data) + z.flush(zlib.Z_SYNC_FLUSH) + z.flush()
+
+
 def poked(path: str, places: DataFrame) -> None:
     """Bytes of one file of a mounted folder turned round (each bit), at the places of column `at`, by tasks."""
 
