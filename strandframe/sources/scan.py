@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import BgzfError, SequenceFormatError
-from ..schema import FASTA_SCAN_SCHEMA, FASTQ_PACKED_SCHEMA, FASTQ_SCAN_SCHEMA, LINE_SCHEMA
+from ..schema import BGZF_INDEX_SCHEMA, FASTA_SCAN_SCHEMA, FASTQ_PACKED_SCHEMA, FASTQ_SCAN_SCHEMA, LINE_SCHEMA
 from ..functions import packing
 from . import bgzf
 from .files import BGZF, GZIP, PREFIX, RAW, files_table, kind_of, list_files, open_at
@@ -717,45 +717,68 @@ def scan_shapes(spark: SparkSession, path: str | list[str], range_bytes: int = R
     return _scan(spark, path, range_bytes, False, PLAIN, _shapes, SHAPE_SCHEMA)
 
 
+#: Decoded blocks that a task hands on at a time.
+_AT_ONCE = 64
+
+
+def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each range how many blocks begin in it before an end block, their decoded bytes, and where the end block is, by headers alone."""
+    for r in _each(batches):
+        n, made, stop = 0, 0, None
+        with open_at(r["path"]) as f:
+            at = bgzf.first_block(f, r["start"], r["size"])
+            for offset, size, out in bgzf.hop(f, at, r["end"]) if at is not None else ():
+                if out == 0 and size == len(bgzf.EOF_BLOCK):
+                    stop = offset
+                    break
+                n, made = n + 1, made + out
+        yield _batch(["path", "size", "start", "end", "n", "b", "stop"], [[r["path"]], *[pa.array([x], pa.int64()) for x in (r["size"], r["start"], r["end"], n, made, stop)]])
+
+
 def _blocks(decode: bool) -> Callable:
+    """The blocks of ranges that know how many blocks (n0) and decoded bytes (b0) come before them, and where the end block is."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each(batches):
-            f = open_at(r["path"])
-            at = bgzf.first_block(f, r["start"], r["size"])
-            rows = []
-            if at is not None:
-                if decode:
-                    rows = [(o, len(block), len(data), data) for o, block, data in bgzf.read_blocks(f, at, r["end"])]
-                else:
-                    rows = [(o, size, out, None) for o, size, out in bgzf.hop(f, at, r["end"])]
-            f.close()
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield _batch(["path", "start", "compressed_offset", "compressed_size", "uncompressed_size", "data"], [pa.array([r["path"]] * len(rows), pa.string()), pa.array([r["start"]] * len(rows), pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]])
+            end = r["end"] if r["eof"] is None else min(r["end"], r["eof"])
+            index, before, rows = r["n0"], r["b0"], []
+            with open_at(r["path"]) as f:
+                at = bgzf.first_block(f, r["start"], r["size"])
+                if at is None:
+                    continue
+                found = ((o, len(block), len(data), data) for o, block, data in bgzf.read_blocks(f, at, end)) if decode else ((*b, None) for b in bgzf.hop(f, at, end))
+                for offset, size, out, data in found:
+                    rows.append((index, offset, before, size, out, data)[: 6 if decode else 5])
+                    index, before = index + 1, before + out
+                    if len(rows) == (_AT_ONCE if decode else 4096):
+                        yield _block_batch(r["path"], rows)
+                        rows = []
+            if rows:
+                yield _block_batch(r["path"], rows)
 
     return read
 
 
+def _block_batch(path: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+    names = ["path", "block_index", "compressed_offset", "uncompressed_offset", "compressed_size", "uncompressed_size", "data"]
+    return _batch(names[: len(rows[0]) + 1], [pa.array([path] * len(rows), pa.string()), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]])
+
+
 def bgzf_blocks(spark: SparkSession, path: str | list[str], decode: bool = False, range_bytes: int = RANGE) -> DataFrame:
     """The blocks of block-gzip files (BGZF_INDEX_SCHEMA, and data if decoded) up to the first end block, which is left out.
 
-    Offsets and numbers come from running sums over ranges, then over the blocks of a range.
+    A first pass over the headers counts the blocks of each range, a running sum over ranges numbers them, and the
+    second pass reads them with their numbers: no block is shuffled, joined or broadcast.
     """
-    schema = "path string, start bigint, compressed_offset bigint, compressed_size bigint, uncompressed_size bigint, data binary"
-    found = ranges(spark, path, range_bytes).mapInArrow(_blocks(decode), schema)
-    # an end block is empty and has the size of the marker
-    is_end = (F.col("uncompressed_size") == 0) & (F.col("compressed_size") == len(bgzf.EOF_BLOCK))
-    per_range = found.groupBy("path", "start").agg(F.count_if(~is_end).alias("n"), F.sum("uncompressed_size").alias("b"), F.min(F.when(is_end, F.col("compressed_offset"))).alias("stop"))
+    found = files_table(spark, path)
+    tasks = _tasks_of(spark, _sizes(found, range_bytes), range_bytes)
+    counts = _cut(found, range_bytes).repartition(tasks).mapInArrow(_block_counts, "path string, size bigint, start bigint, end bigint, n bigint, b bigint, stop bigint")
     order = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    base = per_range.select("path", "start", F.coalesce(F.sum("n").over(order), F.lit(0).cast("long")).alias("n0"), F.coalesce(F.sum("b").over(order), F.lit(0).cast("long")).alias("b0"), F.min("stop").over(W.partitionBy("path")).alias("eof"))
-    within = W.partitionBy("path", "start").orderBy("compressed_offset")
-    got = found.join(base, ["path", "start"]).where("eof is null or compressed_offset < eof")
-    got = got.select(
-        "path", (F.col("n0") + F.row_number().over(within) - 1).alias("block_index"), "compressed_offset",
-        (F.col("b0") + F.coalesce(F.sum("uncompressed_size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))).alias("uncompressed_offset"),
-        "compressed_size", "uncompressed_size", "data",
-    )
-    return got if decode else got.drop("data")
+    before = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0).cast("long"))
+    base = counts.select("path", "size", "start", "end", before("n").alias("n0"), before("b").alias("b0"), F.min("stop").over(W.partitionBy("path")).alias("eof"))
+    base = base.where("eof is null or start < eof").repartition(tasks)
+    return base.mapInArrow(_blocks(decode), BGZF_INDEX_SCHEMA + (", data binary" if decode else ""))
 
 
 _REPORT = "path string, start bigint, compressed_offset bigint, compressed_size bigint, uncompressed_size bigint, message string"

@@ -229,6 +229,19 @@ def test_bgzf_index_and_fetch(spark, put):
         fasta.virtual_offset(1 << 48, 0)
 
 
+def test_decoded_blocks_stay_in_their_tasks(spark, put):
+    text = b"".join(b"%d," % (i * i) for i in range(60_000))
+    data = b"".join(bgzf.deflate(text[i : i + 4000]) for i in range(0, len(text), 4000)) + bgzf.EOF_BLOCK
+    path = put(data + bgzf.deflate(b"behind the end"))
+    for step in (3000, 20_000, 1 << 20):
+        rows = bgzf_blocks(spark, path, decode=True, range_bytes=step)
+        assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()  # a join could broadcast the blocks
+        got = rows.sort("block_index").collect()
+        assert b"".join(bytes(r.data) for r in got) == text and [r.block_index for r in got] == list(range(-(-len(text) // 4000)))
+        assert [r.uncompressed_offset for r in got] == list(range(0, len(text), 4000))
+        assert [tuple(r) for r in bgzf_blocks(spark, path, range_bytes=step).sort("block_index").collect()] == [tuple(r)[:6] for r in got]
+
+
 def test_bgzf_strictness(spark, put):
     whole = bgzf.compress(b"@r\nA\n+\nI\n")
     assert check_bgzf(spark, put(whole)).count() == 1
