@@ -25,7 +25,8 @@ from . import bgzf
 from .files import BGZF, GZIP, PREFIX, RAW, files_table, kind_of, list_files, open_at
 
 RANGE = 64 << 20
-CHUNK = 4 << 20
+#: Bytes that a task reads, decodes and looks at in one go: numbers and slices of the lines in them take many times that.
+CHUNK = 512 << 10
 #: Tasks of a scan at most; a task of more than one range takes them one after the other.
 MOST_TASKS = 50_000
 #: Bytes that one buffer, and so one record, may have.
@@ -152,7 +153,10 @@ class Range:
 
 
 def gunzip(f, single: bool = False, max_in: int | None = None, max_out: int | None = None) -> Iterator[bytes]:
-    """The decoded members of a gzip file, one after the other; with single, a second member or other bytes are an error."""
+    """The decoded members of a gzip file, one after the other; with single, a second member or other bytes are an error.
+
+    Parts have CHUNK bytes at most, however well they were compressed.
+    """
     f.seek(0)
     z, read, made, members, within = zlib.decompressobj(31), 0, 0, 0, False
     data = f.read(CHUNK)
@@ -160,9 +164,10 @@ def gunzip(f, single: bool = False, max_in: int | None = None, max_out: int | No
         read += len(data)
         if max_in is not None and read > max_in:
             raise OSError(f"gzip input exceeds {max_in} compressed bytes")
-        while data:
+        more = True
+        while more:
             try:
-                part = z.decompress(data)
+                part = z.decompress(data, CHUNK)
             except zlib.error as e:
                 if members and not single:
                     return  # bytes after the last member
@@ -172,11 +177,13 @@ def gunzip(f, single: bool = False, max_in: int | None = None, max_out: int | No
                 raise OSError(f"gzip output exceeds {max_out} bytes")
             if part:
                 yield part
-            data, within = b"", not z.eof
+            data, within = z.unconsumed_tail, not z.eof
+            more = bool(data) or len(part) == CHUNK  # a full part may not be all that the bytes so far give
             if z.eof:
                 data, members = z.unused_data, members + 1
                 if data and single:
                     raise OSError("buffered reading accepts exactly one gzip member")
+                more = bool(data)
                 z = zlib.decompressobj(31)
         data = f.read(CHUNK)
         if data and members and single:

@@ -2,9 +2,11 @@
 
 import contextlib
 import gzip
+import io
 import re
 import time
 import types
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -15,7 +17,7 @@ from strandframe.errors import BgzfError, from_spark
 from strandframe.functions import packing, records
 from strandframe.operators import fasta, fastq, sam, stats, synthetic
 from strandframe.sources import bgzf, scan
-from strandframe.sources.scan import bgzf_blocks, check_bgzf, gunzip, scan_lines
+from strandframe.sources.scan import CHUNK, bgzf_blocks, check_bgzf, gunzip, scan_lines
 
 
 @contextlib.contextmanager
@@ -242,6 +244,22 @@ def test_decoded_blocks_stay_in_their_tasks(spark, put):
         assert [tuple(r) for r in bgzf_blocks(spark, path, range_bytes=step).sort("block_index").collect()] == [tuple(r)[:6] for r in got]
 
 
+def test_gzip_is_decoded_in_parts():
+    text = b"@r\nACGT\n+\nIIII\n" * 400_000
+    packed = gzip.compress(text)  # 6.4 MB from some KB
+    parts = list(gunzip(io.BytesIO(packed)))
+    assert b"".join(parts) == text and max(map(len, parts)) <= CHUNK
+    assert b"".join(gunzip(io.BytesIO(packed * 2 + b"more"))) == text * 2
+    whole = gzip.compress(bytes(2 * CHUNK), 0)
+    assert b"".join(gunzip(io.BytesIO(whole))) == bytes(2 * CHUNK)
+    for cut in (len(packed) - 9, len(packed) // 2, len(packed) // 3):
+        made = []
+        with pytest.raises(OSError, match="unexpected end"):
+            for part in gunzip(io.BytesIO(packed[:cut])):
+                made.append(part)
+        assert b"".join(made) == zlib.decompressobj(31).decompress(packed[:cut])
+
+
 def test_bgzf_strictness(spark, put):
     whole = bgzf.compress(b"@r\nA\n+\nI\n")
     assert check_bgzf(spark, put(whole)).count() == 1
