@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -10,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import full_links, stars, unmet
+from .buckets import full_links, unmet
 from .common import KeyFilter, cut, table, utf8
 from .components import component_stars, connected_components, with_group_min
 
@@ -125,14 +128,89 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Segments of 32 bits of the wide fingerprint.
 SEGMENTS = 16
-#: Bands of MinHashes: at a Jaccard of 0.8 a band of four is shared with a probability of 0.41, one of 12 with 0.998, whatever the edit.
-BANDS, ROWS = 12, 4
 #: Share of the wide fingerprint's bits that may differ. At a Jaccard of 0.8 over the same shingles 15 % do; 26 % is seven deviations of 512 bits from it.
 APART = 0.26
-
-_RANDOM = np.random.default_rng(37)
-_XOR = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
-_ODD = _RANDOM.integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Share of bits that agree at a Jaccard of 0.8: sets of one size share 0.889 of each, and bits differ as the angle of that cosine.
+AGREE = 0.848
+#: Tables that such a pair is expected to share. Their number follows from it and from the key's bits.
+SHARED = 6
+#: Bits of a table's key, at least and at most.
+LEAST_BITS, MOST_BITS = 12, 24
+#: Tables at the most bits.
+BANDS = math.ceil(SHARED / AGREE**MOST_BITS)
+#: Bits of another segment that an entry of a table has beside its key, and how many may differ: over 10 do in 0.6 % of such pairs' meetings.
+CHECK, CHECK_APART = 31, 10
+
+
+def tables(n: int) -> tuple[int, int]:
+    """(bits of a key, number of tables) for n texts: a key has so many bits that a bucket has half a chance meeting, up to MOST_BITS."""
+    bits = min(MOST_BITS, max(LEAST_BITS, max(n - 1, 1).bit_length() + 1))
+    return bits, math.ceil(SHARED / AGREE**bits)
+
+
+@cache
+def _picks(segments: int) -> np.ndarray:
+    """The bits of each table's key, (BANDS, MOST_BITS): drawn from all segments but that of the table's check."""
+    random = np.random.default_rng(37)
+    beside = [np.flatnonzero(np.arange(32 * segments) // 32 != k) for k in range(segments)]
+    return np.array([random.choice(beside[t % segments], MOST_BITS, replace=False) for t in range(BANDS)])
+
+
+def table_keys(sketch: np.ndarray, bits: int, n_tables: int) -> np.ndarray:
+    """(texts, tables) longs of wide fingerprints (texts, segments) uint32: the table's number, `bits` sampled bits and CHECK bits of another segment."""
+    segments = sketch.shape[1]
+    ones = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+    key = np.zeros((len(sketch), n_tables), dtype=np.int64)
+    for j, pick in enumerate(_picks(segments)[:n_tables, :bits].T):
+        key |= ones[:, pick] << j
+    number = np.arange(n_tables)
+    check = sketch[:, number % segments].astype(np.int64) & ((1 << CHECK) - 1)
+    return (number << (CHECK + MOST_BITS)) | (key << CHECK) | check
+
+
+def _entries(bits: int, n_tables: int):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sketch = part.column("s").flatten().to_numpy().astype(np.uint32).reshape(len(part), -1)
+                keys = table_keys(sketch, bits, n_tables)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), pa.array(np.tile(part.column("h").to_numpy(), n_tables))], ["w", "id"])
+
+    return entries
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, id, other) of entries (w, id) in order of w: each with the first of its bucket and the one before, where their checks are near.
+
+    Buckets v of four entries or more give a row without other for each entry. In smaller ones first and before are all pairs.
+    Of an open bucket its first and last entry are held, or all where it has three at most.
+    """
+    w, ids, deep = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = len(w)
+        w, ids = np.concatenate([w, batch.column("w").to_numpy()]), np.concatenate([ids, batch.column("id").to_numpy()])
+        v, at = w >> CHECK, np.arange(len(w))
+        new = np.concatenate([[True], v[1:] != v[:-1]])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(w)))
+        later = np.flatnonzero(~new & (at >= held))
+        first = np.repeat(starts, sizes)[later]
+        x, y = np.concatenate([later, later[first < later - 1]]), np.concatenate([first, later[first < later - 1] - 1])
+        near = np.bitwise_count((w[x] ^ w[y]) & ((1 << CHECK) - 1)) <= CHECK_APART
+        x, y = x[near], y[near]
+        large = sizes > 3
+        large[0] |= deep
+        told = np.repeat(large, sizes)
+        told[:held] &= not deep
+        none = pa.nulls(int(told.sum()), pa.int64())
+        for of, other in ((x, pa.array(ids[y])), (told, none)):
+            yield pa.RecordBatch.from_arrays([pa.array(v[of]), pa.array(ids[of]), other], ["v", "id", "other"])
+        deep = bool(large[-1])
+        keep = [starts[-1], len(w) - 1] if deep else at[starts[-1] :]
+        w, ids = w[keep], ids[keep]
 
 
 def _shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -163,27 +241,12 @@ def wide_simhash(text: bytes | None, segments: int = SEGMENTS, width: int = 2) -
     return _wide(_shingle_hashes(text, width), segments)
 
 
-def _bands(h: np.ndarray) -> list[int]:
-    """A signed long for each band: a hash of its number and ROWS MinHashes of shingle hashes."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    low = (h >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(h), 4096):
-        least = np.minimum(least, ((low[at : at + 4096] ^ _XOR) * _ODD).min(axis=1))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for x in least.reshape(BANDS, ROWS).T:
-        key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64).tolist()
-
-
 def _marks(text: Column, width: int, segments: int) -> Column:
-    """struct<s, bands>: the wide fingerprint and the band keys over shingles of `width` words."""
+    """The wide fingerprint over shingles of `width` words."""
 
-    @F.arrow_udf("struct<s: array<bigint>, bands: array<bigint>>")
+    @F.arrow_udf("array<bigint>")
     def marks(texts: pa.Array) -> pa.Array:
-        hashes = [_shingle_hashes(t, width) for t in utf8(texts)]
-        wide = pa.array([_wide(h, segments) for h in hashes], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([wide, pa.array([_bands(h) for h in hashes], pa.list_(pa.int64()))], ["s", "bands"])
+        return pa.array([_wide(_shingle_hashes(t, width), segments) for t in utf8(texts)], pa.list_(pa.int64()))
 
     return marks(text)
 
@@ -217,10 +280,10 @@ def _alike(a: str, b: str, width: int, least: float) -> Column:
 
 def _linked(texts: DataFrame, width: int, similarity: float, segments: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Links by stars, the stars of their components, and the links of buckets compared in full; see near_links."""
-    marks = cut(texts.select("h", _marks(F.col("text"), width, segments).alias("m")).select("h", "m.s", "m.bands"))
-    met = cut(stars(marks.select(F.explode("bands").alias("v"), F.col("h").alias("id"))))
-    pairs = met.select("id", F.explode(F.array_distinct(F.array("head.id", "before.id"))).alias("other")).where("other <> id")
-    pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+    marks = cut(texts.select("h", _marks(F.col("text"), width, segments).alias("s")))
+    entries = marks.mapInArrow(_entries(*tables(marks.count())), "w bigint, id bigint")
+    met = cut(entries.repartition(F.shiftright("w", CHECK)).sortWithinPartitions("w", "id").mapInArrow(_meet, "v bigint, id bigint, other bigint"))
+    pairs = met.where("other is not null").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
     pairs = pairs.join(marks.select(F.col("h").alias("a"), F.col("s").alias("s_a")), "a").join(marks.select(F.col("h").alias("b"), F.col("s").alias("s_b")), "b")
     distance = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     most = int(32 * segments * APART)
@@ -230,7 +293,7 @@ def _linked(texts: DataFrame, width: int, similarity: float, segments: int) -> t
     right = held.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
     links = pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b")
     classes = component_stars(links)
-    dealt = cut(unmet(met.where("crowded").select("v", "id"), classes))
+    dealt = cut(unmet(met.where("other is null").select("v", "id"), classes))
     if dealt.isEmpty():
         return links, classes, None
     texts_of = lambda some: KeyFilter(some.select("id"), "id").where(texts, "h").select(F.col("h").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -241,9 +304,10 @@ def _linked(texts: DataFrame, width: int, similarity: float, segments: int) -> t
 def near_links(texts: DataFrame, width: int = 5, similarity: float = 0.8, segments: int = SEGMENTS) -> DataFrame:
     """Edges (a, b) between near duplicates among distinct texts (h long, text): Jaccard of word shingles of `similarity` or more.
 
-    Bands of MinHashes of the shingles are the tables. In a table's bucket a text meets the first and
-    the one before, so a group of g copies gives links in proportion to g, not pairs. SimHash
-    distances over the same shingles drop chance meetings, the texts themselves decide. Buckets of
+    A SimHash of 32 bits a segment over the shingles is put into tables, each keyed by bits sampled
+    from it; the number of texts sets how many (see tables). In a table's bucket a text meets the first and
+    the one before, so a group of g copies gives links in proportion to g, not pairs. Distances of the
+    whole fingerprints drop chance meetings, the texts themselves decide. Buckets of
     four texts or more that these links leave in more than one component are then compared in full,
     so what is like in a bucket is connected.
     """
