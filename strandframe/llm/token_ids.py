@@ -37,7 +37,7 @@ _TRAILER = struct.Struct("<8sQQQII")
 #: Keys of an index file on average, where there are more than _LEAST_FILES * KEYS of them.
 KEYS = 1 << 20
 _LEAST_FILES = 64
-#: Entries of a generation of the words whose ids a worker keeps (of their parts it keeps twice as many), and the most characters of such a word.
+#: Entries of a generation of the parts of words whose ids a worker keeps (of words it keeps twice as many), and the most characters of such a word.
 KEPT, SHORT = 1 << 18, 64
 #: White space of the pre-tokenizer, and letters that it surely takes as such.
 _S = " \\t\\n\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -92,8 +92,8 @@ class Encoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = (chr(c) for c in range(0x2B0) if _WORD.fullmatch(chr(c)))
         self.table = {ord(c): level.pre_tokenize_str(c)[0][0] for c in (" ", *letters)}
-        self.cut = _Kept(self._piece, 2 * KEPT)
-        self.words = _Kept(self._word, KEPT)  # words behind a space
+        self.cut = _Kept(self._piece, KEPT)
+        self.words = _Kept(self._word, 2 * KEPT)  # words behind a space
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -105,14 +105,17 @@ class Encoder:
             mapped = piece.translate(self.table)
         else:
             return self._whole(piece)
+        return self._mapped(mapped)
+
+    def _mapped(self, mapped: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if word.isalpha():
-            return self.cut[" " + word]
+        if word.isalpha():  # kept here, not as a piece once more
+            return self._mapped(self.table[32] + word) if word.isascii() else self._piece(" " + word)
         head, mark = word[:-1], word[-1:]
         if mark.isascii() and head.isalpha() and not mark.isalpha():  # letters end there
-            return self.cut[" " + head] + self.cut[mark]
+            return self.words[head] + self.cut[mark]
         return self._spaced(" " + word)
 
     def _spaced(self, piece: str) -> bytes:

@@ -160,3 +160,12 @@ def test_ids_of_both_widths(spark, tmp_path, width, tokens):
     token_ids.write_shards(df, path, width)
     token_ids.build_index(spark, path)
     assert token_ids.Store(path).get(1)[0].tolist() == [tokens, 2]
+
+
+def test_words_are_kept_once():
+    """A word behind a space isn't kept as a piece too, and its head is kept for the word without a mark; ids are the library's."""
+    encoder = token_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "first second second, Straße Straße. größer"
+    assert encoder(text) == encoder._whole(text)
+    assert set(encoder.words) == {"second", "second,", "Straße", "Straße.", "größer"}
+    assert set(encoder.cut) == {"first", ",", "."}
