@@ -13,19 +13,21 @@ SAMPLES = 64
 TOGETHER = 8
 
 
-def _sample(term: str, log_weight: str, j: Column) -> Column:
-    """ln a of Ioffe's scheme: r, c from Gamma(2, 1) and beta from [0, 1) by term and j; the least over a text's terms is its sample.
+def _sample(term: str, n: str, j: Column) -> Column:
+    """a of Ioffe's scheme: r, c from Gamma(2, 1) and beta from [0, 1) by term and j; the least over a text's terms is its sample.
 
-    -ln(u v) of two uniforms is Gamma(2, 1). Two hashes give the five uniforms. The value is a function of the term,
-    j and the quantised weight t alone, so equal values mean equal (term, t).
+    With E = -ln u and D = -ln w of two uniforms, r = E + D is Gamma(2, 1) and beta = D / r is uniform, whatever r is.
+    So t = floor(ln n / r + beta) = floor(ln(n / w) / -ln(u w)), and a = c exp(-r (t - beta + 1)) = c u (u w)^t, where t is 0
+    as long as n u < 1: no logarithm but that of c = -ln(x y) for most terms. Two hashes give the four uniforms. The value
+    is a function of the term, j and the quantised weight t alone, so equal values mean equal (term, t).
     """
     one = F.xxhash64(term, j)
-    two = F.xxhash64(one)
     low = F.lit((1 << 21) - 1)
-    r = -F.log((one.bitwiseAND(low) + 0.5) * (F.shiftrightunsigned(one, 21).bitwiseAND(low) + 0.5) * F.lit(0.5**42))
-    beta = F.shiftrightunsigned(one, 42) * F.lit(0.5**22)
-    log_c = F.log(-F.log((two.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) * (F.shiftrightunsigned(two, 32) + 0.5) * F.lit(0.5**64)))
-    return log_c - r * (F.floor(F.col(log_weight) / r + beta) - beta + 1)
+    c = -F.log((one.bitwiseAND(low) + 0.5) * (F.shiftrightunsigned(one, 21).bitwiseAND(low) + 0.5) * F.lit(0.5**42))
+    u = (F.shiftrightunsigned(one, 42) + 0.5) * F.lit(0.5**22)
+    w = (F.shiftrightunsigned(F.xxhash64(one), 11) + 0.5) * F.lit(0.5**53)
+    t = F.greatest(F.floor(F.log(F.col(n) / w) / -F.log(u * w)), F.lit(1).cast("long"))
+    return c * u * F.when(F.col(n) * u < 1, 1.0).otherwise(F.pow(u * w, t))
 
 
 def cws_signatures(texts: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -37,9 +39,9 @@ def cws_signatures(texts: DataFrame, keys: list[str], text_col: str = "text", sa
     """
     words = F.split(ascii_lower(text_col), r"[\x20\x09-\x0D]+")
     terms = texts.select(*keys, F.explode(words).alias("w")).where("w <> ''").select(*keys, F.xxhash64("w").alias("term"))
-    weighed = terms.groupBy(*keys, "term").agg(F.count("*").alias("n")).select(*keys, "term", F.log("n").alias("lw"))
+    weighed = terms.groupBy(*keys, "term").agg(F.count("*").cast("double").alias("n"))
     parts = weighed.select("*", F.explode(F.array(*[F.lit(j) for j in range(0, samples, TOGETHER)])).alias("first"))
-    least = parts.groupBy(*keys, "first").agg(*[F.min(_sample("term", "lw", F.col("first") + j)).alias(f"s{j}") for j in range(TOGETHER)])
+    least = parts.groupBy(*keys, "first").agg(*[F.min(_sample("term", "n", F.col("first") + j)).alias(f"s{j}") for j in range(TOGETHER)])
     part = F.struct("first", F.array(*[F.xxhash64(f"s{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(TOGETHER)]).alias("x"))
     whole = least.groupBy(*keys).agg(F.sort_array(F.collect_list(part)).alias("parts"))  # samples / TOGETHER parts
     return whole.select(*keys, F.slice(F.flatten("parts.x"), 1, samples).alias("sig"))
