@@ -142,4 +142,4 @@ def full_links(dealt: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame
     grouped = lambda rows: rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
     rows = dealt.join(sketches, "id").select(*dealt.columns, "sketch")
     some = cut(grouped(rows).mapInArrow(near, rows.schema))
-    return grouped(some.join(texts(some), "id")).mapInArrow(linked, "a bigint, b bigint")
+    return cut(grouped(some.join(texts(some), "id")).mapInArrow(linked, "a bigint, b bigint"))  # one worker a core

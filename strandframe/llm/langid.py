@@ -207,6 +207,19 @@ ENOUGH, SPREADS = 20, 6
 CLASSES, JUDGED = 32, 7
 
 
+def _fits(texts: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
+    """(lang, f struct<size, fit>) of the learned texts of (text, lang) that have a trigram: its length class and its fit to its own language."""
+
+    @F.arrow_udf("struct<size: int, fit: double>")
+    def own_fit(text: pa.Array, lang: pa.Array) -> pa.Array:
+        got = [(n.bit_length(), round(float(fits[langs.index(own)]), 5)) for (_, _, n, fits), own in zip(_judge(text, langs, prototypes), lang.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.float64())], ["size", "fit"])
+
+    # so that the filter isn't moved below the function, which would then run twice, in twice as many workers
+    once = own_fit.asNondeterministic()
+    return texts.where("text is not null and lang is not null").select("lang", once("text", "lang").alias("f")).where("f.size > 0")
+
+
 def fit_floors(texts: DataFrame, langs: list[str], prototypes: np.ndarray) -> np.ndarray:
     """Least fit of a text of each language and length class, (languages, CLASSES), from all learned texts of (text, lang).
 
@@ -216,12 +229,7 @@ def fit_floors(texts: DataFrame, langs: list[str], prototypes: np.ndarray) -> np
     quarter of the median of all the language's texts. A language of under ENOUGH texts refuses nothing.
     """
 
-    @F.arrow_udf("struct<size: int, fit: double>")
-    def own_fit(text: pa.Array, lang: pa.Array) -> pa.Array:
-        got = [(n.bit_length(), round(float(fits[langs.index(own)]), 5)) for (_, _, n, fits), own in zip(_judge(text, langs, prototypes), lang.to_pylist(), strict=True)]
-        return pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.float64())], ["size", "fit"])
-
-    seen = texts.where("text is not null and lang is not null").select("lang", own_fit("text", "lang").alias("f")).where("f.size > 0")
+    seen = _fits(texts, langs, prototypes)
     of = [F.count("*").alias("n"), F.percentile("fit", F.array(F.lit(0.25), F.lit(0.5))).alias("q")]
     rows = seen.select("lang", "f.size", "f.fit").rollup("lang", "size").agg(*of).where((F.col("n") >= ENOUGH) & F.col("lang").isNotNull()).collect()
     floors = np.full((len(langs), CLASSES), -np.inf)

@@ -180,7 +180,8 @@ def _linked(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame,
     pairs = cut(met.select("id", F.explode("others").alias("other")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
     held = cut(_held(texts, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
     pairs = pairs.join(held.toDF("a", "s_a"), "a").join(held.toDF("b", "s_b"), "b")
-    links = pairs.where(_alike("s_a", "s_b", similarity)).select("a", "b")
+    # kept, so that comparing and contracting aren't one stage, which takes two workers a core
+    links = cut(pairs.where(_alike("s_a", "s_b", similarity)).select("a", "b"))
     classes = component_stars(links)
     crowd = met.where("crowded")
     dealt = cut(unmet(crowd.select("v", "id"), classes))

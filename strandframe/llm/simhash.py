@@ -291,7 +291,8 @@ def _linked(texts: DataFrame, width: int, similarity: float, segments: int) -> t
     held = KeyFilter(pairs.select(F.explode(F.array("a", "b")).alias("h")), "h").where(texts, "h")
     left = held.select(F.col("h").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
-    links = pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b")
+    # kept, so that comparing and contracting aren't one stage, which takes two workers a core
+    links = cut(pairs.join(left, "a").join(right, "b").where(_alike("text_a", "text_b", width, similarity)).select("a", "b"))
     classes = component_stars(links)
     dealt = cut(unmet(met.where("other is null").select("v", "id"), classes))
     if dealt.isEmpty():

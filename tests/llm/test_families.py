@@ -1,8 +1,11 @@
 """Like texts that stand in large families of unlike ones; recall by the edit's shape."""
 
 import random
+import re
 
-from strandframe.llm import components, lines, simhash
+import numpy as np
+
+from strandframe.llm import components, langid, lines, simhash
 
 
 def connected(links, pairs):
@@ -73,3 +76,18 @@ def test_pairs_in_a_family_of_templated_lines_are_found(spark):
     print(f"line_links: {got:.3f} of pairs in a family connected")
     assert got > 0.97
     assert links.count() < len(rows) * lines.BANDS
+
+
+def python_nodes(df):
+    return len(re.findall(r"ArrowEvalPython|MapInArrow", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_a_core_has_one_worker(spark):
+    """Nodes that run Python in one stage have a worker each, all of them in the memory of an executor."""
+    texts = spark.createDataFrame([("one two three four five", "en"), ("eins zwei drei vier", "de"), ("...", "en")], "text string, lang string")
+    fits = langid._fits(texts, ["de", "en"], np.eye(2, 64))
+    assert fits.count() == 2 and python_nodes(fits) == 1
+    lined = spark.createDataFrame([("a line of some words\na line of some words!",)], "text string")
+    assert python_nodes(lines._linked(lined, 0.8)[0]) == 0
+    hashed = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h")], "h long, text string")
+    assert python_nodes(simhash._linked(hashed, 5, 0.8, simhash.SEGMENTS)[0]) == 0
