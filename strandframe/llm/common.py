@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -41,6 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(df: DataFrame) -> None:
+    """Asks the driver to let go of what no table needs any more, so that its shuffle files and checkpoints are deleted.
+
+    Spark deletes them when the driver's JVM collects its garbage, which a driver with memory to spare does late. What
+    hangs on what a collection has just let go of goes with a later one.
+    """
+    for _ in range(3):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and written as Parquet in the shared checkpoint folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -12,14 +12,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import BLOCK, full_links, unmet
-from .common import KeyFilter, cut, table, utf8
+from .buckets import full_links, unmet
+from .common import KeyFilter, cut, freed, table, utf8
 from .components import component_stars, connected_components, with_group_min
 
 SHINGLE = 5
 BANDS, ROWS = 9, 4
 #: Characters whose signatures are made at once.
 CHUNK = 1 << 17
+#: Rows of a bucket that one task compares in full; larger buckets are dealt to pairs of blocks of as many.
+BLOCK = 1024
 
 _RANDOM = np.random.default_rng(31)
 _XOR = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -40,9 +42,11 @@ def _line_ids(lines: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x, 42) for x in lines], dtype=np.uint64).view(np.int64)
 
 
-#: MinHashes of which a sketch has two bits, and how many of them may differ. At a Jaccard of 0.8 some 15 % differ: over
-#: 14 of 32 do in one of 30 000 such pairs, where the bands miss one of 115.
-SKETCHED, MAY_DIFFER = 32, 14
+#: MinHashes of which a sketch has four bits, two in each of its words, and how many of them may differ. At a Jaccard of 0.8
+#: some 19 % differ: over 16 of 32 do in one of 70 000 such pairs, where the bands miss one of 115. Of lines that share a band
+#: and little else some two in 10 000 are as near (at two bits, 14 of which might differ, some two in 100).
+SKETCHED, MAY_DIFFER = 32, 16
+SKETCH = ["sketch", "more"]
 
 
 def _rolled(points: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +67,9 @@ def _rolled(points: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys, (lines, BANDS) signed longs, and a sketch of each line. A line of under SHINGLE characters is one shingle.
+    """Band keys, (lines, BANDS) signed longs, and a sketch of each line, (words, lines). A line of under SHINGLE characters is one shingle.
 
-    Keys are hashes of ROWS MinHashes of the line's character shingles; the sketch has two bits of each MinHash.
+    Keys are hashes of ROWS MinHashes of the line's character shingles; each word of the sketch has two bits of each MinHash.
     """
     lines = [x if len(x) >= 4 * SHINGLE else x + b"\0" * (SHINGLE - len(x.decode("utf-8", "replace"))) for x in lines]
     points = np.frombuffer(b"".join(lines).decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
@@ -76,12 +80,13 @@ def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         np.bitwise_xor(h, _XOR[j], out=v)
         np.multiply(v, _ODD[j], out=v)
         np.minimum.reduceat(v, starts[:-1], out=least[j])
-    bits = (least[:SKETCHED] & np.uint32(3)).astype(np.uint64) << np.arange(0, 2 * SKETCHED, 2, dtype=np.uint64)[:, None]
+    at = np.arange(0, 2 * SKETCHED, 2, dtype=np.uint64)[:, None]
+    bits = [((least[:SKETCHED] >> np.uint32(2 * k)) & np.uint32(3)).astype(np.uint64) << at for k in range(len(SKETCH))]
     key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
     for j in range(ROWS):
         key = (key ^ least[j::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return key.T.view(np.int64), np.bitwise_or.reduce(bits, axis=0).view(np.int64)
+    return key.T.view(np.int64), np.bitwise_or.reduce(bits, axis=1).view(np.int64)
 
 
 #: A-Z in lower case, blanks other than the line feed as spaces.
@@ -103,8 +108,11 @@ def _distinct(batch: pa.RecordBatch) -> list[bytes]:
     return list(found)
 
 
+BAND = "v bigint, id bigint, sketch bigint, more bigint"
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(v, line, sketch) for each band of the distinct lines of a batch."""
+    """BAND for each band of the distinct lines of a batch."""
     for batch in batches:
         part: list[bytes] = []
         size = 0
@@ -120,7 +128,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _band_rows(lines: list[bytes]) -> pa.RecordBatch:
     keys, sketch = signatures(lines)
-    return pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), pa.array(np.tile(_line_ids(lines), BANDS)), pa.array(np.tile(sketch, BANDS))], ["v", "id", "sketch"])
+    return pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), *(pa.array(np.tile(x, BANDS)) for x in (_line_ids(lines), *sketch))], ["v", "id", *SKETCH])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,15 +216,31 @@ def _alike(a: str, b: str, least: float) -> Column:
     return alike(a, b)
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many MinHashes of two sketches differ."""
-    x = a ^ b
-    x |= x >> np.uint64(1)
+def _differing(x: np.ndarray) -> np.ndarray:
+    x = x | x >> np.uint64(1)
     return np.bitwise_count(x & np.uint64(0x5555555555555555))
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many MinHashes of two sketches of one word differ."""
+    return _differing(a ^ b)
+
+
+def _between(sketch: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many MinHashes of the sketches at the places a and b differ."""
+    x = sketch[0][a] ^ sketch[0][b]
+    for word in sketch[1:]:
+        x |= word[a] ^ word[b]
+    return _differing(x)
+
+
 def _sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _apart(a[:, None, 0], b[None, :, 0])
+    return _differing(np.bitwise_or.reduce([x[:, None] ^ y[None] for x, y in zip(a.T, b.T, strict=True)]))
+
+
+def _words(t: pa.Table) -> list[np.ndarray]:
+    """The words of the sketches of a table."""
+    return [t.column(c).to_numpy().view(np.uint64) for c in SKETCH if c in t.column_names]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
@@ -268,65 +292,72 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-MET = "v bigint, id bigint, sketch bigint, other bigint, crowded boolean, large boolean"
+MET = f"{BAND}, other bigint, near boolean, crowded boolean, large boolean"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """MET, of rows (v, id, sketch) in order of v: near pairs (id, other) of a bucket, those whose sketches differ in MAY_DIFFER at most.
+    """MET, of rows BAND in order of v: near pairs (id, other) of a bucket, those whose sketches differ in MAY_DIFFER at most.
 
     A bucket of few near pairs gives them all. A crowded one gives each entry that has a near one once, with
     the nearest of those before it, and so does each part of a large one, of over BLOCK rows, for all its entries.
+    near: the entry has a near one in its bucket, or in its block of a large one.
     """
-    rows = lambda v, ids, sketch, other, has, crowded, large: pa.RecordBatch.from_arrays([pa.array(v), pa.array(ids), pa.array(sketch.view(np.int64)), pa.array(other, mask=~has), pa.array(crowded), pa.array(np.full(len(v), large))], ["v", "id", "sketch", "other", "crowded", "large"])
     for t, large in _buckets(_gathered(batches), BLOCK):
-        v, ids, sketch = (t.column(c).to_numpy() for c in ("v", "id", "sketch"))
-        many = np.zeros(len(v), dtype=bool)
-        many[1:] = v[1:] == v[:-1]
-        many[:-1] |= many[1:].copy()
-        v, ids, sketch = (v, ids, sketch) if large else (v[many], ids[many], sketch[many])
+        names = [c for c in SKETCH if c in t.column_names]
+
+        def rows(at, other, has, near, crowded, large):
+            flags = (np.full(len(at), x) for x in (near, crowded, large))
+            columns = [v[at], ids[at], *(x[at].view(np.int64) for x in sketch)]  # noqa: B023
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(ids[other], mask=~np.full(len(at), has)), *map(pa.array, flags)], ["v", "id", *names, "other", "near", "crowded", "large"])  # noqa: B023
+
+        v, ids, sketch = t.column("v").to_numpy(), t.column("id").to_numpy(), _words(t)
+        if not large:
+            many = np.zeros(len(v), dtype=bool)
+            many[1:] = v[1:] == v[:-1]
+            many[:-1] |= many[1:].copy()
+            v, ids, sketch = v[many], ids[many], [x[many] for x in sketch]
         if not len(v):
             continue
         order = np.lexsort((ids, v))
-        v, ids, sketch = v[order], ids[order], sketch[order].view(np.uint64)
+        v, ids = v[order], ids[order]
         new = np.concatenate([[True], (v[1:] != v[:-1]) | (ids[1:] != ids[:-1])])
-        v, ids, sketch = v[new], ids[new], sketch[new]
+        v, ids, sketch = v[new], ids[new], [x[order][new] for x in sketch]
         starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         sizes = np.diff(np.append(starts, len(v)))
         wide = sizes > (0 if large else BLOCK)
         for start, size in zip(starts[wide].tolist(), sizes[wide].tolist(), strict=True):
             for i in range(start, start + size, BLOCK):
                 k = np.arange(i, min(i + BLOCK, start + size))
-                apart = np.where(np.tri(len(k), k=-1, dtype=bool), _apart(sketch[k][:, None], sketch[k][None]), 99)
-                yield rows(v[k], ids[k], sketch[k], ids[k][apart.argmin(1)], apart.min(1) <= MAY_DIFFER, np.ones(len(k), dtype=bool), True)
+                apart = np.where(np.tri(len(k), k=-1, dtype=bool), _between(sketch, k[:, None], k[None]), 99)
+                has = apart.min(1) <= MAY_DIFFER
+                yield rows(k, k[apart.argmin(1)], has, has | (apart.min(0) <= MAY_DIFFER), True, True)
         narrow = np.repeat(~wide, sizes)
-        v, ids, sketch = v[narrow], ids[narrow], sketch[narrow]
+        v, ids, sketch = v[narrow], ids[narrow], [x[narrow] for x in sketch]
         if not len(v):
             continue
         for at in _by_size(v):
             g = at.shape[1]
-            apart = np.where(np.tri(g, k=-1, dtype=bool), _apart(sketch[at][:, :, None], sketch[at][:, None]), 99)
+            apart = np.where(np.tri(g, k=-1, dtype=bool), _between(sketch, at[:, :, None], at[:, None]), 99)
             near = apart <= MAY_DIFFER
             crowded = near.sum((1, 2)) > max(g, 3)
             b, x, y = np.nonzero(near & ~crowded[:, None, None])
             if len(b):
-                k, m = at[b, x], at[b, y]
-                yield rows(v[k], ids[k], sketch[k], ids[m], np.ones(len(k), dtype=bool), np.zeros(len(k), dtype=bool), False)
+                yield rows(at[b, x], at[b, y], True, True, False, False)
             if crowded.any():
                 at, apart, near = at[crowded], apart[crowded], near[crowded]
                 nearest = np.take_along_axis(at, apart.argmin(2), 1)
                 some = near.any(2) | near.any(1)
-                k = at[some]
-                yield rows(v[k], ids[k], sketch[k], ids[nearest[some]], near.any(2)[some], np.ones(len(k), dtype=bool), False)
+                yield rows(at[some], nearest[some], near.any(2)[some], True, True, False)
 
 
 def _still_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (v, id, sketch, c) in order of v that have a near one of another component c in their bucket."""
+    """The rows (BAND and c) in order of v that have a near one of another component c in their bucket."""
     for t, _ in _buckets(_gathered(batches)):
-        v, of, sketch = t.column("v").to_numpy(), t.column("c").to_numpy(), t.column("sketch").to_numpy().view(np.uint64)
+        v, of, sketch = t.column("v").to_numpy(), t.column("c").to_numpy(), _words(t)
         some = np.zeros(len(v), dtype=bool)
         for at in _by_size(v):
             at = at[(of[at] != of[at[:, :1]]).any(1)]
-            near = (of[at][:, :, None] != of[at][:, None]) & (_apart(sketch[at][:, :, None], sketch[at][:, None]) <= MAY_DIFFER)
+            near = (of[at][:, :, None] != of[at][:, None]) & (_between(sketch, at[:, :, None], at[:, None]) <= MAY_DIFFER)
             some[at[near.any(2)]] = True
         if some.any():
             yield from t.filter(pa.array(some)).combine_chunks().to_batches()
@@ -365,17 +396,17 @@ def _shared(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _bucket_links(similarity: float):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b): pairs of `similarity` or more of different components, enough to connect those of a bucket. Rows (v, id, sketch, c, text) in order of v."""
+        """(a, b): pairs of `similarity` or more of different components, enough to connect those of a bucket. Rows (BAND, c and text) in order of v."""
         for t, _ in _buckets(batches):
-            v, ids, of, sketch = (t.column(c).to_numpy() for c in ("v", "id", "c", "sketch"))
-            sketch = sketch.view(np.uint64)
+            v, ids, of = (t.column(c).to_numpy() for c in ("v", "id", "c"))
+            sketch = _words(t)
             hashes, begin = _shingle_hashes(t.column("text").combine_chunks())
             starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])).tolist()
             found = []
             for i, j in pairwise([*starts, len(v)]):
                 both, sizes = _shared(hashes[begin[i] : begin[j]], begin[i : j + 1] - begin[i])
-                c = of[i:j]
-                like = (c[:, None] > c) & (_apart(sketch[i:j, None], sketch[None, i:j]) <= MAY_DIFFER)
+                c, at = of[i:j], np.arange(i, j)
+                like = (c[:, None] > c) & (_between(sketch, at[:, None], at[None]) <= MAY_DIFFER)
                 like &= both / (sizes[:, None] + sizes - both) >= similarity
                 found += _joining(c, ids[i:j], *np.nonzero(like))
             if found:
@@ -411,26 +442,36 @@ def _held(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _linked(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Links of (text) by nearest lines, the stars of their components, and the links of buckets compared in full; see line_links."""
     in_order = lambda rows: rows.repartition("v").sortWithinPartitions("v")
-    met = cut(in_order(texts.mapInArrow(_bands, "v bigint, id bigint, sketch bigint")).mapInArrow(_meet, MET))
+    met = cut(in_order(texts.mapInArrow(_bands, BAND)).mapInArrow(_meet, MET))
+    freed(met)
     pairs = cut(met.where("other is not null").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
     crowd = met.where("crowded")
-    held = cut(_held(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowd.select("id"))))
+    held = cut(_held(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).union(crowd.where("near").select("id"))))
     pairs = pairs.join(held.toDF("a", "s_a"), "a").join(held.toDF("b", "s_b"), "b")
     # kept, so that comparing and contracting aren't one stage, which takes two workers a core
     links = cut(pairs.where(_alike("s_a", "s_b", similarity)).select("a", "b"))
+    freed(links)
     classes = component_stars(links)
     if crowd.isEmpty():
         return links, classes, None
     of = classes.select(F.col("a").alias("id"), F.col("b").alias("c"))
-    seen = crowd.where("not large").select("v", "id", "sketch").join(of, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    some = cut(in_order(seen.select("v", "id", "sketch", "c")).mapInArrow(_still_apart, "v bigint, id bigint, sketch bigint, c bigint"))
+    seen = crowd.where("not large").select("v", "id", *SKETCH).join(of, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    some = cut(in_order(seen.select("v", "id", *SKETCH, "c")).mapInArrow(_still_apart, f"{BAND}, c bigint"))
     more = cut(in_order(some.join(held, "id")).mapInArrow(_bucket_links(similarity), "a bigint, b bigint"))
     large = crowd.where("large")
     if large.isEmpty():
         return links, classes, more
-    dealt = cut(unmet(large.select("v", "id").distinct(), classes))
-    sketches = large.groupBy("id").agg(F.array(F.first("sketch")).alias("sketch"))
-    return links, classes, more.union(full_links(dealt, sketches, lambda some: held.join(some.select("id").distinct(), "id", "left_semi"), _sketch_distance, MAY_DIFFER, line_shingles, similarity))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """Texts of entries of large buckets; those that are near to none of their own block aren't held yet."""
+        ids = some.select("id").distinct()
+        rest = cut(ids.join(held, "id", "left_anti"))
+        here = held.join(ids, "id", "left_semi")
+        return here if rest.isEmpty() else here.union(_held(texts, rest).join(rest, "id", "left_semi"))
+
+    dealt = cut(unmet(large.select("v", "id").distinct(), classes, BLOCK))
+    sketches = large.groupBy("id").agg(F.array(*map(F.first, SKETCH)).alias("sketch"))
+    return links, classes, more.union(full_links(dealt, sketches, texts_of, _sketch_distance, MAY_DIFFER, line_shingles, similarity))
 
 
 def line_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -480,7 +521,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cols = [f"_c{i}" for i in range(len(names))]
     rows = docs.toDF(*cols)
     key, text = F.col(cols[names.index(id_col)]), F.col(cols[names.index(text_col)])
-    drops = repeated_lines(rows.select(key.cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")), similarity)
+    drops = cut(repeated_lines(rows.select(key.cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")), similarity))
+    freed(drops)
     drops = drops.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), F.col("drop").alias("_drop"))
     got = rows.join(drops, key.cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_h")), "left")
     parts = F.split(text, "\n")

@@ -1,7 +1,9 @@
 """Line dedup: what its vectorised steps give, held against plain ones."""
 
 import random
+import time
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -94,3 +96,53 @@ def test_large_families_are_connected(spark):
     assert sum(a in of and of[a] == of.get(b) for a, b in ids) / len(ids) > 0.97
     held = {lines.line_id(x.encode()): x for p in pairs for x in p}
     assert all(lines.line_jaccard(held[r.a], held[r.b]) >= 0.8 for r in links.collect())
+
+
+def test_lines_that_share_a_band_by_chance_are_not_near():
+    """Of unlike lines in a bucket hardly any are candidates, one in 40 before; pairs of 0.8 or more are all."""
+    rng = random.Random(6)
+    syllables = "th er on an re he in ed nd ha ti es or en ou st at sh le ly".split()
+    words = ["".join(rng.choice(syllables) for _ in range(rng.choice([1, 2, 2, 3, 4]))) for _ in range(3000)]
+    some = [" ".join(words[min(int(rng.expovariate(1 / 250)), 2999)] for _ in range(90)).encode() for _ in range(2000)]
+    keys, sketch = lines.signatures(some)
+    met = {(i, j) for k in keys.T for v in [np.argsort(k, kind="stable")] for s in np.split(v, np.flatnonzero(np.diff(k[v])) + 1) if len(s) > 1 for i, j in combinations(s.tolist(), 2)}
+    apart = [(i, j) for i, j in met if lines.line_jaccard(some[i].decode(), some[j].decode()) < 0.3]
+    words_of = [x.view(np.uint64) for x in np.atleast_2d(sketch)]
+    distance = lambda i, j: int(np.bitwise_count((y := np.bitwise_or.reduce([x[i] ^ x[j] for x in words_of])) & np.uint64(0x5555555555555555) | (y >> np.uint64(1)) & np.uint64(0x5555555555555555)))
+    assert len(apart) > 1000
+    assert sum(distance(i, j) <= lines.MAY_DIFFER for i, j in apart) < len(apart) / 500
+    edited = [x[: int(0.9 * len(x))] + "".join(rng.choice(LETTERS) for _ in range(len(x) - int(0.9 * len(x)))).encode() for x in some]
+    keys, sketch = lines.signatures(some + edited)
+    words_of = [x.view(np.uint64) for x in np.atleast_2d(sketch)]
+    like = [i for i in range(2000) if lines.line_jaccard(some[i].decode(), edited[i].decode()) >= 0.8]
+    assert len(like) > 300
+    assert all(distance(i, i + 2000) <= lines.MAY_DIFFER for i in like)
+
+
+def test_unlike_entries_of_large_buckets_need_no_text():
+    """An entry of a large bucket is marked where another one of its block is near, wherever that stands; before, the texts of all were fetched."""
+    rng = np.random.default_rng(8)
+    n = lines.BLOCK + 90
+    sketch, more = rng.integers(-(1 << 63), 1 << 63, (2, n))
+    for a, b in [(3, 70), (500, 20)]:
+        sketch[a], more[a] = sketch[b] ^ 5, more[b]
+    t = pa.table({"v": np.zeros(n, dtype=np.int64), "id": np.arange(n), "sketch": sketch, "more": more})
+    got = [r for b in lines._meet(iter(t.to_batches(100))) for r in b.to_pylist()]
+    assert {r["id"] for r in got} == set(range(n)) and all(r["large"] and r["crowded"] for r in got)
+    assert {r["id"] for r in got if r["near"]} == {3, 70, 500, 20}
+    assert {(r["id"], r["other"]) for r in got if r["other"] is not None} == {(70, 3), (500, 20)}
+
+
+def test_shuffled_bands_are_let_go(spark):
+    """When the rows are ready to be joined, the shuffle of bands lies on disk no more."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    held = lambda: sum(p.stat().st_size for d in env.blockManager().diskBlockManager().localDirs() for p in Path(d.getPath()).rglob("shuffle_*.data"))
+    rng = random.Random(9)
+    rows = [(i, "\n".join("".join(rng.choice(LETTERS) for _ in range(30)) for _ in range(40))) for i in range(500)]
+    before = held()
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    end = time.time() + 20
+    while (left := held() - before) > 20_000 * lines.BANDS and time.time() < end:
+        time.sleep(0.2)
+    assert left <= 20_000 * lines.BANDS
+    assert got.count() == 500
