@@ -46,11 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
 def freed(df: DataFrame) -> None:
     """Asks the driver to let go of what no table needs any more, so that its shuffle files and checkpoints are deleted.
 
-    Spark deletes them when the driver's JVM collects its garbage, which a driver with memory to spare does late. What
-    hangs on what a collection has just let go of goes with a later one.
+    Spark deletes them when the driver's JVM collects its garbage, which a driver with memory to spare does late. Tables that
+    Python has dropped are handed over by a thread that looks once a second; what hangs on them goes with the second collection.
     """
-    for _ in range(3):
-        gc.collect()
+    gc.collect()
+    time.sleep(1.1)
+    for _ in range(2):
         df.sparkSession.sparkContext._jvm.System.gc()
         time.sleep(0.2)
 

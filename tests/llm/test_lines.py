@@ -7,7 +7,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+import corpus_pipeline
 from strandframe.llm import components, lines
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -133,14 +135,15 @@ def test_unlike_entries_of_large_buckets_need_no_text():
     assert {(r["id"], r["other"]) for r in got if r["other"] is not None} == {(70, 3), (500, 20)}
 
 
-def test_shuffled_bands_are_let_go(spark):
+@pytest.mark.parametrize("dedup", [lines.dedup_lines, lambda docs: corpus_pipeline.line_dedup(docs.sparkSession, docs, "")], ids=["op8", "pipeline"])
+def test_shuffled_bands_are_let_go(spark, dedup):
     """When the rows are ready to be joined, the shuffle of bands lies on disk no more."""
     env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
     held = lambda: sum(p.stat().st_size for d in env.blockManager().diskBlockManager().localDirs() for p in Path(d.getPath()).rglob("shuffle_*.data"))
     rng = random.Random(9)
     rows = [(i, "\n".join("".join(rng.choice(LETTERS) for _ in range(30)) for _ in range(40))) for i in range(500)]
     before = held()
-    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     end = time.time() + 20
     while (left := held() - before) > 20_000 * lines.BANDS and time.time() < end:
         time.sleep(0.2)
